@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickloom.llm import bpe, decontam, secrets, sharding
+from clickloom.llm import bpe, decontam, jaccard, secrets, sharding
 from clickloom.llm._shared import table
 
 
@@ -23,6 +23,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of whole documents whose 5-word shingles are similar to 80 % or more."""
+    groups = jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all whole texts, weighed by who owns them."""
     return secrets.secret_report(secrets.scan_secrets(table(spark, sf_dir, "documents")))
@@ -35,7 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op7_secrets": op7_secrets, "op10_decontamination": op10_decontamination}
+    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op7_secrets": op7_secrets, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql():

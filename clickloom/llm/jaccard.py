@@ -13,10 +13,11 @@ arrays only if that bound allows a link.
 
 Groups never give all their pairs. In a tile of many sets only a star is tested:
 each set with the leader of its band, and leaders of adjacent bands. If the links
-found so far join the whole tile, no more is needed for it. Otherwise the sets of
-different components in that tile are compared by their bitmaps inside a join,
-and the pairs that pass are verified. So components are exact, while a group of
-near copies costs a number of tests in proportion to its size. Equal sets are one
+found so far join the whole tile, no more is needed for it. Otherwise a few more
+stars with other leaders test what is still apart; whatever remains in pieces is
+compared in full, piece against piece, by bitmaps inside a join, and the pairs
+that pass are verified. So components are exact, while a group of near copies
+costs a number of tests in proportion to its size. Equal sets are one
 node throughout; a map task passes one posting a shingle on, however many sets
 of its share it.
 
@@ -48,6 +49,10 @@ HEAVY_SHINGLES = 1 << 16
 HEAVY_IN_TASK = 4
 #: Tiles up to so many sets are tested in full, larger ones by a star first.
 SMALL_TILE = 16
+#: Least bits of a bitmap for each member of the set.
+BITS_A_MEMBER = 4
+#: Rounds of stars, with other leaders each, before the pieces of a large tile are compared in full.
+STAR_ROUNDS = 3
 #: Postings of a bucket of tiles, about.
 BUCKET_POSTINGS = 2_000_000
 
@@ -69,8 +74,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> list[int]:
-    """Words of a bitmap whose width is the power of two from the set's size on, 64 at least."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    """Words of a bitmap with 4 to 8 bits for each member, the same width in a size band; 64 bits at least."""
+    bits = max(64, BITS_A_MEMBER << int(len(s) - 1).bit_length())
     at = (s >> np.uint64(7)) & np.uint64(bits - 1)
     flags = np.zeros(bits, dtype=np.uint8)
     flags[at.astype(np.int64)] = 1
@@ -281,13 +286,9 @@ def may_link(x: Column, n: Column, y: Column, m: Column, num: int, den: int) ->
     return F.when(near, bound * den >= (n + m - bound) * num).otherwise(False)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: int, den: int, broadcast_keys: int) -> DataFrame:
-    """The pairs whose sets link, by the exact intersection of their sorted arrays."""
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    count = pairs.count()
-    if not count:
-        return pairs
+def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, broadcast_keys: int) -> DataFrame:
+    """Write the sorted shingle arrays of the nodes that tests can need: (node, set)."""
+    nodes = materialize(nodes, "nodes")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,9 +303,13 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: in
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     found = docs.select(F.col(text_col).alias("_text")).mapInArrow(arrays, "node long, set binary")
-    found = found.join(F.broadcast(needed) if 2 * count <= broadcast_keys else needed, "node", "left_semi")
-    found = found.groupBy("node").agg(F.first("set").alias("set"))
-    both = pairs.join(found.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b").join(found.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a")
+    found = found.join(F.broadcast(nodes) if nodes.count() <= broadcast_keys else nodes, "node", "left_semi")
+    return materialize(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Write the pairs whose sets link, by the exact intersection of their sorted arrays."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +321,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: in
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "_x", "_y").mapInArrow(exact, "a long, b long")
+    return materialize(both.select("a", "b", "_x", "_y").mapInArrow(exact, "a long, b long"), "links")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 2_000_000) -> DataFrame:
@@ -329,31 +334,51 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed = sign(docs, id_col, text_col, width, num, den)
     candidates = materialize(tile_candidates(signed, num, den), "candidates")
     marks = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
+    possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
+    tested = materialize(candidates.select("a", "b").distinct().join(left, "a").join(right, "b").where(possible).select("a", "b"), "pairs")
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
-        right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
-        return pairs.join(left, "a").join(right, "b").where(may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)).select("a", "b")
-
-    links = materialize(verify(bounded(candidates.select("a", "b").distinct()), docs, text_col, width, num, den, broadcast_keys), "links")
-    groups = connected_components(links)
+    stars = candidates.where("token is not null")
+    needed = tested.unionByName(stars.select("a", "b").distinct()).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = node_sets(docs, needed, text_col, width, broadcast_keys)
+    groups = connected_components(verify(tested, sets, num, den))
 
-    # large tiles that the links so far leave in pieces: compare the pieces
     def grouped(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(groups.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
-    stars = candidates.where("token is not null")
-    open_tiles = materialize(grouped(grouped(stars, "a", "_ga"), "b", "_gb").where("_ga != _gb").select("token").distinct(), "open_tiles")
+    # large tiles that the links so far leave in pieces
+    open_tiles = materialize(grouped(grouped(stars.select("token", "a", "b"), "a", "_ga"), "b", "_gb").where("_ga != _gb").select("token").distinct(), "open_tiles")
     if open_tiles.limit(1).count():
-        tokens = signed.where("node is not null").select("node", "n", "bits", F.explode("first").alias("token")).join(open_tiles, "token").dropDuplicates(["token", "node"])
-        tiles = materialize(grouped(tokens, "node", "group").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)), "tiles")
-        x = tiles.select("token", F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"), F.col("group").alias("_g"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-        y = tiles.select("token", F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"), F.col("group").alias("_k"), F.col("band"))
-        # a pair meets once: in its band, or the lower band's set in the band above
-        met = x.join(y, ["token", "band"]).where((F.col("_g") != F.col("_k")) & may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den))
-        more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(candidates.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        added = verify(more, docs, text_col, width, num, den, broadcast_keys)
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added.select("a", "b")))
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)
+        posted = signed.where("node is not null").select("node", "n", "bits", F.explode("first").alias("token")).join(open_tiles, "token")
+        tiles = materialize(posted.dropDuplicates(["token", "node"]).withColumn("band", band), "tiles")
+
+        def still_open() -> DataFrame:
+            named = grouped(tiles.drop("group"), "node", "group")
+            split = named.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("token")
+            return materialize(named.join(split, "token"), "tiles")
+
+        def other(df: DataFrame) -> DataFrame:
+            """Pairs of different groups that may link and haven't been tested."""
+            pairs = df.where((F.col("_g") != F.col("_k")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            return materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+        for step in range(STAR_ROUNDS + 1):
+            tiles = still_open()
+            if not tiles.limit(1).count():
+                break
+            y = tiles.select("token", "band", F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"), F.col("group").alias("_k"))
+            if step < STAR_ROUNDS:
+                lead = tiles.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "bits", "group")).alias("l"))
+                x = lead.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.node").alias("a"), F.col("l.n").alias("_n"), F.col("l.bits").alias("_p"), F.col("l.group").alias("_g"))
+            else:  # a pair meets once: in its band, or the lower band's set in the band above
+                x = tiles.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"), F.col("group").alias("_g"))
+            more = other(x.join(y, ["token", "band"]))
+            if more.limit(1).count():
+                tested = tested.unionByName(more)
+                added = verify(more, sets, num, den)
+                groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added))
 
     rows = signed.select("_id", "_h", "n", "node")
     rows = grouped(rows, "node", "group")

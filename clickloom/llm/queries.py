@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickloom.llm import bpe, decontam, jaccard, secrets, sharding
+from clickloom.llm import ann, bpe, chat, decontam, jaccard, lm, quality, secrets, sharding, warc
 from clickloom.llm._shared import table
 
 
@@ -29,20 +29,62 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all whole texts by pairwise ranking."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives and back."""
+    records = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all whole texts, weighed by who owns them."""
     return secrets.secret_report(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(chat.ADVERSARIAL, "conv_id long, turn long, role string, text string"))
+    back = chat.read_back(chat.format_conversations(rows))
+    joined = F.array_join(F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("texts").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and base scores of all whole texts."""
+    return lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbatim benchmark windows in all whole documents."""
     found = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.hit_report(found)
 
 
+QUERIES = (op1_sharding, op2_bpe, op3_jaccard, op4_ann, op5_quality, op6_warc, op7_secrets, op8_chat, op9_lm, op10_decontamination)
+
+
 def queries():
-    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op7_secrets": op7_secrets, "op10_decontamination": op10_decontamination}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql():
-    return {"op1_sharding": sharding.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL}
+    return {"op1_sharding": sharding.ORACLE_SQL, "op4_ann": ann.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}

@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join with size-banded tiles and bitmap signatures.
 
 A document is the set of 64-bit hashes of its distinct word shingles. Two sets
-of Jaccard similarity t or more share one of the first ``n - ceil(t n) + 1``
-shingles of each in any common order; the order takes shingles that are known to
+of Jaccard similarity t or more share ``SHARED`` of the first ``n - ceil(t n) + SHARED``
+shingles of each (or all they have in common, if less) in any common order; the order takes shingles that are known to
 be frequent last, so shared passages seldom count among them. Documents that
 share such a shingle and lie in the same or adjacent size bands form a tile.
 
@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickloom.llm._shared import materialize
+from clickloom.llm._shared import materialize, small_batches
 from clickloom.llm._text import SPACE_WORDS, buffers, hash_spans, mix, shingles, slices, words_of
 from clickloom.llm.components import connected_components
 
@@ -49,12 +49,14 @@ HEAVY_SHINGLES = 1 << 16
 HEAVY_IN_TASK = 4
 #: Tiles up to so many sets are tested in full, larger ones by a star first.
 SMALL_TILE = 16
-#: Least bits of a bitmap for each member of the set.
-BITS_A_MEMBER = 4
+#: Shingles that two sets of a link share among the first ones of each, if they have so many.
+SHARED = 4
+#: Least bits for each member of a set: of its bitmap in open tiles, and of the narrow one for other pairs.
+BITS_A_MEMBER, NARROW_BITS = 4, 1
 #: Rounds of stars, with other leaders each, before the pieces of a large tile are compared in full.
 STAR_ROUNDS = 3
-#: Postings of a bucket of tiles, about.
-BUCKET_POSTINGS = 2_000_000
+#: Postings of a bucket of tiles, about, and postings that a scattering task holds.
+BUCKET_POSTINGS, HELD_POSTINGS = 2_000_000, 500_000
 
 _POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("big", "u1")])
 
@@ -73,9 +75,9 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(np.array([total ^ np.uint64(len(s) * 0xE7037ED1A0B428DB & (2**64 - 1))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _bitmap(s: np.ndarray) -> list[int]:
-    """Words of a bitmap with 4 to 8 bits for each member, the same width in a size band; 64 bits at least."""
-    bits = max(64, BITS_A_MEMBER << int(len(s) - 1).bit_length())
+def _bitmap(s: np.ndarray, bits_a_member: int) -> np.ndarray:
+    """Words of a bitmap with so many bits for each member at least; the width is a power of two, 64 or more."""
+    bits = max(64, bits_a_member << int(len(s) - 1).bit_length())
     at = (s >> np.uint64(7)) & np.uint64(bits - 1)
     flags = np.zeros(bits, dtype=np.uint8)
     flags[at.astype(np.int64)] = 1
@@ -101,13 +103,13 @@ def frequent_shingles(texts: DataFrame, width: int, limit: int) -> np.ndarray:
             for _, s in _sets(batch, width):
                 parts.append(s)
                 size += len(s)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     (keys, counts), parts, size = fold(), [], 0
         keys, counts = fold()
         keep = counts >= HEAVY_IN_TASK
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], names=["h", "c"])
 
-    found = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = texts.transform(small_batches).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = found.orderBy(F.desc("c"), "h").limit(limit).toPandas()  # bounded by limit
     return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -124,13 +126,13 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
         heavy, rank = sent.value
         for batch in batches:
             n = batch.num_rows
-            sizes, nodes, bits, firsts = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, [None] * n
+            sizes, nodes, bits, narrow, firsts = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n
             for row, s in _sets(batch, width):
                 sizes[row] = len(s)
                 if not len(s):
                     continue
-                nodes[row], bits[row] = _digest(s), _bitmap(s)
-                take = len(s) - -(-len(s) * num // den) + 1
+                nodes[row], bits[row], narrow[row] = _digest(s), _bitmap(s, BITS_A_MEMBER), _bitmap(s, NARROW_BITS)
+                take = len(s) - -(-len(s) * num // den) + SHARED
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                     common = heavy[at] == s
@@ -142,11 +144,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
                     firsts[row] = s[:take].view(np.int64)
             empty = sizes == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(nodes, mask=empty), pa.array(bits, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["_id", "_h", "n", "node", "bits", "first"],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(nodes, mask=empty), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, narrow, firsts))],
+                names=["_id", "_h", "n", "node", "bits", "narrow", "first"],
             )
 
-    return materialize(base.mapInArrow(run, "_id long, _h long, n long, node long, bits array<long>, first array<long>"), "signatures")
+    return materialize(base.transform(small_batches).mapInArrow(run, "_id long, _h long, n long, node long, bits array<long>, narrow array<long>, first array<long>"), "signatures")
 
 
 def _band(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -181,7 +183,9 @@ def _ordered(p: np.ndarray) -> np.ndarray:
 
 
 def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs to test, by tile: (token, a, b); token is null where the tile is tested in full."""
+    """Pairs of tiles: (token, a, b, need). Large tiles give stars; of tiles that are paired in full, the token is
+    null and ``need`` says in how many of them a pair has to meet.
+    """
     total = signed.agg(F.sum(F.size("first"))).first()[0] or 0
     n_buckets = max(16, int(total // BUCKET_POSTINGS) + 1, 4 * signed.sparkSession.sparkContext.defaultParallelism)
     postings = signed.where("node is not null").select("node", "n", "first")
@@ -221,7 +225,7 @@ def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
             p["token"], p["node"], p["n"] = tokens.view(np.uint64), np.repeat(nodes, count), np.repeat(n, count)
             parts.append(p)
             size += len(p)
-            if size > BUCKET_POSTINGS:
+            if size > HELD_POSTINGS:
                 yield send(parts)
                 parts, size = [], 0
         if size:
@@ -233,12 +237,12 @@ def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
             for bucket, blob, star in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if star is not None:
                     s = np.frombuffer(star, dtype=[("token", "<u8"), ("a", "<i8"), ("b", "<i8")])
-                    yield _pair_batch(s["token"].view(np.int64) if len(s) else [], s["a"], s["b"], None)
+                    yield _pair_batch(s["token"].view(np.int64), s["a"], s["b"], np.zeros(len(s), np.int64))
                 if blob is not None:
                     held.setdefault(bucket, []).append(blob)
         for bucket in list(held):
             p = _ordered(np.frombuffer(b"".join(held.pop(bucket)), dtype=_POSTING))
-            token, a, b, full = [], [], [], []
+            token, a, b, need = [], [], [], []
             for run in _runs(p):
                 if len(run) <= SMALL_TILE and not run["big"].any():
                     i, j = np.triu_indices(len(run), 1)
@@ -247,24 +251,24 @@ def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
                     a += run["node"][i[near]].tolist()
                     b += run["node"][j[near]].tolist()
                     token += [0] * int(near.sum())
-                    full += [True] * int(near.sum())
+                    need += np.minimum(-(-np.maximum(n[i], n[j])[near] * num // den), SHARED).tolist()
                 else:
                     pairs = _star(run, num, den)
                     a += [x for x, _ in pairs]
                     b += [y for _, y in pairs]
                     token += [int(run["token"].view(np.int64)[0])] * len(pairs)
-                    full += [False] * len(pairs)
+                    need += [0] * len(pairs)
             for k in range(0, len(a), 100_000):
-                yield _pair_batch(token[k : k + 100_000], a[k : k + 100_000], b[k : k + 100_000], full[k : k + 100_000])
+                yield _pair_batch(token[k : k + 100_000], a[k : k + 100_000], b[k : k + 100_000], need[k : k + 100_000])
 
-    sent = postings.mapInArrow(scatter, "bucket int, blob binary, star binary")
-    return sent.repartition(n_buckets, "bucket").mapInArrow(gather, "token long, a long, b long")
+    sent = postings.transform(small_batches).mapInArrow(scatter, "bucket int, blob binary, star binary")
+    return sent.repartition(n_buckets, "bucket").transform(small_batches).mapInArrow(gather, "token long, a long, b long, need long")
 
 
-def _pair_batch(token, a, b, full) -> pa.RecordBatch:
-    mask = np.array(full, dtype=bool) if full is not None else np.zeros(len(a), dtype=bool)
-    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(token, dtype=np.int64), mask=mask), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["token", "a", "b"])
+def _pair_batch(token, a, b, need) -> pa.RecordBatch:
+    a, b, need = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(need, dtype=np.int64)
+    columns = [pa.array(np.array(token, dtype=np.int64), mask=need > 0), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "a", "b", "need"])
 
 
 def _missing(x: Column, y: Column) -> Column:
@@ -302,7 +306,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, broa
                     nodes, sets = [], []
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    found = docs.select(F.col(text_col).alias("_text")).mapInArrow(arrays, "node long, set binary")
+    found = docs.select(F.col(text_col).alias("_text")).transform(small_batches).mapInArrow(arrays, "node long, set binary")
     found = found.join(F.broadcast(nodes) if nodes.count() <= broadcast_keys else nodes, "node", "left_semi")
     return materialize(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
@@ -321,7 +325,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.select("a", "b", "_x", "_y").mapInArrow(exact, "a long, b long"), "links")
+    return materialize(both.select("a", "b", "_x", "_y").transform(small_batches).mapInArrow(exact, "a long, b long"), "links")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 2_000_000) -> DataFrame:
@@ -333,13 +337,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     signed = sign(docs, id_col, text_col, width, num, den)
     candidates = materialize(tile_candidates(signed, num, den), "candidates")
-    marks = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
-    right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
-    possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
-    tested = materialize(candidates.select("a", "b").distinct().join(left, "a").join(right, "b").where(possible).select("a", "b"), "pairs")
+    def may(pairs: DataFrame, bitmap: str) -> DataFrame:
+        """The pairs that sizes and bitmaps leave room for."""
+        marks = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first(bitmap).alias("bits"))
+        left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
+        right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
+        return pairs.join(left, "a").join(right, "b").where(possible).select("a", "b")
 
+    possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
     stars = candidates.where("token is not null")
+    met = candidates.where("token is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need")).where("_met >= _need")
+    tested = materialize(may(met.select("a", "b").union(stars.select("a", "b")).distinct(), "narrow"), "pairs")
     needed = tested.unionByName(stars.select("a", "b").distinct()).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = node_sets(docs, needed, text_col, width, broadcast_keys)
     groups = connected_components(verify(tested, sets, num, den))
@@ -351,30 +359,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_tiles = materialize(grouped(grouped(stars.select("token", "a", "b"), "a", "_ga"), "b", "_gb").where("_ga != _gb").select("token").distinct(), "open_tiles")
     if open_tiles.limit(1).count():
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)
-        posted = signed.where("node is not null").select("node", "n", "bits", F.explode("first").alias("token")).join(open_tiles, "token")
-        tiles = materialize(posted.dropDuplicates(["token", "node"]).withColumn("band", band), "tiles")
-
-        def still_open() -> DataFrame:
-            named = grouped(tiles.drop("group"), "node", "group")
-            split = named.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("token")
-            return materialize(named.join(split, "token"), "tiles")
-
-        def other(df: DataFrame) -> DataFrame:
-            """Pairs of different groups that may link and haven't been tested."""
-            pairs = df.where((F.col("_g") != F.col("_k")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            return materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-
+        posted = signed.where("node is not null").select("node", band.alias("band"), F.explode("first").alias("token")).join(open_tiles, "token")
+        tiles = materialize(posted.groupBy("token", "node").agg(F.first("band").alias("band")), "tiles")
         for step in range(STAR_ROUNDS + 1):
-            tiles = still_open()
+            named = grouped(tiles.select("token", "node", "band"), "node", "group")
+            split = named.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("token")
+            tiles = materialize(named.join(split, "token"), "tiles")
             if not tiles.limit(1).count():
                 break
-            y = tiles.select("token", "band", F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"), F.col("group").alias("_k"))
             if step < STAR_ROUNDS:
-                lead = tiles.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "bits", "group")).alias("l"))
-                x = lead.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.node").alias("a"), F.col("l.n").alias("_n"), F.col("l.bits").alias("_p"), F.col("l.group").alias("_g"))
-            else:  # a pair meets once: in its band, or the lower band's set in the band above
-                x = tiles.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"), F.col("group").alias("_g"))
-            more = other(x.join(y, ["token", "band"]))
+                lead = tiles.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "group")).alias("l"))
+                x = lead.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.node").alias("a"), F.col("l.group").alias("_g"))
+                y = tiles.select("token", "band", F.col("node").alias("b"), F.col("group").alias("_k"))
+                pairs = x.join(y, ["token", "band"]).where("_g != _k")
+            else:  # a pair meets once: in its band, or the lower band's set in the band above; only those with room are rows
+                marks = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+                full = tiles.join(marks, "node")
+                x = full.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"), F.col("group").alias("_g"))
+                y = full.select("token", "band", F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"), F.col("group").alias("_k"))
+                pairs = x.join(y, ["token", "band"]).where((F.col("_g") != F.col("_k")) & possible)
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            more = materialize(pairs if step == STAR_ROUNDS else may(pairs, "bits"), "pairs")
             if more.limit(1).count():
                 tested = tested.unionByName(more)
                 added = verify(more, sets, num, den)

@@ -45,7 +45,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _tables: dict[str, np.ndarray] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("up", ())) < n:
         size = max(n, 1 << 16)
         _tables["up"], _tables["down"] = _powers(_MULT, size), _powers(_INV, size)
@@ -117,7 +117,7 @@ def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     than a block's memory; a span over a block's edge adds up its parts.
     """
     out = np.zeros(len(starts), dtype=np.uint64)
-    up, down = _power_table(min(len(low), _BLOCK) + 1)
+    up, down = power_table(min(len(low), _BLOCK) + 1)
     for b in range(0, max(len(low), 1), _BLOCK):
         part = low[b : b + _BLOCK]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)

@@ -12,9 +12,9 @@ the recursion together.
 
 Counts are exact and distributed. Each scan task encodes its documents as word
 numbers of a block and writes the block with its word list once. Word lists are
-summed by word, joined back by word, and gathered by block, so what moves is one
-row for each word of a block, never the tokens, and no table of words is ever
-collected or broadcast. A word that every text holds has one row a block.
+summed by word in place, weighed, and brought back to their blocks, so what moves
+is one row for each word of a block, never the tokens, and no table of words is
+ever collected or broadcast. A word that every text holds has one row a block.
 
 Defined results: null and empty texts are the end alone; rows with null ids count
 as the empty text in the fold; repeated rows train and are scored each; without
@@ -30,10 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.llm._shared import id_crc, materialize
-from clickloom.llm._text import LOWER, buffers, hash_spans
+from clickloom.llm._shared import id_crc, materialize, small_batches
+from clickloom.llm._text import LOWER, buffers, mix, power_table
 
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 16 << 20
@@ -52,30 +52,43 @@ class Lattice:
         self.log_p = np.asarray(log_p, dtype=np.float64)
         lengths = np.array([len(p) for p in pieces])
         self.longest = int(lengths.max())
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in np.unique(lengths):
             which = np.flatnonzero(lengths == n)
-            flat = np.frombuffer(b"".join(pieces[k] for k in which), dtype=np.uint8)
-            # hashed by the same kernel as the words' substrings below
-            keys = hash_spans(flat, np.arange(len(which)) * n, (np.arange(len(which)) + 1) * n)
+            block = np.frombuffer(b"".join(pieces[k] for k in which), dtype=np.uint8).reshape(len(which), int(n))
+            keys = self._prefix_sums(block)[:, -1]
             order = np.argsort(keys)
-            self.by_length[int(n)] = keys[order], which[order]
+            maybe = np.zeros(1 << 16, dtype=bool)
+            maybe[(keys >> np.uint64(48)).astype(np.int64)] = True
+            self.by_length[int(n)] = keys[order], which[order], maybe
+
+    @staticmethod
+    def _prefix_sums(words: np.ndarray) -> np.ndarray:
+        """Polynomial sums of each row's prefixes; a difference, shifted to the front, is a substring's key."""
+        up, _ = power_table(words.shape[1] + 1)
+        out = np.zeros((words.shape[0], words.shape[1] + 1), dtype=np.uint64)
+        np.cumsum(mix(words.astype(np.uint64) + np.uint64(1)) * up[: words.shape[1]], axis=1, out=out[:, 1:])
+        return out
 
     def edges(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, rows, pieces) of all pieces in words of one length, a row of bytes each."""
-        rows, n = words.shape
-        flat, base = np.ascontiguousarray(words).reshape(-1), np.arange(rows) * n
+        n = words.shape[1]
+        sums, (_, down) = np.ascontiguousarray(self._prefix_sums(words).T), power_table(n + 1)
         out = []
         for end in range(1, n + 1):
             for start in range(max(0, end - self.longest), end):
                 known = self.by_length.get(end - start)
                 if known is None:
                     continue
-                keys = hash_spans(flat, base + start, base + end)
+                keys = (sums[end] - sums[start]) * down[start]
+                rows = np.flatnonzero(known[2][(keys >> np.uint64(48)).astype(np.int64)])
+                if not len(rows):
+                    continue
+                keys = keys[rows]
                 at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
-                hit = np.flatnonzero(known[0][at] == keys)
-                if len(hit):
-                    out.append((start, end, hit, known[1][at[hit]]))
+                hit = known[0][at] == keys
+                if hit.any():
+                    out.append((start, end, rows[hit], known[1][at[hit]]))
         return out
 
     def forward(self, n_rows: int, n: int, edges) -> np.ndarray:
@@ -159,9 +172,9 @@ def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 @dataclass(frozen=True)
 class Counts:
-    """The word table (written) and its totals."""
+    """The table of words by block (written) and its totals."""
 
-    words: DataFrame
+    places: DataFrame
     tokens: int
     distinct: int
     ends: int
@@ -216,21 +229,27 @@ def encode_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield close()
 
-    return materialize(base.mapInArrow(run, "block long, ids array<long>, outs array<boolean>, lengths array<long>, numbers binary, words array<binary>, train array<long>"), "blocks")
+    return materialize(base.transform(small_batches).mapInArrow(run, "block long, ids array<long>, outs array<boolean>, lengths array<long>, numbers binary, words array<binary>, train array<long>"), "blocks")
+
 
+def place_words(blocks: DataFrame) -> Counts:
+    """Write a row for each word of each block: its place there and its training count in all blocks.
 
-def count_words(blocks: DataFrame) -> Counts:
-    """Training counts of every word, held-out words with 0; each text's end counts as a token."""
-    each = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("c"))
-    words = materialize(each.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    Rows of one word lie together; its ``first`` row stands for it. Held-out words
+    have count 0, and each training text's end counts as a token.
+    """
+    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(F.col("w.words").alias("word"), "block", "at", F.col("w.train").alias("t"))
+    order = Window.partitionBy("word").orderBy("block")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    places = materialize(each.select("word", "block", "at", F.sum("t").over(whole).alias("c"), (F.row_number().over(order) == 1).alias("first")), "places")
     ends = blocks.agg(F.sum(F.size(F.filter("outs", lambda o: ~o)))).first()[0] or 0
-    total = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    return Counts(words, int(total["n"] or 0) + int(ends), int(total["v"]) + (1 if ends else 0), int(ends))
+    total = places.where("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    return Counts(places, int(total["n"] or 0) + int(ends), int(total["v"]) + (1 if ends else 0), int(ends))
 
 
-def fit_pieces(words: DataFrame, ends: int, pieces: list[bytes], prior: np.ndarray) -> tuple[np.ndarray, float]:
+def fit_pieces(places: DataFrame, ends: int, pieces: list[bytes], prior: np.ndarray) -> tuple[np.ndarray, float]:
     """Log probabilities of the pieces and of a text's end after one expectation step over the training words."""
-    sent = words.sparkSession.sparkContext.broadcast(Lattice(pieces, prior))
+    sent = places.sparkSession.sparkContext.broadcast(Lattice(pieces, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -241,7 +260,7 @@ def fit_pieces(words: DataFrame, ends: int, pieces: list[bytes], prior: np.ndarr
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "e"])
 
-    found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()  # a row a piece at most
+    found = places.where("first and c > 0").select("word", "c").transform(small_batches).mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()  # a row a piece at most
     total = np.exp(prior) * SMOOTHING * len(pieces)
     np.add.at(total, found["piece"].to_numpy(int), found["e"].to_numpy(float))
     end = ends + SMOOTHING
@@ -252,40 +271,50 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
     blocks = encode_blocks(docs, id_col, text_col)
-    counts = count_words(blocks)
+    counts = place_words(blocks)
     pieces, prior = read_vocabulary(vocabulary_path)
-    log_p, log_end = fit_pieces(counts.words, counts.ends, pieces, prior)
+    log_p, log_end = fit_pieces(counts.places, counts.ends, pieces, prior)
     sent = spark.sparkContext.broadcast(Lattice(pieces, log_p))
     n, v, end_count, log_end = counts.tokens, counts.distinct, counts.ends, log_end / np.log(10)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marginal = sent.value.log_probability([b" " + w for w in b.column(0).to_pylist()]) / np.log(10)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marginal)], names=["word", "c", "lattice"])
-
-    weighed = counts.words.select("word", "c").mapInArrow(weigh, "word binary, c long, lattice double")
-    places = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    values = places.join(weighed, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "c", "lattice"))).alias("v"))
-    values = values.select("block", F.col("v.c").alias("c"), F.col("v.lattice").alias("lattice"))
-    both = blocks.select("block", "ids", "outs", "lengths", "numbers").join(values, "block", "left")
+            words = b.column(0).dictionary_encode()  # rows of one word lie together
+            marginal = sent.value.log_probability([b" " + w for w in words.dictionary.to_pylist()]) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(marginal[words.indices.to_numpy(zero_copy_only=False)])], names=["block", "at", "c", "lattice"])
+
+    values = counts.places.select("word", "block", F.col("at").cast("long").alias("at"), "c").transform(small_batches).mapInArrow(weigh, "block long, at long, c long, lattice double")
+    # a block's values, in order, then the block itself: a task reads them as a stream
+    payload = ("ids", "outs", "lengths", "numbers")
+    last = blocks.select("block", F.lit(1 << 62).alias("at"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lattice"), *payload)
+    for name in payload:
+        values = values.withColumn(name, F.lit(None).cast(blocks.schema[name].dataType))
+    stream = values.unionByName(last).repartition("block").sortWithinPartitions("block", "at")
     base_of = np.log10(n + v + 1.0)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, weights = [], []
         for b in batches:
-            for k in range(b.num_rows):
-                ids, outs, lengths, numbers, c, lattice = (b.column(j)[k] for j in range(1, 7))
+            c, lattice = (b.column(j).to_numpy(zero_copy_only=False) for j in (2, 3))
+            at = 0
+            for k in np.flatnonzero(b.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                counts.append(c[at:k])
+                weights.append(lattice[at:k])
+                c_of, weight_of = np.concatenate(counts).astype(np.int64), np.concatenate(weights).astype(float)
+                counts, weights, at = [], [], k + 1
+                ids, outs, lengths, numbers = (b.column(j)[k] for j in range(4, 8))
                 lengths = np.asarray(lengths.values)
-                at = np.frombuffer(numbers.as_buffer(), dtype="<i4")
-                c = np.asarray(c.values) if c.is_valid else np.zeros(0, np.int64)
-                lattice = np.asarray(lattice.values) if lattice.is_valid else np.zeros(0)
+                which = np.frombuffer(numbers.as_buffer(), dtype="<i4")
                 doc = np.repeat(np.arange(len(lengths)), lengths)
-                known = np.bincount(doc, weights=(c > 0)[at], minlength=len(lengths)).astype(np.int64)
-                base = np.bincount(doc, weights=(np.log10(c + 1.0))[at], minlength=len(lengths))
-                marginal = np.bincount(doc, weights=lattice[at], minlength=len(lengths))
+                known = np.bincount(doc, weights=(c_of > 0)[which], minlength=len(lengths)).astype(np.int64)
+                base = np.bincount(doc, weights=np.log10(c_of + 1.0)[which], minlength=len(lengths))
+                marginal = np.bincount(doc, weights=weight_of[which], minlength=len(lengths))
                 tokens = lengths + 1
                 yield pa.RecordBatch.from_arrays(
                     [ids.values, outs.values, pa.array(tokens), pa.array(known + int(end_count > 0)), pa.array(np.full(len(lengths), n)), pa.array(base + np.log10(end_count + 1.0) - tokens * base_of), pa.array(marginal + log_end)],
                     names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+            counts.append(c[at:])
+            weights.append(lattice[at:])
 
-    return both.select("block", "ids", "outs", "lengths", "numbers", "c", "lattice").mapInArrow(add_up, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return stream.transform(small_batches).mapInArrow(add_up, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clickloom.llm._shared import small_batches
+
 #: Bytes of query vectors (as doubles) in a block.
 BLOCK_BYTES = 16 << 20
 #: Rows of a tile on either side.
@@ -127,7 +129,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             out = [(int(i), -key, score) for side, heap in zip(sides, heaps, strict=True) for i, h in zip(side.ids, heap, strict=True) for score, key in h]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "_id", "score"])
 
-        part = rows.mapInArrow(run, "query_id long, _id long, score double")
+        part = rows.transform(small_batches).mapInArrow(run, "query_id long, _id long, score double")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

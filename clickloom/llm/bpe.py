@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from clickloom.llm._shared import small_batches
+
 #: Pieces up to so many bytes are merged directly; they are the leaves of the tree.
 LEAF = 24
 #: Tokens that a decoding leaf holds.
@@ -173,7 +175,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 columns = [*part.columns[:at], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(run, schema).toDF(id_col, *keep, "n_tokens", "ids")
+    return kept.transform(small_batches).mapInArrow(run, schema).toDF(id_col, *keep, "n_tokens", "ids")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -190,4 +192,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col:
                 out = pa.array([codec.decode(x or b"") for x in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.transform(small_batches).mapInArrow(run, schema)

@@ -27,6 +27,8 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from clickloom.llm._shared import small_batches
+
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
@@ -136,7 +138,7 @@ def format_conversations(rows: DataFrame, template: Template = default_template,
             yield pack(out)
 
     kinds = "array<struct<start:long,end:long>>"
-    return dealt.mapInArrow(run, f"`{conv_col}` long, formatted string, spans {kinds}, loss_spans {kinds}, rewrites_history boolean")
+    return dealt.transform(small_batches).mapInArrow(run, f"`{conv_col}` long, formatted string, spans {kinds}, loss_spans {kinds}, rewrites_history boolean")
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -154,7 +156,7 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
                     names=[conv_col, "roles", "texts", "loss_text", "formatted_chars"],
                 )
 
-    return formatted.select(conv_col, "formatted", "loss_spans").mapInArrow(run, f"`{conv_col}` long, roles array<string>, texts array<string>, loss_text string, formatted_chars long")
+    return formatted.select(conv_col, "formatted", "loss_spans").transform(small_batches).mapInArrow(run, f"`{conv_col}` long, roles array<string>, texts array<string>, loss_text string, formatted_chars long")
 
 
 #: The conversation that the query adds: control strings as ordinary text.

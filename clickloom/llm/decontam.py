@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from clickloom.llm._shared import small_batches
 from clickloom.llm._text import ALNUM_WORDS, LOWER, buffers
 
 #: Words of a window.
@@ -189,7 +190,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
                 columns = [pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(found, arrow.field(len(names) + 1).type)], schema=arrow)
 
-        return left.mapInArrow(run, schema)
+        return left.transform(small_batches).mapInArrow(run, schema)
 
     if len(slices) == 1:
         return one(slices[0], False).withColumnRenamed("_id", id_col)
@@ -245,5 +246,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, **nam
                     clean += [not f for f in found]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(run, kept.schema)
+        kept = kept.transform(small_batches).mapInArrow(run, kept.schema)
     return kept

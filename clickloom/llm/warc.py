@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from clickloom.llm._shared import materialize, shared_path
+from clickloom.llm._shared import materialize, shared_path, small_batches
 
 #: Bytes of a record's block from which it is segmented, and of a chunk of its body.
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 8 << 10
@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     out.append(page_records(page_id, url, data, refers_to, f"{task}.{serial}", segment_bytes, chunk_bytes)[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = rows.transform(small_batches).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", PAGES_A_FILE).text(path)
     return path
 
@@ -195,7 +195,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    parsed = files.mapInArrow(parse, _READ)
+    parsed = files.transform(small_batches).mapInArrow(parse, _READ)
     grouped = parsed.groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("segment", "total", "block"))).alias("segments"),
         *[F.first(F.when(F.col("segment") == 1, F.col(c)), ignorenulls=True).alias(c) for c in ("kind", "page_id", "url", "refers_to", "digest")],
@@ -221,7 +221,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 sizes = [None if p is None else len(p) for p in payloads]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.string()), pa.array([len(n) for n in numbers], pa.int32())], names=schema.names)
 
-    return assembled.mapInArrow(assemble, schema)
+    return assembled.transform(small_batches).mapInArrow(assemble, schema)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:

@@ -164,9 +164,9 @@ def test_warc_round_trip(spark):
     for i, _, h in rows:
         if i is not None:
             top[h or ""] = max(top.get(h or "", i), i)
-    want = sorted((repr(i), top.get(h or "") if i != top.get(h or "") else None) for i, _, h in rows)
+    want = sorted(((repr(i), top.get(h or "") if i != top.get(h or "") else None) for i, _, h in rows), key=repr)
     solved = warc.resolve_revisits(warc.read_archives(spark, path)).collect()
-    assert sorted((repr(r["page_id"]), r["refers_to"]) for r in solved) == want
+    assert sorted(((repr(r["page_id"]), r["refers_to"]) for r in solved), key=repr) == want
     lengths = {warc.base32_sha1((h or "").encode()): len((h or "").encode()) for _, _, h in rows}
     assert all(r["payload_bytes"] == lengths[r["payload_digest"]] for r in solved)
     texts = {bytes(r["payload"]) for r in records if r["record_type"] == "response"}

@@ -1 +1 @@
-
+"""Relational operators: ``(DataFrame, parameters) -> DataFrame``, lazy, no actions inside."""

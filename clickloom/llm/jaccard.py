@@ -15,9 +15,10 @@ Groups never give all their pairs. In a tile of many sets only a star is tested:
 each set with the leader of its band, and leaders of adjacent bands. If the links
 found so far join the whole tile, no more is needed for it. Otherwise a few more
 stars with other leaders test what is still apart; whatever remains in pieces is
-compared in full, piece against piece, by bitmaps inside a join, and the pairs
-that pass are verified. So components are exact, while a group of near copies
-costs a number of tests in proportion to its size. Equal sets are one
+compared in full, piece against piece, block by block of bitmaps, and only the
+pairs whose bound allows a link become rows and are verified. So components are
+exact, while most of a group of near copies costs a number of tests in proportion
+to its size. Equal sets are one
 node throughout; a map task passes one posting a shingle on, however many sets
 of its share it.
 
@@ -53,6 +54,8 @@ SMALL_TILE = 16
 SHARED = 4
 #: Least bits for each member of a set: of its bitmap in open tiles, and of the narrow one for other pairs.
 BITS_A_MEMBER, NARROW_BITS = 4, 1
+#: Bytes of bitmaps in a block of a cell whose pieces are compared.
+BLOCK_BYTES = 4 << 20
 #: Rounds of stars, with other leaders each, before the pieces of a large tile are compared in full.
 STAR_ROUNDS = 3
 #: Postings of a bucket of tiles, about, and postings that a scattering task holds.
@@ -328,6 +331,60 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return materialize(both.select("a", "b", "_x", "_y").transform(small_batches).mapInArrow(exact, "a long, b long"), "links")
 
 
+def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that two tiles of bitmaps have in common, pair by pair."""
+    out = np.empty((len(x), len(y)), dtype=np.int64)
+    step = max(1, (1 << 21) // max(1, y.size))
+    for k in range(0, len(x), step):
+        out[k : k + step] = np.bitwise_count(x[k : k + step, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def compare_pieces(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a cell that lie in different groups and that sizes and bitmaps leave room for.
+
+    A cell is cut into blocks of ``BLOCK_BYTES`` of bitmaps, and each pair of blocks is
+    a task's work, so a task holds two blocks however large the cell is.
+    """
+    blocks = cells.groupBy("cell").agg(F.ceil(F.sum(F.size("bits") * 8 + 64) / BLOCK_BYTES).cast("int").alias("_blocks"))
+    rows = cells.join(blocks, "cell").withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), "_own", "node", "group", "n", "bits")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
+        own, node, group, n = (rows[c].to_numpy().astype(np.int64) for c in ("_own", "node", "group", "n"))
+        bits = rows["bits"].combine_chunks()
+        width, flat = bits.value_lengths().to_numpy().astype(np.int64), bits.flatten().to_numpy().view(np.uint64)
+        at = np.concatenate(([0], np.cumsum(width)))
+        found = [np.zeros((0, 2), np.int64)]
+        for w in np.unique(width):
+            same, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            x = np.stack([flat[at[i] : at[i] + w] for i in same])
+            folded = [flat[at[i] : at[i] + w] | flat[at[i] + w : at[i + 1]] for i in wide]
+            for other, y in ((same, x), (wide, np.stack(folded) if folded else x[:0])):
+                if not len(other):
+                    continue
+                px, py = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
+                step = max(1, (1 << 20) // len(other))
+                for k in range(0, len(same), step):
+                    i = same[k : k + step]
+                    shared = overlaps(x[k : k + step], y)
+                    bound = np.minimum(n[i][:, None] - (px[k : k + step][:, None] - shared), n[other][None, :] - (py[None, :] - shared))
+                    room = bound * den >= (n[i][:, None] + n[other][None, :] - bound) * num
+                    room &= group[i][:, None] != group[other][None, :]
+                    if p != q:
+                        room &= own[i][:, None] != own[other][None, :]
+                    if other is same:
+                        room &= i[:, None] < other[None, :]
+                    r, c = np.nonzero(room)
+                    found.append(np.stack([node[i[r]], node[other[c]]], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return rows.groupBy("cell", "p", "q").applyInArrow(compare, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 2_000_000) -> DataFrame:
     """Exact groups of documents that links of similarity num / den or more connect.
 
@@ -337,9 +394,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     signed = sign(docs, id_col, text_col, width, num, den)
     candidates = materialize(tile_candidates(signed, num, den), "candidates")
-    def may(pairs: DataFrame, bitmap: str) -> DataFrame:
+    def marked(bitmap: str) -> DataFrame:
+        return signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first(bitmap).alias("bits"))
+
+    def may(pairs: DataFrame, marks: DataFrame) -> DataFrame:
         """The pairs that sizes and bitmaps leave room for."""
-        marks = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first(bitmap).alias("bits"))
         left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
         right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
         return pairs.join(left, "a").join(right, "b").where(possible).select("a", "b")
@@ -347,7 +406,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
     stars = candidates.where("token is not null")
     met = candidates.where("token is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need")).where("_met >= _need")
-    tested = materialize(may(met.select("a", "b").union(stars.select("a", "b")).distinct(), "narrow"), "pairs")
+    tested = materialize(may(met.select("a", "b").union(stars.select("a", "b")).distinct(), marked("narrow")), "pairs")
     needed = tested.unionByName(stars.select("a", "b").distinct()).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = node_sets(docs, needed, text_col, width, broadcast_keys)
     groups = connected_components(verify(tested, sets, num, den))
@@ -360,26 +419,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if open_tiles.limit(1).count():
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)
         posted = signed.where("node is not null").select("node", band.alias("band"), F.explode("first").alias("token")).join(open_tiles, "token")
-        tiles = materialize(posted.groupBy("token", "node").agg(F.first("band").alias("band")), "tiles")
+        # tiles of one passage or one group of near copies have the same members by and large: a cell is the tiles of one leader
+        cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
+        cells = materialize(posted.join(cell, "token").groupBy("cell", "node").agg(F.first("band").alias("band")), "cells")
+        marks = materialize(marked("bits").join(cells.select("node").distinct(), "node", "left_semi"), "marks")
         for step in range(STAR_ROUNDS + 1):
-            named = grouped(tiles.select("token", "node", "band"), "node", "group")
-            split = named.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("token")
-            tiles = materialize(named.join(split, "token"), "tiles")
-            if not tiles.limit(1).count():
+            named = grouped(cells.select("cell", "node", "band"), "node", "group")
+            split = named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell")
+            cells = materialize(named.join(split, "cell"), "cells")
+            if not cells.limit(1).count():
                 break
             if step < STAR_ROUNDS:
-                lead = tiles.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "group")).alias("l"))
-                x = lead.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.node").alias("a"), F.col("l.group").alias("_g"))
-                y = tiles.select("token", "band", F.col("node").alias("b"), F.col("group").alias("_k"))
-                pairs = x.join(y, ["token", "band"]).where("_g != _k")
-            else:  # a pair meets once: in its band, or the lower band's set in the band above; only those with room are rows
-                marks = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-                full = tiles.join(marks, "node")
-                x = full.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"), F.col("group").alias("_g"))
-                y = full.select("token", "band", F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"), F.col("group").alias("_k"))
-                pairs = x.join(y, ["token", "band"]).where((F.col("_g") != F.col("_k")) & possible)
+                lead = cells.groupBy("cell", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "group")).alias("l"))
+                x = lead.select("cell", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.node").alias("a"), F.col("l.group").alias("_g"))
+                y = cells.select("cell", "band", F.col("node").alias("b"), F.col("group").alias("_k"))
+                pairs = x.join(y, ["cell", "band"]).where("_g != _k")
+            else:
+                pairs = compare_pieces(cells.join(marks, "node"), num, den)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            more = materialize(pairs if step == STAR_ROUNDS else may(pairs, "bits"), "pairs")
+            more = materialize(pairs if step == STAR_ROUNDS else may(pairs, marks), "pairs")
             if more.limit(1).count():
                 tested = tested.unionByName(more)
                 added = verify(more, sets, num, den)

@@ -104,11 +104,11 @@ def threshold_confusion(spark, d):
 
 
 def early_stop_trace(spark, d):
-    series = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("epoch")).agg(F.bround(F.avg("value"), 4).alias("metric"))
+    series = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("epoch")).agg(F.max("value").alias("metric"))
     return metrics.early_stopping(series, "epoch", "metric", ["event_type"]).withColumn("epoch", F.col("epoch").cast("string"))
 
 
-EARLY = """WITH RECURSIVE s AS (SELECT event_type, ts::DATE AS epoch, round_even(avg(value), 4) AS metric FROM events GROUP BY ALL),
+EARLY = """WITH RECURSIVE s AS (SELECT event_type, ts::DATE AS epoch, max(value) AS metric FROM events GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY epoch) AS k FROM s),
 f AS (SELECT event_type, epoch, metric, k, NULL::DOUBLE AS best_before, true AS improved, 0 AS idle, metric AS best FROM o WHERE k = 1
   UNION ALL SELECT o.event_type, o.epoch, o.metric, o.k, f.best, o.metric > f.best + 1e-4::DOUBLE, CASE WHEN o.metric > f.best + 1e-4::DOUBLE THEN 0 ELSE f.idle + 1 END, CASE WHEN o.metric > f.best + 1e-4::DOUBLE THEN o.metric ELSE f.best END FROM f JOIN o ON o.event_type = f.event_type AND o.k = f.k + 1)

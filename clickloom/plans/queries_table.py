@@ -100,12 +100,15 @@ def encode_unknown(spark, d):
 ENCODE = f"""WITH {INTERACTIONS}, v AS (SELECT DISTINCT p_partkey::VARCHAR AS value FROM part WHERE p_partkey <= 50 UNION SELECT 'unknown_asin'), dict AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS idx FROM v)
 SELECT src_idx, item, coalesce(idx, (SELECT idx FROM dict WHERE value = 'unknown_asin')) AS asin FROM interactions LEFT JOIN dict ON item::VARCHAR = value"""
 
-_CELL = F.concat_ws("; ", *[((F.col("p_partkey") * k) % 150).cast("string") for k in (1, 3, 7)], F.when(F.col("p_size") % 2 == 0, F.concat((F.col("p_size") % 50).cast("string"), F.lit(" and "), (F.col("p_size") % 9).cast("string"), F.lit(" and x"))))
+
+def _cell():
+    return F.concat_ws("; ", *[((F.col("p_partkey") * k) % 150).cast("string") for k in (1, 3, 7)], F.when(F.col("p_size") % 2 == 0, F.concat((F.col("p_size") % 50).cast("string"), F.lit(" and "), (F.col("p_size") % 9).cast("string"), F.lit(" and x"))))
+
 CELL_SQL = "concat_ws('; ', ((p_partkey * 1) % 150)::VARCHAR, ((p_partkey * 3) % 150)::VARCHAR, ((p_partkey * 7) % 150)::VARCHAR, CASE WHEN p_size % 2 = 0 THEN (p_size % 50)::VARCHAR || ' and ' || (p_size % 9)::VARCHAR || ' and x' END)"
 
 
 def _related(spark, d, limit):
-    part = table(spark, d, "part").select("p_partkey", text.split_related(_CELL).alias("related"))
+    part = table(spark, d, "part").select("p_partkey", text.split_related(_cell()).alias("related"))
     known = dictionary.build_dictionary([table(spark, d, "part").where(F.col("p_partkey") <= 100).select("p_partkey")], "unknown_asin")
     return dictionary.encode_list(part, known, "p_partkey", F.col("related"), "unknown_asin", "also_buy", limit).select("p_partkey", "also_buy")
 
@@ -126,14 +129,17 @@ each AS (SELECT p_partkey, unnest(l) AS item, unnest(range(len(l))) AS pos FROM
 SELECT p_partkey, string_agg('product_' || coalesce(idx, (SELECT idx FROM dict WHERE value = 'unknown_asin')), ' and ' ORDER BY pos) AS also_buy FROM each LEFT JOIN dict ON item = value GROUP BY p_partkey"""
 
 
-_PRICE = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("$"), F.format_string("%.2f", "p_retailprice"), F.lit(" - $"), F.format_string("%.2f", F.col("p_retailprice") + 10))).when(F.col("p_partkey") % 5 == 1, "unknown").when(F.col("p_partkey") % 5 == 2, F.concat(F.lit("$1,"), F.format_string("%.2f", (F.col("p_partkey") % 900 + 100).cast("double")))).when(F.col("p_partkey") % 5 == 3, "ask us").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", "p_retailprice")))
+
+def _price():
+    return F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("$"), F.format_string("%.2f", "p_retailprice"), F.lit(" - $"), F.format_string("%.2f", F.col("p_retailprice") + 10))).when(F.col("p_partkey") % 5 == 1, "unknown").when(F.col("p_partkey") % 5 == 2, F.concat(F.lit("$1,"), F.format_string("%.2f", (F.col("p_partkey") % 900 + 100).cast("double")))).when(F.col("p_partkey") % 5 == 3, "ask us").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", "p_retailprice")))
+
 PRICE_SQL = "CASE WHEN p_partkey % 5 = 0 THEN '$' || printf('%.2f', p_retailprice) || ' - $' || printf('%.2f', p_retailprice + 10) WHEN p_partkey % 5 = 1 THEN 'unknown' WHEN p_partkey % 5 = 2 THEN '$1,' || printf('%.2f', (p_partkey % 900 + 100)::DOUBLE) WHEN p_partkey % 5 = 3 THEN 'ask us' ELSE '$' || printf('%.2f', p_retailprice) END"
 PARSED_SQL = f"""priced AS (SELECT p_partkey, p_brand, {PRICE_SQL} AS t FROM part), nums AS (SELECT p_partkey, p_brand, t, [x::DOUBLE for x in regexp_extract_all(regexp_replace(t, '(\\d),(\\d\\d\\d)', '\\1\\2', 'g'), '\\d+\\.?\\d*')] AS n FROM priced),
 parsed AS (SELECT p_partkey, p_brand, CASE WHEN t <> 'unknown' THEN round_even(CASE WHEN contains(t, '-') AND len(n) >= 2 THEN (n[1] + n[2]) / 2 ELSE n[1] END, 2) END AS price FROM nums)"""
 
 
 def _priced(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_brand", numbers.parse_price(_PRICE.cast("string")).alias("price"))
+    return table(spark, d, "part").select("p_partkey", "p_brand", numbers.parse_price(_price().cast("string")).alias("price"))
 
 
 def price_parse(spark, d):

@@ -30,15 +30,18 @@ def text_blank_clean(spark, d):
 
 TEXT_CLEAN = f"SELECT doc_id, {_or_unknown(_collapse('text'))} AS cleaned, {_or_unknown(_collapse('''replace(replace(replace(text, chr(10), ''), chr(13), ''), chr(9), '')'''))} AS cleaned_compat FROM documents"
 
-_RANK = F.concat(F.format_number("p_partkey", 0), F.lit(" in "), F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, " (See Top 100)").otherwise(""))
+
+def _rank():
+    return F.concat(F.format_number("p_partkey", 0), F.lit(" in "), F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, " (See Top 100)").otherwise(""))
+
 
 
 def rank_clean(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.clean_rank(_RANK).alias("rank"))
+    return table(spark, d, "part").select("p_partkey", text.clean_rank(_rank()).alias("rank"))
 
 
 def rank_digits(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.rank_digits(F.when(F.col("p_partkey") % 5 == 0, "unknown").otherwise(_RANK)).alias("rank"))
+    return table(spark, d, "part").select("p_partkey", text.rank_digits(F.when(F.col("p_partkey") % 5 == 0, "unknown").otherwise(_rank())).alias("rank"))
 
 
 def style_flatten(spark, d):
@@ -92,11 +95,14 @@ def _full_html(x):
 HTML_FULL = f"""WITH a AS (SELECT page_id, html, {_full_html("html")} AS t FROM pages), b AS (SELECT page_id, html, {_cap("t")} AS t FROM a)
 SELECT page_id, CASE WHEN html IS NULL OR html = 'unknown' OR trim(html) = '' THEN 'unknown' ELSE {_or_unknown("CASE WHEN contains(t, ' and ') THEN array_to_string([upper(left(trim(x), 1)) || lower(substr(trim(x), 2)) for x in string_split(t, ' and ')], ' and ') ELSE t END")} END AS cleaned FROM b"""
 
-_LIST = F.concat_ws(" and ", "p_brand", F.concat_ws("; ", F.lit("x"), "p_brand"), F.concat_ws(" & ", "p_type", F.lit("x"), F.lit(" "), "p_brand"), F.concat_ws(", ", F.lit("z"), "p_type"))
+
+def _list():
+    return F.concat_ws(" and ", "p_brand", F.concat_ws("; ", F.lit("x"), "p_brand"), F.concat_ws(" & ", "p_type", F.lit("x"), F.lit(" "), "p_brand"), F.concat_ws(", ", F.lit("z"), "p_type"))
+
 
 
 def list_standardise(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.standardise_list(F.when(F.col("p_partkey") % 9 == 0, "unknown").otherwise(_LIST)).alias("items"))
+    return table(spark, d, "part").select("p_partkey", text.standardise_list(F.when(F.col("p_partkey") % 9 == 0, "unknown").otherwise(_list())).alias("items"))
 
 
 _S = "replace(replace(replace(replace(replace(trim(c), ' and ', ', '), ' & ', ', '), ', ', ', '), '、', ', '), '; ', ', ')"
@@ -104,11 +110,14 @@ LISTS = f"""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'unkno
 l AS (SELECT p_partkey, c, list_filter([trim(x) for x in string_split({_S}, ', ')], lambda x: x <> '') AS l FROM c)
 SELECT p_partkey, CASE WHEN c = 'unknown' THEN 'unknown' ELSE {_or_unknown("array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ')")} END AS items FROM l"""
 
-_DETAILS = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Product Dimensions: "), F.col("p_size").cast("string"), F.lit(" Inches ; Item Weight: 2 Pounds"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("ASIN: B0"), F.col("p_partkey").cast("string"), F.lit(" Some Text  here"))).otherwise("unknown")
+
+def _details():
+    return F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Product Dimensions: "), F.col("p_size").cast("string"), F.lit(" Inches ; Item Weight: 2 Pounds"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("ASIN: B0"), F.col("p_partkey").cast("string"), F.lit(" Some Text  here"))).otherwise("unknown")
+
 
 
 def attr_extract(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.extract_attributes(_DETAILS).alias("details"))
+    return table(spark, d, "part").select("p_partkey", text.extract_attributes(_details()).alias("details"))
 
 
 ATTR = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Product dimensions: ' || p_size || ' inches; Item weight: 2 pounds' WHEN p_partkey % 3 = 1 THEN 'Some text here' ELSE 'unknown' END AS details FROM part"""

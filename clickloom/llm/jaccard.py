@@ -12,9 +12,9 @@ overlap from above; a pair goes on to the exact intersection of the two sorted
 arrays only if that bound allows a link.
 
 Groups never give all their pairs. In a tile of many sets only a star is tested:
-each set with the leader of its band, and leaders of adjacent bands. If the links
-found so far join the whole tile, no more is needed for it. Otherwise a few more
-stars with other leaders test what is still apart; whatever remains in pieces is
+each set with the leader of its band, and leaders of adjacent bands; tiles with the
+same members make up a cell, which gets a few more stars. If the links found so
+far join the whole cell, no more is needed for it. Whatever remains in pieces is
 compared in full, piece against piece, block by block of bitmaps, and only the
 pairs whose bound allows a link become rows and are verified. So components are
 exact, while most of a group of near copies costs a number of tests in proportion
@@ -56,8 +56,10 @@ SHARED = 4
 BITS_A_MEMBER, NARROW_BITS = 4, 1
 #: Bytes of bitmaps in a block of a cell whose pieces are compared.
 BLOCK_BYTES = 4 << 20
-#: Rounds of stars, with other leaders each, before the pieces of a large tile are compared in full.
-STAR_ROUNDS = 3
+#: Further stars of a cell, with other leaders each.
+STAR_ROUNDS = 2
+#: Pairs of one set that are verified together.
+LEADER_PAIRS = 1000
 #: Postings of a bucket of tiles, about, and postings that a scattering task holds.
 BUCKET_POSTINGS, HELD_POSTINGS = 2_000_000, 500_000
 
@@ -293,42 +295,60 @@ def may_link(x: Column, n: Column, y: Column, m: Column, num: int, den: int) ->
     return F.when(near, bound * den >= (n + m - bound) * num).otherwise(False)
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, broadcast_keys: int) -> DataFrame:
-    """Write the sorted shingle arrays of the nodes that tests can need: (node, set)."""
-    nodes = materialize(nodes, "nodes")
+def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: int, den: int, broadcast_keys: int) -> DataFrame:
+    """Write the pairs (a < b) whose sets link, by the exact intersection of their sorted arrays.
+
+    One pass over the texts gives the arrays of the nodes in question, each once a
+    task at most. They go to the pairs' first nodes: ``LEADER_PAIRS`` of a node's pairs
+    and its own array make up a piece of work, read as a stream.
+    """
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    count = pairs.count()
+    if not count:
+        return pairs
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).cast("int").alias("_s"))
+    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("salt"), F.col("b").alias("node"))
+    leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.col("a").alias("node"))
+    roles = materialize(members.unionByName(leaders), "roles")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             nodes, sets = [], []
             for _, s in _sets(batch, width):
-                if len(s):
-                    nodes.append(_digest(s))
-                    sets.append(s.tobytes())
+                node = _digest(s) if len(s) else None
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                sets.append(s.tobytes())
                 if len(nodes) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
                     nodes, sets = [], []
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    found = docs.select(F.col(text_col).alias("_text")).transform(small_batches).mapInArrow(arrays, "node long, set binary")
-    found = found.join(F.broadcast(nodes) if nodes.count() <= broadcast_keys else nodes, "node", "left_semi")
-    return materialize(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Write the pairs whose sets link, by the exact intersection of their sorted arrays."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a")
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leader, last = None, None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                inter = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                keep.append(den * inter >= num * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            links = []
+            for a, salt, node, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                s = np.frombuffer(raw.as_buffer(), "<u8")
+                if (a, salt) != key:
+                    key, leader, last = (a, salt), None, None
+                if node == a:
+                    leader = s.copy()
+                elif node != last and leader is not None:
+                    last = node
+                    merged = np.sort(np.concatenate([leader, s]), kind="stable")
+                    inter = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                    if den * inter >= num * (len(leader) + len(s) - inter):
+                        links.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return materialize(both.select("a", "b", "_x", "_y").transform(small_batches).mapInArrow(exact, "a long, b long"), "links")
+    found = docs.select(F.col(text_col).alias("_text")).transform(small_batches).mapInArrow(arrays, "node long, set binary")
+    rows = found.join(F.broadcast(roles) if 3 * count <= broadcast_keys else roles, "node").select("a", "salt", "node", "set")
+    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"), "node")
+    return materialize(dealt.transform(small_batches).mapInArrow(exact, "a long, b long"), "links")
 
 
 def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -397,51 +417,46 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def marked(bitmap: str) -> DataFrame:
         return signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first(bitmap).alias("bits"))
 
-    def may(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-        """The pairs that sizes and bitmaps leave room for."""
-        left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
-        right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
-        return pairs.join(left, "a").join(right, "b").where(possible).select("a", "b")
+    def checked(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_keys else df
 
-    possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
+    # tiles of one passage or one group of near copies have the same members by and large: a cell is the tiles of one leader
     stars = candidates.where("token is not null")
-    met = candidates.where("token is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need")).where("_met >= _need")
-    tested = materialize(may(met.select("a", "b").union(stars.select("a", "b")).distinct(), marked("narrow")), "pairs")
-    needed = tested.unionByName(stars.select("a", "b").distinct()).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = node_sets(docs, needed, text_col, width, broadcast_keys)
-    groups = connected_components(verify(tested, sets, num, den))
+    tokens = materialize(stars.select("token").distinct(), "tokens")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)
+    posted = signed.where("node is not null").select("node", band.alias("band"), F.explode("first").alias("token")).join(checked(tokens), "token")
+    cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
+    cells = materialize(posted.join(cell, "token").groupBy("cell", "node").agg(F.first("band").alias("band")), "cells")
+
+    # what is tested first: pairs of small tiles that meet often enough, and the stars of large tiles and cells
+    met = candidates.where("token is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need")).where("_met >= _need").select("a", "b")
+    first = met.union(stars.select("a", "b"))
+    for step in range(1, STAR_ROUNDS + 1):
+        lead = cells.groupBy("cell", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node"))["node"].alias("l"))
+        lead = lead.select("cell", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "l")
+        first = first.union(cells.join(lead, ["cell", "band"]).where("node != l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")))
+    marks = marked("narrow")
+    left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
+    possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
+    tested = materialize(first.distinct().join(left, "a").join(right, "b").where(possible).select("a", "b"), "tested")
+    groups = connected_components(verify(tested, docs, text_col, width, num, den, broadcast_keys))
 
     def grouped(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(groups.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
-    # large tiles that the links so far leave in pieces
-    open_tiles = materialize(grouped(grouped(stars.select("token", "a", "b"), "a", "_ga"), "b", "_gb").where("_ga != _gb").select("token").distinct(), "open_tiles")
-    if open_tiles.limit(1).count():
-        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)
-        posted = signed.where("node is not null").select("node", band.alias("band"), F.explode("first").alias("token")).join(open_tiles, "token")
-        # tiles of one passage or one group of near copies have the same members by and large: a cell is the tiles of one leader
-        cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
-        cells = materialize(posted.join(cell, "token").groupBy("cell", "node").agg(F.first("band").alias("band")), "cells")
-        marks = materialize(marked("bits").join(cells.select("node").distinct(), "node", "left_semi"), "marks")
-        for step in range(STAR_ROUNDS + 1):
-            named = grouped(cells.select("cell", "node", "band"), "node", "group")
-            split = named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell")
-            cells = materialize(named.join(split, "cell"), "cells")
-            if not cells.limit(1).count():
-                break
-            if step < STAR_ROUNDS:
-                lead = cells.groupBy("cell", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "group")).alias("l"))
-                x = lead.select("cell", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.node").alias("a"), F.col("l.group").alias("_g"))
-                y = cells.select("cell", "band", F.col("node").alias("b"), F.col("group").alias("_k"))
-                pairs = x.join(y, ["cell", "band"]).where("_g != _k")
-            else:
-                pairs = compare_pieces(cells.join(marks, "node"), num, den)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            more = materialize(pairs if step == STAR_ROUNDS else may(pairs, marks), "pairs")
-            if more.limit(1).count():
-                tested = tested.unionByName(more)
-                added = verify(more, sets, num, den)
-                groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added))
+    # cells that the links so far leave in pieces: piece is compared with piece
+    named = grouped(cells, "node", "group")
+    split = named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell")
+    pieces = materialize(named.join(split, "cell"), "pieces")
+    if pieces.limit(1).count():
+        some = materialize(pieces.select("node").distinct(), "nodes")
+        wide = signed.where("node is not null").select("node", "n", "bits").join(checked(some), "node", "left_semi").dropDuplicates(["node"])
+        pairs = compare_pieces(pieces.join(wide, "node"), num, den)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        added = verify(pairs, docs, text_col, width, num, den, broadcast_keys)
+        if added.limit(1).count():
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added))
 
     rows = signed.select("_id", "_h", "n", "node")
     rows = grouped(rows, "node", "group")
@@ -472,3 +487,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return kept
     repeated = kept.join(sized(twice), same, "left_semi")
     return kept.join(sized(twice), same, "left_anti").unionByName(repeated.dropDuplicates([id_col, text_col]))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END)) AS g FROM d
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id
+FROM d JOIN reach ON reach.x = d.r JOIN d e ON e.r = reach.y LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""

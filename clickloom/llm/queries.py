@@ -87,4 +87,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_sharding": sharding.ORACLE_SQL, "op4_ann": ann.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
+    return {"op1_sharding": sharding.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op4_ann": ann.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}

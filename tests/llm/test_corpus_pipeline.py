@@ -7,8 +7,8 @@ import public_tokenizers
 
 import corpus_pipeline
 from clickloom.llm import bpe, quality, secrets
-from test_jaccard import brute
-from test_queries import brute_base, brute_hits
+from test_jaccard_join import brute
+from test_operators_llm import brute_base, brute_hits
 
 SF = "/root/testdata/sf0.001"
 

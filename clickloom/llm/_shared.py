@@ -33,11 +33,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Bytes of an Arrow batch between the JVM and Python: several copies of one exist at a time in each task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickloom.llm._shared import materialize
+from clickloom.llm._shared import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        current = materialize(_small_star(_large_star(current)), "edges")
+        current, old = materialize(_small_star(_large_star(current)), "edges"), current
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickloom.llm._shared import materialize, small_batches
+from clickloom.llm._shared import discard, materialize, small_batches
 from clickloom.llm._text import SPACE_WORDS, buffers, hash_spans, mix, shingles, slices, words_of
 from clickloom.llm.components import connected_components
 
@@ -55,9 +55,11 @@ SHARED = 4
 #: Least bits for each member of a set: of its bitmap in open tiles, and of the narrow one for other pairs.
 BITS_A_MEMBER, NARROW_BITS = 4, 1
 #: Bytes of bitmaps in a block of a cell whose pieces are compared.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Further stars of a cell, with other leaders each.
 STAR_ROUNDS = 2
+#: Bytes of arrays that a task sends at once.
+SENT_BYTES = 1 << 20
 #: Pairs of one set that are verified together.
 LEADER_PAIRS = 1000
 #: Postings of a bucket of tiles, about, and postings that a scattering task holds.
@@ -296,25 +298,24 @@ def may_link(x: Column, n: Column, y: Column, m: Column, num: int, den: int) ->
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: int, den: int, broadcast_keys: int) -> DataFrame:
-    """Write the pairs (a < b) whose sets link, by the exact intersection of their sorted arrays.
+    """The pairs (a < b) whose sets link, by the exact intersection of their sorted arrays; ``pairs`` is a written table.
 
     One pass over the texts gives the arrays of the nodes in question, each once a
     task at most. They go to the pairs' first nodes: ``LEADER_PAIRS`` of a node's pairs
     and its own array make up a piece of work, read as a stream.
     """
-    pairs = materialize(pairs.select("a", "b"), "pairs")
     count = pairs.count()
     if not count:
         return pairs
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).cast("int").alias("_s"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("salt"), F.col("b").alias("node"))
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.col("a").alias("node"))
-    roles = materialize(members.unionByName(leaders), "roles")
+    roles = members.unionByName(leaders)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            nodes, sets = [], []
+            nodes, sets, size = [], [], 0
             for _, s in _sets(batch, width):
                 node = _digest(s) if len(s) else None
                 if node is None or node in seen:
@@ -322,9 +323,10 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: in
                 seen.add(node)
                 nodes.append(node)
                 sets.append(s.tobytes())
-                if len(nodes) >= 1000:
+                size += len(sets[-1])
+                if size >= SENT_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
-                    nodes, sets = [], []
+                    nodes, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +350,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: in
     found = docs.select(F.col(text_col).alias("_text")).transform(small_batches).mapInArrow(arrays, "node long, set binary")
     rows = found.join(F.broadcast(roles) if 3 * count <= broadcast_keys else roles, "node").select("a", "salt", "node", "set")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"), "node")
-    return materialize(dealt.transform(small_batches).mapInArrow(exact, "a long, b long"), "links")
+    return dealt.transform(small_batches).mapInArrow(exact, "a long, b long")
 
 
 def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -422,7 +424,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # tiles of one passage or one group of near copies have the same members by and large: a cell is the tiles of one leader
     stars = candidates.where("token is not null")
-    tokens = materialize(stars.select("token").distinct(), "tokens")
+    tokens = stars.select("token").distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)
     posted = signed.where("node is not null").select("node", band.alias("band"), F.explode("first").alias("token")).join(checked(tokens), "token")
     cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
@@ -440,6 +442,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
     possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
     tested = materialize(first.distinct().join(left, "a").join(right, "b").where(possible).select("a", "b"), "tested")
+    discard(candidates)
     groups = connected_components(verify(tested, docs, text_col, width, num, den, broadcast_keys))
 
     def grouped(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -450,13 +453,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split = named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell")
     pieces = materialize(named.join(split, "cell"), "pieces")
     if pieces.limit(1).count():
-        some = materialize(pieces.select("node").distinct(), "nodes")
+        some = pieces.select("node").distinct()
         wide = signed.where("node is not null").select("node", "n", "bits").join(checked(some), "node", "left_semi").dropDuplicates(["node"])
         pairs = compare_pieces(pieces.join(wide, "node"), num, den)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
         added = verify(pairs, docs, text_col, width, num, den, broadcast_keys)
-        if added.limit(1).count():
-            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added))
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added))
 
     rows = signed.select("_id", "_h", "n", "node")
     rows = grouped(rows, "node", "group")

@@ -64,3 +64,18 @@ def sweep(df: DataFrame, providers: dict[str, Callable[[], Provider]], key: str
         part = embed_texts(df, make, key, text, model=name)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def project(df: DataFrame, width: int, new_width: int = 32, vector: str = "vec", seed: int = 42) -> DataFrame:
+    """Vectors under a fixed random projection, of unit length."""
+    matrix = np.random.default_rng(seed).normal(size=(width, new_width)) / np.sqrt(width)
+    at = df.columns.index(vector)
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.FloatType())) if f.name == vector else f for f in df.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, width) @ matrix
+            x = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())) if k == at else c for k, c in enumerate(b.columns)], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickloom.models.autodiff import Var, var
-from clickloom.models.layers import Model, gat_core, gat_shapes
+from clickloom.models.layers import Model, gat_core, gat_core_var, gat_shapes
 
 
 def _matrix(column: pa.Array) -> np.ndarray | None:
@@ -197,16 +197,64 @@ def load(spark: SparkSession, path: str, model: Model | None = None) -> dict[str
     return {k: got[k] if k in got and got[k].shape == v.shape else v for k, v in fresh.items()}
 
 
+def _graphs(node_rows: DataFrame, edge_rows: DataFrame, key: str) -> DataFrame:
+    """(key, nodes, edges): each sample's graph, small, brought together whole."""
+    n = node_rows.groupBy(key).agg(F.collect_list(F.struct("entity", "is_core", "features")).alias("nodes"))
+    e = edge_rows.groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("head", "tail", "weight")).alias("edges"))
+    return n.join(e, F.col(key) == F.col("_k"), "left").select(key, "nodes", "edges")
+
+
+def _arrays(nodes: list[dict], edges: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Features, edge ends, weights and the core's place, nodes by name."""
+    nodes, edges = sorted(nodes, key=lambda x: x["entity"]), edges or []
+    place = {x["entity"]: k for k, x in enumerate(nodes)}
+    src, dst = (np.array([place[x[c]] for x in edges], dtype=int) for c in ("head", "tail"))
+    core = next((k for k, x in enumerate(nodes) if x["is_core"]), 0)
+    return np.array([x["features"] for x in nodes], dtype=float), src, dst, np.array([x["weight"] for x in edges], dtype=float), core
+
+
+def train_graph_model(node_rows: DataFrame, edge_rows: DataFrame, labels: DataFrame, epochs: int = 10, optimiser: Optimiser | None = None, seed: int = 42, key: str = "sample_id") -> tuple[dict[str, np.ndarray], list[float]]:
+    """Train the attention layers by cross entropy of one logit on the core vector; returns parameters and losses."""
+    shapes = gat_shapes()
+    shapes.linear("logit", 128, 1)
+    params, optimiser, losses = shapes.draw(seed), optimiser or Optimiser(rate=5e-3), []
+    names = list(params)
+    graphs = _graphs(node_rows, edge_rows, key).join(labels.select(key, F.col("label").cast("double").alias("y")), key).select("nodes", "edges", "y").persist()
+    for _ in range(epochs):
+        sent = node_rows.sparkSession.sparkContext.broadcast(params)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total, lost, rows = None, 0.0, 0
+            for b in batches:
+                for nodes, edges, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    p = {n: Var(v) for n, v in sent.value.items()}
+                    logit = gat_core_var(p, *_arrays(nodes, edges)) @ p["logit.w"] + p["logit.b"]
+                    out = loss_of("bce_with_logits", logit.reshape(-1), np.array([y]))
+                    out.backward()
+                    g = np.concatenate([(p[n].grad if p[n].grad is not None else np.zeros_like(p[n].value)).ravel() for n in names])
+                    total, lost, rows = (g if total is None else total + g), lost + float(out.value), rows + 1
+            if rows:
+                g = np.concatenate([total, [lost, rows]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(g))), pa.array(g)], names=["place", "g"])
+
+        got = graphs.mapInArrow(run, "place long, g double").groupBy("place").agg(F.sum("g").alias("g")).orderBy("place").toPandas()["g"].to_numpy()  # as large as the model
+        at, grads = 0, {}
+        for name in names:
+            grads[name] = got[at : at + params[name].size].reshape(params[name].shape) / got[-1]
+            at += params[name].size
+        losses.append(float(got[-2] / got[-1]))
+        optimiser.step(params, grads)
+    graphs.unpersist()
+    return params, losses
+
+
 def graph_vectors(node_rows: DataFrame, edge_rows: DataFrame, params: dict[str, np.ndarray] | None = None, key: str = "sample_id") -> DataFrame:
     """(key, vec) of each sample's graph: two attention layers, the core node, unit length.
 
-    ``node_rows`` has entity, is_core and features; one sample's graph is small and
-    is brought together whole.
+    ``node_rows`` has entity, is_core and features.
     """
     sent = node_rows.sparkSession.sparkContext.broadcast(params or gat_shapes().draw(42))
-    n = node_rows.groupBy(key).agg(F.collect_list(F.struct("entity", "is_core", "features")).alias("nodes"))
-    e = edge_rows.groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("head", "tail", "weight")).alias("edges"))
-    both = n.join(e, F.col(key) == F.col("_k"), "left").select(key, "nodes", "edges")
+    both = _graphs(node_rows, edge_rows, key)
     schema = T.StructType([node_rows.schema[key], T.StructField("vec", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +262,7 @@ def graph_vectors(node_rows: DataFrame, edge_rows: DataFrame, params: dict[str,
         for b in batches:
             out = []
             for nodes, edges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                nodes = sorted(nodes, key=lambda x: x["entity"])
-                place = {x["entity"]: k for k, x in enumerate(nodes)}
-                edges = edges or []
-                src, dst = (np.array([place[x[c]] for x in edges], dtype=int) for c in ("head", "tail"))
-                core = next((k for k, x in enumerate(nodes) if x["is_core"]), 0)
-                x = np.array([x["features"] for x in nodes], dtype=float)
-                out.append(gat_core(p, x, src, dst, np.array([x["weight"] for x in edges], dtype=float), core).astype(np.float32).tolist())
+                out.append(gat_core(p, *_arrays(nodes, edges)).astype(np.float32).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=schema.names)
 
     return both.mapInArrow(run, schema)

@@ -203,6 +203,29 @@ def test_graph_vectors_and_embeddings(spark):
     assert np.allclose(got[1], got[2]) and abs(np.linalg.norm(got[1]) - 1) < 1e-5 and not got[3].any()
 
 
+def test_graph_training(spark):
+    from clickloom.operators import graph
+
+    t = [(i, [("user_1", "click_history_id", f"product_{i}"), (f"product_{i}", "has_brand", "good" if i % 2 else "bad")], i % 2) for i in range(40)]
+    df = spark.createDataFrame(t, "sample_id long, triples array<struct<head:string,relation:string,tail:string>>, label int")
+    edges = graph.edges(df)
+    cores = df.select("sample_id", F.concat(F.lit("product_"), F.col("sample_id").cast("string")).alias("core"), F.array_repeat(F.col("label").cast("double"), 32).alias("text_vector"))
+    nodes = graph.node_features(edges, cores)
+    params, losses = run.train_graph_model(nodes, edges, df, epochs=6)
+    assert losses[-1] < losses[0]
+    vec = run.graph_vectors(nodes, edges, params)
+    assert embed.project(vec, 128, 8).first()["vec"] is not None
+
+
+def test_samples(spark):
+    from clickloom.operators import sampling
+
+    df = spark.range(50)
+    a, b = ([r["id"] for r in sampling.shuffled(df.repartition(n), ["id"], 7).collect()] for n in (1, 3))
+    assert a == b != sorted(a) and sorted(a) == list(range(50))
+    assert [r["id"] for r in sampling.head(df, 3, ["id"]).collect()] == [0, 1, 2]
+
+
 def test_settings():
     assert config.ModelSettings().update(heads=8).heads == 8
     with pytest.raises(ValueError, match="unknown setting"):

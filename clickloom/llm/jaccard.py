@@ -14,7 +14,8 @@ arrays only if that bound allows a link.
 Groups never give all their pairs. In a tile of many sets only a star is tested:
 each set with the leader of its band, and leaders of adjacent bands; tiles with the
 same members make up a cell, which gets a few more stars. If the links found so
-far join the whole cell, no more is needed for it. Whatever remains in pieces is
+far join the whole cell, no more is needed for it. Of whatever remains in pieces, each
+set is tested with its nearest in another piece, twice; what is then apart is
 compared in full, piece against piece, block by block of bitmaps, and only the
 pairs whose bound allows a link become rows and are verified. So components are
 exact, while most of a group of near copies costs a number of tests in proportion
@@ -58,6 +59,8 @@ BITS_A_MEMBER, NARROW_BITS = 4, 1
 BLOCK_BYTES = 1 << 20
 #: Further stars of a cell, with other leaders each.
 STAR_ROUNDS = 2
+#: Rounds in which a set is tested with its nearest in other pieces, before all of them are compared.
+NEAREST_ROUNDS = 2
 #: Bytes of arrays that a task sends at once.
 SENT_BYTES = 1 << 20
 #: Pairs of one set that are verified together.
@@ -362,9 +365,11 @@ def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare_pieces(cells: DataFrame, num: int, den: int) -> DataFrame:
+def compare_pieces(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of a cell that lie in different groups and that sizes and bitmaps leave room for.
 
+    With ``nearest`` a set gives its most promising pair in each piece of work only.
+
     A cell is cut into blocks of ``BLOCK_BYTES`` of bitmaps, and each pair of blocks is
     a task's work, so a task holds two blocks however large the cell is.
     """
@@ -397,9 +402,13 @@ def compare_pieces(cells: DataFrame, num: int, den: int) -> DataFrame:
                     room &= group[i][:, None] != group[other][None, :]
                     if p != q:
                         room &= own[i][:, None] != own[other][None, :]
-                    if other is same:
-                        room &= i[:, None] < other[None, :]
-                    r, c = np.nonzero(room)
+                    if nearest:
+                        best = np.where(room, bound, -1)
+                        r, c = np.arange(len(i)), best.argmax(axis=1)
+                        r, c = np.concatenate([r, best.argmax(axis=0)]), np.concatenate([c, np.arange(len(other))])
+                        r, c = r[best[r, c] >= 0], c[best[r, c] >= 0]
+                    else:
+                        r, c = np.nonzero(room & (i[:, None] < other[None, :]) if other is same else room)
                     found.append(np.stack([node[i[r]], node[other[c]]], axis=1))
         pairs = np.concatenate(found)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
@@ -448,16 +457,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def grouped(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(groups.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
-    # cells that the links so far leave in pieces: piece is compared with piece
-    named = grouped(cells, "node", "group")
-    split = named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell")
-    pieces = materialize(named.join(split, "cell"), "pieces")
-    if pieces.limit(1).count():
-        some = pieces.select("node").distinct()
-        wide = signed.where("node is not null").select("node", "n", "bits").join(checked(some), "node", "left_semi").dropDuplicates(["node"])
-        pairs = compare_pieces(pieces.join(wide, "node"), num, den)
+    # cells that the links so far leave in pieces: sets look for their nearest in other pieces, then all of them are compared
+    for step in range(NEAREST_ROUNDS + 1):
+        named = grouped(cells.select("cell", "node", "band"), "node", "group")
+        split = named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell")
+        pieces = materialize(named.join(split, "cell"), "pieces")
+        if not pieces.limit(1).count():
+            break
+        wide = signed.where("node is not null").select("node", "n", "bits").join(checked(pieces.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
+        pairs = compare_pieces(pieces.join(wide, "node"), num, den, step < NEAREST_ROUNDS)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        if not pairs.limit(1).count():
+            continue
+        tested = tested.unionByName(pairs)
         added = verify(pairs, docs, text_col, width, num, den, broadcast_keys)
         groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added))
 

@@ -247,13 +247,26 @@ def place_words(blocks: DataFrame) -> Counts:
     return Counts(places, int(total["n"] or 0) + int(ends), int(total["v"]) + (1 if ends else 0), int(ends))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many rows: the recursion takes the same steps for many words as for few."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def fit_pieces(places: DataFrame, ends: int, pieces: list[bytes], prior: np.ndarray) -> tuple[np.ndarray, float]:
     """Log probabilities of the pieces and of a text's end after one expectation step over the training words."""
     sent = places.sparkSession.sparkContext.broadcast(Lattice(pieces, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for b in batches:
+        for b in _gathered(batches):
             got = sent.value.expected([b" " + w for w in b.column(0).to_pylist()], b.column(1).to_numpy(zero_copy_only=False))
             total = got if total is None else total + got
         if total is not None:
@@ -278,10 +291,11 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     n, v, end_count, log_end = counts.tokens, counts.distinct, counts.ends, log_end / np.log(10)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches):
             words = b.column(0).dictionary_encode()  # rows of one word lie together
             marginal = sent.value.log_probability([b" " + w for w in words.dictionary.to_pylist()]) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(marginal[words.indices.to_numpy(zero_copy_only=False)])], names=["block", "at", "c", "lattice"])
+            out = pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(marginal[words.indices.to_numpy(zero_copy_only=False)])], names=["block", "at", "c", "lattice"])
+            yield from (out.slice(k, 20_000) for k in range(0, out.num_rows, 20_000))
 
     values = counts.places.select("word", "block", F.col("at").cast("long").alias("at"), "c").transform(small_batches).mapInArrow(weigh, "block long, at long, c long, lattice double")
     # a block's values, in order, then the block itself: a task reads them as a stream

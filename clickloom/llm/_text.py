@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A slice holds at most so many bytes of text, or one document.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))

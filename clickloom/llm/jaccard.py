@@ -66,7 +66,7 @@ SENT_BYTES = 1 << 20
 #: Pairs of one set that are verified together.
 LEADER_PAIRS = 1000
 #: Postings of a bucket of tiles, about, and postings that a scattering task holds.
-BUCKET_POSTINGS, HELD_POSTINGS = 2_000_000, 500_000
+BUCKET_POSTINGS, HELD_POSTINGS = 500_000, 300_000
 
 _POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("big", "u1")])
 
@@ -366,7 +366,7 @@ def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def compare_pieces(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of a cell that lie in different groups and that sizes and bitmaps leave room for.
+    """Pairs (cell, a, b) of sets that lie in different groups and that sizes and bitmaps leave room for.
 
     With ``nearest`` a set gives its most promising pair in each piece of work only.
 
@@ -411,9 +411,9 @@ def compare_pieces(cells: DataFrame, num: int, den: int, nearest: bool) -> DataF
                         r, c = np.nonzero(room & (i[:, None] < other[None, :]) if other is same else room)
                     found.append(np.stack([node[i[r]], node[other[c]]], axis=1))
         pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        return pa.table({"cell": pa.array(np.full(len(pairs), rows["cell"][0].as_py())), "a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
 
-    return rows.groupBy("cell", "p", "q").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("cell", "p", "q").applyInArrow(compare, "cell long, a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 2_000_000) -> DataFrame:
@@ -465,9 +465,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not pieces.limit(1).count():
             break
         wide = signed.where("node is not null").select("node", "n", "bits").join(checked(pieces.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
-        pairs = compare_pieces(pieces.join(wide, "node"), num, den, step < NEAREST_ROUNDS)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        near = materialize(compare_pieces(pieces.join(wide, "node"), num, den, step < NEAREST_ROUNDS), "near")
+        # a cell without room for any link stays without it, as groups only grow
+        cells = pieces.join(near.select("cell").distinct(), "cell", "left_semi")
+        pairs = materialize(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             continue
         tested = tested.unionByName(pairs)

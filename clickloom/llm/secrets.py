@@ -66,10 +66,10 @@ def _live_looking(value: Column) -> Column:
     return F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Za-z]")) & (distinct >= 10) & ~F.regexp_like(F.lower(value), F.lit("example|sample|placeholder|changeme|xxxx|0123456789|123456789"))
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), keep: Sequence[str] = ("doc_id",), max_owners: int = 2, example_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), keep: Sequence[str] = ("doc_id",), max_owners: int = 2, example_owners: int = 3, out_col: str = "findings") -> DataFrame:
     """Find secrets and weigh every candidate by who owns it.
 
-    Returns ``keep`` and ``findings``: structs of start, kind (index in KINDS), end,
+    Returns ``keep`` and ``out_col``: structs of start, kind (index in KINDS), end,
     value hash, owners, repositories and verdict (``example`` from ``example_owners``
     owners on, else ``live`` if the value looks so, else ``weak``), by start and kind.
     """
@@ -96,11 +96,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("live"), "live").otherwise("weak")
     weighed = each.drop("_owner", "_repo").join(owners, "hash").withColumn("verdict", verdict)
     weighed = weighed.where((F.col("kind") < 3) | ((F.col("verdict") == "live") & (F.col("owners") <= max_owners)))
-    per_row = weighed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repositories", "verdict"))).alias("findings"))
+    per_row = weighed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repositories", "verdict"))).alias("_findings"))
     with_spans = scanned.where(F.size("_found") > 0).join(per_row, "_row", "left")
     empty = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("end"), F.lit("").alias("hash"), F.lit(0).cast("long").alias("owners"), F.lit(0).cast("long").alias("repositories"), F.lit("").alias("verdict"))), lambda s: s["start"] < 0)
-    out = with_spans.select(*kept, F.coalesce("findings", empty).alias("findings"))
-    return out.unionByName(scanned.where(F.size("_found") == 0).select(*kept, empty.alias("findings")))
+    out = with_spans.select(*kept, F.coalesce("_findings", empty).alias(out_col))
+    return out.unionByName(scanned.where(F.size("_found") == 0).select(*kept, empty.alias(out_col)))
 
 
 def spans_text(findings: Column) -> Column:
@@ -132,7 +132,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
 
     All rows and columns stay; texts without findings, null ones included, are unchanged.
     """
-    scanned = scan_secrets(docs, text_col=text_col, keep=docs.columns, **options)
+    scanned = scan_secrets(docs, text_col=text_col, keep=docs.columns, out_col="_secret_findings", **options)
     text, start = F.col(text_col), F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -140,8 +140,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
         fresh = F.struct(F.concat(acc["out"], gap, F.lit(mask)).alias("out"), s["end"].alias("at"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
 
-    clean = F.aggregate("findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return scanned.select(*[(F.when(F.size("findings") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    clean = F.aggregate("_secret_findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return scanned.select(*[(F.when(F.size("_secret_findings") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
 
 
 def _sql_spans(name: str, pattern: str, kind: int, group: int, least: int) -> str:

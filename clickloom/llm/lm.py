@@ -44,6 +44,9 @@ SMOOTHING = 0.1
 _LOW = bytes(LOWER)
 
 
+_VALUE = np.dtype([("at", "<i4"), ("c", "<i8"), ("lattice", "<f8")])
+
+
 class Lattice:
     """Pieces of a byte vocabulary with log probabilities, and sums over segmentations."""
 
@@ -294,29 +297,35 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
         for b in _gathered(batches):
             words = b.column(0).dictionary_encode()  # rows of one word lie together
             marginal = sent.value.log_probability([b" " + w for w in words.dictionary.to_pylist()]) / np.log(10)
-            out = pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(marginal[words.indices.to_numpy(zero_copy_only=False)])], names=["block", "at", "c", "lattice"])
-            yield from (out.slice(k, 20_000) for k in range(0, out.num_rows, 20_000))
-
-    values = counts.places.select("word", "block", F.col("at").cast("long").alias("at"), "c").transform(small_batches).mapInArrow(weigh, "block long, at long, c long, lattice double")
-    # a block's values, in order, then the block itself: a task reads them as a stream
+            values = np.zeros(b.num_rows, dtype=_VALUE)
+            values["at"], values["c"] = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            values["lattice"] = marginal[words.indices.to_numpy(zero_copy_only=False)]
+            block = b.column(1).to_numpy(zero_copy_only=False)
+            order = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) != 0, [True])))
+            parts = [values[order[i:j]].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[order[edges[:-1]]]), pa.array(parts, pa.binary())], names=["block", "data"])
+
+    # a block's values, packed, then the block itself: a task reads them as a stream
+    packed = counts.places.select("word", "block", F.col("at").cast("long").alias("at"), "c").transform(small_batches).mapInArrow(weigh, "block long, data binary")
     payload = ("ids", "outs", "lengths", "numbers")
-    last = blocks.select("block", F.lit(1 << 62).alias("at"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lattice"), *payload)
+    last = blocks.select("block", F.lit(None).cast("binary").alias("data"), *payload)
     for name in payload:
-        values = values.withColumn(name, F.lit(None).cast(blocks.schema[name].dataType))
-    stream = values.unionByName(last).repartition("block").sortWithinPartitions("block", "at")
+        packed = packed.withColumn(name, F.lit(None).cast(blocks.schema[name].dataType))
+    stream = packed.unionByName(last).repartition("block").sortWithinPartitions("block", F.col("data").isNull())
     base_of = np.log10(n + v + 1.0)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, weights = [], []
+        held = []
         for b in batches:
-            c, lattice = (b.column(j).to_numpy(zero_copy_only=False) for j in (2, 3))
-            at = 0
-            for k in np.flatnonzero(b.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                counts.append(c[at:k])
-                weights.append(lattice[at:k])
-                c_of, weight_of = np.concatenate(counts).astype(np.int64), np.concatenate(weights).astype(float)
-                counts, weights, at = [], [], k + 1
-                ids, outs, lengths, numbers = (b.column(j)[k] for j in range(4, 8))
+            for k in range(b.num_rows):
+                if b.column(1)[k].is_valid:
+                    held.append(b.column(1)[k].as_py())
+                    continue
+                values, held = np.frombuffer(b"".join(held), dtype=_VALUE), []
+                c_of, weight_of = np.zeros(len(values), np.int64), np.zeros(len(values))
+                c_of[values["at"]], weight_of[values["at"]] = values["c"], values["lattice"]
+                ids, outs, lengths, numbers = (b.column(j)[k] for j in range(2, 6))
                 lengths = np.asarray(lengths.values)
                 which = np.frombuffer(numbers.as_buffer(), dtype="<i4")
                 doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -328,7 +337,5 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
                     [ids.values, outs.values, pa.array(tokens), pa.array(known + int(end_count > 0)), pa.array(np.full(len(lengths), n)), pa.array(base + np.log10(end_count + 1.0) - tokens * base_of), pa.array(marginal + log_end)],
                     names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
-            counts.append(c[at:])
-            weights.append(lattice[at:])
 
     return stream.transform(small_batches).mapInArrow(add_up, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

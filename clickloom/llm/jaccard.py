@@ -68,7 +68,9 @@ LEADER_PAIRS = 1000
 #: Postings of a bucket of tiles, about, and postings that a scattering task holds.
 BUCKET_POSTINGS, HELD_POSTINGS = 500_000, 300_000
 
-_POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("big", "u1")])
+#: ``band`` has the size band; ``BIG`` is added where the posting stands for many.
+_POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("band", "u1")])
+BIG = 128
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -161,9 +163,14 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
     return materialize(base.transform(small_batches).mapInArrow(run, "_id long, _h long, n long, node long, bits array<long>, narrow array<long>, first array<long>"), "signatures")
 
 
+def _ratio(num: int, den: int) -> float:
+    """How much larger a band's sizes are than those of the band below; the bands' numbers fit into 7 bits."""
+    return max(den / num, 1.2)
+
+
 def _band(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Size bands: sets that can link are in one band or in adjacent ones."""
-    return np.floor(np.log(n.astype(np.float64)) / np.log(den / num) + 1e-9).astype(np.int64)
+    return np.floor(np.log(n.astype(np.float64)) / np.log(_ratio(num, den)) + 1e-9).astype(np.int64)
 
 
 def _runs(p: np.ndarray) -> Iterator[np.ndarray]:
@@ -173,9 +180,9 @@ def _runs(p: np.ndarray) -> Iterator[np.ndarray]:
         yield p[edges[k] : edges[k + 1]]
 
 
-def _star(run: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def _star(run: np.ndarray) -> list[tuple[int, int]]:
     """Each set with the leader of its band, and the leaders of adjacent bands."""
-    band = _band(run["n"], num, den)
+    band = run["band"] % BIG
     out, last = [], None
     for b in np.unique(band):
         members = run["node"][band == b]
@@ -188,7 +195,7 @@ def _star(run: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
 
 def _ordered(p: np.ndarray) -> np.ndarray:
     """Postings by token and node, one for each."""
-    p = p[np.lexsort((p["big"] == 0, p["node"], p["token"]))]
+    p = p[np.lexsort((p["band"] < BIG, p["node"], p["token"]))]
     return p[np.concatenate(([True], (p["token"][1:] != p["token"][:-1]) | (p["node"][1:] != p["node"][:-1])))] if len(p) else p
 
 
@@ -206,10 +213,10 @@ def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
             size = np.diff(np.flatnonzero(np.concatenate(([True], p["token"][1:] != p["token"][:-1], [True]))))
             whole = np.repeat(size, size)
             large = p[whole > SMALL_TILE]
-            pairs = [(int(r["token"][0]), a, b) for r in _runs(large) for a, b in _star(r, num, den)]
+            pairs = [(int(r["token"][0]), a, b) for r in _runs(large) for a, b in _star(r)]
             if len(large):  # goes on as one posting for each band, that of the leader
-                large["big"] = 1
-                band = _band(large["n"], num, den)
+                band = large["band"] % BIG
+                large["band"] = band + BIG
                 order = np.lexsort((band, large["token"]))
                 t, b = large["token"][order], band[order]
                 new = np.concatenate(([True], (t[1:] != t[:-1]) | (b[1:] != b[:-1])))
@@ -232,7 +239,7 @@ def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
             tokens = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             count = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             p = np.zeros(len(tokens), dtype=_POSTING)
-            p["token"], p["node"], p["n"] = tokens.view(np.uint64), np.repeat(nodes, count), np.repeat(n, count)
+            p["token"], p["node"], p["band"] = tokens.view(np.uint64), np.repeat(nodes, count), np.repeat(_band(n, num, den), count)
             parts.append(p)
             size += len(p)
             if size > HELD_POSTINGS:
@@ -254,16 +261,18 @@ def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
             p = _ordered(np.frombuffer(b"".join(held.pop(bucket)), dtype=_POSTING))
             token, a, b, need = [], [], [], []
             for run in _runs(p):
-                if len(run) <= SMALL_TILE and not run["big"].any():
+                if len(run) <= SMALL_TILE and (run["band"] < BIG).all():
                     i, j = np.triu_indices(len(run), 1)
-                    n = run["n"].astype(np.int64)
-                    near = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+                    band = run["band"].astype(np.int64)
+                    near = np.abs(band[i] - band[j]) <= 1
+                    # the least overlap of a link, from the least size in the band
+                    least = np.maximum(np.ceil(num / den * _ratio(num, den) ** (np.maximum(band[i], band[j])[near] - 0.001)), 1).astype(np.int64)
                     a += run["node"][i[near]].tolist()
                     b += run["node"][j[near]].tolist()
                     token += [0] * int(near.sum())
-                    need += np.minimum(-(-np.maximum(n[i], n[j])[near] * num // den), SHARED).tolist()
+                    need += np.minimum(least, SHARED).tolist()
                 else:
-                    pairs = _star(run, num, den)
+                    pairs = _star(run)
                     a += [x for x, _ in pairs]
                     b += [y for _, y in pairs]
                     token += [int(run["token"].view(np.int64)[0])] * len(pairs)
@@ -434,7 +443,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # tiles of one passage or one group of near copies have the same members by and large: a cell is the tiles of one leader
     stars = candidates.where("token is not null")
     tokens = stars.select("token").distinct()
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(_ratio(num, den))) + 1e-9)
     posted = signed.where("node is not null").select("node", band.alias("band"), F.explode("first").alias("token")).join(checked(tokens), "token")
     cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
     cells = materialize(posted.join(cell, "token").groupBy("cell", "node").agg(F.first("band").alias("band")), "cells")

@@ -157,13 +157,27 @@ class Lattice:
             for start, end, at, pieces in edges:
                 share = np.exp(alpha[start, at] + self.log_p[pieces] + beta[end, at] - alpha[n, at])
                 total += np.bincount(pieces, weights=share * weight[part][at], minlength=len(total))
-        # a long word lends its expectation in windows of the joint length
         for i in (i for i, w in enumerate(words) if len(w) > JOINT_BYTES):
-            w = words[i]
-            cut = [w[k : k + JOINT_BYTES] for k in range(0, len(w), JOINT_BYTES)]
-            total += self.expected(cut, np.full(len(cut), counts[i]))
+            self._add_long(words[i], counts[i], total)
         return total
 
+    def _add_long(self, word: bytes, count: float, total: np.ndarray) -> None:
+        """Add one long word's expected pieces, forward and backward over all of it; memory grows with the word."""
+        n, known = len(word), self.table
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0
+        ending = []
+        for end in range(1, n + 1):
+            found = [(s, k) for s in range(max(0, end - self.longest), end) if (k := known.get(word[s:end])) is not None]
+            starts, pieces = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            ending.append((starts, pieces))
+            alpha[end] = np.logaddexp.reduce(alpha[starts] + self.log_p[pieces], initial=-np.inf)
+        for end in range(n, 0, -1):  # beta[end] is whole: all pieces that start there end later
+            starts, pieces = ending[end - 1]
+            through = self.log_p[pieces] + beta[end]
+            np.add.at(total, pieces, count * np.exp(alpha[starts] + through - alpha[n]))
+            beta[starts] = np.logaddexp(beta[starts], through)
+
 
 def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a rank file and their prior log probabilities."""

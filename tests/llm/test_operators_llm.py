@@ -309,6 +309,25 @@ def test_lm_equals_brute_force(spark, rows, monkeypatch):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
+def test_long_words_lend_whole_expectations():
+    lattice = lm.Lattice(*lm.read_vocabulary(RANKS))
+    words = [b" https://example.org/" + b"path/to/index.html?" * 4, b" " + "漢字かな交じり文".encode() * 5, b" " + b"z" * 100]
+    for word in words:
+        assert len(word) > lm.JOINT_BYTES
+        n, found = len(word), [(s, e, k) for e in range(1, len(word) + 1) for s in range(e) if (k := lattice.table.get(word[s:e])) is not None]
+        alpha, beta, want = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0], np.zeros(len(lattice.pieces))
+        for s, e, k in found:
+            alpha[e] = np.logaddexp(alpha[e], alpha[s] + lattice.log_p[k])
+        for s, e, k in sorted(found, reverse=True):
+            beta[s] = np.logaddexp(beta[s], beta[e] + lattice.log_p[k])
+        for s, e, k in found:
+            want[k] += 3 * math.exp(alpha[s] + lattice.log_p[k] + beta[e] - alpha[n])
+        got = lattice.expected([word, b" cat"], np.array([3, 2])) - lattice.expected([b" cat"], np.array([2]))
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+        sizes = np.array([len(p) for p in lattice.pieces])
+        assert math.isclose(got @ sizes, 3 * n, rel_tol=1e-9)  # each byte lies in one piece of each segmentation
+
+
 def test_lm_of_nothing(spark):
     assert lm.score_documents(odd(spark, []), RANKS).count() == 0
 

@@ -515,6 +515,49 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.join(sized(twice), same, "left_anti").unionByName(repeated.dropDuplicates([id_col, text_col]))
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """Every link between distinct sets, and which set each document has.
+
+    Returns the links (a < b, nodes; each once) and a row per document: ``id_col``,
+    ``text_hash``, ``n_shingles`` and ``node``. Unlike the groups, all pairs of a cell are
+    compared, so a group of near copies costs the square of its distinct sets.
+    """
+    signed = sign(docs, id_col, text_col, width, num, den)
+    candidates = materialize(tile_candidates(signed, num, den), "candidates")
+    sets = signed.where("node is not null")
+
+    def checked(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_keys else df
+
+    # pairs of small tiles that meet often enough
+    met = candidates.where("token is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need")).where("_met >= _need").select("a", "b")
+    marks = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("narrow").alias("bits"))
+    left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
+    room = met.join(left, "a").join(right, "b").where(may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)).select("a", "b")
+    # any other pair of a link meets in a large tile: all pairs of its cell
+    tokens = candidates.where("token is not null").select("token").distinct()
+    posted = sets.select("node", F.explode("first").alias("token")).join(checked(tokens), "token")
+    cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
+    cells = materialize(posted.join(cell, "token").select("cell", "node").distinct(), "cells")
+    wide = sets.select("node", "n", "bits").join(checked(cells.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
+    near = compare_pieces(cells.join(wide, "node").withColumn("group", F.col("node")), num, den, False).select("a", "b")
+    pairs = materialize(room.unionByName(near).distinct(), "pairs")
+    discard(candidates)
+    links = materialize(verify(pairs, docs, text_col, width, num, den, broadcast_keys), "links")
+    return links, signed.select(F.col("_id").alias(id_col), F.col("_h").alias("text_hash"), F.col("n").alias("n_shingles"), "node")
+
+
+def count_links(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Per document: id, n_shingles and n_links, the other documents whose sets are equal or link; 0 for empty sets."""
+    links, members = jaccard_links(docs, id_col, **options)
+    copies = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("_copies"))
+    both = links.select(F.col("a").alias("_to"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("_to"), F.col("a").alias("node")))
+    linked = both.join(copies, "node").groupBy(F.col("_to").alias("node")).agg(F.sum("_copies").alias("_linked"))
+    counts = copies.join(linked, "node", "left").select("node", (F.col("_copies") - 1 + F.coalesce("_linked", F.lit(0))).alias("_links"))
+    return members.join(counts, "node", "left").select(id_col, "n_shingles", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -527,3 +570,14 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id
 FROM d JOIN reach ON reach.x = d.r JOIN d e ON e.r = reach.y LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
 """
+
+LINKS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END)) AS g FROM d
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL
+), l AS (SELECT x, count(*) AS links FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c) GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.links, 0) AS n_links FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN l ON l.x = d.r
+"""

@@ -29,6 +29,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other documents each whole document links to, at the same similarity."""
+    return jaccard.count_links(table(spark, sf_dir, "documents"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every vector whose id is divisible by 50."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -79,7 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hit_report(found)
 
 
-QUERIES = (op1_sharding, op2_bpe, op3_jaccard, op4_ann, op5_quality, op6_warc, op7_secrets, op8_chat, op9_lm, op10_decontamination)
+QUERIES = (op1_sharding, op2_bpe, op3_jaccard, op3_links, op4_ann, op5_quality, op6_warc, op7_secrets, op8_chat, op9_lm, op10_decontamination)
 
 
 def queries():
@@ -87,4 +92,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_sharding": sharding.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op4_ann": ann.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
+    return {"op1_sharding": sharding.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op3_links": jaccard.LINKS_SQL, "op4_ann": ann.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}

@@ -89,3 +89,30 @@ def test_deduplicate_keeps_one_of_each_group(spark, bound):
     groups = {t[2] for t in expected if t[1]}
     assert len(kept) == len(groups) + len(empty)
     assert {i for i, t in kept if t and t.strip()} == groups
+
+
+def brute_links(rows, width=5, num=80, den=100):
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets.append(frozenset([tuple(words)] if 0 < len(words) < width else [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]))
+    out = [0] * len(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            inter = len(a & b)
+            if inter and den * inter >= num * (len(a) + len(b) - inter):
+                out[i] += 1
+                out[j] += 1
+    return sorted(((d, len(s), n) for (d, _), s, n in zip(rows, sets, out)), key=repr)
+
+
+@pytest.mark.parametrize("tile", [16, 2])
+def test_links_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "SMALL_TILE", tile)
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    assert sorted(map(tuple, jaccard.count_links(df).collect()), key=repr) == brute_links(rows)
+
+
+def test_links_of_nothing(spark):
+    assert jaccard.count_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,10 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each task turns the documents it scans into a shard: a sequence of word numbers,
-documents apart, and its suffix array. Every suffix of every test item is looked
-up by binary search in that array; the range found gives all places where the
-item's text stands verbatim, and consecutive places on one diagonal make up the
-longest match. Words that no item has end a suffix, so suffixes which leave the
+documents apart, and its suffix array, sorted by the first words of each suffix up
+to the window. Every window of every test item is looked up by binary search in
+that array; the range found gives all places where the window stands verbatim, and
+consecutive places on one diagonal make up the longest match. Words that no item has end a suffix, so suffixes which leave the
 vocabulary before the shortest window ends are not sorted: they can't match.
 
 The test side is broadcast in slices of a checked size; each slice is one more

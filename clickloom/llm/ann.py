@@ -104,7 +104,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     """The k nearest rows of every query row: query_id, rank, id, score (cosine)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
     asking = vectors.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    asking = asking.where(F.col("_v").isNotNull()).groupBy("_id").agg(F.min("_v").alias("_v"))
+    # unusable vectors go before the least is taken, as they could be it
+    odd = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    asking = asking.where((F.size("_v") > 0) & ~odd & F.exists("_v", lambda x: x != 0)).groupBy("_id").agg(F.min("_v").alias("_v"))
     size = asking.agg(F.sum(8 * F.size("_v") + 64)).first()[0] or 0
     n_blocks = max(1, -(-int(size) // block_bytes))
     found = None

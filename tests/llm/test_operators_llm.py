@@ -119,6 +119,14 @@ def test_nearest_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("bad", [[], [0.0, 0.0], [None, 1.0], [-math.inf, 1.0], [math.nan, 1.0], None])
+def test_unusable_repeats_dont_ask(spark, bad):
+    rows = [(50, [1.0, 2.0]), (50, bad), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id").collect()
+    assert sorted(map(tuple, got)) == [(50, 1, 2), (50, 2, 1)]
+
+
 def test_bounds_hold():
     r = np.random.default_rng(0)
     x = ann.Side(np.arange(50), r.normal(size=(50, 64)))

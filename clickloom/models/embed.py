@@ -20,12 +20,12 @@ Provider = Callable[[Sequence[str]], np.ndarray]
 ENCODER_WIDTHS = (768, 1024, 768, 2560, 2048, 3072)
 
 
-def tokens(text: str, limit: int = 256) -> list[str]:
-    """Words and marks, cut at ``limit``."""
+def tokens(text: str, limit: int | None = None) -> list[str]:
+    """Words and marks, cut at ``limit`` if there is one."""
     return re.findall(r"\w+|[^\w\s]", text.lower())[:limit]
 
 
-def hashed_provider(width: int = 64, buckets: int = 4096, limit: int = 256, seed: int = 42) -> Callable[[], Provider]:
+def hashed_provider(width: int = 64, buckets: int = 4096, limit: int | None = None, seed: int = 42) -> Callable[[], Provider]:
     def make() -> Provider:
         projection = np.random.default_rng(seed).normal(size=(buckets, width)) / np.sqrt(width)
 

@@ -235,3 +235,14 @@ def test_settings():
     with pytest.raises(ValueError, match="unknown choice"):
         layers.ctr_model(4, 4, fusion="none")
     config.validate(config.ModelSettings(), config.TrainSettings())
+
+
+def test_hashed_vectors_take_whole_texts():
+    from clickloom.models import embed
+
+    head = "a b " * 200
+    whole, cut = embed.hashed_provider(16)(), embed.hashed_provider(16, limit=256)()
+    x, y = whole([head, head + "tail " * 300])
+    assert not np.allclose(x, y)
+    x, y = cut([head, head + "tail " * 300])
+    assert np.array_equal(x, y)

@@ -7,6 +7,7 @@ nanoseconds and memory is bounded by the slice, not by the Arrow batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ SLICE_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _BLOCK = 1 << 22
+#: Longest span that is hashed by a polynomial sum.
+SHORT_SPAN = 32
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -113,24 +116,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
 def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans, equal for equal spans wherever they stand.
 
-    A very long document is hashed in blocks, so the running sums need no more
-    than a block's memory; a span over a block's edge adds up its parts.
+    Spans of up to ``SHORT_SPAN`` bytes are polynomial sums modulo 2**64, all in one go.
+    Such sums can't tell some long spans of regular build apart, so longer ones are
+    hashed by themselves. A very long document is summed in blocks, so the running
+    sums need no more than a block's memory.
     """
     out = np.zeros(len(starts), dtype=np.uint64)
-    up, down = power_table(min(len(low), _BLOCK) + 1)
+    up, down = power_table(min(len(low), _BLOCK + SHORT_SPAN) + 1)
     for b in range(0, max(len(low), 1), _BLOCK):
-        part = low[b : b + _BLOCK]
+        part = low[b : b + _BLOCK + SHORT_SPAN]  # short spans that begin in the block end in it
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        lo, hi = np.searchsorted(ends, b, side="right"), np.searchsorted(starts, b + len(part))
-        s = np.clip(starts[lo:hi] - b, 0, len(part))
-        e = np.clip(ends[lo:hi] - b, 0, len(part))
-        piece = (sums[e] - sums[s]) * down[s]
-        shift = np.maximum(b - starts[lo:hi], 0)  # bytes of the span in earlier blocks
-        if shift.any():
-            piece = piece * np.array([pow(int(_MULT), int(k), 1 << 64) for k in shift], dtype=np.uint64)
-        out[lo:hi] += piece
-    return mix(out ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        lo, hi = np.searchsorted(starts, b), np.searchsorted(starts, b + _BLOCK)
+        s = starts[lo:hi] - b
+        e = np.minimum(ends[lo:hi] - b, len(part))
+        out[lo:hi] = (sums[e] - sums[s]) * down[s]
+    out = mix(out ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(ends - starts > SHORT_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:

@@ -1,9 +1,10 @@
 """Properties that hold for any input."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
-from clickloom.llm import chat, decontam, warc
+from clickloom.llm import _text, chat, decontam, warc
 from clickloom.llm._text import SPACE_WORDS, hash_spans, shingles, slices, words_of
 
 TEXT = st.text(alphabet=st.sampled_from("ab<s>/[INST]\\\nÉ漢 "), max_size=60)
@@ -55,6 +56,18 @@ def test_word_kernel_equals_splitting(texts):
         assert [j for _, j in slices(at, 7)][-1] == len(texts)
 
 
+@settings(deadline=None)
+@given(st.lists(st.binary(max_size=90), max_size=12), st.integers(1, 50))
+def test_hashes_dont_depend_on_blocks(words, block):
+    low = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]).astype(np.int64) - 1 if words else np.zeros(0, np.int64)
+    starts = ends - np.array([len(w) for w in words], dtype=np.int64)
+    whole = hash_spans(low, starts, ends)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(_text, "_BLOCK", block)
+        assert hash_spans(low, starts, ends).tolist() == whole.tolist()
+
+
 @given(st.binary(max_size=200), st.integers(1, 20))
 def test_blocks_of_words_equal_whole_texts(text, block):
     numbers = {}

@@ -17,20 +17,27 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = both.join(_least(both), "u").where(F.col("v") > F.col("u"))
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+def _beside(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """The least of every ``u``, and the edges with it.
+
+    The least of many nodes is written, so that both sides of the join are shuffled
+    for it alone and adaptive execution splits a centre with very many edges.
+    """
+    least = _least(edges) if small else materialize(_least(edges), "least")
+    return least, edges.join(F.broadcast(least) if small else least, "u")
+
+
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
+    _, linked = _beside(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), small)
+    return linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
+    least, linked = _beside(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), small)
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, broadcast_keys: int = 1_000_000) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node.
 
     ``edges`` has columns ``a`` and ``b``; loops, repeats and either direction are
@@ -44,7 +51,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        current, old = materialize(_small_star(_large_star(current)), "edges"), current
+        small = 2 * now[0] <= broadcast_keys  # rows of what is broadcast, at most
+        half = _large_star(current, small)
+        current, old = materialize(_small_star(half if small else materialize(half, "edges"), small), "edges"), current
         discard(old)
     else:
         raise RuntimeError("components did not settle")

@@ -13,18 +13,20 @@ arrays only if that bound allows a link.
 
 Groups never give all their pairs. In a tile of many sets only a star is tested:
 each set with the leader of its band, and leaders of adjacent bands; tiles with the
-same members make up a cell, which gets a few more stars. If the links found so
+same leader make up a cell, which gets a few more stars. If the links found so
 far join the whole cell, no more is needed for it. Of whatever remains in pieces, each
 set is tested with its nearest in another piece, twice; what is then apart is
 compared in full, piece against piece, block by block of bitmaps, and only the
 pairs whose bound allows a link become rows and are verified. So components are
 exact, while most of a group of near copies costs a number of tests in proportion
-to its size. Equal sets are one
-node throughout; a map task passes one posting a shingle on, however many sets
-of its share it.
-
-A broadcast happens only below ``broadcast_keys`` keys, a join by shuffle above.
-A node is the 64-bit digest of its set; at n distinct sets two of them are
+to its size. Equal sets are one node throughout: a map task passes one posting a
+shingle on, however many sets of its share it, and a set's array comes from the one
+document of least id that has it.
+
+A broadcast happens only below ``broadcast_keys`` keys. Above, the smaller side is a
+written table, so that both sides are shuffled for the join alone and adaptive
+execution splits a key with very many rows. Tables go when their last reader is
+written. A node is the 64-bit digest of its set; at n distinct sets two of them are
 confused with probability n * n / 2**65.
 
 Defined results: a null, empty or word-free text has an empty set and no links, and
@@ -41,20 +43,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickloom.llm._shared import discard, materialize, small_batches
+from clickloom.llm._shared import collect_shuffles, discard, in_batches, materialize, sized
 from clickloom.llm._text import SPACE_WORDS, buffers, hash_spans, mix, shingles, slices, words_of
 from clickloom.llm.components import connected_components
 
-#: Shingles that the order puts last: at most so many, the most frequent by what scan tasks report.
-HEAVY_SHINGLES = 1 << 16
-#: A scan task reports a shingle from so many of its documents on; below, the order hardly matters.
-HEAVY_IN_TASK = 4
+#: Shingles that the order puts last: at most so many (12 bytes each in a broadcast), the most frequent by what scan tasks report.
+HEAVY_SHINGLES = 1 << 20
+#: A scan task reports a shingle from so many of its documents on.
+HEAVY_IN_TASK = 2
 #: Tiles up to so many sets are tested in full, larger ones by a star first.
 SMALL_TILE = 16
 #: Shingles that two sets of a link share among the first ones of each, if they have so many.
 SHARED = 4
-#: Least bits for each member of a set: of its bitmap in open tiles, and of the narrow one for other pairs.
-BITS_A_MEMBER, NARROW_BITS = 4, 1
+#: Least bits of a set's bitmap for each of its members.
+BITS_A_MEMBER = 4
 #: Bytes of bitmaps in a block of a cell whose pieces are compared.
 BLOCK_BYTES = 1 << 20
 #: Further stars of a cell, with other leaders each.
@@ -87,9 +89,9 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(np.array([total ^ np.uint64(len(s) * 0xE7037ED1A0B428DB & (2**64 - 1))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _bitmap(s: np.ndarray, bits_a_member: int) -> np.ndarray:
-    """Words of a bitmap with so many bits for each member at least; the width is a power of two, 64 or more."""
-    bits = max(64, bits_a_member << int(len(s) - 1).bit_length())
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Words of a set's bitmap; the width is a power of two, 64 or more."""
+    bits = max(64, BITS_A_MEMBER << int(len(s) - 1).bit_length())
     at = (s >> np.uint64(7)) & np.uint64(bits - 1)
     flags = np.zeros(bits, dtype=np.uint8)
     flags[at.astype(np.int64)] = 1
@@ -121,9 +123,21 @@ def frequent_shingles(texts: DataFrame, width: int, limit: int) -> np.ndarray:
         keep = counts >= HEAVY_IN_TASK
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], names=["h", "c"])
 
-    found = texts.transform(small_batches).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = found.orderBy(F.desc("c"), "h").limit(limit).toPandas()  # bounded by limit
-    return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    found = texts.transform(in_batches, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = materialize(found, "frequent")
+    # eighths of powers of two: the least from which on no more than ``limit`` shingles are counted
+    level, most, n = F.floor(F.log2("c") * 8).cast("int"), None, 0
+    for row in found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows at most
+        n += row["count"]
+        if n > limit:
+            break
+        most = row["level"]
+    top = found.where(level >= most).toArrow() if most is not None else None  # bounded by limit
+    discard(found)
+    if top is None:
+        return np.zeros(0, np.uint64)
+    h, c = (top.column(k).to_numpy() for k in ("h", "c"))
+    return h[np.lexsort((h, c))].view(np.uint64)
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
@@ -131,19 +145,19 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
     texts = docs.select(F.col(text_col).alias("_text"))
     heavy = frequent_shingles(texts, width, HEAVY_SHINGLES)
     order = np.argsort(heavy)
-    sent = docs.sparkSession.sparkContext.broadcast((heavy[order], order))
+    sent = docs.sparkSession.sparkContext.broadcast((heavy[order], order.astype(np.int32)))
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, rank = sent.value
         for batch in batches:
             n = batch.num_rows
-            sizes, nodes, bits, narrow, firsts = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n
+            sizes, nodes, bits, firsts = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, [None] * n
             for row, s in _sets(batch, width):
                 sizes[row] = len(s)
                 if not len(s):
                     continue
-                nodes[row], bits[row], narrow[row] = _digest(s), _bitmap(s, BITS_A_MEMBER), _bitmap(s, NARROW_BITS)
+                nodes[row], bits[row] = _digest(s), _bitmap(s)
                 take = len(s) - -(-len(s) * num // den) + SHARED
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -156,11 +170,13 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
                     firsts[row] = s[:take].view(np.int64)
             empty = sizes == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(nodes, mask=empty), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, narrow, firsts))],
-                names=["_id", "_h", "n", "node", "bits", "narrow", "first"],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(nodes, mask=empty), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, firsts))],
+                names=["_id", "_h", "n", "node", "bits", "first"],
             )
 
-    return materialize(base.transform(small_batches).mapInArrow(run, "_id long, _h long, n long, node long, bits array<long>, narrow array<long>, first array<long>"), "signatures")
+    written = materialize(base.transform(in_batches, run, "_id long, _h long, n long, node long, bits array<long>, first array<long>"), "signatures")
+    sent.destroy()
+    return written
 
 
 def _ratio(num: int, den: int) -> float:
@@ -280,8 +296,8 @@ def tile_candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
             for k in range(0, len(a), 100_000):
                 yield _pair_batch(token[k : k + 100_000], a[k : k + 100_000], b[k : k + 100_000], need[k : k + 100_000])
 
-    sent = postings.transform(small_batches).mapInArrow(scatter, "bucket int, blob binary, star binary")
-    return sent.repartition(n_buckets, "bucket").transform(small_batches).mapInArrow(gather, "token long, a long, b long, need long")
+    sent = postings.transform(in_batches, scatter, "bucket int, blob binary, star binary")
+    return sent.repartition(n_buckets, "bucket").transform(in_batches, gather, "token long, a long, b long, need long")
 
 
 def _pair_batch(token, a, b, need) -> pa.RecordBatch:
@@ -309,37 +325,64 @@ def may_link(x: Column, n: Column, y: Column, m: Column, num: int, den: int) ->
     return F.when(near, bound * den >= (n + m - bound) * num).otherwise(False)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: int, den: int, broadcast_keys: int) -> DataFrame:
+def bitmaps(signed: DataFrame, nodes: DataFrame, broadcast_keys: int) -> DataFrame:
+    """Size and bitmap of the sets in ``nodes`` (a written table), a row each."""
+    return signed.join(sized(nodes, broadcast_keys), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+
+def test_pairs(pairs: DataFrame, signed: DataFrame, num: int, den: int, broadcast_keys: int) -> DataFrame:
+    """Write those of the written ``pairs`` (a, b) whose sizes and bitmaps leave room for a link."""
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    marks = bitmaps(signed, nodes, broadcast_keys)
+    left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
+    possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
+    tested = materialize(pairs.join(left, "a").join(right, "b").where(possible).select("a", "b"), "tested")
+    discard(nodes)
+    return tested
+
+
+def verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, broadcast_keys: int) -> DataFrame:
     """The pairs (a < b) whose sets link, by the exact intersection of their sorted arrays; ``pairs`` is a written table.
 
-    One pass over the texts gives the arrays of the nodes in question, each once a
-    task at most. They go to the pairs' first nodes: ``LEADER_PAIRS`` of a node's pairs
-    and its own array make up a piece of work, read as a stream.
+    One pass over the texts gives the arrays of the nodes in question, each from the
+    document of least id that has it. They go to the pairs' first nodes: ``LEADER_PAIRS``
+    of a node's pairs and its own array make up a piece of work, read as a stream.
     """
     count = pairs.count()
     if not count:
         return pairs
+    small = 3 * count <= broadcast_keys
+
+    def checked(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    no_id = F.lit(-(2**63))
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).cast("int").alias("_s"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("salt"), F.col("b").alias("node"))
+    members = pairs.join(checked(salts), "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("salt"), F.col("b").alias("node"))
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.col("a").alias("node"))
-    roles = members.unionByName(leaders)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    holders = signed.join(checked(nodes), "node", "left_semi").groupBy("node").agg(F.coalesce(F.min("_id"), no_id).alias("_holder"))
+    roles = materialize(members.unionByName(leaders).join(checked(holders), "node"), "roles")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            nodes, sets, size = [], [], 0
-            for _, s in _sets(batch, width):
+            ids = batch.column(0).to_pylist()
+            nodes, holders, sets, size = [], [], [], 0
+            for row, s in _sets(batch, width):
                 node = _digest(s) if len(s) else None
-                if node is None or node in seen:
+                if node is None or (node, ids[row]) in seen:
                     continue
-                seen.add(node)
+                seen.add((node, ids[row]))
                 nodes.append(node)
+                holders.append(ids[row])
                 sets.append(s.tobytes())
                 size += len(sets[-1])
                 if size >= SENT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
-                    nodes, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(holders, pa.int64()), pa.array(sets, pa.binary())], names=["node", "_holder", "set"])
+                    nodes, holders, sets, size = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(holders, pa.int64()), pa.array(sets, pa.binary())], names=["node", "_holder", "set"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader, last = None, None, None
@@ -359,10 +402,13 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: in
                         links.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    found = docs.select(F.col(text_col).alias("_text")).transform(small_batches).mapInArrow(arrays, "node long, set binary")
-    rows = found.join(F.broadcast(roles) if 3 * count <= broadcast_keys else roles, "node").select("a", "salt", "node", "set")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("_id"), F.col(text_col).alias("_text"))
+    found = texts.transform(in_batches, arrays, "node long, _holder long, set binary")
+    rows = found.join(checked(roles), ["node", "_holder"]).select("a", "salt", "node", "set")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"), "node")
-    return dealt.transform(small_batches).mapInArrow(exact, "a long, b long")
+    links = materialize(dealt.transform(in_batches, exact, "a long, b long"), "links")
+    discard(roles)
+    return links
 
 
 def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -374,16 +420,17 @@ def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare_pieces(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+def compare_pieces(cells: DataFrame, num: int, den: int, nearest: bool, broadcast_keys: int) -> DataFrame:
     """Pairs (cell, a, b) of sets that lie in different groups and that sizes and bitmaps leave room for.
 
     With ``nearest`` a set gives its most promising pair in each piece of work only.
 
     A cell is cut into blocks of ``BLOCK_BYTES`` of bitmaps, and each pair of blocks is
-    a task's work, so a task holds two blocks however large the cell is.
+    a task's work, so a task holds two blocks however large the cell is. ``cells`` is a
+    written table.
     """
-    blocks = cells.groupBy("cell").agg(F.ceil(F.sum(F.size("bits") * 8 + 64) / BLOCK_BYTES).cast("int").alias("_blocks"))
-    rows = cells.join(blocks, "cell").withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int"))
+    blocks = materialize(cells.groupBy("cell").agg(F.ceil(F.sum(F.size("bits") * 8 + 64) / BLOCK_BYTES).cast("int").alias("_blocks")), "blocks")
+    rows = cells.join(sized(blocks, broadcast_keys), "cell").withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), "_own", "node", "group", "n", "bits")
 
@@ -425,7 +472,7 @@ def compare_pieces(cells: DataFrame, num: int, den: int, nearest: bool) -> DataF
     return rows.groupBy("cell", "p", "q").applyInArrow(compare, "cell long, a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 2_000_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 200_000) -> DataFrame:
     """Exact groups of documents that links of similarity num / den or more connect.
 
     Returns a row per document: ``id_col``, ``text_hash`` (xxhash64), ``n_shingles``,
@@ -433,20 +480,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component_id`` (least id in the group).
     """
     signed = sign(docs, id_col, text_col, width, num, den)
+    sets = signed.where("node is not null")
     candidates = materialize(tile_candidates(signed, num, den), "candidates")
-    def marked(bitmap: str) -> DataFrame:
-        return signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first(bitmap).alias("bits"))
+    collect_shuffles(docs)
 
-    def checked(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_keys else df
+    def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+        table = materialize(df, name)
+        for old in done:
+            discard(old)
+        return table
 
     # tiles of one passage or one group of near copies have the same members by and large: a cell is the tiles of one leader
     stars = candidates.where("token is not null")
-    tokens = stars.select("token").distinct()
+    leaders = written(stars.groupBy("token").agg(F.min("a").alias("cell")), "leaders")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(_ratio(num, den))) + 1e-9)
-    posted = signed.where("node is not null").select("node", band.alias("band"), F.explode("first").alias("token")).join(checked(tokens), "token")
-    cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
-    cells = materialize(posted.join(cell, "token").groupBy("cell", "node").agg(F.first("band").alias("band")), "cells")
+    posted = sets.select("node", band.alias("band"), F.explode("first").alias("token")).join(sized(leaders, broadcast_keys), "token")
+    cells = written(posted.groupBy("cell", "node").agg(F.first("band").alias("band")), "cells", leaders)
 
     # what is tested first: pairs of small tiles that meet often enough, and the stars of large tiles and cells
     met = candidates.where("token is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need")).where("_met >= _need").select("a", "b")
@@ -454,68 +503,68 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for step in range(1, STAR_ROUNDS + 1):
         lead = cells.groupBy("cell", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node"))["node"].alias("l"))
         lead = lead.select("cell", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "l")
-        first = first.union(cells.join(lead, ["cell", "band"]).where("node != l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")))
-    marks = marked("narrow")
-    left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
-    right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
-    possible = may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)
-    tested = materialize(first.distinct().join(left, "a").join(right, "b").where(possible).select("a", "b"), "tested")
-    discard(candidates)
-    groups = connected_components(verify(tested, docs, text_col, width, num, den, broadcast_keys))
+        lead = written(lead, "lead")
+        first = first.union(cells.join(sized(lead, broadcast_keys), ["cell", "band"]).where("node != l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")))
+    first = written(first.distinct(), "first", candidates)
+    tested = test_pairs(first, sets, num, den, broadcast_keys)
+    discard(first)
+    groups = written(connected_components(verify(tested, sets, docs, id_col, text_col, width, num, den, broadcast_keys)), "groups")
+    collect_shuffles(docs)
 
     def grouped(df: DataFrame, col: str, out: str) -> DataFrame:
-        return df.join(groups.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
+        return df.join(sized(groups.select(F.col("node").alias(col), F.col("component").alias(out)), broadcast_keys), col, "left").withColumn(out, F.coalesce(out, col))
 
     # cells that the links so far leave in pieces: sets look for their nearest in other pieces, then all of them are compared
     for step in range(NEAREST_ROUNDS + 1):
         named = grouped(cells.select("cell", "node", "band"), "node", "group")
-        split = named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell")
-        pieces = materialize(named.join(split, "cell"), "pieces")
-        if not pieces.limit(1).count():
+        split = written(named.groupBy("cell").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low != _high").select("cell"), "split")
+        if not split.limit(1).count():
             break
-        wide = signed.where("node is not null").select("node", "n", "bits").join(checked(pieces.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
-        near = materialize(compare_pieces(pieces.join(wide, "node"), num, den, step < NEAREST_ROUNDS), "near")
+        pieces = written(named.join(sized(split, broadcast_keys), "cell"), "pieces", split)
+        nodes = written(pieces.select("node").distinct(), "nodes")
+        marked = written(pieces.join(bitmaps(sets, nodes, broadcast_keys), "node"), "marked", nodes)
+        near = written(compare_pieces(marked, num, den, step < NEAREST_ROUNDS, broadcast_keys), "near", marked)
         # a cell without room for any link stays without it, as groups only grow
-        cells = pieces.join(near.select("cell").distinct(), "cell", "left_semi")
-        pairs = materialize(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        open_cells = written(near.select("cell").distinct(), "open_cells")
+        cells = written(pieces.join(sized(open_cells, broadcast_keys), "cell", "left_semi"), "cells", cells, pieces, open_cells)
+        pairs = written(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs", near)
         if not pairs.limit(1).count():
             continue
-        tested = tested.unionByName(pairs)
-        added = verify(pairs, docs, text_col, width, num, den, broadcast_keys)
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added))
-
-    rows = signed.select("_id", "_h", "n", "node")
-    rows = grouped(rows, "node", "group")
-    least = rows.where("group is not null").groupBy("group").agg(F.min("_id").alias("_least"))
-    rows = rows.join(least, "group", "left")
+        tested = written(tested.unionByName(pairs), "tested", tested)
+        added = verify(pairs, sets, docs, id_col, text_col, width, num, den, broadcast_keys)
+        groups = written(connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added)), "groups", groups, added, pairs)
+        collect_shuffles(docs)
+
+    # the least id goes from nodes to groups and back, so a group with a third of all rows is one row a node
+    own = written(grouped(sets.groupBy("node").agg(F.min("_id").alias("_own")), "node", "group"), "own", cells, tested)
+    least = written(own.groupBy("group").agg(F.min("_own").alias("_least")), "least")
+    named = written(own.join(sized(least, broadcast_keys), "group").select("node", "group", "_least"), "named", own, least, groups)
+    rows = signed.select("_id", "_h", "n", "node").join(sized(named, broadcast_keys), "node", "left")
     return rows.select(F.col("_id").alias(id_col), F.col("_h").alias("text_hash"), F.col("n").alias("n_shingles"), "node", "group", F.when(F.col("group").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = 2_000_000, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = 200_000, **options) -> DataFrame:
     """One document of each group, the one of least id (then least text hash); the others go.
 
     Documents with empty sets stay. Columns and the rows kept are unchanged.
     """
     rows = materialize(jaccard_groups(docs, id_col, text_col, broadcast_keys=broadcast_keys, **options), "groups").where("group is not null")
     key = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))
-    best = rows.groupBy("group").agg(F.min(key).alias("_best"))
-    judged = rows.join(best, "group").withColumn("_stays", key == F.col("_best"))
+    best = materialize(rows.groupBy("group").agg(F.min(key).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "best")
+    judged = rows.join(sized(best, broadcast_keys), "group").withColumn("_stays", key == F.col("_best"))
     gone = judged.where("not _stays").select(F.col(id_col).alias("_gid"), F.col("text_hash").alias("_gh")).distinct()
     twice = judged.where("_stays").groupBy(F.col(id_col).alias("_gid"), F.col("text_hash").alias("_gh")).count().where("count > 1").drop("count")
     gone, twice = materialize(gone, "gone"), materialize(twice, "twice")
 
-    def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_keys else df
-
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_gid")) & (F.xxhash64(F.col(text_col)) == F.col("_gh"))
-    kept = docs.join(sized(gone), same, "left_anti")
+    kept = docs.join(sized(gone, broadcast_keys), same, "left_anti")
     if not twice.limit(1).count():
         return kept
-    repeated = kept.join(sized(twice), same, "left_semi")
-    return kept.join(sized(twice), same, "left_anti").unionByName(repeated.dropDuplicates([id_col, text_col]))
+    repeated = kept.join(sized(twice, broadcast_keys), same, "left_semi")
+    return kept.join(sized(twice, broadcast_keys), same, "left_anti").unionByName(repeated.dropDuplicates([id_col, text_col]))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, broadcast_keys: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Every link between distinct sets, and which set each document has.
 
     Returns the links (a < b, nodes; each once) and a row per document: ``id_col``,
@@ -525,26 +574,21 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = sign(docs, id_col, text_col, width, num, den)
     candidates = materialize(tile_candidates(signed, num, den), "candidates")
     sets = signed.where("node is not null")
-
-    def checked(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_keys else df
-
     # pairs of small tiles that meet often enough
     met = candidates.where("token is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need")).where("_met >= _need").select("a", "b")
-    marks = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("narrow").alias("bits"))
-    left = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_p"))
-    right = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_q"))
-    room = met.join(left, "a").join(right, "b").where(may_link(F.col("_p"), F.col("_n"), F.col("_q"), F.col("_m"), num, den)).select("a", "b")
+    met = materialize(met, "met")
+    room = test_pairs(met, sets, num, den, broadcast_keys)
     # any other pair of a link meets in a large tile: all pairs of its cell
-    tokens = candidates.where("token is not null").select("token").distinct()
-    posted = sets.select("node", F.explode("first").alias("token")).join(checked(tokens), "token")
-    cell = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("cell"))
-    cells = materialize(posted.join(cell, "token").select("cell", "node").distinct(), "cells")
-    wide = sets.select("node", "n", "bits").join(checked(cells.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
-    near = compare_pieces(cells.join(wide, "node").withColumn("group", F.col("node")), num, den, False).select("a", "b")
+    leaders = materialize(candidates.where("token is not null").groupBy("token").agg(F.min("a").alias("cell")), "leaders")
+    posted = sets.select("node", F.explode("first").alias("token")).join(sized(leaders, broadcast_keys), "token")
+    cells = materialize(posted.select("cell", "node").distinct(), "cells")
+    nodes = materialize(cells.select("node").distinct(), "nodes")
+    marked = materialize(cells.join(bitmaps(sets, nodes, broadcast_keys), "node").withColumn("group", F.col("node")), "marked")
+    near = compare_pieces(marked, num, den, False, broadcast_keys).select("a", "b")
     pairs = materialize(room.unionByName(near).distinct(), "pairs")
-    discard(candidates)
-    links = materialize(verify(pairs, docs, text_col, width, num, den, broadcast_keys), "links")
+    for done in (candidates, met, room, leaders, cells, nodes, marked):
+        discard(done)
+    links = verify(pairs, sets, docs, id_col, text_col, width, num, den, broadcast_keys)
     return links, signed.select(F.col("_id").alias(id_col), F.col("_h").alias("text_hash"), F.col("n").alias("n_shingles"), "node")
 
 

@@ -75,6 +75,18 @@ def test_whole_documents_of_the_small_table(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("size", [64, 1024, 4096])
+def test_long_words_of_regular_build_stay_apart(spark, size):
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, word), (2, other), (3, word.upper()), (4, f"x {word} y z w v"), (5, f"x {other} y z w v")])
+
+
+def test_repeated_rows_with_one_id(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    check(spark, [(1, text)] * 20 + [(1, text + " more")] * 20 + [(None, text)] * 3)
+
+
 def test_empty_table(spark):
     check(spark, [])
 

@@ -1,21 +1,24 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A piece (one match of the pre-splitting pattern) is encoded in halves; two
-encoded neighbours are joined by encoding a window of tokens around the seam
-anew. The window grows until it agrees with the tokens outside. That test is
-exact: under rank-ordered merges whose tokens are all reachable, a token
+A piece (one match of the pre-splitting pattern) is encoded in halves, down to
+single bytes; two encoded neighbours are joined by encoding a window of tokens
+around the seam anew. The window grows until it agrees with the tokens outside. That
+test is exact: under rank-ordered merges whose tokens are all reachable, a token
 sequence is the encoding of its bytes if and only if each pair of neighbours is
 the encoding of the pair's bytes. Pairs inside an encoded side or inside the
 window hold already, so only the two seams of the window are looked at, and once
 both hold, nothing outside can change. Joining is associative with the empty
-sequence as unit. Pieces never merge with each other, so the tree above them
-concatenates, and so does decoding.
+sequence as unit. Pieces never merge with each other, so above them the tree
+concatenates, and so does decoding. That every token is reachable is checked on the
+driver; another vocabulary is refused.
 
-Each task works on the rows it scans: no shuffle, no state but a bounded cache.
+Each task works on the rows it scans: no shuffle, no state but a bounded cache,
+which ends with the task.
 
 Defined results: a null text is encoded as the empty text (no ids); repeated rows
 and null ids give a row each; an empty table gives no rows. Other columns are
-ignored unless named in ``keep``.
+ignored unless named in ``keep``; a kept column whose name the operator needs itself
+is refused.
 """
 
 from __future__ import annotations
@@ -28,14 +31,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clickloom.llm._shared import small_batches
+from clickloom.llm._shared import in_batches
 
-#: Pieces up to so many bytes are merged directly; they are the leaves of the tree.
-LEAF = 24
-#: Tokens that a decoding leaf holds.
-DECODE_LEAF = 1 << 16
-#: Cached pieces a worker keeps, and the longest that it caches (characters).
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+#: Tokens, and matches of the pattern, that a leaf of the upper tree holds.
+LEAF_TOKENS, LEAF_MATCHES = 1 << 12, 1 << 16
+#: Cached pieces a codec keeps, and the longest that it caches (characters); cached parts of pieces and pairs of tokens.
+CACHE_PIECES, CACHE_CHARS, CACHE_PARTS, CACHE_PAIRS = 100_000, 48, 100_000, 100_000
+#: Bytes of a part of a piece that is cached.
+PART_BYTES = 6
+
+
+def fold(parts: list, join):
+    """Reduce a non-empty list level by level: neighbours are joined, then their joins."""
+    while len(parts) > 1:
+        odd = parts[-1:] if len(parts) % 2 else []
+        parts = [join(a, b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + odd
+    return parts[0]
+
+
+def unreachable(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens that the merges of their own bytes don't end in; an encoder by joins needs that there is none."""
+    codec = TreeCodec(ranks, "")
+    return [t for t, rank in ranks.items() if codec.merge(t, whole=False) != [rank]]
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -53,12 +70,17 @@ class TreeCodec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.parts: dict[bytes, list[int]] = {}
+        self.joins = 0
         self.cache = _Pieces(self)
 
-    def merge(self, data: bytes) -> list[int]:
-        """The plain algorithm on short bytes: join the neighbours of least rank, leftmost first."""
+    def merge(self, data: bytes, whole: bool = True) -> list[int]:
+        """The plain algorithm on a window's bytes: join the neighbours of least rank, leftmost first.
+
+        With ``whole`` bytes that are a token are that token, as they are if it is reachable.
+        """
         ranks = self.ranks
-        if data in ranks:
+        if whole and data in ranks:
             return [ranks[data]]
         parts = [data[i : i + 1] for i in range(len(data))]
         none = len(self.tokens) + 1
@@ -80,7 +102,7 @@ class TreeCodec:
         """Whether two neighbours stay as they are when their bytes are encoded together."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
@@ -89,6 +111,7 @@ class TreeCodec:
         """The encoding of two neighbours' bytes from the encodings of each."""
         if not left or not right:
             return left or right
+        self.joins += 1
         if self.stable(left[-1], right[0]):
             return left + right
         i = j = 1
@@ -102,28 +125,32 @@ class TreeCodec:
             i, j = i if left_holds else i * 2, j if right_holds else j * 2
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """Halves first, then their join; neighbours of one level are joined level by level."""
-        if len(data) <= LEAF:
-            return self.merge(data)
-        level = [self.merge(data[k : k + LEAF]) for k in range(0, len(data), LEAF)]
-        while len(level) > 1:
-            odd = level[-1:] if len(level) % 2 else []
-            level = [self.join(a, b) for a, b in zip(level[::2], level[1::2], strict=False)] + odd
-        return level[0]
+        """The halves' encodings, joined; a byte is a token by itself."""
+        if len(data) < 2:
+            return [self.ranks[data]] if data else []
+        known = self.parts.get(data)
+        if known is None:
+            half = len(data) // 2
+            known = self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+            if len(data) <= PART_BYTES:
+                if len(self.parts) >= CACHE_PARTS:
+                    self.parts.clear()
+                self.parts[data] = known
+        return known
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if len(text) <= 1 << 20:
+        if len(text) <= LEAF_MATCHES:
             return b"".join(map(self.cache.__getitem__, self.pattern.findall(text)))
-        matches, parts = self.pattern.finditer(text), []
-        while block := [m[0] for m in islice(matches, 1 << 16)]:
-            parts.append(b"".join(map(self.cache.__getitem__, block)))
-        return b"".join(parts)
+        matches, leaves = self.pattern.finditer(text), [b""]
+        while block := [m[0] for m in islice(matches, LEAF_MATCHES)]:
+            leaves.append(b"".join(map(self.cache.__getitem__, block)))
+        return fold(leaves, bytes.__add__)
 
     def decode(self, ids: bytes) -> bytes:
-        """Bytes of little-endian ids; leaves are looked up and joined up the tree."""
-        numbers, get = np.frombuffer(ids, dtype="<u4"), self.tokens.__getitem__
-        return b"".join(b"".join(map(get, numbers[k : k + DECODE_LEAF].tolist())) for k in range(0, len(numbers), DECODE_LEAF))
+        """Bytes of little-endian ids: leaves are looked up and joined up the tree."""
+        numbers, get = np.frombuffer(ids, dtype="<u4").tolist(), self.tokens.__getitem__
+        return fold([b"".join(map(get, numbers[k : k + LEAF_TOKENS])) for k in range(0, max(len(numbers), 1), LEAF_TOKENS)], bytes.__add__)
 
 
 class _Pieces(dict):
@@ -142,54 +169,70 @@ class _Pieces(dict):
         return ids
 
 
-_codecs: dict[tuple[int, str], TreeCodec] = {}
+def _vocabulary(docs: DataFrame, ranks_path: str):
+    """The rank file's bytes for all tasks; a vocabulary file is small whatever the corpus."""
+    with open(ranks_path, "rb") as f:
+        raw = f.read()
+    if hash(raw) not in _sound:
+        if bad := unreachable(read_ranks(raw)):
+            raise ValueError(f"{len(bad)} tokens can't be reached by merges, the first is {bad[0]!r}")
+        _sound.add(hash(raw))
+    return docs.sparkSession.sparkContext.broadcast(raw)
 
 
-def _codec(raw: bytes, pattern: str) -> TreeCodec:
-    key = hash(raw), pattern
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = TreeCodec(read_ranks(raw), pattern)
-    return _codecs[key]
+_sound: set[int] = set()
 
 
-def _vocabulary(docs: DataFrame, ranks_path: str):
-    """The rank file's bytes for all tasks; a vocabulary file is small whatever the corpus."""
-    with open(ranks_path, "rb") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())
+def _kept(docs: DataFrame, keep: Sequence[str], own: Sequence[str]) -> None:
+    if clash := sorted({c.lower() for c in keep} & {c.lower() for c in own}):
+        raise ValueError(f"columns of the result can't be kept: {', '.join(clash)}")
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Encode whole texts: id, ``keep``, ``n_tokens`` and ``ids`` (little-endian u32, binary)."""
+def _encoding(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, keep: Sequence[str], decode_as: str | None) -> DataFrame:
+    own = ["n_tokens", "ids", *([decode_as] if decode_as else [])]
+    _kept(docs, keep, [id_col, *own])
     raw = _vocabulary(docs, ranks_path)
     kept = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(text_col).alias("_text"))
-    schema = T.StructType([*[f for f in kept.schema if f.name != "_text"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*[f for f in kept.schema if f.name != "_text"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("_decoded", T.BinaryType())] if decode_as else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(raw.value, pattern)
+        codec = TreeCodec(read_ranks(raw.value), pattern)
         for batch in batches:
             at = batch.num_columns - 1
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 ids = [codec.encode(t) if t else b"" for t in part.column(at).to_pylist()]
                 columns = [*part.columns[:at], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decode_as:
+                    columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.transform(small_batches).mapInArrow(run, schema).toDF(id_col, *keep, "n_tokens", "ids")
+    return kept.transform(in_batches, run, schema).toDF(id_col, *keep, *own)
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Encode whole texts: id, ``keep``, ``n_tokens`` and ``ids`` (little-endian u32, binary)."""
+    return _encoding(docs, ranks_path, pattern, id_col, text_col, keep, None)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), out_col: str = "decoded") -> DataFrame:
+    """Encode whole texts and decode the ids again, in one pass: the columns of ``encode_documents`` and the bytes."""
+    return _encoding(docs, ranks_path, pattern, id_col, text_col, keep, out_col)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes that ``ids_col`` stands for; all columns stay. Null ids give no bytes."""
+    _kept(encoded, encoded.columns, [out_col])
     raw = _vocabulary(encoded, ranks_path)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())])
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(raw.value, pattern)
+        codec = TreeCodec(read_ranks(raw.value), pattern)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 out = pa.array([codec.decode(x or b"") for x in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=schema.names)
 
-    return encoded.transform(small_batches).mapInArrow(run, schema)
+    return encoded.transform(in_batches, run, schema)

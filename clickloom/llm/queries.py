@@ -18,9 +18,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all whole texts and the bytes that they decode to, as digests."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
-    decoded = bpe.decode_documents(encoded, ranks, pattern)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

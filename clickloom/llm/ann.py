@@ -8,8 +8,10 @@ reaches the k-th best known lower bound of its query; survivors are recomputed i
 double precision from the original vectors and kept in a heap of k for each
 query. The result is exact, so recall is 1.
 
-Queries go out in blocks of a fixed size in bytes, one pass over the candidates
-for each; no task sees all pairs as rows, and a task sends k rows a query on.
+Queries and candidates are packed into tiles, a row each, and tiles meet by a join:
+all queries are broadcast if they fit one block of a fixed size in bytes, else
+blocks of queries and tiles of candidates are dealt by (block, salt). Nothing is
+collected, no task sees all pairs as rows, and a task sends k rows a query on.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with null ids take no part; only vectors of a query's
@@ -21,18 +23,21 @@ empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.llm._shared import small_batches
+from clickloom.llm._shared import in_batches, materialize
 
 #: Bytes of query vectors (as doubles) in a block.
 BLOCK_BYTES = 16 << 20
-#: Rows of a tile on either side.
-TILE = 2048
+#: Rows of a tile on either side, and candidate tiles that meet a block of queries in one piece of work, about.
+TILE, TILES_A_SALT = 2048, 32
+#: Blocks of queries whose heaps a task holds.
+HELD_BLOCKS = 4
 
 
 def _vectors(column: pa.Array, ids: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -57,13 +62,12 @@ def ordered_dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Side:
-    """Vectors with their squared norms and int8 codes."""
+    """Vectors, brought into range by powers of two (which keeps cosines as they are), with squared norms and int8 codes."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
         self.ids, self.x, self.square = ids, x, ordered_dot(x, x)
-        big = np.abs(x).max(axis=1, keepdims=True)
-        scaled = x / big  # keeps squares in range
-        unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+        unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         self.scale = np.abs(unit).max(axis=1) / 127
         self.code = np.rint(unit / self.scale[:, None]).astype(np.int8)
         self.error = np.sqrt(((unit - self.code * self.scale[:, None]) ** 2).sum(axis=1)) + 1e-12
@@ -100,39 +104,85 @@ def search_tile(q: Side, c: Side, heaps: list[list[tuple[float, int]]], k: int)
             heapq.heapreplace(heap, (score, key))
 
 
+def _packed(rows: DataFrame, key: str, tile: int) -> DataFrame:
+    """Tiles of up to ``tile`` usable vectors of one length and one ``key``: key, d, ids, x; rows of a key lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[tuple[int, int], list] = OrderedDict()
+
+        def sent(at: tuple[int, int]) -> pa.RecordBatch:
+            parts = held.pop(at)
+            ids, x = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], names=["key", "d", "ids", "x"])
+
+        for batch in batches:
+            keys = batch.column(2).to_numpy(zero_copy_only=False)
+            for key_now in np.unique(keys):
+                part = batch.filter(pa.array(keys == key_now))
+                for ids, x in _vectors(part.column(1), part.column(0)):
+                    for i in range(0, len(ids), tile):
+                        at = int(key_now), x.shape[1]
+                        held.setdefault(at, []).append((ids[i : i + tile], x[i : i + tile]))
+                        if sum(len(p[0]) for p in held[at]) >= tile:
+                            yield sent(at)
+                        elif len(held) > HELD_BLOCKS:
+                            yield sent(next(iter(held)))
+        while held:
+            yield sent(next(iter(held)))
+
+    return rows.select("_id", "_v", F.col(key).cast("long")).transform(in_batches, run, "key long, d int, ids binary, x binary")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k nearest rows of every query row: query_id, rank, id, score (cosine)."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    asking = vectors.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), is_query.alias("_asks"))
     # unusable vectors go before the least is taken, as they could be it
     odd = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asking = asking.where((F.size("_v") > 0) & ~odd & F.exists("_v", lambda x: x != 0)).groupBy("_id").agg(F.min("_v").alias("_v"))
+    rows = rows.where(F.col("_id").isNotNull() & (F.size("_v") > 0) & ~odd & F.exists("_v", lambda x: x != 0))
+    asking = materialize(rows.where("_asks").groupBy("_id").agg(F.min("_v").alias("_v")), "queries")
     size = asking.agg(F.sum(8 * F.size("_v") + 64)).first()[0] or 0
     n_blocks = max(1, -(-int(size) // block_bytes))
-    found = None
-    for b in range(n_blocks):
-        block = asking.where(F.pmod(F.xxhash64("_id"), F.lit(n_blocks)) == b).toArrow()  # block_bytes, about
-        sides = [Side(i, x) for i, x in _vectors(block.column("_v").combine_chunks(), block.column("_id").combine_chunks())] if block.num_rows else []
-        sent = vectors.sparkSession.sparkContext.broadcast(sides)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            sides = sent.value
-            heaps = [[[] for _ in s.ids] for s in sides]
-            for batch in batches:
-                for ids, x in _vectors(batch.column(1), batch.column(0)):
-                    for side, heap in zip(sides, heaps, strict=True):
-                        if side.x.shape[1] != x.shape[1]:
-                            continue
-                        every = Side(ids, x)
-                        for j in range(0, len(ids), TILE):
-                            tile = every.part(slice(j, j + TILE))
-                            for i in range(0, len(side.ids), TILE):
-                                search_tile(side.part(slice(i, i + TILE)), tile, heap[i : i + TILE], k)
-            out = [(int(i), -key, score) for side, heap in zip(sides, heaps, strict=True) for i, h in zip(side.ids, heap, strict=True) for score, key in h]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "_id", "score"])
-
-        part = rows.transform(small_batches).mapInArrow(run, "query_id long, _id long, score double")
-        found = part if found is None else found.unionByName(part)
+    blocks = asking.withColumn("_key", F.pmod(F.xxhash64("_id"), F.lit(n_blocks)))
+    blocks = blocks.repartition(n_blocks, "_key").sortWithinPartitions("_key")
+    widest = block_bytes // 64  # rows: a block is one tile a length, or several
+    q = _packed(blocks, "_key", max(1, min(widest, 8 * TILE))).select(F.col("key").alias("block"), "d", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    if n_blocks == 1:
+        c = _packed(rows.withColumn("_key", F.lit(0)), "_key", TILE).select("d", F.col("ids").alias("c_ids"), F.col("x").alias("c"))
+        pairs = c.join(F.broadcast(q), "d")  # block_bytes, about
+    else:
+        n_salts = max(1, -(-rows.count() // (TILE * TILES_A_SALT)))
+        c = _packed(rows.withColumn("_key", F.pmod(F.spark_partition_id(), F.lit(n_salts))), "_key", TILE)
+        c = c.select("d", F.col("key").alias("salt"), F.col("ids").alias("c_ids"), F.col("x").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long"))))
+        pairs = c.join(q.hint("shuffle_merge"), ["block", "salt", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[tuple, tuple[Side, list]] = OrderedDict()
+
+        def sent(key) -> pa.RecordBatch:
+            side, heaps = held.pop(key)
+            out = [(i, -other, score) for i, h in zip(side.ids.tolist(), heaps, strict=True) for score, other in h]
+            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "_id", "score"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, d = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                q_ids, q_x, c_ids, c_x = (batch.column(j)[row].as_buffer() for j in range(2, 6))
+                first = np.frombuffer(q_ids, "<i8", 1)[0]  # tells tiles of one block apart
+                if (block, d, first) not in held:
+                    if len(held) >= HELD_BLOCKS:
+                        yield sent(next(iter(held)))
+                    ids = np.frombuffer(q_ids, "<i8").copy()
+                    held[block, d, first] = Side(ids, np.frombuffer(q_x, "<f8").reshape(-1, d)), [[] for _ in ids]
+                side, heaps = held[block, d, first]
+                tile = Side(np.frombuffer(c_ids, "<i8"), np.frombuffer(c_x, "<f8").reshape(-1, d))
+                for i in range(0, len(side.ids), TILE):
+                    part = heaps[i : i + TILE]
+                    search_tile(side.part(slice(i, i + TILE)), tile, part, k)
+        while held:
+            yield sent(next(iter(held)))
+
+    found = pairs.select("block", "d", "q_ids", "q", "c_ids", "c").transform(in_batches, run, "query_id long, _id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("_id").alias(id_col), "score")

@@ -1,6 +1,7 @@
 """WARC archives: writing, reading, and reassembly of segmented records.
 
-Writing gives one record a row. A payload is the body of an HTTP response in
+Writing gives one record a row; a revisit names the record that it refers to, unless
+that row is there more than once, when it names page and digest. A payload is the body of an HTTP response in
 chunked framing; a block longer than a segment is cut into a first record and
 ``continuation`` records. Of rows with equal payloads, the one with the largest id
 is the ``response`` and the others are ``revisit`` records without a body.
@@ -10,7 +11,12 @@ feed are the line, the line feed is the separator. So they go to any file system
 that Spark writes to, a task's file appears only when the task commits, and each
 file is a valid gzipped WARC file.
 
-Reading parses whole files by content length. Continuations are grouped by the
+A file holds so many pages that their payloads are bounded in bytes: large payloads
+go to files of their own, a few or one in each.
+
+Reading parses whole files by content length, those of other writers too: records
+of other kinds than responses, revisits and resources are left out, and pages are
+known by their identifiers only in archives written here. Continuations are grouped by the
 identifier of their origin, ordered by segment number, checked against the total
 length, and only then is the chunked framing decoded. A group is one record, so
 it is as large as one payload. Revisits get their size from the record they name.
@@ -28,19 +34,20 @@ records; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from clickloom.llm._shared import materialize, shared_path, small_batches
+from clickloom.llm._shared import discard, in_batches, materialize, shared_path, sized
 
 #: Bytes of a record's block from which it is segmented, and of a chunk of its body.
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 8 << 10
-#: Pages in an archive file at most.
-PAGES_A_FILE = 2000
+#: Pages in an archive file at most, the payload up to which so many go into one, and bytes of larger payloads in a file (or one payload).
+PAGES_A_FILE, SMALL_PAYLOAD, FILE_BYTES = 2000, 32 << 10, 64 << 20
 # Names of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,10 +103,10 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, serial: str, segment_bytes: int, chunk_bytes: int) -> bytes:
-    """The records of one page, one after another."""
+    """The records of one page, one after another; without a serial it is the page's only record of that payload."""
     digest = base32_sha1(payload)
-    name = f"urn:page:{'' if page_id is None else page_id}:{digest}"
-    fields = [("WARC-Record-ID", f"<{name}#{serial}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+    name = f"urn:page:{'' if page_id is None else page_id}:{digest}" + (f"#{serial}" if serial else "")
+    fields = [("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
         fields.append(("WARC-Target-URI", "".join(f"%{ord(c):02X}" if c < " " else c for c in url)))
     if refers_to is not None:
@@ -112,7 +119,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
     pieces = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
     out = [record([*fields, ("WARC-Segment-Number", "1")], pieces[0])]
     for k, piece in enumerate(pieces[1:], 2):
-        own = [("WARC-Record-ID", f"<{name}#{serial}-{k}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", f"<{name}#{serial}>"), ("WARC-Segment-Number", str(k))]
+        own = [("WARC-Record-ID", f"<{name}-{k}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", str(k))]
         if k == len(pieces):
             own.append(("WARC-Segment-Total-Length", str(len(block))))
         out.append(record(own, piece))
@@ -127,7 +134,9 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = data[at:end].split(b"\r\n")
         if end < 0 or not lines[0].startswith(b"WARC/"):
             raise WarcError(f"no record begins at byte {at}")
-        fields = {k.decode().lower(): v.decode() for k, _, v in (line.partition(b": ") for line in lines[1:])}
+        fields = {k.decode().strip().lower(): v.decode().strip() for k, _, v in (line.partition(b":") for line in lines[1:])}
+        if "content-length" not in fields:
+            raise WarcError(f"the record at byte {at} has no length")
         start = end + 4
         at = start + int(fields["content-length"])
         if data[at : at + 4] != b"\r\n\r\n":
@@ -140,11 +149,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write all pages to gzipped archive files under ``path``; payloads from ``min_bytes`` on are written once."""
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"), F.sha1(payload).alias("_sha"))
-    equal = rows.where(F.octet_length("_payload") >= min_bytes).groupBy("_sha").agg(F.max("_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_size", F.octet_length("_payload"))
+    keys = materialize(rows.select("_sha", "_id", "_size"), "keys")
+    equal = keys.where(F.col("_size") >= min_bytes).groupBy("_sha").agg(F.max("_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
     equal = materialize(equal.where("_n > 1 and _top is not null").drop("_n"), "equal_payloads")
-    right = F.broadcast(equal) if equal.count() <= broadcast_keys else equal
+    tops = keys.join(sized(equal, broadcast_keys), "_sha").where("_id = _top").groupBy("_sha").agg((F.count(F.lit(1)) == 1).alias("_only"))
+    equal = materialize(equal.join(tops, "_sha"), "equal_payloads")
+    largest = keys.agg(F.max("_size")).first()[0] or 0
     refers = F.when(F.col("_id").isNull() | (F.col("_id") != F.col("_top")), F.col("_top"))
-    rows = rows.join(right, "_sha", "left").select("_id", "_url", "_payload", refers.alias("_refers"))
+    named = F.coalesce((F.col("_id") == F.col("_top")) & F.col("_only"), F.lit(False))
+    rows = rows.join(sized(equal, broadcast_keys), "_sha", "left").select("_id", "_url", "_payload", refers.alias("_refers"), named.alias("_named"), "_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -153,25 +167,33 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 out = []
-                for page_id, url, data, refers_to in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                for page_id, url, data, refers_to, named, size in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     serial += 1
-                    out.append(page_records(page_id, url, data, refers_to, f"{task}.{serial}", segment_bytes, chunk_bytes)[:-1])
+                    own = "" if named else f"{'s' if size <= SMALL_PAYLOAD else 'l'}{task}.{serial}"
+                    out.append(page_records(page_id, url, data, refers_to, own, segment_bytes, chunk_bytes)[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = rows.transform(small_batches).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", PAGES_A_FILE).text(path)
+    def write(part: DataFrame, pages_a_file: int) -> None:
+        lines = part.transform(in_batches, run, "value binary").select(F.col("value").cast("string").alias("value"))
+        lines.write.mode("append").option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", pages_a_file).text(path)
+
+    write(rows.where(F.col("_size") <= SMALL_PAYLOAD), PAGES_A_FILE)
+    if largest > SMALL_PAYLOAD:
+        write(rows.where(F.col("_size") > SMALL_PAYLOAD), max(1, FILE_BYTES // largest))
+    discard(keys)
     return path
 
 
+_PAGE = re.compile(r"<urn:page:(-?\d*):")
 _READ = "origin string, segment int, total long, kind string, page_id long, url string, refers_to string, digest string, block binary"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The payloads of all records under ``path``, segments reassembled.
+    """The payloads of all responses, revisits and resources under ``path``, segments reassembled.
 
-    Returns page_id, url, payload (null for revisits), payload_bytes,
-    payload_digest, record_type, refers_to (page id) and n_segments. What doesn't
-    fit its own lengths or digest raises an error.
+    Returns record_id, page_id (null in archives of other writers), url, payload
+    (null for revisits), payload_digest, record_type, the record that a revisit
+    names, and n_segments. What doesn't fit its own lengths or SHA-1 raises an error.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -181,57 +203,65 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 raw, rows = content.as_buffer(), []
-                data = zlib.decompress(raw, wbits=47) if memoryview(raw)[:2].tobytes() == b"\x1f\x8b" else raw.to_pybytes()
+                data = gzip.decompress(raw) if memoryview(raw)[:2].tobytes() == b"\x1f\x8b" else raw.to_pybytes()
                 for f, block in parse_records(data):
                     number = int(f.get("warc-segment-number", 1))
                     origin = f["warc-segment-origin-id" if f["warc-type"] == "continuation" else "warc-record-id"]
                     total = f.get("warc-segment-total-length")
-                    page = origin.split(":")[2]
+                    page = _PAGE.match(origin)
                     whole = f["warc-type"] != "continuation" and "warc-segment-number" not in f
-                    rows.append((origin, number, len(block) if whole else total and int(total), f["warc-type"], int(page) if page else None, f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"), block))
+                    rows.append((origin, number, len(block) if whole else total and int(total), f["warc-type"], int(page[1]) if page and page[1] else None, f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"), block))
                     if len(rows) == 256:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    parsed = files.transform(small_batches).mapInArrow(parse, _READ)
+    parsed = files.transform(in_batches, parse, _READ)
     grouped = parsed.groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("segment", "total", "block"))).alias("segments"),
         *[F.first(F.when(F.col("segment") == 1, F.col(c)), ignorenulls=True).alias(c) for c in ("kind", "page_id", "url", "refers_to", "digest")],
     )
-    assembled = grouped.select("page_id", "url", "kind", "refers_to", "digest", F.col("segments.segment").alias("numbers"), F.col("segments.total").alias("totals"), F.col("segments.block").alias("blocks"))
-    schema = T.StructType([*[T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("_refers", T.StringType()), ("payload", T.BinaryType()), ("_bytes", T.LongType()), ("payload_digest", T.StringType()), ("n_segments", T.IntegerType()))]])
+    grouped = grouped.where(F.col("kind").isNull() | F.col("kind").isin("response", "revisit", "resource"))
+    assembled = grouped.select(F.col("origin").alias("record_id"), "page_id", "url", "kind", "refers_to", "digest", F.col("segments.segment").alias("numbers"), F.col("segments.total").alias("totals"), F.col("segments.block").alias("blocks"))
+    schema = T.StructType([*[T.StructField(n, t) for n, t in (("record_id", T.StringType()), ("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("_refers", T.StringType()), ("payload", T.BinaryType()), ("_bytes", T.LongType()), ("payload_digest", T.StringType()), ("n_segments", T.IntegerType()))]])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                pages, urls, kinds, refers, digests, numbers, totals, blocks = (c.to_pylist() for c in part.columns)
+                kinds, digests, numbers, totals, blocks = (part.column(j).to_pylist() for j in (3, 5, 6, 7, 8))
                 payloads, found = [], []
                 for kind, digest, number, total, pieces in zip(kinds, digests, numbers, totals, blocks, strict=True):
                     if number != list(range(1, len(number) + 1)) or total[-1] is None or sum(map(len, pieces)) != total[-1]:
                         raise WarcError("segments are missing, repeated, or not of their total length")
-                    payload = None if kind == "revisit" else payload_of(pieces[0] if len(pieces) == 1 else b"".join(pieces))
-                    own = digest.removeprefix("sha1:")
-                    if payload is not None and base32_sha1(payload) != own:
+                    block = pieces[0] if len(pieces) == 1 else b"".join(pieces)
+                    payload = None if kind == "revisit" else block if kind == "resource" else payload_of(block)
+                    said = digest.removeprefix("sha1:").upper() if digest and digest.startswith("sha1:") else None
+                    own = said if payload is None else base32_sha1(payload)
+                    if payload is not None and said and len(said) == 32 and said != own:
                         raise WarcError("a payload doesn't have its digest")
                     payloads.append(payload)
                     found.append(own)
                 sizes = [None if p is None else len(p) for p in payloads]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.string()), pa.array([len(n) for n in numbers], pa.int32())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(5)), pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.string()), pa.array([len(n) for n in numbers], pa.int32())], names=schema.names)
 
-    return assembled.transform(small_batches).mapInArrow(assemble, schema)
+    return assembled.transform(in_batches, assemble, schema)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Give revisits the size of the payload that they refer to; the payloads themselves are left out."""
     rows = records.drop("payload")
-    target = F.regexp_extract("_refers", r"^<urn:page:(-?\d+):", 1).cast("long")
-    revisits = rows.where("record_type = 'revisit'").withColumn("refers_to", target).drop("_bytes")
+    own = r"^<urn:page:(-?\d+):([A-Z2-7]+)"
+
+    def name(record: str) -> F.Column:
+        """Page and digest of an identifier written here, whatever its serial; others as they are."""
+        return F.when(F.regexp_like(record, F.lit(own)), F.concat_ws(":", F.regexp_extract(record, own, 1), F.regexp_extract(record, own, 2))).otherwise(F.col(record))
+
+    revisits = rows.where("record_type = 'revisit'").withColumn("_key", name("_refers")).drop("_bytes")
     others = rows.where("record_type != 'revisit'")
-    sizes = others.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("_bytes").alias("payload_bytes"))
-    revisits = revisits.join(sizes, ["refers_to", "payload_digest"], "left")
+    sizes = others.groupBy(name("record_id").alias("_key")).agg(F.first("_bytes").alias("payload_bytes"), F.first("page_id").alias("refers_to"))
+    revisits = revisits.join(sizes, "_key", "left")
     others = others.withColumn("refers_to", F.lit(None).cast("long")).withColumnRenamed("_bytes", "payload_bytes")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments"]
     return others.select(*columns).unionByName(revisits.select(*columns))

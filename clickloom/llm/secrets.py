@@ -10,9 +10,10 @@ Positions come from splitting: the pieces between matches and the matches
 themselves alternate, so running lengths give every start, in code points.
 
 Counting goes through partial aggregation by (value, owner, repository), so a value
-or an owner with a third of all rows is combined before it moves; joining the
-counts back is an equi-join that adaptive execution splits where it is skewed.
-The scanned table is written once, so texts are searched once.
+or an owner with a third of all rows is combined before it moves; the counts are
+written, and joined back by broadcast up to ``broadcast_keys`` values, else by an
+equi-join whose sides are shuffled for it alone, so that adaptive execution splits a
+value with very many findings. The scanned table is written once, so texts are searched once.
 
 Defined results: a null text has no spans; a null owner or repository counts as one
 owner or repository of its own; repeated rows each get their row and count once as
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickloom.llm._shared import materialize
+from clickloom.llm._shared import materialize, sized
 
 # The base patterns, by kind in the order in which ties are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,7 +67,7 @@ def _live_looking(value: Column) -> Column:
     return F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Za-z]")) & (distinct >= 10) & ~F.regexp_like(F.lower(value), F.lit("example|sample|placeholder|changeme|xxxx|0123456789|123456789"))
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), keep: Sequence[str] = ("doc_id",), max_owners: int = 2, example_owners: int = 3, out_col: str = "findings") -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), keep: Sequence[str] = ("doc_id",), max_owners: int = 2, example_owners: int = 3, out_col: str = "findings", broadcast_keys: int = 200_000) -> DataFrame:
     """Find secrets and weigh every candidate by who owns it.
 
     Returns ``keep`` and ``out_col``: structs of start, kind (index in KINDS), end,
@@ -93,8 +94,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     seen = each.groupBy("hash", "_owner", "_repo").agg(F.count(F.lit(1)).alias("_n"))
     per_owner = seen.groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("_repos"))
     owners = per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repos").alias("repositories"))
+    owners = materialize(owners, "secret_owners")
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("live"), "live").otherwise("weak")
-    weighed = each.drop("_owner", "_repo").join(owners, "hash").withColumn("verdict", verdict)
+    weighed = each.drop("_owner", "_repo").join(sized(owners, broadcast_keys), "hash").withColumn("verdict", verdict)
     weighed = weighed.where((F.col("kind") < 3) | ((F.col("verdict") == "live") & (F.col("owners") <= max_owners)))
     per_row = weighed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repositories", "verdict"))).alias("_findings"))
     with_spans = scanned.where(F.size("_found") > 0).join(per_row, "_row", "left")

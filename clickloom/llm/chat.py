@@ -27,7 +27,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clickloom.llm._shared import small_batches
+from clickloom.llm._shared import in_batches
 
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
@@ -35,6 +35,7 @@ Template = Callable[[Sequence[Turn]], str]
 # Control strings of the default template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _STARTS = re.compile("(?=(" + "|".join(map(re.escape, CONTROL)) + "))")
+_MARKS = re.compile("\ue000+")
 _TURN = re.compile(r"\[INST\]((?:[^\\\n]|\\.)*)\n(.*?)\[/INST\]", re.DOTALL)
 
 
@@ -52,12 +53,33 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+class _Written(dict):
+    """Turns as the default template writes them; prefixes of one conversation repeat them. It starts over when full."""
+
+    #: Characters that it holds.
+    FULL = 1 << 20
+
+    def __init__(self):
+        super().__init__()
+        self.size = 0
+
+    def __missing__(self, turn: Turn) -> str:
+        role, text = turn
+        out = "".join(["[INST]", escape(role).replace("\n", "\\\n"), "\n", escape(text), "[/INST]"])
+        if self.size > self.FULL:
+            self.clear()
+            self.size = 0
+        self.size += 2 * len(out)
+        self[turn] = out
+        return out
+
+
+_written = _Written()
+
+
 def default_template(turns: Sequence[Turn]) -> str:
     """Turns between markers: ``<s>``, then ``[INST]role``, a line break, the text, ``[/INST]`` each."""
-    parts = ["<s>"]
-    for role, text in turns:
-        parts += ["[INST]", escape(role).replace("\n", "\\\n"), "\n", escape(text), "[/INST]"]
-    return "".join(parts)
+    return "".join(["<s>", *map(_written.__getitem__, turns)])
 
 
 def parse_default(formatted: str) -> list[Turn]:
@@ -91,11 +113,12 @@ def render(turns: Sequence[Turn], template: Template = default_template) -> Rend
     for k in range(1, len(turns) + 1):
         now = template(turns[:k])
         role, text = turns[k - 1]
-        sentinel = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in role and c not in text)
+        longest = max(map(len, _MARKS.findall(role) + _MARKS.findall(text)), default=0)
+        sentinel = "\ue000" * (longest + 1)  # a longer run than the turn has itself
         probe = template([*turns[: k - 1], (role, sentinel)])
         at = probe.find(sentinel, len(before)) if now.startswith(before) and probe.startswith(before) else -1
-        end = len(now) - (len(probe) - at - 1)
-        if at < 0 or end < at or now[:at] != probe[:at] or now[end:] != probe[at + 1 :]:
+        end = len(now) - (len(probe) - at - len(sentinel))
+        if at < 0 or end < at or now[:at] != probe[:at] or now[end:] != probe[at + len(sentinel) :]:
             rewrites = True
             before = now
             continue
@@ -138,7 +161,7 @@ def format_conversations(rows: DataFrame, template: Template = default_template,
             yield pack(out)
 
     kinds = "array<struct<start:long,end:long>>"
-    return dealt.transform(small_batches).mapInArrow(run, f"`{conv_col}` long, formatted string, spans {kinds}, loss_spans {kinds}, rewrites_history boolean")
+    return dealt.transform(in_batches, run, f"`{conv_col}` long, formatted string, spans {kinds}, loss_spans {kinds}, rewrites_history boolean")
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -156,7 +179,7 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
                     names=[conv_col, "roles", "texts", "loss_text", "formatted_chars"],
                 )
 
-    return formatted.select(conv_col, "formatted", "loss_spans").transform(small_batches).mapInArrow(run, f"`{conv_col}` long, roles array<string>, texts array<string>, loss_text string, formatted_chars long")
+    return formatted.select(conv_col, "formatted", "loss_spans").transform(in_batches, run, f"`{conv_col}` long, roles array<string>, texts array<string>, loss_text string, formatted_chars long")
 
 
 #: The conversation that the query adds: control strings as ordinary text.

@@ -14,7 +14,8 @@ Counts are exact and distributed. Each scan task encodes its documents as word
 numbers of a block and writes the block with its word list once. Word lists are
 summed by word in place, weighed, and brought back to their blocks, so what moves
 is one row for each word of a block, never the tokens, and no table of words is
-ever collected or broadcast. A word that every text holds has one row a block.
+ever collected or broadcast. A word that every text holds has one row a block; words of
+very many blocks are counted by partial sums, so no task gets all their rows.
 
 Defined results: null and empty texts are the end alone; rows with null ids count
 as the empty text in the fold; repeated rows train and are scored each; without
@@ -32,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.llm._shared import id_crc, materialize, small_batches
+from clickloom.llm._shared import id_crc, in_batches, materialize
 from clickloom.llm._text import LOWER, buffers, mix, power_table
 
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 16 << 20
 #: Longest word (bytes with its space) that goes through the joint recursion; longer ones go alone.
 JOINT_BYTES = 48
+#: Words that stand in so many of the sampled blocks (one of so many) are counted apart, at most so many words. Counts are the same either way.
+COMMON_IN_SAMPLE, SAMPLED_BLOCKS, COMMON_WORDS = 200, 16, 100_000
 #: Smoothing of piece probabilities, in expected occurrences.
 SMOOTHING = 0.1
 _LOW = bytes(LOWER)
@@ -129,7 +132,7 @@ class Lattice:
         return out
 
     def _long(self, word: bytes) -> float:
-        """One long word, end by end; memory is a window of the longest piece."""
+        """One long word, end by end; memory grows with the word."""
         table = self.table
         alpha = np.full(len(word) + 1, -np.inf)
         alpha[0] = 0
@@ -246,7 +249,7 @@ def encode_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield close()
 
-    return materialize(base.transform(small_batches).mapInArrow(run, "block long, ids array<long>, outs array<boolean>, lengths array<long>, numbers binary, words array<binary>, train array<long>"), "blocks")
+    return materialize(base.transform(in_batches, run, "block long, ids array<long>, outs array<boolean>, lengths array<long>, numbers binary, words array<binary>, train array<long>"), "blocks")
 
 
 def place_words(blocks: DataFrame) -> Counts:
@@ -258,7 +261,20 @@ def place_words(blocks: DataFrame) -> Counts:
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(F.col("w.words").alias("word"), "block", "at", F.col("w.train").alias("t"))
     order = Window.partitionBy("word").orderBy("block")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    places = materialize(each.select("word", "block", "at", F.sum("t").over(whole).alias("c"), (F.row_number().over(order) == 1).alias("first")), "places")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select("word", "block", "at", F.sum("t").over(whole).alias("c"), (F.row_number().over(order) == 1).alias("first"))
+
+    # a few words stand in nearly all blocks: they are counted by partial sums, and the counts are broadcast
+    some = each.where(F.pmod(F.xxhash64("block"), F.lit(SAMPLED_BLOCKS)) == 0)
+    common = materialize(some.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_IN_SAMPLE).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word"), "common")
+    if common.limit(1).count():
+        sums = each.join(F.broadcast(common), "word").groupBy("word").agg(F.sum("t").alias("c"), F.min("block").alias("_least"))
+        sums = materialize(sums, "sums")
+        known = each.join(F.broadcast(sums), "word").select("word", "block", "at", "c", (F.col("block") == F.col("_least")).alias("first"))  # COMMON_WORDS rows at most
+        places = materialize(counted(each.join(F.broadcast(common), "word", "left_anti")).unionByName(known), "places")
+    else:
+        places = materialize(counted(each), "places")
     ends = blocks.agg(F.sum(F.size(F.filter("outs", lambda o: ~o)))).first()[0] or 0
     total = places.where("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     return Counts(places, int(total["n"] or 0) + int(ends), int(total["v"]) + (1 if ends else 0), int(ends))
@@ -290,7 +306,7 @@ def fit_pieces(places: DataFrame, ends: int, pieces: list[bytes], prior: np.ndar
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "e"])
 
-    found = places.where("first and c > 0").select("word", "c").transform(small_batches).mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()  # a row a piece at most
+    found = places.where("first and c > 0").select("word", "c").transform(in_batches, run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()  # a row a piece at most
     total = np.exp(prior) * SMOOTHING * len(pieces)
     np.add.at(total, found["piece"].to_numpy(int), found["e"].to_numpy(float))
     end = ends + SMOOTHING
@@ -321,7 +337,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(block[order[edges[:-1]]]), pa.array(parts, pa.binary())], names=["block", "data"])
 
     # a block's values, packed, then the block itself: a task reads them as a stream
-    packed = counts.places.select("word", "block", F.col("at").cast("long").alias("at"), "c").transform(small_batches).mapInArrow(weigh, "block long, data binary")
+    packed = counts.places.select("word", "block", F.col("at").cast("long").alias("at"), "c").transform(in_batches, weigh, "block long, data binary")
     payload = ("ids", "outs", "lengths", "numbers")
     last = blocks.select("block", F.lit(None).cast("binary").alias("data"), *payload)
     for name in payload:
@@ -352,4 +368,4 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
                     names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return stream.transform(small_batches).mapInArrow(add_up, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return stream.transform(in_batches, add_up, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

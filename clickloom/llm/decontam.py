@@ -7,8 +7,8 @@ that array; the range found gives all places where the window stands verbatim, a
 consecutive places on one diagonal make up the longest match. Words that no item has end a suffix, so suffixes which leave the
 vocabulary before the shortest window ends are not sorted: they can't match.
 
-The test side is broadcast in slices of a checked size; each slice is one more
-pass and the hits of all passes are merged, so a large benchmark costs time and
+The test side is broadcast in slices of a checked size, of which one is held at a
+time; each slice is one more pass and the hits of all passes are merged, so a large benchmark costs time and
 no memory. Nothing of the documents is shuffled where one slice holds the items.
 
 Defined results: null and word-free texts have no words and no hits; null, empty
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clickloom.llm._shared import small_batches
+from clickloom.llm._shared import discard, in_batches, materialize
 from clickloom.llm._text import ALNUM_WORDS, LOWER, buffers
 
 #: Words of a window.
@@ -172,7 +172,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = base.schema["_id"]
 
-    def one(part: DataFrame, with_hash: bool) -> DataFrame:
+    def one(part: DataFrame, with_hash: bool):
         pairs = [(r["_id"], r["_text"].encode()) for r in part.collect()]  # a slice of checked size
         sent = spark.sparkContext.broadcast(Items(pairs, window))
         left = base.withColumn("_hash", F.sha2("_text", 256)) if with_hash else base
@@ -190,14 +190,16 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
                 columns = [pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(found, arrow.field(len(names) + 1).type)], schema=arrow)
 
-        return left.transform(small_batches).mapInArrow(run, schema)
+        return left.transform(in_batches, run, schema), sent
 
     if len(slices) == 1:
-        return one(slices[0], False).withColumnRenamed("_id", id_col)
+        return one(slices[0], False)[0].withColumnRenamed("_id", id_col)
     # the passes meet by id and text; equal rows are counted and put back
     merged = None
     for part in slices:
-        found = one(part, True).groupBy("_id", "_hash", "n_words").agg(F.count(F.lit(1)).alias("_copies"), F.first("matches").alias("matches"))
+        found, sent = one(part, True)
+        found = materialize(found.groupBy("_id", "_hash", "n_words").agg(F.count(F.lit(1)).alias("_copies"), F.first("matches").alias("matches")), "matches")
+        sent.destroy()
         merged = found if merged is None else merged.unionByName(found)
     merged = merged.groupBy("_id", "_hash", "n_words").agg(F.first("_copies").alias("_copies"), F.flatten(F.collect_list("matches")).alias("matches"))
     return merged.select(F.col("_id").alias(id_col), "n_words", "matches", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_k")).drop("_k")
@@ -233,8 +235,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, **nam
     text_col = names.get("text_col", "text")
     item_id, item_text = names.get("item_id_col", "item_id"), names.get("item_text_col", "text")
     spark = docs.sparkSession
-    kept = docs
-    for part in item_slices(items, item_id, item_text, SLICE_ITEM_BYTES):
+    kept, slices, sent = docs, item_slices(items, item_id, item_text, SLICE_ITEM_BYTES), None
+    for part in slices:
+        if sent is not None:  # of many slices one is held at a time
+            kept, old = materialize(kept, "clean"), kept
+            discard(old)
+            sent.destroy()
         pairs = [(r["_id"], r["_text"].encode()) for r in part.collect()]  # a slice of checked size
         sent = spark.sparkContext.broadcast(Items(pairs, window))
         at = kept.columns.index(text_col)
@@ -246,7 +252,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, **nam
                     clean += [not f for f in found]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.transform(small_batches).mapInArrow(run, kept.schema)
+        kept = kept.transform(in_batches, run, kept.schema)
     return kept
 
 

@@ -65,5 +65,22 @@ def test_stages_keep_columns(spark):
     assert len(last) == docs.count()
 
 
+def test_stages_with_clashing_columns_and_long_texts(spark):
+    names = ["node", "group", "_id", "_text", "_row", "_base", "matches", "score", "findings", "n", "text_hash", "hash", "_keep_text"]
+    long = " ".join(f"word{k} and" for k in range(30_000)) + " api_key='abcd1234efgh'"
+    rows = [(k, t, "en", "s", None, *[f"{n}{k}" for n in names]) for k, t in enumerate([long, long, None, "", "short", long + " end"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        kept = {r["doc_id"]: r for r in got.collect()}
+        assert all(r["node"] == f"node{i}" and r["_keep_text"] == f"_keep_text{i}" for i, r in kept.items())
+        if k == 1:
+            assert set(kept) == {0, 2, 3, 4}
+        if k == 3:
+            assert kept[0]["text"].endswith(" [SECRET]'") and kept[2]["text"] is None and len(kept) == 6
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
+
+
 def test_stage_list():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "near_copies", "decontamination", "secret_scan", "byte_bpe"]

@@ -76,6 +76,39 @@ def test_join_is_the_encoding_of_the_whole(reference_codec):
         assert codec.join(codec.encode_piece(data[:k]), codec.encode_piece(data[k:])) == other._encode_single_piece(data)
 
 
+def test_documents_go_through_the_tree(reference_codec):
+    import pyarrow.parquet as pq
+
+    raw, other = reference_codec
+    codec = bpe.TreeCodec(bpe.read_ranks(raw), PATTERN)
+    for text in pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist():
+        assert np.frombuffer(codec.encode(text or ""), "<u4").tolist() == other.encode_ordinary(text or "")
+    assert codec.joins > 10_000
+
+
+def test_long_texts_are_joined_up_the_tree(reference_codec, monkeypatch):
+    raw, other = reference_codec
+    monkeypatch.setattr(bpe, "LEAF_TOKENS", 7)
+    monkeypatch.setattr(bpe, "LEAF_MATCHES", 5)
+    codec, text = bpe.TreeCodec(bpe.read_ranks(raw), PATTERN), "The quick  brown fox, 漢字; " * 37
+    ids = codec.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text) and codec.decode(ids) == text.encode()
+    assert codec.decode(b"") == b"" and bpe.fold([1, 2, 3, 4, 5], lambda a, b: a + b) == 15
+
+
+def test_unreachable_tokens_are_refused(spark, tmp_path):
+    import base64
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"xyz": 257}
+    assert bpe.unreachable(ranks) == [b"xyz"]
+    path = tmp_path / "odd.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    with pytest.raises(ValueError, match="can't be reached"):
+        bpe.encode_documents(odd(spark), str(path), PATTERN)
+    with pytest.raises(ValueError, match="can't be kept"):
+        bpe.encode_documents(odd(spark).withColumn("IDS", F.lit(1)), RANKS, PATTERN, keep=("IDS",))
+
+
 def test_op2_on_all_documents(spark, reference_codec):
     _, other = reference_codec
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -95,7 +128,7 @@ def test_bpe_odd_rows(spark, rows):
 
 
 def brute_nearest(rows, k=5):
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    good = [(i, np.array(v, float) / max(map(abs, v))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = []
     for qi, q in dict(sorted(((i, v) for i, v in good if i % 50 == 0), key=lambda x: x[0])).items():
         scores = sorted((-float(q @ c / math.sqrt((q @ q) * (c @ c))), ci) for ci, c in good if ci != qi and len(c) == len(q))
@@ -107,6 +140,7 @@ def brute_nearest(rows, k=5):
 def test_nearest_equals_brute_force(spark, block):
     r = random.Random(1)
     rows = [(i, [round(r.gauss(0, 1), 2) for _ in range(8)]) for i in range(300)]
+    rows += [(i + 300, [r.choice((-1.0, 1.0)) * 2.0**r.choice((-400, 0, 400)) if j == i % 8 else 0.0 for j in range(8)]) for i in range(40)]  # exact ties
     rows += [(1000, [1.0] * 8), (1001, [2.0] * 8), (1002, [3.0] * 8), (1003, None), (1004, []), (1005, [0.0] * 8), (1006, [None] * 8), (1050, [math.nan] * 8), (1007, [math.inf] * 8), (None, [1.0] * 8), (1100, [1.0, 2.0]), (1101, [2.0, 1.0]), (1200, [1e30] * 8), (1201, [1e-30] * 8)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     got = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 50 == 0, block_bytes=block).collect()))
@@ -115,6 +149,24 @@ def test_nearest_equals_brute_force(spark, block):
     assert all(abs(g[3] - w[3]) < 1e-12 and (g[2] == w[2] or abs(g[3] - w[3]) < 1e-15) for g, w in zip(got, want))
 
 
+@pytest.mark.parametrize("size", [1e-100, 1e100, 1e-300])
+def test_lengths_of_vectors_dont_matter(spark, size):
+    rows = [(50, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.5]), (3, [-1.0, 0.0]), (4, [2.0, 4.0]), (5, [1.0, 2.0])]
+    found = []
+    for factor in (1.0, size):
+        df = spark.createDataFrame([(i, [x * factor for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        found.append(ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect())
+    assert [r["vec_id"] for r in found[0]] == [r["vec_id"] for r in found[1]] == [4, 5, 2, 1, 3]
+    assert np.allclose([r["score"] for r in found[0]], [r["score"] for r in found[1]], rtol=1e-14)
+
+
+def test_ties_go_to_smaller_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in (50, 9, 3, 7, 3, 100, 1, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r)[:3] for r in ann.nearest(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+    assert got == [(50, 1, 1), (50, 2, 3), (50, 3, 3), (50, 4, 4), (50, 5, 7)]
+
+
 def test_nearest_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
@@ -148,6 +200,50 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 0.7 < kept.count() / docs.count() < 0.98
 
 
+def test_pairs_equal_brute_force():
+    r = np.random.default_rng(1)
+    for good, bad in ((r.normal(1, 3, 300), r.normal(-1, 2, 200)), (np.zeros(3), np.zeros(2)), (np.array([5.0]), np.array([-5.0])), (r.normal(0, 40, 50), r.normal(0, 40, 50))):
+        each = 1 / (1 + np.exp(good[:, None] - bad[None, :])) / (len(good) * len(bad))
+        up, down = quality.pair_pulls(good, bad)
+        assert np.allclose(up, each.sum(axis=1), atol=2e-4 / len(good)) and np.allclose(down, each.sum(axis=0), atol=2e-4 / len(bad))
+
+
+def test_fit_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    rows = docs.merge(labels, on="doc_id").sort_values("doc_id").drop_duplicates("doc_id").head(150)
+    texts = [(t or "").encode() for t in rows["text"]]
+    x = quality.features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    y = rows["quality"].to_numpy() == 1
+
+    def all_pairs(good, bad):
+        each = 1 / (1 + np.exp(np.clip(good[:, None] - bad[None, :], -60, 60))) / (len(good) * len(bad))
+        return each.sum(axis=1), each.sum(axis=0)
+
+    got, want = quality.fit(x, y), quality.fit(x, y, pulls=all_pairs)
+    assert np.allclose(got.score(x), want.score(x), atol=1e-3)
+    assert 0 < y.sum() < len(y) and ((got.score(x) >= 0.5) == y).mean() > 0.98
+    # the model's parts by hand: weights of the rates' bins, word shares, threshold
+    for k in (0, 7):
+        words = texts[k].translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()
+        assert math.isclose(x[k, quality.FEATURES.index("log_words")], math.log1p(len(words)), rel_tol=1e-6)
+        assert math.isclose(x[k, quality.FEATURES.index("distinct_words")], len(set(words)) / max(len(words), 1), rel_tol=1e-6)
+        assert math.isclose((x[k, len(quality.FEATURES) :] ** 2).sum(), 1.0 if words else 0.0, rel_tol=1e-5)
+        raw = sum(got.weights[j, sum(e <= x[k, j] for e in got.edges[j])] for j in range(len(quality.FEATURES))) + x[k, len(quality.FEATURES) :] @ got.lexical
+        assert math.isclose(got.score(x[k : k + 1])[0], 1 / (1 + math.exp(got.threshold - raw)), rel_tol=1e-9)
+
+
+def test_quality_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(i % 60, "good words here. " * (1 + i % 2) if i % 3 else "BUY!!! $$$ NOW") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60) for _ in range(2)] + [(0, 1)], "doc_id long, quality int")
+    got = quality.score_documents(docs, quality.train(docs, labels)).collect()
+    assert len(got) == 120
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(s) == 1 for s in by_id.values())
+    assert all((min(s) >= 0.5) == (i % 3 > 0) for i, s in by_id.items())
+
+
 def test_quality_odd_rows(spark):
     docs = odd(spark)
     nothing = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
@@ -194,6 +290,46 @@ def test_warc_finds_damage():
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_revisits_name_a_record(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 50_000), (2, "u", "x" * 50_000), (3, "u", "y"), (4, "u", "y"), (5, "u", "z")], "page_id long, url string, html string").repartition(3)
+    path = warc.write_archives(pages, warc.shared_path(spark, "archives"))
+    fields = []
+    for f in sorted(__import__("glob").glob(path.removeprefix("file://") + "/*.gz")):
+        fields += [r for r, _ in warc.parse_records(__import__("gzip").open(f).read())]
+    ids = [r["warc-record-id"] for r in fields]
+    named = {r["warc-refers-to"] for r in fields if r["warc-type"] == "revisit"}
+    assert len(set(ids)) == len(ids) and len(named) == 2 and named <= set(ids)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def rec(kind, block, *more):
+        return b"WARC/1.0\r\nWARC-Type:" + kind + b"\r\n" + b"".join(m + b"\r\n" for m in more) + b"Content-Length:%d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
+    parts = [
+        rec(b"warcinfo", b"software: other\r\n", b"WARC-Record-ID:<urn:uuid:0>"), rec(b"request", b"GET / HTTP/1.1\r\n\r\n", b"WARC-Record-ID: <urn:uuid:1>"), rec(b"response", http, b"WARC-Record-ID: <urn:uuid:2>", b"WARC-Target-URI: http://a/"),
+        rec(b"revisit", b"", b"WARC-Record-ID: <urn:uuid:3>", b"WARC-Refers-To: <urn:uuid:2>", b"WARC-Payload-Digest: sha1:" + warc.base32_sha1(b"<p>hello</p>").encode()), rec(b"resource", b"raw", b"WARC-Record-ID: <urn:uuid:4>", b"WARC-Payload-Digest: md5:00"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))  # a member for each record
+    records = warc.read_archives(spark, f"file://{tmp_path}")
+    got = {r["record_id"][-2]: r for r in records.collect()}
+    assert set(got) == set("234") and bytes(got["2"]["payload"]) == b"<p>hello</p>" and bytes(got["4"]["payload"]) == b"raw" and got["3"]["payload"] is None
+    solved = sorted((r["record_type"], r["payload_bytes"]) for r in warc.resolve_revisits(records).collect())
+    assert solved == [("resource", 3), ("response", 12), ("revisit", 12)]
+
+
+def test_large_payloads_have_their_own_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    rows = [(k, "u", f"{k}" * (40_000 if k % 3 == 0 else 10)) for k in range(1, 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, warc.shared_path(spark, "archives"))
+    files = spark.read.format("binaryFile").load(path).count()
+    assert files >= 3  # small ones, and large ones two a file
+    assert sorted((r["page_id"], len(r["payload"])) for r in warc.read_archives(spark, path).collect()) == [(i, len(h)) for i, _, h in rows]
+
+
 def test_warc_of_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -245,6 +381,18 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_of_private_characters_ties_and_many_turns(spark):
+    every = "".join(map(chr, range(0xE000, 0xF900))) + "\ue000" * 7
+    found = chat.render([("\ue000", every), ("assistant", every)])
+    assert not found.rewrites and [chat.unescape(found.formatted[a:b]) for a, b in found.texts] == [every, every]
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "user", "first")]
+    rows += [(2, t, "user" if t % 2 else "assistant", f"turn {t} </s>") for t in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert got[1]["texts"] == ["first", "z", "a", "a", "b"] and got[1]["loss_text"] == "z"
+    assert got[2]["texts"] == [f"turn {t} </s>" for t in range(2000)]
+
+
 def test_templates_that_rewrite_history_are_found():
     turns = [("user", "hi"), ("assistant", "there"), ("user", "you")]
     assert not chat.render(turns).rewrites
@@ -282,8 +430,7 @@ def brute_lm(rows, path):
     for w, c in counts.items():
         if w is None:
             continue
-        word = b" " + w.encode()
-        for part in [word] if len(word) <= lm.JOINT_BYTES else [word[k : k + lm.JOINT_BYTES] for k in range(0, len(word), lm.JOINT_BYTES)]:
+        for part in [b" " + w.encode()]:  # whole, however long
             alpha = forward(part, prior)
             rev = {s: None for s in range(len(part))}
             beta = [-math.inf] * len(part) + [0.0]
@@ -307,9 +454,12 @@ def brute_lm(rows, path):
     return result
 
 
+@pytest.mark.parametrize("common", [200, 2])
 @pytest.mark.parametrize("rows", [ODD[:7] + ODD[8:], [(7, "z" * 100)], [(9, "only held out")], [(k, f"the cat {k} sat on the mat") for k in range(40)]])
-def test_lm_equals_brute_force(spark, rows, monkeypatch):
+def test_lm_equals_brute_force(spark, rows, common, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(lm, "SAMPLED_BLOCKS", 1)
+    monkeypatch.setattr(lm, "COMMON_IN_SAMPLE", common)
     rows = [(d, t if t is None else t[:300]) for d, t in rows]
     got = sorted((tuple(r) for r in lm.score_documents(odd(spark, rows), RANKS).collect()), key=repr)
     want = sorted(brute_lm(rows, RANKS), key=repr)

@@ -5,6 +5,16 @@ with benchmark passages go; secrets are masked; what is left is encoded. All
 stages but the last keep the columns of ``documents``. ``run`` writes each stage to
 the folder that the cluster shares, so a lost executor costs a stage's tasks at
 most.
+
+Defined results: a null text has the features, the shingles, the words, the secrets
+and the tokens of an empty one, and stays null up to the last stage, which gives no
+ids for it; empty sets of shingles are copies of nothing, so such documents all
+stay if their score does; null ids and repeated rows are scored each, and of repeated
+rows one stays; of equal scores all or none are rejected; of a group the least id
+stays, null ids last; very long texts are taken whole; an empty table passes all
+stages as one. Other columns stay as they are but ``n_chars``, which follows a masked
+text, up to the last stage, which keeps ``lang`` and ``source``; their names may be
+any but those of the last stage's results.
 """
 
 from __future__ import annotations
@@ -40,9 +50,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, and the digests of ids and decoded bytes."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_documents(docs, ranks, pattern, keep=("lang", "source"))
-    decoded = bpe.decode_documents(encoded, ranks, pattern)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(docs, ranks, pattern, keep=("lang", "source"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

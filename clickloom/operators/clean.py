@@ -72,20 +72,23 @@ def fill_with_mean(df: DataFrame, col: str, by: Sequence[str] = (), out: str | N
     return joined.withColumn(out, F.coalesce(F.col(col), F.col("_mean"))).drop("_mean").select(*df.columns, *([out] if out not in df.columns else []))
 
 
-def clean_table(df: DataFrame) -> DataFrame:
-    """The second cleaning of a processed table: text, list, attribute, rank and price columns."""
+def clean_table(df: DataFrame, compat: bool = False) -> DataFrame:
+    """The second cleaning of a processed table: text, list, attribute, rank and price columns.
+
+    The items of lists keep their case unless ``compat`` asks otherwise.
+    """
 
     def one(name: str) -> Column:
         c = F.col(f"`{name}`")
         if name in TEXT_FIELDS:
-            return text.clean_html(c)
+            return text.clean_html(c, compat)
         if name in LIST_FIELDS:
-            return text.standardise_list(text.clean_html(c))
+            return text.bound(text.clean_html(c, compat, capitalised=compat), text.standardise_list)
         if name in ATTRIBUTE_FIELDS:
-            return text.extract_attributes(text.clean_html(c))
+            return text.bound(text.clean_html(c, compat), lambda x: text.extract_attributes(x, compat))
         if name == "rank":
             return text.rank_digits(c)
         return c
 
     cleaned = df.select(*[one(c).alias(c) for c in df.columns])
-    return fill_with_mean(cleaned.withColumn("price", numbers.reclean_price(F.col("price").cast("string"))), "price") if "price" in df.columns else cleaned
+    return fill_with_mean(cleaned.withColumn("price", numbers.reclean_price(F.col("price").cast("string"), compat)), "price") if "price" in df.columns else cleaned

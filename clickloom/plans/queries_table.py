@@ -155,7 +155,8 @@ def price_mean_fill_by_brand(spark, d):
 
 
 def price_reclean(spark, d):
-    return table(spark, d, "part").select("p_partkey", numbers.reclean_price(F.format_string("%.2f", "p_retailprice")).alias("price"))
+    written = F.format_string("%.2f", "p_retailprice")
+    return table(spark, d, "part").select("p_partkey", numbers.reclean_price(written).alias("price"), numbers.reclean_price(written, compat=True).alias("price_compat"))
 
 
 def ts_format(spark, d):
@@ -253,7 +254,7 @@ QUERIES = {
     "price_parse": (price_parse, f"WITH {PARSED_SQL} SELECT p_partkey, price FROM parsed"),
     "price_mean_fill": (price_mean_fill, f"WITH {PARSED_SQL} SELECT p_partkey, coalesce(price, (SELECT round_even(coalesce(avg(price), 0), 2) FROM parsed)) AS price FROM parsed"),
     "price_mean_fill_by_brand": (price_mean_fill_by_brand, f"WITH {PARSED_SQL} SELECT p_partkey, coalesce(price, round_even(coalesce(avg(price) OVER (PARTITION BY p_brand), 0), 2)) AS price FROM parsed"),
-    "price_reclean": (price_reclean, "SELECT p_partkey, regexp_extract(printf('%.2f', p_retailprice), '^\\d{1,3}')::DOUBLE AS price FROM part"),
+    "price_reclean": (price_reclean, "SELECT p_partkey, printf('%.2f', p_retailprice)::DOUBLE AS price, regexp_extract(printf('%.2f', p_retailprice), '^\\d{1,3}')::DOUBLE AS price_compat FROM part"),
     "ts_format": (ts_format, "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS \"unixReviewTime\" FROM events"),
     "ts_parse_mixed": (ts_parse_mixed, "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS parsed FROM events"),
     "chrono_split": (chrono_split, f"WITH {SPLIT_CTE} SELECT * FROM splits"),

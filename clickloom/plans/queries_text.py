@@ -69,7 +69,7 @@ HTML_SIMPLE = f"""SELECT page_id, coalesce(trim(regexp_replace(regexp_replace({_
 
 
 def html_clean_full(spark, d):
-    return table(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("cleaned"))
+    return table(spark, d, "pages").select("page_id", text.clean_html(F.col("html"), compat=True).alias("cleaned"), text.clean_html(F.col("html"), capitalised=False).alias("plain"))
 
 
 def _unescape(x):
@@ -80,8 +80,7 @@ def _unescape(x):
 
 
 def _full_html(x):
-    x = f"regexp_replace({_unescape(f'trim({x})')}, '(?s)<script[^>]*?>.*?</script>', '', 'g')"
-    x = _collapse(_strip(f"regexp_replace({x}, '(?s)<style[^>]*?>.*?</style>', '', 'g')"))
+    x = _collapse(_strip(_unescape(f"trim({x})")))
     for pattern in (r"https?://\S+", r"www\.\S+", r"/gp/[^ ]+"):
         x = f"regexp_replace({x}, '{pattern}', '', 'g')"
     x = f"regexp_replace({x}, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g')"
@@ -92,8 +91,14 @@ def _full_html(x):
     return f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s\\p{{Z}}.,;!?()\\-#&*]', '', 'g'))"
 
 
-HTML_FULL = f"""WITH a AS (SELECT page_id, html, {_full_html("html")} AS t FROM pages), b AS (SELECT page_id, html, {_cap("t")} AS t FROM a)
-SELECT page_id, CASE WHEN html IS NULL OR html = 'unknown' OR trim(html) = '' THEN 'unknown' ELSE {_or_unknown("CASE WHEN contains(t, ' and ') THEN array_to_string([upper(left(trim(x), 1)) || lower(substr(trim(x), 2)) for x in string_split(t, ' and ')], ' and ') ELSE t END")} END AS cleaned FROM b"""
+def _plain_html(x):
+    x = f"list_filter(string_split({_collapse(_strip(_unescape(f'trim({x})')))}, ' '), lambda w: NOT regexp_matches(w, '(?i)^(https?://|www\\.|/gp/)'))"
+    x = f"regexp_replace(array_to_string({x}, ' '), '[^\\p{{L}}\\p{{M}}\\p{{N}}_ .,;!?()#&*-]', '', 'g')"
+    return _collapse(f"regexp_replace({x}, '([.,;!?()])', ' \\1 ', 'g')")
+
+
+HTML_FULL = f"""WITH a AS (SELECT page_id, html, {_full_html("html")} AS t, {_plain_html("html")} AS p FROM pages), b AS (SELECT page_id, html, p, {_cap("t")} AS t FROM a)
+SELECT page_id, CASE WHEN html IS NULL OR html = 'unknown' OR trim(html) = '' THEN 'unknown' ELSE {_or_unknown("p")} END AS plain, CASE WHEN html IS NULL OR html = 'unknown' OR trim(html) = '' THEN 'unknown' ELSE {_or_unknown("CASE WHEN contains(t, ' and ') THEN array_to_string([upper(left(trim(x), 1)) || lower(substr(trim(x), 2)) for x in string_split(t, ' and ')], ' and ') ELSE t END")} END AS cleaned FROM b"""
 
 
 def _list():
@@ -112,7 +117,7 @@ SELECT p_partkey, CASE WHEN c = 'unknown' THEN 'unknown' ELSE {_or_unknown("arra
 
 
 def _details():
-    return F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Product Dimensions: "), F.col("p_size").cast("string"), F.lit(" Inches ; Item Weight: 2 Pounds"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("ASIN: B0"), F.col("p_partkey").cast("string"), F.lit(" Some Text  here"))).otherwise("unknown")
+    return F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Product Dimensions: "), F.col("p_size").cast("string"), F.lit(" Inches ; Item Weight: 2 Pounds"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("ASIN: B0AND"), F.col("p_partkey").cast("string"), F.lit(" Some Text  here"))).otherwise("unknown")
 
 
 

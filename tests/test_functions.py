@@ -27,7 +27,13 @@ def one(spark, expr, value, kind="string"):
         (text.clean_html, "Women's Shirt, size M", "Womens shirt , size m"),
         (text.clean_html, "<script>x</script><b>Hi</b><i>there</i> http://a.b c", "Hi there c"),
         (text.clean_html, None, "unknown"),
-        (lambda c: text.standardise_list(text.clean_html(c)), "product_1 and product_2 and product_1", "Product_1, Product_2"),
+        (lambda c: text.standardise_list(text.clean_html(c, compat=True)), "product_1 and product_2 and product_1", "Product_1, Product_2"),
+        (lambda c: text.standardise_list(text.clean_html(c, capitalised=False)), "product_1 and product_2 and product_1", "product_1, product_2"),
+        (lambda c: text.clean_html(c, compat=True), "Women's Shirt, size M", "Womens shirt , size m"),
+        (lambda c: text.clean_html(c, compat=True), "Why?!<b>so</b>", "Why ?! so"),
+        (text.clean_html, "a&lt;b&gt;c&lt;/b&gt; see WWW.x.y (now)", "A c see ( now )"),
+        (text.extract_attributes, "ASIN: B00AND12X and more", "And more"),
+        (text.extract_attributes, "Shipping Weight:: 3 Ounces and ASIN: B0 and Item Weight: 1 Pound", "Shipping weight: 3 ounces; Item weight: 1 pound"),
         (text.standardise_list, "product_1 and product_2 and product_1", "product_1, product_2"),
         (text.standardise_list, "unknown", "unknown"),
         (text.clicked, "None", "nothing"),
@@ -64,8 +70,11 @@ def test_text(spark, expr, value, want):
         (lambda c: numbers.parse_price(c, compat=True), "$1,299.00", 1.0),
         (numbers.parse_price, "unknown", None),
         (numbers.parse_price, "call", None),
-        (numbers.reclean_price, "27.99", 27.0),
-        (numbers.reclean_price, "1234.5", 123.0),
+        (numbers.reclean_price, "27.99", 27.99),
+        (numbers.reclean_price, "1234.5", 1234.5),
+        (numbers.reclean_price, "$1,234.50 new", 1234.5),
+        (lambda c: numbers.reclean_price(c, compat=True), "27.99", 27.0),
+        (lambda c: numbers.reclean_price(c, compat=True), "1234.5", 123.0),
         (numbers.reclean_price, "unknown", None),
         (entities.relation_weight, "click_history_id", 2.0),
         (entities.relation_weight, "HAS_BRAND", 1.0),

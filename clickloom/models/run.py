@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickloom.models.autodiff import Var, var
-from clickloom.models.layers import Model, gat_core, gat_core_var, gat_shapes
+from clickloom.models.layers import Model, gat_core, gat_core_var, gat_head_shapes, gat_logit, gat_shapes
 
 
 def _matrix(column: pa.Array) -> np.ndarray | None:
@@ -44,6 +44,23 @@ def score(df: DataFrame, model: Model, params: dict[str, np.ndarray], kg: str |
     return base.mapInArrow(run, schema)
 
 
+def apply_model(df: DataFrame, model: Model, params: dict[str, np.ndarray], vector: str, out: str) -> DataFrame:
+    """Add what a model of one input makes of a vector column, as an array."""
+    sent = df.sparkSession.sparkContext.broadcast(params)
+    base = df.withColumn("_x", F.col(vector).cast("array<double>"))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = {k: Var(v) for k, v in sent.value.items()}
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                made = model.forward(p, var(_matrix(part.column(part.num_columns - 1)))).value
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(made), pa.list_(pa.float64()))], names=schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
 def loss_of(name: str, logit: Var, label: np.ndarray, pos_weight: float = 1.0, alpha: float = 0.25, gamma: float = 2.0) -> Var:
     """Sum of a loss over rows: bce_with_logits, focal, mse or smooth_l1."""
     soft = (-logit).softplus()
@@ -216,9 +233,9 @@ def _arrays(nodes: list[dict], edges: list[dict] | None) -> tuple[np.ndarray, np
 def train_graph_model(node_rows: DataFrame, edge_rows: DataFrame, labels: DataFrame, epochs: int = 10, optimiser: Optimiser | None = None, seed: int = 42, key: str = "sample_id") -> tuple[dict[str, np.ndarray], list[float]]:
     """Train the attention layers by cross entropy of one logit on the core vector; returns parameters and losses."""
     shapes = gat_shapes()
-    shapes.linear("logit", 128, 1)
+    gat_head_shapes(shapes)
     params, optimiser, losses = shapes.draw(seed), optimiser or Optimiser(rate=5e-3), []
-    names = list(params)
+    names = [n for n in params if not n.endswith((".mean", ".var"))]
     graphs = _graphs(node_rows, edge_rows, key).join(labels.select(key, F.col("label").cast("double").alias("y")), key).select("nodes", "edges", "y").persist()
     for _ in range(epochs):
         sent = node_rows.sparkSession.sparkContext.broadcast(params)
@@ -228,7 +245,7 @@ def train_graph_model(node_rows: DataFrame, edge_rows: DataFrame, labels: DataFr
             for b in batches:
                 for nodes, edges, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     p = {n: Var(v) for n, v in sent.value.items()}
-                    logit = gat_core_var(p, *_arrays(nodes, edges)) @ p["logit.w"] + p["logit.b"]
+                    logit = gat_logit(p, gat_core_var(p, *_arrays(nodes, edges)))
                     out = loss_of("bce_with_logits", logit.reshape(-1), np.array([y]))
                     out.backward()
                     g = np.concatenate([(p[n].grad if p[n].grad is not None else np.zeros_like(p[n].value)).ravel() for n in names])
@@ -251,7 +268,8 @@ def train_graph_model(node_rows: DataFrame, edge_rows: DataFrame, labels: DataFr
 def graph_vectors(node_rows: DataFrame, edge_rows: DataFrame, params: dict[str, np.ndarray] | None = None, key: str = "sample_id") -> DataFrame:
     """(key, vec) of each sample's graph: two attention layers, the core node, unit length.
 
-    ``node_rows`` has entity, is_core and features.
+    ``node_rows`` has entity, is_core and features; a graph without edges is its
+    placeholder node (``graph.node_features`` adds it).
     """
     sent = node_rows.sparkSession.sparkContext.broadcast(params or gat_shapes().draw(42))
     both = _graphs(node_rows, edge_rows, key)

@@ -88,17 +88,16 @@ def edges(df: DataFrame, key: str = "sample_id", triples: str = "triples") -> Da
 
 
 def chunk_stats(df: DataFrame, by: Sequence[str] = (), triples: str = "triples") -> DataFrame:
-    """Chunks, chunks with and without triples, triples, and distinct user heads; ``by`` groups with a total row."""
-    users = F.flatten(F.collect_set(F.array_distinct(F.filter(F.transform(triples, lambda t: t["head"]), lambda h: F.startswith(h, F.lit("user_"))))))
+    """Chunks, chunks with and without triples, and triples, with distinct user heads; ``by`` groups with a total row, without users."""
     n = F.size(triples)
     grouped = df.rollup(*by) if by else df.groupBy()
-    return grouped.agg(
+    counts = grouped.agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.count(F.when(n > 0, 1)).alias("n_with"),
         F.count(F.when(n <= 0, 1)).alias("n_without"),
         F.coalesce(F.sum(n), F.lit(0)).alias("n_triples"),
-        *([] if by else [F.size(F.array_distinct(users)).cast("long").alias("n_users")]),
     )
+    return counts if by else counts.join(F.broadcast(distinct_users(df, triples)))  # one row each
 
 
 def relation_histogram(df: DataFrame, triples: str = "triples") -> DataFrame:
@@ -151,12 +150,20 @@ def core_entity(product: Column, found: Column) -> Column:
     return F.when(F.array_contains(found, product), product).otherwise(F.coalesce(F.try_element_at(F.array_sort(products), F.lit(1)), F.try_element_at(F.array_sort(found), F.lit(1))))
 
 
+#: The node of a graph without triples.
+PLACEHOLDER = "placeholder"
+
+
 def node_features(edge_rows: DataFrame, cores: DataFrame, key: str = "sample_id", text_dim: int = 32) -> DataFrame:
     """The 100 features of each node: type flags, id hash, text vector on the core node, four structural shares.
 
-    ``cores`` has key, ``core`` and ``text_vector`` (array of ``text_dim``).
+    ``cores`` has key, ``core`` and ``text_vector`` (array of ``text_dim``). A sample of
+    ``cores`` without edges gets a placeholder node, which is its core.
     """
+    zeros = [F.lit(0.0).alias(c) for c in ("in_share", "out_share", "centrality", "clustering")]
+    empty = cores.join(edge_rows.select(key).distinct(), key, "left_anti").select(key, F.lit(PLACEHOLDER).alias("entity"), *zeros, F.lit(PLACEHOLDER).alias("core"), "text_vector")
     joined = degrees(edge_rows, key).join(clustering(edge_rows, key), [key, "entity"]).join(cores, key, "left")
+    joined = joined.select(*empty.columns).unionByName(empty)
     kind, zero = entity_type(F.col("entity")), F.array_repeat(F.lit(0.0), text_dim)
     flag = lambda k: F.array_repeat(F.when(kind == k, 1.0).otherwise(0.0), 16)
     text = F.when(F.col("entity") == F.col("core"), F.coalesce(F.col("text_vector").cast("array<double>"), zero)).otherwise(zero)

@@ -32,7 +32,7 @@ class ModelSettings(_Settings):
     fusion: str = "cross_attention_gated"
     head: str = "mlp_final"
     heads: int = 4
-    hidden: int = 256
+    hidden: int = 512
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import vectors
 from clickloom.models import embed, layers, run
 from clickloom.operators import metrics, quality
+from clickloom.plans import sql_network
 from clickloom.plans.stand_ins import SAMPLES, samples, table
 
 WIDTH = 64
@@ -125,25 +126,31 @@ _FM_PARTS = " + ".join(f"(pow(list_sum([embedding[i]::DOUBLE * ((((i - 1) * 7 +
 
 
 def _forward(fusion, head="mlp_final", mode="kg_text_fusion", hidden=32):
+    """A query and its SQL: weights by formula, over each vector's halves."""
+    options = {"hidden": hidden} | ({"heads": 4} if fusion != "concat" else {})
+    model = layers.ctr_model(32, 32, mode, fusion, head, fusion_options=options)
+
     def query(spark, d):
-        """Fixed seeded weights over each vector's halves."""
-        options = {"hidden": hidden} | ({"heads": 4} if fusion != "concat" else {})
-        model = layers.ctr_model(32, 32, mode, fusion, head, fusion_options=options)
         e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("kg_vec"), F.slice("embedding", 33, 32).alias("text_vec"))
-        return run.score(e, model, model.shapes.draw(42)).select("vec_id", "logit", vectors.sigmoid(F.col("logit")).alias("probability"))
+        scored = run.score(e, model, sql_network.formula_parameters(model))
+        return scored.select("vec_id", F.round("logit", 6).alias("logit"), F.round(vectors.sigmoid(F.col("logit")), 6).alias("probability"))
+
+    return query, sql_network.forward_sql(model, fusion, head, mode, hidden, 4)
 
-    return query
+
+_GATE = layers.gate_model(WIDTH)
 
 
 def feature_gate(spark, d):
-    """x sigmoid(W2 swish(W1 x)) with W1 = mean to one unit and W2 = ones."""
-    mean = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")) / WIDTH
-    gate = vectors.sigmoid(mean * vectors.sigmoid(mean))
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double") * gate)).alias("pos", "x"))
-    return e.select("vec_id", "pos", F.round("x", 9).alias("x"))
+    """x sigmoid(W2 swish(W1 x)) by the layer itself, weights by formula."""
+    e = run.apply_model(table(spark, d, "embeddings").select("vec_id", "embedding"), _GATE, sql_network.formula_parameters(_GATE), "embedding", "gated")
+    return e.select("vec_id", F.posexplode("gated").alias("pos", "x")).select("vec_id", "pos", F.round("x", 9).alias("x"))
 
 
-GATE = "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_sum(embedding::DOUBLE[]) / 64 AS m FROM embeddings), g AS (SELECT vec_id, v, 1 / (1 + exp(-(m * (1 / (1 + exp(-m)))))) AS g FROM m) SELECT vec_id, unnest(range(64))::INTEGER AS pos, round(unnest([x * g for x in v]), 9) AS x FROM g"
+def _gate_sql():
+    net = sql_network.Network(_GATE, "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings")
+    gated = sql_network.gate(net, "gate", "v", WIDTH)
+    return net.sql(f"vec_id, unnest(range({WIDTH}))::INTEGER AS pos, round(unnest({gated}), 9) AS x")
 
 
 def text_vectors(spark, d):
@@ -180,12 +187,13 @@ QUERIES = {
     "threshold_confusion": (threshold_confusion, f"WITH {SCORED} SELECT label, (1 / (1 + exp(-logit)) >= 0.5)::INTEGER AS predicted, count(*) AS n_rows FROM scored GROUP BY ALL"),
     "early_stop_trace": (early_stop_trace, EARLY),
     "fm_second_order": (fm_second_order, f"SELECT vec_id, round(0.5::DOUBLE * ({_FM_PARTS}), 9) AS fm FROM embeddings"),
-    "feature_gate": (feature_gate, GATE),
-    "fusion_concat_forward": (_forward("concat"), None),
-    "cross_attention_forward": (_forward("cross_attention_gated"), None),
-    "cross_modal_forward": (_forward("cross_modal_interaction", "cross_modal_fm", hidden=64), None),
-    "cross_fm_forward": (_forward("concat", "dcnv3_fm"), None),
-    "only_kg_forward": (_forward("concat", "mlp_final", "only_kg"), None),
+    "feature_gate": (feature_gate, _gate_sql()),
+    "fusion_concat_forward": _forward("concat"),
+    "cross_attention_forward": _forward("cross_attention_gated"),
+    "cross_modal_forward": _forward("cross_modal_interaction", "cross_modal_fm", hidden=64),
+    "cross_fm_forward": _forward("concat", "dcnv3_fm"),
+    "only_kg_forward": _forward("concat", "mlp_final", "only_kg"),
+    "only_text_forward": _forward("concat", "dcnv3_fm", "only_text"),
     "text_vectors": (text_vectors, None),
     "graph_vectors": (graph_vectors, None),
     "history_features": (history_features, f"WITH {SAMPLES} SELECT user_id, count(*) AS n_rows, sum(label)::BIGINT AS n_pos, round(avg(len(history)::DOUBLE), 9) AS mean_history FROM samples GROUP BY user_id"),

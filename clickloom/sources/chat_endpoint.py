@@ -56,14 +56,18 @@ def ask_model(df: DataFrame, prompt: Column, make_client: Callable[[], Client],
     return base.mapInArrow(run, schema)
 
 
-def extract_with_retry(df: DataFrame, key: str, text: str, generate: Callable[[DataFrame, int], DataFrame], validate: Callable[[Column, Column], Column], rounds: int = 3) -> DataFrame:
+def extract_with_retry(df: DataFrame, key: str, text: str, generate: Callable[[DataFrame, int], DataFrame], validate: Callable[[Column, Column], Column], path: str, rounds: int = 3) -> DataFrame:
     """Generate, validate, and generate anew for rows without a valid triple, ``rounds`` times at most.
 
-    ``generate(rows, attempt)`` adds ``triples``; returns key, triples, attempt.
+    ``generate(rows, attempt)`` adds ``triples``; returns key, triples, attempt. Each
+    round is written under ``path``, a folder that all executors share, before the
+    next one begins: a model is asked once a row and round, and what it answered stays.
     """
     left, done = df.select(key, text), None
     for attempt in range(1, rounds + 1):
         tried = generate(left, attempt).withColumn("triples", validate(F.col("triples"), F.col(text))).withColumn("attempt", F.lit(attempt))
+        tried.select(key, text, "triples", "attempt").write.parquet(f"{path}/round={attempt}")
+        tried = df.sparkSession.read.schema(tried.select(key, text, "triples", "attempt").schema).parquet(f"{path}/round={attempt}")
         good = tried.where(F.size("triples") > 0) if attempt < rounds else tried
         done = good.select(key, "triples", "attempt") if done is None else done.unionByName(good.select(key, "triples", "attempt"))
         left = tried.where(F.size("triples") <= 0).select(key, text)

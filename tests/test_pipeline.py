@@ -121,7 +121,7 @@ def test_files(spark, tmp_path):
     assert dictionaries.load_or_build(spark, str(tmp_path / "dict"), lambda: df.limit(1), rebuild=True).count() == 1
 
 
-def test_model_connector(spark):
+def test_model_connector(spark, tmp_path):
     df = spark.createDataFrame([(1, "ask"), (2, None), (3, "fail")], "id long, q string")
 
     def make():
@@ -135,11 +135,20 @@ def test_model_connector(spark):
     got = {r["id"]: r["answer"] for r in chat_endpoint.ask_model(df, F.col("q"), make).collect()}
     assert got == {1: "ASK", 2: None, 3: None}
 
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
     def generate(rows, attempt):
+        rows = rows.mapInArrow(counted, rows.schema)
         good = F.array(F.struct(F.lit("h").alias("head"), F.lit("r").alias("relation"), F.lit("t").alias("tail")))
         return rows.withColumn("triples", F.when(F.col("id") <= attempt, good).otherwise(F.slice(good, 1, 0)))
 
-    done = chat_endpoint.extract_with_retry(df, "id", "q", generate, lambda t, _: t).collect()
+    done = chat_endpoint.extract_with_retry(df, "id", "q", generate, lambda t, _: t, str(tmp_path / "rounds")).collect()
+    assert calls.value == 3 + 2 + 1  # a row is asked once a round
     assert {r["id"]: (r["attempt"], len(r["triples"])) for r in done} == {1: (1, 1), 2: (2, 1), 3: (3, 1)}
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from clickloom.functions.text import bound
+
 # The relations that extraction may give.
 RELATIONS = (
     "has_username", "belongs_to_scenario", "has_price", "has_brand", "has_title", "belongs_to_category", "has_style", "has_rank", "click_history_id", "expresses_sentiment",
@@ -28,7 +30,8 @@ def entity_hash(c: Column, dim: int = 32) -> Column:
     digest = F.sha2(F.substring_index(c, "_", -1), 256)
     if dim > 32:  # a digest has 32 bytes
         return F.array_repeat(F.lit(0.0), dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    return bound(digest, lambda x: F.transform(places, lambda i: F.conv(F.substring(x, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255))
 
 
 def relation_weight(c: Column) -> Column:

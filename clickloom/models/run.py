@@ -265,7 +265,7 @@ def train_graph_model(node_rows: DataFrame, edge_rows: DataFrame, labels: DataFr
     return params, losses
 
 
-def graph_vectors(node_rows: DataFrame, edge_rows: DataFrame, params: dict[str, np.ndarray] | None = None, key: str = "sample_id") -> DataFrame:
+def graph_vectors(node_rows: DataFrame, edge_rows: DataFrame, params: dict[str, np.ndarray] | None = None, key: str = "sample_id", double: bool = False) -> DataFrame:
     """(key, vec) of each sample's graph: two attention layers, the core node, unit length.
 
     ``node_rows`` has entity, is_core and features; a graph without edges is its
@@ -273,14 +273,15 @@ def graph_vectors(node_rows: DataFrame, edge_rows: DataFrame, params: dict[str,
     """
     sent = node_rows.sparkSession.sparkContext.broadcast(params or gat_shapes().draw(42))
     both = _graphs(node_rows, edge_rows, key)
-    schema = T.StructType([node_rows.schema[key], T.StructField("vec", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([node_rows.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType() if double else T.FloatType()))])
+    kind = (np.float64, pa.float64()) if double else (np.float32, pa.float32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = {k: var(v) for k, v in sent.value.items()}
         for b in batches:
             out = []
             for nodes, edges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                out.append(gat_core(p, *_arrays(nodes, edges)).astype(np.float32).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=schema.names)
+                out.append(gat_core(p, *_arrays(nodes, edges)).astype(kind[0]).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(kind[1]))], names=schema.names)
 
     return both.mapInArrow(run, schema)

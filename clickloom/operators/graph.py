@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.entities import RELATIONS, entity_hash, entity_type, relation_weight
-from clickloom.functions.text import is_blank
+from clickloom.functions.text import bound, is_blank
 
 #: Relations that a test row must not show.
 TEST_FORBIDDEN = ("click_history_id",)
@@ -163,7 +163,49 @@ def node_features(edge_rows: DataFrame, cores: DataFrame, key: str = "sample_id"
     zeros = [F.lit(0.0).alias(c) for c in ("in_share", "out_share", "centrality", "clustering")]
     empty = cores.join(edge_rows.select(key).distinct(), key, "left_anti").select(key, F.lit(PLACEHOLDER).alias("entity"), *zeros, F.lit(PLACEHOLDER).alias("core"), "text_vector")
     joined = degrees(edge_rows, key).join(clustering(edge_rows, key), [key, "entity"]).join(cores, key, "left")
-    joined = joined.select(*empty.columns).unionByName(empty)
+    return _with_features(joined.select(*empty.columns).unionByName(empty), key, text_dim)
+
+
+def features_in_rows(df: DataFrame, product: Column, text_vector: Column, key: str = "sample_id", triples: str = "triples", text_dim: int = 32) -> DataFrame:
+    """What ``node_features`` gives with the core of ``core_entity``, from a sample's triples where they lie: no row moves.
+
+    Its work in a row is the product of nodes and triples, which suits graphs of a
+    sample; for graphs of many thousand triples take ``node_features``.
+    """
+    link = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def ends(t: Column) -> Column:
+        return F.struct(F.array_distinct(F.transform(t, lambda x: link(x["head"], x["tail"]))).alias("e"), entities(t).alias("n"))
+
+    def sides(g: Column) -> Column:
+        plain = F.array_distinct(F.transform(F.filter(g["e"], lambda e: e["a"] != e["b"]), lambda e: link(F.least(e["a"], e["b"]), F.greatest(e["a"], e["b"]))))
+        return F.struct(g["e"].alias("e"), plain.alias("u"), F.when(F.size(g["n"]) > 0, g["n"]).otherwise(F.array(F.lit(PLACEHOLDER))).alias("n"))
+
+    def counted(g: Column, x: Column) -> Column:
+        near = F.transform(F.filter(g["u"], lambda u: (u["a"] == x) | (u["b"] == x)), lambda u: F.when(u["a"] == x, u["b"]).otherwise(u["a"]))
+        return F.struct(
+            x.alias("entity"),
+            F.size(F.filter(g["e"], lambda e: e["b"] == x)).alias("n_in"),
+            F.size(F.filter(g["e"], lambda e: e["a"] == x)).alias("n_out"),
+            bound(near, lambda y: F.struct(F.size(y).alias("d"), F.when(F.size(y) > 1, F.size(F.filter(g["u"], lambda u: F.array_contains(y, u["a"]) & F.array_contains(y, u["b"])))).otherwise(0).alias("t"))).alias("near"),
+        )
+
+    def shared(n: Column) -> Column:
+        """The nodes, each with the largest degree and the number of nodes."""
+        most = F.array_max(F.transform(n, lambda x: x["n_in"] + x["n_out"]))
+        core = core_entity(product, F.transform(n, lambda x: x["entity"]))
+        return bound(F.struct(most.alias("most"), core.alias("core")), lambda m: F.transform(n, lambda x: F.struct(m["core"].alias("core"), x["entity"].alias("entity"), x["n_in"].alias("n_in"), x["n_out"].alias("n_out"), x["near"]["d"].alias("d"), x["near"]["t"].alias("t"), m["most"].alias("most"), F.size(n).alias("nodes"))))
+
+    # each step is bound: nothing that a step refers to again is computed again
+    every = bound(bound(bound(bound(F.col(triples), ends), sides), lambda g: F.transform(g["n"], lambda x: counted(g, x))), shared)
+    rows = df.select(key, text_vector.alias("text_vector"), F.explode(every).alias("_n")).select(key, "text_vector", "_n.*")
+    share = lambda c: F.when(F.col("most") > 0, c / F.col("most")).otherwise(0.0)
+    centrality = F.when(F.col("most") == 0, 0.0).when(F.col("nodes") > 1, (F.col("n_in") + F.col("n_out")) / (F.col("nodes") - 1)).otherwise(1.0)
+    clustered = F.when(F.col("d") > 1, 2.0 * F.col("t") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
+    return _with_features(rows.select(key, "entity", "core", "text_vector", share(F.col("n_in")).alias("in_share"), share(F.col("n_out")).alias("out_share"), clustered.alias("clustering"), centrality.alias("centrality")), key, text_dim)
+
+
+def _with_features(joined: DataFrame, key: str, text_dim: int) -> DataFrame:
     kind, zero = entity_type(F.col("entity")), F.array_repeat(F.lit(0.0), text_dim)
     flag = lambda k: F.array_repeat(F.when(kind == k, 1.0).otherwise(0.0), 16)
     text = F.when(F.col("entity") == F.col("core"), F.coalesce(F.col("text_vector").cast("array<double>"), zero)).otherwise(zero)

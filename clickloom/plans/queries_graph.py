@@ -15,7 +15,7 @@ def _triples(spark, d):
     split = F.when(F.col("sample_id") % 10 == 9, "test").when(F.col("sample_id") % 10 == 8, "valid").otherwise("train")
     domain = F.concat(F.lit("d"), (F.col("asin") % 3).cast("string"))
     found = rows.select("sample_id", "user_id", "asin", domain.alias("domain"), split.alias("split"), graph.rule_triples(rows.drop("category"), F.col("history")).alias("triples"))
-    return found.withColumn("triples", F.when(F.col("split") == "test", graph.allowed(F.col("triples"), graph.TEST_FORBIDDEN)).otherwise(F.col("triples")))
+    return found.withColumn("triples", F.filter("triples", lambda t: (F.col("split") != "test") | ~t["relation"].isin(*graph.TEST_FORBIDDEN)))
 
 
 TRIPLES = f"""{SAMPLES}, base AS (SELECT sample_id, user_id, asin, 'd' || (asin % 3) AS domain, CASE sample_id % 10 WHEN 9 THEN 'test' WHEN 8 THEN 'valid' ELSE 'train' END AS split, title, brand, price, history FROM samples),
@@ -28,10 +28,10 @@ triples AS (SELECT * FROM raw WHERE tail IS NOT NULL AND lower(trim(tail)) NOT I
 
 
 def kg_triples_rule(spark, d):
-    return _triples(spark, d).select("sample_id", F.posexplode("triples").alias("pos", "t")).select("sample_id", "pos", "t.head", "t.relation", F.when(F.col("t.relation") == "has_price", "").otherwise(F.col("t.tail")).alias("tail"))
+    return _triples(spark, d).select("sample_id", F.posexplode("triples").alias("pos", "t")).select("sample_id", "pos", "t.*")
 
 
-RULE = f"WITH {TRIPLES} SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1)::INTEGER AS pos, head, relation, CASE WHEN relation = 'has_price' THEN '' ELSE tail END AS tail FROM triples"
+RULE = f"WITH {TRIPLES} SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1)::INTEGER AS pos, head, relation, tail FROM triples"
 
 
 def kg_validate(spark, d):
@@ -81,10 +81,10 @@ def kg_users(spark, d):
 
 
 def _edges(spark, d):
-    return graph.edges(_triples(spark, d).withColumn("triples", F.filter("triples", lambda t: t["relation"] != "has_price")))
+    return graph.edges(_triples(spark, d))
 
 
-EDGES = f"{TRIPLES}, edges AS (SELECT sample_id, head, relation, tail FROM triples WHERE relation <> 'has_price')"
+EDGES = f"{TRIPLES}, edges AS (SELECT sample_id, head, relation, tail FROM triples)"
 
 
 def kg_edge_weight(spark, d):
@@ -114,7 +114,7 @@ def kg_clustering(spark, d):
     item = lambda k: F.concat(F.lit("product_"), F.lag("item", k).over(w).cast("string"))
     near = rows.select("sample_id", F.concat(F.lit("product_"), F.col("item").cast("string")).alias("head"), item(1).alias("a"), item(2).alias("b"))
     two = near.select("sample_id", "head", F.explode(F.array("a", "b")).alias("tail")).where("tail is not null")
-    return graph.clustering(two).where("clustering > 0")
+    return graph.clustering(two)
 
 
 CLUSTERING = """WITH r AS (SELECT user_id || '-' || strftime(ts, '%Y-%m') AS sample_id, 'product_' || json_extract_string(props, '$.k') AS item, ts, event_id FROM events),
@@ -122,15 +122,15 @@ l AS (SELECT sample_id, item AS head, lag(item, 1) OVER w AS a, lag(item, 2) OVE
 e AS (SELECT sample_id, head, a AS tail FROM l WHERE a IS NOT NULL UNION ALL SELECT sample_id, head, b FROM l WHERE b IS NOT NULL),
 u AS (SELECT DISTINCT sample_id, head AS x, tail AS y FROM e WHERE head <> tail UNION SELECT DISTINCT sample_id, tail, head FROM e WHERE head <> tail),
 deg AS (SELECT sample_id, x AS entity, count(*) AS d FROM u GROUP BY ALL),
-tri AS (SELECT p.sample_id, p.x AS entity, count(*) AS t2 FROM u p JOIN u q ON p.sample_id = q.sample_id AND p.y = q.x JOIN u s ON s.sample_id = p.sample_id AND s.x = q.y AND s.y = p.x GROUP BY ALL)
-SELECT sample_id, entity, t2 / (d * (d - 1)) AS clustering FROM tri JOIN deg USING (sample_id, entity) WHERE d > 1"""
+tri AS (SELECT p.sample_id, p.x AS entity, count(*) AS t2 FROM u p JOIN u q ON p.sample_id = q.sample_id AND p.y = q.x JOIN u s ON s.sample_id = p.sample_id AND s.x = q.y AND s.y = p.x GROUP BY ALL),
+every AS (SELECT sample_id, head AS entity FROM e UNION SELECT sample_id, tail FROM e)
+SELECT sample_id, entity, CASE WHEN d > 1 THEN coalesce(t2, 0) / (d * (d - 1)) ELSE 0.0::DOUBLE END AS clustering FROM every LEFT JOIN deg USING (sample_id, entity) LEFT JOIN tri USING (sample_id, entity)"""
 
 
 def kg_node_features(spark, d):
     """All but the text part of the features, as sums and shares."""
-    found = _triples(spark, d).withColumn("triples", F.filter("triples", lambda t: t["relation"] != "has_price"))
-    cores = found.select("sample_id", graph.core_entity(F.concat(F.lit("product_"), F.col("asin").cast("string")), graph.entities(F.col("triples"))).alias("core"), F.array_repeat(F.lit(1.0), 32).alias("text_vector"))
-    feats = graph.node_features(graph.edges(found), cores)
+    found = _triples(spark, d)
+    feats = graph.features_in_rows(found, F.concat(F.lit("product_"), F.col("asin").cast("string")), F.array_repeat(F.lit(1.0), 32))
     part = lambda a, n: F.aggregate(F.slice("features", a, n), F.lit(0.0), lambda acc, x: acc + x)
     return feats.select("sample_id", "entity", "is_core", part(1, 16).alias("user_flags"), part(17, 16).alias("product_flags"), F.element_at("features", 33).alias("hash_byte_0"), part(65, 32).alias("text_sum"), F.element_at("features", 97).alias("in_share"), F.element_at("features", 98).alias("out_share"), F.element_at("features", 100).alias("centrality"), F.size("features").alias("n_features"))
 

@@ -158,14 +158,34 @@ def text_vectors(spark, d):
     return embed.embed_texts(docs, embed.hashed_provider(32))
 
 
+_GRAPH = layers.Model(layers.gat_shapes(hidden=4, heads=2, n_out=8), lambda: None)
+
+
 def graph_vectors(spark, d):
+    """Core vectors of a small graph model, weights by formula."""
     from clickloom.operators import graph
     from clickloom.plans.queries_graph import _triples
 
     found = _triples(spark, d)
-    edges = graph.edges(found)
-    cores = found.select("sample_id", graph.core_entity(F.concat(F.lit("product_"), F.col("asin").cast("string")), graph.entities(F.col("triples"))).alias("core"), F.array_repeat(F.lit(0.1), 32).alias("text_vector"))
-    return run.graph_vectors(graph.node_features(edges, cores), edges)
+    nodes = graph.features_in_rows(found, F.concat(F.lit("product_"), F.col("asin").cast("string")), F.array_repeat(F.lit(0.1), 32))
+    vec = run.graph_vectors(nodes, graph.edges(found), sql_network.formula_parameters(_GRAPH), double=True)
+    return vec.select("sample_id", F.posexplode("vec").alias("pos", "x")).select("sample_id", "pos", F.round("x", 6).alias("x"))
+
+
+def _graph_sql():
+    from clickloom.plans.queries_graph import DEGREE_CTE, WEIGHT_SQL
+
+    bytes_of = "[('0x' || substr(sha256(regexp_extract(entity, '[^_]*$')), 2 * i + 1, 2))::BIGINT / 255.0::DOUBLE for i in range(32)]"
+    ones = lambda test, n, value="1.0::DOUBLE": f"[CASE WHEN {test} THEN {value} ELSE 0.0::DOUBLE END for i in range({n})]"
+    core = "entity = 'product_' || asin"
+    features = f"""{DEGREE_CTE.replace("edges AS (", "triple_edges AS (").replace("FROM edges)", "FROM triple_edges)")},
+und AS (SELECT DISTINCT sample_id, head AS x, tail AS y FROM triple_edges WHERE head <> tail UNION SELECT DISTINCT sample_id, tail, head FROM triple_edges WHERE head <> tail),
+nd AS (SELECT sample_id, x AS entity, count(*) AS d FROM und GROUP BY ALL),
+tri AS (SELECT p.sample_id, p.x AS entity, count(*) AS t2 FROM und p JOIN und q ON p.sample_id = q.sample_id AND p.y = q.x JOIN und z ON z.sample_id = p.sample_id AND z.x = q.y AND z.y = p.x GROUP BY ALL),
+clus AS (SELECT sample_id, entity, CASE WHEN d > 1 THEN coalesce(t2, 0) / (d * (d - 1)) ELSE 0 END AS c FROM nd LEFT JOIN tri USING (sample_id, entity)),
+n0 AS (SELECT g.sample_id, entity, {core} AS is_core, list_concat(list_concat(list_concat({ones("starts_with(entity, 'user_')", 16)}, {ones("starts_with(entity, 'product_')", 16)}), {bytes_of}), list_concat({ones(core, 32, "0.1::DOUBLE")}, [in_share, out_share, coalesce(c, 0), centrality])) AS x FROM deg g JOIN base USING (sample_id) LEFT JOIN clus USING (sample_id, entity)),
+edges AS (SELECT sample_id, head, tail, {WEIGHT_SQL} AS w FROM triple_edges)"""
+    return sql_network.graph_sql(_GRAPH, features)
 
 
 def history_features(spark, d):
@@ -195,6 +215,6 @@ QUERIES = {
     "only_kg_forward": _forward("concat", "mlp_final", "only_kg"),
     "only_text_forward": _forward("concat", "dcnv3_fm", "only_text"),
     "text_vectors": (text_vectors, None),
-    "graph_vectors": (graph_vectors, None),
+    "graph_vectors": (graph_vectors, _graph_sql()),
     "history_features": (history_features, f"WITH {SAMPLES} SELECT user_id, count(*) AS n_rows, sum(label)::BIGINT AS n_pos, round(avg(len(history)::DOUBLE), 9) AS mean_history FROM samples GROUP BY user_id"),
 }

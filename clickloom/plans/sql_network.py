@@ -19,6 +19,8 @@ def formula_parameters(model: Model) -> dict[str, np.ndarray]:
         j = np.arange(shape[-1])
         if name.endswith(".g"):
             out[name] = 1 + ((j + k) % 5 - 2) / 10
+        elif name.endswith(".var"):
+            out[name] = 1 + ((j + k) % 3) / 10
         elif len(shape) == 1:
             out[name] = ((3 * j + 5 * k) % 7 - 3) / 40
         else:
@@ -176,3 +178,36 @@ def forward_sql(model: Model, fusion: str, head: str, mode: str, hidden: int, he
         x, n = a if mode == "only_kg" else b, 32
     logit = net.clip(HEADS[head](net, x, n), 5)
     return net.sql(f"vec_id, round({logit}[1], 6) AS logit, round(1 / (1 + exp(-{logit}[1])), 6) AS probability")
+
+
+def graph_sql(model: Model, features: str) -> str:
+    """Core vectors of the two attention layers; ``features`` gives CTEs n0 (sample_id, entity, is_core, x) and edges (sample_id, head, tail, w)."""
+    net, steps = Network(model, "SELECT 1"), [features]
+
+    def normed(name: str, x: str, relu: bool) -> str:
+        n, k = net.shape[f"{name}.g"][0], net.number
+        value = f"({x}[(j + 1)::BIGINT] - {net.small(f'{name}.mean', 'j')}) / sqrt(1 + ((j + {k[f'{name}.var']}) % 3) / 10.0::DOUBLE + 1e-5::DOUBLE) * (1 + (((j + {k[f'{name}.g']}) % 5) - 2) / 10.0::DOUBLE) + {net.small(f'{name}.o', 'j')}"
+        return f"[{f'greatest({value}, 0)' if relu else value} for j in range({n})]"
+
+    def layer(k: int, x: str) -> None:
+        """From n{k}.x to n{k + 1}.x."""
+        name, (heads, twice) = f"g{k + 1}", net.shape[f"g{k + 1}.a"]
+        each, width = twice // 2, heads * twice // 2
+        rest = (f"[list_sum([x[(i + 1)::BIGINT] * {net.weight(f'{name}.res.w', 'i', 'j')} for i in range({net.shape[f'{name}.w'][0]})]) + {net.small(f'{name}.res.b', 'j')} for j in range({width})]" if f"{name}.res.w" in net.shape else "x")
+        half = lambda off: f"[list_sum([h[(g * {each} + d + 1)::BIGINT] * {net.weight(f'{name}.a', 'g', f'(d + {off})')} for d in range({each})]) for g in range({heads})]"
+        steps.extend([
+            f"x{k} AS (SELECT sample_id, entity, is_core, {x} AS x FROM n{k})",
+            f"h{k} AS (SELECT *, {net._product(f'{name}.w', 'x')} for j in range({width})] AS h, {rest} AS rest FROM x{k})",
+            f"a{k} AS (SELECT *, {half(0)} AS s, {half(each)} AS t FROM h{k})",
+            f"e{k} AS (SELECT p.sample_id, p.tail, g, a.h, a.s[(g + 1)::BIGINT] + b.t[(g + 1)::BIGINT] AS z, w FROM edges p JOIN a{k} a ON a.sample_id = p.sample_id AND a.entity = p.head JOIN a{k} b ON b.sample_id = p.sample_id AND b.entity = p.tail, range({heads}) r(g))",
+            f"f{k} AS (SELECT *, exp((CASE WHEN z >= 0 THEN z ELSE z * 0.2::DOUBLE END) * w) AS v FROM e{k})",
+            f"q{k} AS (SELECT *, v / (sum(v) OVER (PARTITION BY sample_id, tail, g) + 1e-8::DOUBLE) AS alpha FROM f{k})",
+            f"m{k} AS (SELECT sample_id, tail, g * {each} + d AS j, sum(alpha * h[(g * {each} + d + 1)::BIGINT]) AS v FROM q{k}, range({each}) r(d) GROUP BY ALL)",
+            f"l{k} AS (SELECT sample_id, tail, list(v ORDER BY j) AS v FROM m{k} GROUP BY ALL)",
+            f"n{k + 1} AS (SELECT h.sample_id, entity, is_core, [rest[(j + 1)::BIGINT] + coalesce(v[(j + 1)::BIGINT], 0) for j in range({width})] AS x FROM h{k} h LEFT JOIN l{k} l ON l.sample_id = h.sample_id AND l.tail = h.entity)",
+        ])
+
+    layer(0, normed("bn1", "x", False))
+    layer(1, normed("bn2", "x", True))
+    n_out = net.shape["g2.a"][1] // 2
+    return f"WITH {', '.join(steps)}, v AS (SELECT sample_id, [greatest(y, 0) for y in x] AS v FROM n2 WHERE is_core) SELECT sample_id, unnest(range({n_out}))::INTEGER AS pos, round(unnest([y / sqrt(list_sum([z * z for z in v]) + 1e-24::DOUBLE) for y in v]), 6) AS x FROM v"

@@ -12,8 +12,8 @@ sequence as unit. Pieces never merge with each other, so above them the tree
 concatenates, and so does decoding. That every token is reachable is checked on the
 driver; another vocabulary is refused.
 
-Each task works on the rows it scans: no shuffle, no state but a bounded cache,
-which ends with the task.
+Each task works on the rows it scans: no shuffle, no state but bounded caches, which
+a worker keeps from task to task.
 
 Defined results: a null text is encoded as the empty text (no ids); repeated rows
 and null ids give a row each; an empty table gives no rows. Other columns are
@@ -36,9 +36,9 @@ from clickloom.llm._shared import in_batches
 #: Tokens, and matches of the pattern, that a leaf of the upper tree holds.
 LEAF_TOKENS, LEAF_MATCHES = 1 << 12, 1 << 16
 #: Cached pieces a codec keeps, and the longest that it caches (characters); cached parts of pieces and pairs of tokens.
-CACHE_PIECES, CACHE_CHARS, CACHE_PARTS, CACHE_PAIRS = 100_000, 48, 100_000, 100_000
+CACHE_PIECES, CACHE_CHARS, CACHE_PARTS, CACHE_PAIRS = 200_000, 48, 100_000, 100_000
 #: Bytes of a part of a piece that is cached.
-PART_BYTES = 6
+PART_BYTES = 5
 
 
 def fold(parts: list, join):
@@ -126,10 +126,10 @@ class TreeCodec:
 
     def encode_piece(self, data: bytes) -> list[int]:
         """The halves' encodings, joined; a byte is a token by itself."""
-        if len(data) < 2:
-            return [self.ranks[data]] if data else []
         known = self.parts.get(data)
         if known is None:
+            if len(data) < 2:
+                return [self.ranks[data]] if data else []
             half = len(data) // 2
             known = self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
             if len(data) <= PART_BYTES:
@@ -169,6 +169,18 @@ class _Pieces(dict):
         return ids
 
 
+_codecs: dict[tuple[int, str], TreeCodec] = {}
+
+
+def _codec(raw: bytes, pattern: str) -> TreeCodec:
+    """The worker's codec: one at a time, kept for the next task, with caches of bounded size."""
+    key = hash(raw), pattern
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = TreeCodec(read_ranks(raw), pattern)
+    return _codecs[key]
+
+
 def _vocabulary(docs: DataFrame, ranks_path: str):
     """The rank file's bytes for all tasks; a vocabulary file is small whatever the corpus."""
     with open(ranks_path, "rb") as f:
@@ -196,7 +208,7 @@ def _encoding(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_
     schema = T.StructType([*[f for f in kept.schema if f.name != "_text"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("_decoded", T.BinaryType())] if decode_as else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TreeCodec(read_ranks(raw.value), pattern)
+        codec = _codec(raw.value, pattern)
         for batch in batches:
             at = batch.num_columns - 1
             for k in range(0, batch.num_rows, 512):
@@ -228,7 +240,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col:
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TreeCodec(read_ranks(raw.value), pattern)
+        codec = _codec(raw.value, pattern)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

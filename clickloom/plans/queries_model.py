@@ -49,13 +49,12 @@ LAST_POOL = "SELECT vec_id, i::INTEGER AS pos, embedding[((CASE WHEN label > 0 T
 
 
 def vec_cosine(spark, d):
-    e = table(spark, d, "embeddings")
-    first = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
-    v, q = F.col("embedding"), F.col("q")
-    return e.join(first).select("vec_id", F.round(vectors.dot(v, q) / F.sqrt(vectors.dot(v, v) * vectors.dot(q, q)), 9).alias("cosine"))
+    """Of each vector's halves."""
+    v, q = F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.dot(v, q) / F.sqrt(vectors.dot(v, v) * vectors.dot(q, q)), 9).alias("cosine"))
 
 
-COSINE = "SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 9) AS cosine FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+COSINE = "WITH h AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS v, embedding[33:64]::DOUBLE[] AS q FROM embeddings) SELECT vec_id, round(list_inner_product(v, q) / sqrt(list_inner_product(v, v) * list_inner_product(q, q)), 9) AS cosine FROM h"
 
 
 def _scored(spark, d):

@@ -74,8 +74,9 @@ def review_meta_left_join(spark, d):
 
 
 def join_unmatched(spark, d):
-    meta = items(spark, d).where(F.col("item") % 7 != 0).select("item")
-    return interactions(spark, d).join(meta, "item", "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Of doubled item ids, those that no item has."""
+    rows = interactions(spark, d).withColumn("item", F.col("item") * 2)
+    return rows.join(items(spark, d).select("item"), "item", "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def user_dictionary(spark, d):
@@ -93,12 +94,14 @@ ITEM_DICT_CTE = f"{INTERACTIONS}, v AS (SELECT DISTINCT item::VARCHAR AS value F
 
 
 def encode_unknown(spark, d):
-    known = dictionary.build_dictionary([table(spark, d, "part").where(F.col("p_partkey") <= 50).select("p_partkey")], "unknown_asin")
-    return dictionary.encode(interactions(spark, d), known, F.col("item"), "unknown_asin", "asin").select("src_idx", "item", "asin")
+    """Items from 50 on carry a letter, which no known one has."""
+    known = dictionary.build_dictionary([table(spark, d, "part").select("p_partkey")], "unknown_asin")
+    named = F.concat(F.col("item").cast("string"), F.when(F.col("item") >= 50, "x").otherwise(""))
+    return dictionary.encode(interactions(spark, d), known, named, "unknown_asin", "asin").select("src_idx", "item", "asin")
 
 
-ENCODE = f"""WITH {INTERACTIONS}, v AS (SELECT DISTINCT p_partkey::VARCHAR AS value FROM part WHERE p_partkey <= 50 UNION SELECT 'unknown_asin'), dict AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS idx FROM v)
-SELECT src_idx, item, coalesce(idx, (SELECT idx FROM dict WHERE value = 'unknown_asin')) AS asin FROM interactions LEFT JOIN dict ON item::VARCHAR = value"""
+ENCODE = f"""WITH {INTERACTIONS}, v AS (SELECT DISTINCT p_partkey::VARCHAR AS value FROM part UNION SELECT 'unknown_asin'), dict AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS idx FROM v)
+SELECT src_idx, item, coalesce(idx, (SELECT idx FROM dict WHERE value = 'unknown_asin')) AS asin FROM interactions LEFT JOIN dict ON item::VARCHAR || CASE WHEN item >= 50 THEN 'x' ELSE '' END = value"""
 
 
 def _cell():
@@ -109,7 +112,7 @@ CELL_SQL = "concat_ws('; ', ((p_partkey * 1) % 150)::VARCHAR, ((p_partkey * 3) %
 
 def _related(spark, d, limit):
     part = table(spark, d, "part").select("p_partkey", text.split_related(_cell()).alias("related"))
-    known = dictionary.build_dictionary([table(spark, d, "part").where(F.col("p_partkey") <= 100).select("p_partkey")], "unknown_asin")
+    known = dictionary.build_dictionary([table(spark, d, "part").select("p_partkey")], "unknown_asin")
     return dictionary.encode_list(part, known, "p_partkey", F.col("related"), "unknown_asin", "also_buy", limit).select("p_partkey", "also_buy")
 
 
@@ -123,7 +126,7 @@ def related_top5(spark, d):
 
 def _related_sql(limit):
     cut = f"[1:{limit}]" if limit else ""
-    return f"""WITH v AS (SELECT DISTINCT p_partkey::VARCHAR AS value FROM part WHERE p_partkey <= 100 UNION SELECT 'unknown_asin'), dict AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS idx FROM v),
+    return f"""WITH v AS (SELECT DISTINCT p_partkey::VARCHAR AS value FROM part UNION SELECT 'unknown_asin'), dict AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS idx FROM v),
 cells AS (SELECT p_partkey, (list_filter([trim(x) for x in regexp_split_to_array({CELL_SQL}, ';|\\band\\b')], lambda x: x <> '')){cut} AS l FROM part),
 each AS (SELECT p_partkey, unnest(l) AS item, unnest(range(len(l))) AS pos FROM cells)
 SELECT p_partkey, string_agg('product_' || coalesce(idx, (SELECT idx FROM dict WHERE value = 'unknown_asin')), ' and ' ORDER BY pos) AS also_buy FROM each LEFT JOIN dict ON item = value GROUP BY p_partkey"""
@@ -245,7 +248,7 @@ QUERIES = {
     "meta_dedup_first": (meta_dedup_first, FIRST),
     "item_first_title": (item_first_title, f"WITH {ITEMS} SELECT item, replace(arg_min(title, src_idx), ';', ',') AS title FROM items WHERE title IS NOT NULL AND lower(trim(title)) NOT IN ('', 'nan', 'none', 'unknown') GROUP BY item"),
     "review_meta_left_join": (review_meta_left_join, f"WITH {INTERACTIONS}, {ITEMS}, meta AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY item ORDER BY src_idx) = 1) SELECT i.src_idx, user_id, i.item, title, brand, price FROM interactions i LEFT JOIN meta m ON i.item = m.item"),
-    "join_unmatched": (join_unmatched, f"WITH {INTERACTIONS}, {ITEMS} SELECT item, count(*) AS n_rows FROM interactions WHERE item NOT IN (SELECT item FROM items WHERE item % 7 <> 0) GROUP BY item"),
+    "join_unmatched": (join_unmatched, f"WITH {INTERACTIONS}, {ITEMS} SELECT item * 2 AS item, count(*) AS n_rows FROM interactions WHERE item * 2 NOT IN (SELECT item FROM items) GROUP BY ALL"),
     "user_dictionary": (user_dictionary, USER_DICT),
     "item_dictionary": (item_dictionary, f"WITH {ITEM_DICT_CTE} SELECT value, idx FROM dict"),
     "encode_unknown": (encode_unknown, ENCODE),

@@ -7,16 +7,19 @@ takes a step of the optimiser. What reaches the driver is as large as the model.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickloom.models.autodiff import Var, var
-from clickloom.models.layers import Model, gat_core, gat_core_var, gat_head_shapes, gat_logit, gat_shapes
+from clickloom.models.layers import Model, dropping, gat_core, gat_core_var, gat_head_shapes, gat_logit, gat_shapes
+from clickloom.sources.files import exists
 
 
 def _matrix(column: pa.Array) -> np.ndarray | None:
@@ -127,8 +130,12 @@ def schedule(kind: str, epoch: int, best_age: int = 0, period: int = 10, step: i
     raise ValueError(f"unknown schedule {kind}")
 
 
-def gradient(df: DataFrame, model: Model, params: dict[str, np.ndarray], loss: str, kg: str | None, text: str | None, label: str, pos_weight: float = 1.0) -> tuple[dict[str, np.ndarray], float, int]:
-    """(mean gradient, mean loss, rows) over all rows of ``df``."""
+def gradient(df: DataFrame, model: Model, params: dict[str, np.ndarray], loss: str, kg: str | None, text: str | None, label: str, pos_weight: float = 1.0, dropout: float = 0.0, seed: int = 42) -> tuple[dict[str, np.ndarray], float, int]:
+    """(mean gradient, mean loss, rows) over all rows of ``df``.
+
+    Dropout is drawn from the seed, the partition and the place in it, so a task
+    that is run again draws what it drew.
+    """
     sent = df.sparkSession.sparkContext.broadcast(params)
     nothing = F.lit(None).cast("array<double>")
     base = df.select(F.col(kg).cast("array<double>").alias("a") if kg else nothing.alias("a"), F.col(text).cast("array<double>").alias("b") if text else nothing.alias("b"), F.col(label).cast("double").alias("y"))
@@ -136,11 +143,14 @@ def gradient(df: DataFrame, model: Model, params: dict[str, np.ndarray], loss: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, lost, rows = None, 0.0, 0
+        place = TaskContext.get().partitionId()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 p = {n: Var(v) for n, v in sent.value.items()}
-                out = loss_of(loss, model.forward(p, _matrix(part.column(0)), _matrix(part.column(1))), part.column(2).to_numpy(zero_copy_only=False), pos_weight)
+                with dropping(dropout, (seed, place, rows)):
+                    logit = model.forward(p, _matrix(part.column(0)), _matrix(part.column(1)))
+                out = loss_of(loss, logit, part.column(2).to_numpy(zero_copy_only=False), pos_weight)
                 out.backward()
                 g = np.concatenate([(p[n].grad if p[n].grad is not None else np.zeros_like(p[n].value)).ravel() for n in names])
                 total = g if total is None else total + g
@@ -161,11 +171,13 @@ def gradient(df: DataFrame, model: Model, params: dict[str, np.ndarray], loss: s
     return grads, float(flat[-2] / n), int(n)
 
 
-def train(df: DataFrame, model: Model, valid: DataFrame | None = None, epochs: int = 20, batches: int = 1, accumulate: int = 1, loss: str = "bce_with_logits", optimiser: Optimiser | None = None, scheduler: str = "none", patience: int = 25, tolerance: float = 1e-4, seed: int = 42, kg: str | None = "kg_vec", text: str | None = "text_vec", label: str = "label", key: str = "sample_id", params: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
+def train(df: DataFrame, model: Model, valid: DataFrame | None = None, epochs: int = 20, batches: int = 1, accumulate: int = 1, loss: str = "bce_with_logits", optimiser: Optimiser | None = None, scheduler: str = "none", patience: int = 25, tolerance: float = 1e-4, seed: int = 42, kg: str | None = "kg_vec", text: str | None = "text_vec", label: str = "label", key: str = "sample_id", params: dict[str, np.ndarray] | None = None, dropout: float = 0.0, checkpoint: str | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
     """Train with early stopping on the validation AUC; returns the best parameters and the epochs' log.
 
     Each of ``batches`` steps takes another hash share of the rows; ``accumulate``
     gradients are averaged for a step, the rest flushed at the epoch's end.
+    ``checkpoint`` names a folder in which every epoch is saved whole (parameters, the
+    best ones, the optimiser's state, the log); training goes on from the last of them.
     """
     from clickloom.operators.metrics import roc_auc
 
@@ -176,11 +188,17 @@ def train(df: DataFrame, model: Model, valid: DataFrame | None = None, epochs: i
     skewed = total and not 0.2 <= pos / total <= 0.8 and 0 < pos < total
     weights = [min(max(total / (2 * counts.get(c, 1)), 0.1), 20.0) for c in (0, 1)] if skewed else [1.0, 1.0]
     best, best_params, idle, log = -1.0, params, 0, []
-    for epoch in range(epochs):
+    last = last_checkpoint(df.sparkSession, checkpoint) if checkpoint else None
+    if last:
+        params, best_params, log = last.params, last.best_params, last.log
+        optimiser.state, optimiser.steps = last.state, last.steps
+        best = max((x["auc"] for x in log if x["improved"]), default=best)
+        idle = next((k for k, x in enumerate(reversed(log)) if x["improved"]), len(log))
+    for epoch in range(len(log), epochs if idle < patience else 0):
         scale, lost, held, n_held = schedule(scheduler, epoch, idle), 0.0, None, 0
         for b in range(batches):
             share = df.where(F.pmod(F.xxhash64(key, F.lit(epoch)), F.lit(batches)) == b) if batches > 1 else df
-            grads, value, _ = gradient(share, model, params, loss, kg, text, label, weights[1] / weights[0])
+            grads, value, _ = gradient(share, model, params, loss, kg, text, label, weights[1] / weights[0], dropout, seed + epoch * batches + b)
             lost += value / batches
             held = grads if held is None else {k: held[k] + g for k, g in grads.items()}
             n_held += 1
@@ -194,11 +212,65 @@ def train(df: DataFrame, model: Model, valid: DataFrame | None = None, epochs: i
             best, best_params, idle = auc, {k: v.copy() for k, v in params.items()}, 0
         else:
             idle += 1
-            if idle >= patience:
-                break
+        if checkpoint:
+            save_checkpoint(df.sparkSession, Checkpoint(params, best_params, optimiser.state, optimiser.steps, log), checkpoint)
+        if idle >= patience:
+            break
     return best_params, log
 
 
+@dataclass
+class Checkpoint:
+    """All that training needs to go on after an epoch."""
+
+    params: dict[str, np.ndarray]
+    best_params: dict[str, np.ndarray]
+    state: dict[str, tuple[np.ndarray, np.ndarray]]
+    steps: int
+    log: list[dict]
+
+
+def save_checkpoint(spark: SparkSession, at: Checkpoint, folder: str) -> str:
+    """Write an epoch's table under ``folder`` and return its path; earlier epochs stay."""
+    groups = {"params": at.params, "best": at.best_params, "m": {k: m for k, (m, _) in at.state.items()}, "v": {k: v for k, (_, v) in at.state.items()}}
+    path = f"{folder}/epoch={len(at.log):06d}"
+    rows = [(g, k, list(v.shape), v.ravel().tolist(), None) for g, values in groups.items() for k, v in values.items()]
+    rows.append(("log", str(at.steps), [], [], json.dumps(at.log)))
+    spark.createDataFrame(rows, "part string, name string, shape array<int>, data array<double>, log string").write.mode("overwrite").parquet(path)
+    return path
+
+
+def last_checkpoint(spark: SparkSession, folder: str) -> Checkpoint | None:
+    """The last epoch that was written whole, or None."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().toString() for s in fs.listStatus(top)) if fs.exists(top) else []
+    whole = [n for n in names if exists(spark, f"{n}/_SUCCESS")]
+    if not whole:
+        return None
+    parts: dict[str, dict[str, np.ndarray]] = {"params": {}, "best": {}, "m": {}, "v": {}}
+    steps, log = 0, []
+    for r in spark.read.parquet(whole[-1]).collect():  # as large as the model
+        if r["part"] == "log":
+            steps, log = int(r["name"]), json.loads(r["log"])
+        else:
+            parts[r["part"]][r["name"]] = np.array(r["data"], dtype=float).reshape(r["shape"])
+    return Checkpoint(parts["params"], parts["best"], {k: (m, parts["v"][k]) for k, m in parts["m"].items()}, steps, log)
+
+
+def evaluate(df: DataFrame, model: Model, params: dict[str, np.ndarray], loss: str = "bce_with_logits", kg: str | None = "kg_vec", text: str | None = "text_vec", label: str = "label") -> dict[str, float]:
+    """Mean loss and AUC of rows that training hasn't seen, in one pass of the model."""
+    from clickloom.functions import vectors
+    from clickloom.operators.metrics import roc_auc
+
+    scored = score(df, model, params, kg, text).select("logit", F.col(label).cast("int").alias(label)).persist()
+    each = {"bce_with_logits": vectors.bce_with_logits, "focal": vectors.focal_loss, "mse": vectors.squared_error, "smooth_l1": vectors.smooth_l1}[loss]
+    mean = scored.agg(F.avg(each(F.col("logit"), F.col(label).cast("double")))).first()[0]
+    auc = roc_auc(scored, "logit", label).first()["auc"]
+    scored.unpersist()
+    return {"loss": mean, "auc": auc}
+
+
 def save(spark: SparkSession, params: dict[str, np.ndarray], path: str) -> None:
     """Parameters as a table: name, shape, values."""
     rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in params.items()]

@@ -44,6 +44,9 @@ class TrainSettings(_Settings):
     optimiser: str = "adamw"
     scheduler: str = "cosine"
     tolerance: float = 1e-4
+    decay: float = 1e-4
+    clip: float = 1.0
+    dropout: float = 0.3
     seed: int = 42
 
 
@@ -54,5 +57,7 @@ def validate(model: ModelSettings, train: TrainSettings) -> None:
     for value, known in ((model.fusion, FUSIONS), (model.head, HEADS), (model.mode, MODES), (train.loss, ("bce_with_logits", "focal", "mse", "smooth_l1")), (train.optimiser, ("adam", "adamw", "sgd")), (train.scheduler, ("cosine", "step", "plateau", "none"))):
         if value not in known:
             raise ValueError(f"unknown choice {value}; one of {', '.join(known)}")
-    if model.hidden % model.heads:
+    if not 0 <= train.dropout < 1:
+        raise ValueError(f"a dropout rate lies in [0, 1), not at {train.dropout}")
+    if model.heads < 1 or model.hidden % model.heads:
         raise ValueError(f"width {model.hidden} is not divisible by {model.heads} heads")

@@ -100,6 +100,13 @@ def chunk_stats(df: DataFrame, by: Sequence[str] = (), triples: str = "triples")
     return counts if by else counts.join(F.broadcast(distinct_users(df, triples)))  # one row each
 
 
+def validation_stats(df: DataFrame, candidates: str = "candidates", triples: str = "triples", by: Sequence[str] = ()) -> DataFrame:
+    """Candidate triples, how many of them passed validation and how many didn't, over all rows or by groups."""
+    tried, good = F.sum(F.size(F.coalesce(candidates, F.array()))), F.sum(F.size(F.coalesce(triples, F.array())))
+    sums = df.groupBy(*by).agg(F.coalesce(tried, F.lit(0)).alias("n_candidates"), F.coalesce(good, F.lit(0)).alias("n_valid"))
+    return sums.withColumn("n_invalid", F.col("n_candidates") - F.col("n_valid"))
+
+
 def relation_histogram(df: DataFrame, triples: str = "triples") -> DataFrame:
     return df.select(F.explode(triples).alias("t")).groupBy(F.coalesce("t.relation", F.lit("Unknown")).alias("relation")).agg(F.count(F.lit(1)).alias("n_triples"))
 

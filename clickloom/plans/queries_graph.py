@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from clickloom.functions.entities import RELATION_WEIGHTS, entity_hash, entity_type
 from clickloom.operators import graph
-from clickloom.plans.stand_ins import SAMPLES, samples
+from clickloom.plans.stand_ins import SAMPLES, samples, table
+from clickloom.sources import chat_endpoint
 
 
 def _triples(spark, d):
@@ -14,16 +17,17 @@ def _triples(spark, d):
     rows = samples(spark, d)
     split = F.when(F.col("sample_id") % 10 == 9, "test").when(F.col("sample_id") % 10 == 8, "valid").otherwise("train")
     domain = F.concat(F.lit("d"), (F.col("asin") % 3).cast("string"))
-    found = rows.select("sample_id", "user_id", "asin", domain.alias("domain"), split.alias("split"), graph.rule_triples(rows.drop("category"), F.col("history")).alias("triples"))
+    found = rows.select("sample_id", "user_id", "asin", domain.alias("domain"), split.alias("split"), graph.rule_triples(rows, F.col("history")).alias("triples"))
     return found.withColumn("triples", F.filter("triples", lambda t: (F.col("split") != "test") | ~t["relation"].isin(*graph.TEST_FORBIDDEN)))
 
 
-TRIPLES = f"""{SAMPLES}, base AS (SELECT sample_id, user_id, asin, 'd' || (asin % 3) AS domain, CASE sample_id % 10 WHEN 9 THEN 'test' WHEN 8 THEN 'valid' ELSE 'train' END AS split, title, brand, price, history FROM samples),
+TRIPLES = f"""{SAMPLES}, base AS (SELECT sample_id, user_id, asin, 'd' || (asin % 3) AS domain, CASE sample_id % 10 WHEN 9 THEN 'test' WHEN 8 THEN 'valid' ELSE 'train' END AS split, title, brand, price, category, history FROM samples),
 raw AS (
   SELECT sample_id, domain, split, 'product_' || asin AS head, 'has_title' AS relation, title AS tail, 1 AS pos FROM base UNION ALL
   SELECT sample_id, domain, split, 'product_' || asin, 'has_brand', brand, 2 FROM base UNION ALL
   SELECT sample_id, domain, split, 'product_' || asin, 'has_price', price::VARCHAR, 3 FROM base UNION ALL
-  SELECT sample_id, domain, split, 'user_' || user_id, 'click_history_id', 'product_' || unnest(history), 3 + unnest(range(1, len(history) + 1)) FROM base WHERE split <> 'test'),
+  SELECT sample_id, domain, split, 'product_' || asin, 'belongs_to_category', category, 4 FROM base UNION ALL
+  SELECT sample_id, domain, split, 'user_' || user_id, 'click_history_id', 'product_' || unnest(history), 4 + unnest(range(1, len(history) + 1)) FROM base WHERE split <> 'test'),
 triples AS (SELECT * FROM raw WHERE tail IS NOT NULL AND lower(trim(tail)) NOT IN ('', 'nan', 'none', 'unknown'))"""
 
 
@@ -34,12 +38,20 @@ def kg_triples_rule(spark, d):
 RULE = f"WITH {TRIPLES} SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1)::INTEGER AS pos, head, relation, tail FROM triples"
 
 
+def _even_source():
+    """A source that names the user and only the even products of the history."""
+    named = F.filter(F.transform("triples", lambda t: t["tail"]), lambda x: F.regexp_like(x, F.lit("^product_[0-9]*[02468]$")))
+    return F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit(" saw product_"), F.col("asin").cast("string"), F.lit(" and "), F.array_join(named, ", "))
+
+
+def kg_validation_stats(spark, d):
+    rows = _triples(spark, d)
+    return graph.validation_stats(rows.withColumn("valid", graph.validate(F.col("triples"), _even_source())), "triples", "valid", ["split"])
+
+
 def kg_validate(spark, d):
-    """Against a source that names the user and only the even products of the history."""
     rows = _triples(spark, d)
-    named = F.filter(F.transform("triples", lambda t: t["tail"]), lambda x: F.regexp_like(x, F.lit("^product_[0-9]*[02468]$")))
-    source = F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit(" saw product_"), F.col("asin").cast("string"), F.lit(" and "), F.array_join(named, ", "))
-    each = rows.select("sample_id", F.explode(graph.verdicts(F.col("triples"), source)).alias("v"))
+    each = rows.select("sample_id", F.explode(graph.verdicts(F.col("triples"), _even_source())).alias("v"))
     return each.groupBy("sample_id", "v.valid", "v.reason").agg(F.count(F.lit(1)).alias("n_triples"))
 
 
@@ -47,6 +59,27 @@ VALIDATE = f"""WITH {TRIPLES}, judged AS (SELECT t.sample_id, NOT (t.relation =
 SELECT sample_id, valid, CASE WHEN valid THEN 'grounded' ELSE 'id not in text' END AS reason, count(*) AS n_triples FROM judged GROUP BY ALL"""
 
 
+VALIDATION_STATS = f"""WITH {TRIPLES}, judged AS (SELECT t.split, NOT (t.relation = 'click_history_id' AND regexp_matches(t.tail, '[13579]$') AND t.tail <> 'product_' || b.asin) AS valid FROM triples t JOIN base b USING (sample_id))
+SELECT split, count(*) AS n_candidates, count(*) FILTER (valid) AS n_valid, count(*) FILTER (NOT valid) AS n_invalid FROM judged GROUP BY split"""
+
+
+def _answering():
+    """A stand-in for a model: answers in fences, and every third time with something that isn't JSON."""
+
+    def ask(prompt: str) -> str:
+        number, brand, kind = prompt.split("|")
+        told = [{"head": f"product_{number}", "relation": r, "tail": t} for r, t in (("has_brand", brand), ("has_category", kind), ("broken", None))]
+        return "sorry" if int(number) % 3 == 0 else f"```json\n{json.dumps(told)}\n```"
+
+    return ask
+
+
+def triples_udtf(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.concat_ws("|", F.col("p_partkey").cast("string"), "p_brand", "p_type").alias("prompt"))
+    extract = chat_endpoint.triples_udtf(_answering)
+    return part.lateralJoin(extract(F.col("prompt").outer())).drop("prompt")
+
+
 def kg_scenario_complete(spark, d):
     done = _triples(spark, d).select("sample_id", F.explode(graph.complete_scenarios(F.col("triples"), F.col("domain"))).alias("t")).select("sample_id", "t.*")
     return done.where("relation = 'belongs_to_scenario'")
@@ -166,6 +199,8 @@ QUERIES = {
     "kg_title_complete": (kg_title_complete, TITLES),
     "kg_relation_hist": (kg_relation_hist, f"WITH {TRIPLES} SELECT relation, count(*) AS n_triples FROM triples GROUP BY relation"),
     "kg_chunk_stats": (kg_chunk_stats, STATS),
+    "kg_validation_stats": (kg_validation_stats, VALIDATION_STATS),
+    "triples_udtf": (triples_udtf, "SELECT p_partkey, 'product_' || p_partkey AS head, 'has_brand' AS relation, p_brand AS tail FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'product_' || p_partkey, 'has_category', p_type FROM part WHERE p_partkey % 3 <> 0"),
     "kg_users": (kg_users, f"WITH {TRIPLES} SELECT count(DISTINCT head) AS n_users FROM triples WHERE starts_with(head, 'user_')"),
     "kg_edge_weight": (kg_edge_weight, f"WITH {EDGES} SELECT relation, {WEIGHT_SQL} AS weight, count(*) AS n_edges FROM edges GROUP BY ALL"),
     "kg_degree": (kg_degree, f"WITH {DEGREE_CTE} SELECT * FROM deg"),

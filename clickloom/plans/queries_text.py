@@ -55,6 +55,14 @@ def nested_flatten(spark, d):
     return part.select("p_partkey", text.flatten_map(nested).alias("details"), text.flatten_list(F.array(F.col("p_name"), F.lit(" "), F.lit("a\n b"))).alias("feature"), text.join_items(F.array("p_name", F.lit(""), F.lit("y"))).alias("joined"))
 
 
+def nested_deep(spark, d):
+    """Lists in maps in structs in lists, with blanks at every level."""
+    inner = F.create_map(F.lit("Made by"), F.array(F.array(F.col("p_brand"), F.lit("")), F.array(F.col("p_type"))), F.lit("unknown"), F.array(F.array(F.lit("x"))), F.lit("Empty"), F.array(F.array(F.lit(None).cast("string"))))
+    value = F.array(F.struct(F.col("p_size").alias("size"), inner.alias("maker"), F.lit(None).cast("string").alias("none")), F.lit(None))
+    rows = table(spark, d, "part").select("p_partkey", value.alias("v"))
+    return rows.select("p_partkey", text.flatten_nested(F.col("v"), rows.schema["v"].dataType).alias("flat"))
+
+
 def html_clean_simple(spark, d):
     return table(spark, d, "pages").select("page_id", text.clean_related_html(F.col("html")).alias("cleaned"))
 
@@ -177,6 +185,7 @@ QUERIES = {
     "rank_digits": (rank_digits, f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE regexp_replace({_RANK_SQL}, '[^\\d,]', '', 'g') END AS rank FROM part"),
     "style_flatten": (style_flatten, "SELECT p_partkey, 'Size: ' || p_size || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' and Color: ' || p_brand END AS style, 'Size: : ' || p_size AS style_text FROM part"),
     "nested_flatten": (nested_flatten, "SELECT p_partkey, 'A: ' || p_brand || ' and 2 and C: ' || p_type AS details, p_name || ' and a b' AS feature, p_name || ' and y' AS joined FROM part"),
+    "nested_deep": (nested_deep, "SELECT p_partkey, concat_ws(' and ', 'size: ' || p_size, 'maker: Made by: ' || p_brand || ' and ' || p_type) AS flat FROM part"),
     "html_clean_simple": (html_clean_simple, HTML_SIMPLE),
     "html_clean_full": (html_clean_full, HTML_FULL),
     "list_standardise": (list_standardise, LISTS),

@@ -56,6 +56,45 @@ def ask_model(df: DataFrame, prompt: Column, make_client: Callable[[], Client],
     return base.mapInArrow(run, schema)
 
 
+def triples_udtf(make_client: Callable[[], Client], attempts: int = 3):
+    """A table function from a prompt to the triples of the model's answer, one a row.
+
+    ``spark.udtf.register("extract", triples_udtf(...))``, then ``SELECT p.id, t.* FROM
+    prompts p, LATERAL extract(p.text) t``. Fences round the answer are taken off; a
+    null prompt, an answer that isn't a list of triples, and ``attempts`` failures of
+    the connection give no row.
+    """
+
+    class Extract:
+        def __init__(self):
+            self.client = make_client()
+
+        def eval(self, prompt: str):
+            for triple in self.parsed(self.answer(prompt)):
+                parts = [triple.get(k) for k in ("head", "relation", "tail")] if isinstance(triple, dict) else [None]
+                if all(isinstance(x, str) for x in parts):
+                    yield tuple(parts)
+
+        def answer(self, prompt: str | None) -> str:
+            for _ in range(attempts if prompt is not None else 0):
+                try:
+                    return self.client(prompt)
+                except OSError:
+                    continue
+            return ""
+
+        @staticmethod
+        def parsed(answer: str) -> list:
+            bare = answer.strip().removeprefix("```json").removeprefix("```").removesuffix("```")
+            try:
+                found = json.loads(bare)
+            except ValueError:
+                return []
+            return found if isinstance(found, list) else []
+
+    return F.udtf(Extract, returnType="head string, relation string, tail string")
+
+
 def extract_with_retry(df: DataFrame, key: str, text: str, generate: Callable[[DataFrame, int], DataFrame], validate: Callable[[Column, Column], Column], path: str, rounds: int = 3) -> DataFrame:
     """Generate, validate, and generate anew for rows without a valid triple, ``rounds`` times at most.
 

@@ -1,7 +1,7 @@
 """Golden rows of the scalar expressions."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from clickloom.functions import entities, numbers, text, vectors
 
@@ -100,6 +100,20 @@ def test_nested(spark):
     assert spark.range(1).select(text.style_map(style)).first()[0] == "Size: Large and Color: Red"
 
 
+def test_deep_nesting(spark):
+    df = spark.createDataFrame([({"a": [[{"b": "x\ny", "": "no"}], None, []], " ": [[{"b": "z"}]]},), (None,)], "v map<string,array<array<map<string,string>>>>")
+    kind = df.schema["v"].dataType
+    assert [r[0] for r in df.select(text.flatten_nested(F.col("v"), kind)).collect()] == ["a: b: x y", "unknown"]
+    value, deep = "'x'", T.StringType()
+    for _ in range(text.MAX_DEPTH + 1):
+        deep = T.ArrayType(deep)
+    assert text.flatten_items(F.lit(None), deep, depth=0) is not None  # the plan ends at the limit
+    near = spark.sql(f"SELECT array(array(array({value}))) AS v")
+    three = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
+    assert near.select(text.flatten_items(F.col("v"), three, depth=text.MAX_DEPTH - 3)).first()[0] == ["x"]
+    assert near.select(text.flatten_items(F.col("v"), three, depth=text.MAX_DEPTH - 2)).first()[0] == []
+
+
 def test_vectors(spark):
     v = one(spark, vectors.l2_normalise, [3.0, 4.0], "array<float>")
     assert v == pytest.approx([0.6, 0.8])

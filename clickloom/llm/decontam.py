@@ -1,11 +1,13 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each task turns the documents it scans into a shard: a sequence of word numbers,
-documents apart, and its suffix array, sorted by the first words of each suffix up
-to the window. Every window of every test item is looked up by binary search in
-that array; the range found gives all places where the window stands verbatim, and
-consecutive places on one diagonal make up the longest match. Words that no item has end a suffix, so suffixes which leave the
-vocabulary before the shortest window ends are not sorted: they can't match.
+documents apart, and its suffix array: prefix doubling sorts whole suffixes, each
+up to the first word that no item has. Every suffix of every test item is searched
+in that array by bisection: first the range of suffixes that share its window, which
+are the places of a match, then the place within the range where the whole test
+suffix belongs. Its longest match is beside that place, and the words that
+neighbours in the array share give the longest match at every other place of the
+range. A match that an earlier suffix of the item extends to the left is left out.
 
 The test side is broadcast in slices of a checked size, of which one is held at a
 time; each slice is one more pass and the hits of all passes are merged, so a large benchmark costs time and
@@ -67,18 +69,83 @@ class Items:
         self.window = window
         lengths = [min(len(ws), window) for ws in words if ws]
         self.shortest = min(lengths, default=window)
-        # one row for each window: item, place, length; keys are big-endian word numbers, so bytes sort as the words do
-        self.item, self.start, self.length, keys = [], [], [], []
-        for k, ws in enumerate(words):
-            numbers = np.array([self.vocabulary[w] for w in ws], dtype=">u4")
-            size = min(len(ws), window)
-            for p in range(len(ws) - size + 1 if ws else 0):
-                self.item.append(k)
-                self.start.append(p)
-                self.length.append(size)
-                keys.append(numbers[p : p + size].tobytes())
-        self.low = np.array([x.ljust(4 * window, b"\0") for x in keys], dtype=f"S{4 * window}")
-        self.high = np.array([x.ljust(4 * window, b"\xff") for x in keys], dtype=f"S{4 * window}")
+        self.numbers = np.array([self.vocabulary[w] for ws in words for w in ws], dtype=np.uint32)
+        ends = np.cumsum([0] + [len(ws) for ws in words])
+        # one row for each suffix of a window at least: item, place in the item and in ``numbers``, the item's end there
+        sizes = np.array([min(len(ws), window) for ws in words], dtype=np.int64)
+        counts = np.where(sizes > 0, np.diff(ends) - sizes + 1, 0)
+        self.item = np.repeat(np.arange(len(words)), counts)
+        self.start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at, self.end = ends[self.item] + self.start, ends[self.item + 1]
+        # keys of the windows are big-endian word numbers, so bytes sort as the words do
+        keys = np.zeros((len(self.at), window), dtype=">u4")
+        inside = np.arange(window) < sizes[self.item][:, None]
+        keys[inside] = self.numbers[(self.at[:, None] + np.arange(window))[inside]]
+        self.low = _as_bytes(keys, window)
+        keys[~inside] = 0xFFFFFFFF
+        self.high = _as_bytes(keys, window)
+
+
+def _as_bytes(keys: np.ndarray, window: int) -> np.ndarray:
+    return keys.reshape(-1).view(f"S{4 * window}").copy() if len(keys) else np.zeros(0, f"S{4 * window}")
+
+
+def suffix_array(numbers: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Places of all words but 0, sorted by the words from there to ``stop``; equal suffixes by place.
+
+    Prefix doubling: after each round ranks tell twice as many words apart, and only
+    places that still tie, and whose suffix goes on, are sorted again.
+    """
+    n = len(numbers)
+    order = np.flatnonzero(numbers)
+    order = order[np.argsort(numbers[order], kind="stable")]
+    rank, reach = np.zeros(n + 1, dtype=np.int64), 1
+    slots, keys = np.arange(len(order)), numbers[order].astype(np.int64)
+    goes_on = np.ones(len(order), dtype=bool)
+    while len(slots):
+        new = np.append(True, keys[1:] != keys[:-1])
+        group = np.cumsum(new) - 1
+        rank[order[slots]] = slots[new][group] + 1
+        tied = np.bincount(group)[group] > 1
+        slots = slots[tied & goes_on]
+        places = order[slots]
+        after = places + reach
+        second = np.where(after < stop[places], rank[np.minimum(after, n)], 0)
+        keys = rank[places] * (n + 2) + second
+        by = np.argsort(keys, kind="stable")
+        order[slots], keys, goes_on = places[by], keys[by], second[by] > 0
+        reach *= 2
+    return order
+
+
+def common(a: np.ndarray, at_a: np.ndarray, end_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, end_b: np.ndarray, block: int = 16, rows: int = 1 << 16) -> np.ndarray:
+    """Words that the suffixes ``a[at_a:end_a]`` and ``b[at_b:end_b]`` share from their beginnings, for each pair."""
+    most = np.minimum(end_a - at_a, end_b - at_b)
+    out, steps = np.zeros(len(most), dtype=np.int64), np.arange(block)
+    for k in range(0, len(most), rows):
+        alive = np.arange(k, min(k + rows, len(most)))
+        while len(alive):
+            done = out[alive][:, None] + steps
+            inside = done < most[alive][:, None]
+            same = inside & (a[np.where(inside, at_a[alive][:, None] + done, 0)] == b[np.where(inside, at_b[alive][:, None] + done, 0)])
+            whole = same.all(axis=1)
+            out[alive] += np.where(whole, block, same.argmin(axis=1))
+            alive = alive[whole]
+    return out
+
+
+def _running_least(values: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """The least value so far in each segment; segments are numbered upward."""
+    if not len(values):
+        return values
+    drop = segment * (int(values.max()) + 1)
+    return np.minimum.accumulate(values - drop) + drop
+
+
+def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in the segment) of segments of so many places."""
+    segment = np.repeat(np.arange(len(counts)), counts)
+    return segment, np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class SuffixShard:
@@ -87,40 +154,70 @@ class SuffixShard:
     def __init__(self, numbers: np.ndarray, window: int, shortest: int):
         n = len(numbers)
         gaps = np.flatnonzero(numbers == 0)
-        after = np.searchsorted(gaps, np.arange(n))
-        stop = np.append(gaps, n)[after]
-        places = np.flatnonzero(stop - np.arange(n) >= shortest)
+        self.numbers, self.stop = numbers, np.append(gaps, n)[np.searchsorted(gaps, np.arange(n))]
+        order = suffix_array(numbers, self.stop)
+        self.places = order[self.stop[order] - order >= shortest]  # shorter ones hold no window
+        keys = np.zeros((len(self.places), window), dtype=">u4")
         padded = np.concatenate([numbers, np.zeros(window, numbers.dtype)])
-        keys = np.zeros((len(places), window), dtype=">u4")
         for k in range(window):
-            keys[:, k] = np.where(places + k < stop[places], padded[places + k], 0)
-        keys = keys.reshape(-1).view(f"S{4 * window}") if len(places) else np.zeros(0, f"S{4 * window}")
-        order = np.argsort(keys, kind="stable")
-        self.places, self.keys = places[order], keys[order]
-
-    def find(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        """For every window of the items all places where it occurs: (window numbers, places)."""
+            keys[:, k] = np.where(self.places + k < self.stop[self.places], padded[self.places + k], 0)
+        self.keys = _as_bytes(keys, window)
+
+    def _with_items(self, items: Items, which: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Words that test suffixes share with the suffixes at some ranks."""
+        places = self.places[ranks]
+        return common(items.numbers, items.at[which], items.end[which], self.numbers, places, self.stop[places])
+
+    def _bisect(self, items: Items, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The rank in [lo, hi] where each whole test suffix belongs."""
+        lo, hi = lo.copy(), hi.copy()
+        while True:
+            live = np.flatnonzero(lo < hi)
+            if not len(live):
+                return lo
+            mid = (lo[live] + hi[live]) // 2
+            w, places = which[live], self.places[mid]
+            n = self._with_items(items, w, mid)
+            a, b = items.at[w] + n, places + n
+            left = np.where(a < items.end[w], items.numbers[np.minimum(a, len(items.numbers) - 1)], 0)
+            right = np.where(b < self.stop[places], self.numbers[np.minimum(b, len(self.numbers) - 1)], 0)
+            before = left <= right
+            hi[live[before]] = mid[before]
+            lo[live[~before]] = mid[~before] + 1
+
+    def find(self, items: Items, pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All longest matches, of about so many pairs at once: (numbers of test suffixes, places, words)."""
         lo = np.searchsorted(self.keys, items.low, side="left")
         hi = np.searchsorted(self.keys, items.high, side="right")
-        count = hi - lo
-        which = np.repeat(np.arange(len(count)), count)
-        ranks = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return which, self.places[ranks]
-
-
-def _diagonals(items: Items, which: np.ndarray, places: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """Longest matches: windows of one item that follow each other in one document become one (doc, item, item start, place, words)."""
-    if not len(which):
-        return
-    item, start, length = (np.array(x, dtype=np.int64)[which] for x in (items.item, items.start, items.length))
-    order = np.lexsort((places, places - start, item, doc))
-    item, start, length, places, doc = item[order], start[order], length[order], places[order], doc[order]
-    new = np.ones(len(item), dtype=bool)
-    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (places[1:] - start[1:] != places[:-1] - start[:-1]) | (places[1:] != places[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(item)) - 1
-    ends = places[last] + length[last]
-    yield from zip(doc[first].tolist(), item[first].tolist(), start[first].tolist(), places[first].tolist(), (ends - places[first]).tolist(), strict=True)
+        hit = np.flatnonzero(hi > lo)
+        cuts = np.flatnonzero(np.diff(np.cumsum((hi - lo)[hit]) // pairs)) + 1
+        for which in np.split(hit, cuts) if len(hit) else ():
+            a, b = lo[which], hi[which]
+            at = self._bisect(items, which, a, b)
+            # words shared with the neighbour below, for every rank inside a range
+            ranks = np.unique(_inner(a, b))
+            one, other = self.places[ranks - 1], self.places[ranks]
+            shared = common(self.numbers, one, self.stop[one], self.numbers, other, self.stop[other])
+            for up in (True, False):  # from the test suffix's place to both ends of its range
+                counts = b - at if up else at - a
+                segment, k = _ragged(counts)
+                rank = at[segment] + k if up else at[segment] - 1 - k
+                first = k == 0
+                words = np.empty(len(rank), dtype=np.int64)
+                words[first] = self._with_items(items, which[segment[first]], rank[first])
+                words[~first] = shared[np.searchsorted(ranks, rank[~first] + (0 if up else 1))]
+                words = _running_least(words, segment)
+                suffix, places = which[segment], self.places[rank]
+                inner = (items.start[suffix] > 0) & (places > 0)
+                longer = inner & (items.numbers[items.at[suffix] - 1] == self.numbers[places - 1])
+                yield suffix[~longer], places[~longer], words[~longer]
+
+
+def _inner(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Ranks above the first of each range; ranges either are the same or don't meet, or lie in one another."""
+    bounds = np.unique(np.stack([lo, hi], axis=1), axis=0)
+    segment, k = _ragged(bounds[:, 1] - bounds[:, 0] - 1)
+    return bounds[segment, 0] + 1 + k
 
 
 def match_slice(batches: Iterator[tuple[pa.Array, list]], items: Items) -> Iterator[tuple[list, list[int], list[list]]]:
@@ -131,11 +228,11 @@ def match_slice(batches: Iterator[tuple[pa.Array, list]], items: Items) -> Itera
     def close():
         numbers = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
-        which, places = SuffixShard(numbers, items.window, items.shortest).find(items)
-        doc = np.searchsorted(starts, places, side="right") - 1
         found = [[] for _ in rows]
-        for d, i, s, p, n in _diagonals(items, which, places, doc):
-            found[d].append({"item_id": items.ids[i], "item_start": s, "doc_start": p - int(starts[d]), "n_words": n})
+        for which, places, words in SuffixShard(numbers, items.window, items.shortest).find(items):
+            doc = np.searchsorted(starts, places, side="right") - 1
+            for d, i, s, p, n in zip(doc.tolist(), items.item[which].tolist(), items.start[which].tolist(), (places - starts[doc]).tolist(), words.tolist(), strict=True):
+                found[d].append({"item_id": items.ids[i], "item_start": s, "doc_start": p, "n_words": n})
         return rows, counts, found
 
     for column, values in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickloom.llm import ann, bpe, chat, decontam, jaccard, lm, quality, secrets, sharding, warc
+from clickloom.llm import ann, bpe, chat, decontam, filter_audit, jaccard, kmeans, lm, mixing, quality, secrets, sharding, warc
 from clickloom.llm._shared import table
 
 
@@ -83,7 +83,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hit_report(found)
 
 
-QUERIES = (op1_sharding, op2_bpe, op3_jaccard, op3_links, op4_ann, op5_quality, op6_warc, op7_secrets, op8_chat, op9_lm, op10_decontamination)
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 8 clusters after 10 rounds."""
+    return kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents to target weights takes of each."""
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on all whole documents, in every order."""
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = (op1_sharding, op2_bpe, op3_jaccard, op3_links, op4_ann, op5_quality, op6_warc, op7_secrets, op8_chat, op9_lm, op10_decontamination, op11_centroids, op12_mixing, op13_filter_audit)
 
 
 def queries():
@@ -91,4 +107,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_sharding": sharding.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op3_links": jaccard.LINKS_SQL, "op4_ann": ann.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
+    return {"op1_sharding": sharding.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op3_links": jaccard.LINKS_SQL, "op4_ann": ann.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL, "op11_centroids": kmeans.ORACLE_SQL, "op12_mixing": mixing.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}

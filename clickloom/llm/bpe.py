@@ -24,6 +24,7 @@ is refused.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
@@ -39,6 +40,8 @@ LEAF_TOKENS, LEAF_MATCHES = 1 << 12, 1 << 16
 CACHE_PIECES, CACHE_CHARS, CACHE_PARTS, CACHE_PAIRS = 200_000, 48, 100_000, 100_000
 #: Bytes of a part of a piece that is cached.
 PART_BYTES = 5
+#: Bytes of a window from which its merges go through a heap, and of a part from which its equals in the piece are found.
+HEAP_BYTES, TWIN_BYTES = 96, 64
 
 
 def fold(parts: list, join):
@@ -82,6 +85,8 @@ class TreeCodec:
         ranks = self.ranks
         if whole and data in ranks:
             return [ranks[data]]
+        if len(data) >= HEAP_BYTES:
+            return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         none = len(self.tokens) + 1
         costs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
@@ -98,6 +103,38 @@ class TreeCodec:
                 costs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return [ranks[p] for p in parts]
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same for long windows: pairs wait in a heap by rank and place, parts are a linked list of their ends."""
+        get, n = self.ranks.get, len(data)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next part begins, and the one before
+        held = [get(data[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank of a part and the next, -1: none
+        heap = [(r, i) for i, r in enumerate(held) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if held[i] != rank:
+                continue
+            gone = after[i]
+            held[gone] = -1
+            end = after[i] = after[gone]
+            if end < n:
+                before[end] = i
+                held[i] = get(data[i : after[end]], -1)
+                if held[i] >= 0:
+                    heapq.heappush(heap, (held[i], i))
+            else:
+                held[i] = -1
+            j = before[i]
+            if j >= 0:
+                held[j] = get(data[j:end], -1)
+                if held[j] >= 0:
+                    heapq.heappush(heap, (held[j], j))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : after[i]]])
+            i = after[i]
+        return out
+
     def stable(self, a: int, b: int) -> bool:
         """Whether two neighbours stay as they are when their bytes are encoded together."""
         known = self.pairs.get((a, b))
@@ -124,18 +161,32 @@ class TreeCodec:
                 return left[: len(left) - i] + middle + right[j:]
             i, j = i if left_holds else i * 2, j if right_holds else j * 2
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        """The halves' encodings, joined; a byte is a token by itself."""
-        known = self.parts.get(data)
-        if known is None:
-            if len(data) < 2:
-                return [self.ranks[data]] if data else []
-            half = len(data) // 2
-            known = self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
-            if len(data) <= PART_BYTES:
-                if len(self.parts) >= CACHE_PARTS:
-                    self.parts.clear()
-                self.parts[data] = known
+    def encode_piece(self, data: bytes, twins: dict[int, tuple[bytes, list[int]]] | None = None) -> list[int]:
+        """The halves' encodings, joined; a byte is a token by itself.
+
+        The left half is the largest power of two, so halves of a repeating piece are
+        equal; the last part of each length is remembered (twice the piece's size), and
+        its equals aren't encoded again.
+        """
+        n = len(data)
+        if n <= PART_BYTES:
+            known = self.parts.get(data)
+            if known is not None:
+                return known
+        if n < 2:
+            return [self.ranks[data]] if data else []
+        if n >= TWIN_BYTES:
+            twins = {} if twins is None else twins
+            if n in twins and twins[n][0] == data:
+                return twins[n][1]
+        half = 1 << (n - 1).bit_length() - 1
+        known = self.join(self.encode_piece(data[:half], twins), self.encode_piece(data[half:], twins))
+        if n <= PART_BYTES:
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
+            self.parts[data] = known
+        elif n >= TWIN_BYTES:
+            twins[n] = data, known
         return known
 
     def encode(self, text: str) -> bytes:

@@ -7,7 +7,9 @@ in that array by bisection: first the range of suffixes that share its window, w
 are the places of a match, then the place within the range where the whole test
 suffix belongs. Its longest match is beside that place, and the words that
 neighbours in the array share give the longest match at every other place of the
-range. A match that an earlier suffix of the item extends to the left is left out.
+range. A match that an earlier suffix of the item extends to the left is never made:
+places of a range are ordered by the word before them, and those before the suffix's
+own are passed over, so runs of repeated words give their ends only.
 
 The test side is broadcast in slices of a checked size, of which one is held at a
 time; each slice is one more pass and the hits of all passes are merged, so a large benchmark costs time and
@@ -21,6 +23,7 @@ their row; empty tables give no rows or no hits; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ from clickloom.llm._text import ALNUM_WORDS, LOWER, buffers
 WINDOW = 10
 #: Bytes of item text that one broadcast slice holds.
 SLICE_ITEM_BYTES = 8 << 20
+#: A suffix that is paired with at least one in so many places of its range gets them all from neighbours in the array.
+RANGE_SHARE = 8
 #: Words after which a shard is closed and its suffix array built.
 SHARD_WORDS = 1 << 20
 
@@ -154,6 +159,7 @@ class SuffixShard:
     def __init__(self, numbers: np.ndarray, window: int, shortest: int):
         n = len(numbers)
         gaps = np.flatnonzero(numbers == 0)
+        self.shortest = shortest
         self.numbers, self.stop = numbers, np.append(gaps, n)[np.searchsorted(gaps, np.arange(n))]
         order = suffix_array(numbers, self.stop)
         self.places = order[self.stop[order] - order >= shortest]  # shorter ones hold no window
@@ -190,27 +196,75 @@ class SuffixShard:
         lo = np.searchsorted(self.keys, items.low, side="left")
         hi = np.searchsorted(self.keys, items.high, side="right")
         hit = np.flatnonzero(hi > lo)
-        cuts = np.flatnonzero(np.diff(np.cumsum((hi - lo)[hit]) // pairs)) + 1
-        for which in np.split(hit, cuts) if len(hit) else ():
-            a, b = lo[which], hi[which]
-            at = self._bisect(items, which, a, b)
-            # words shared with the neighbour below, for every rank inside a range
-            ranks = np.unique(_inner(a, b))
-            one, other = self.places[ranks - 1], self.places[ranks]
-            shared = common(self.numbers, one, self.stop[one], self.numbers, other, self.stop[other])
-            for up in (True, False):  # from the test suffix's place to both ends of its range
-                counts = b - at if up else at - a
-                segment, k = _ragged(counts)
-                rank = at[segment] + k if up else at[segment] - 1 - k
-                first = k == 0
-                words = np.empty(len(rank), dtype=np.int64)
-                words[first] = self._with_items(items, which[segment[first]], rank[first])
-                words[~first] = shared[np.searchsorted(ranks, rank[~first] + (0 if up else 1))]
-                words = _running_least(words, segment)
-                suffix, places = which[segment], self.places[rank]
-                inner = (items.start[suffix] > 0) & (places > 0)
-                longer = inner & (items.numbers[items.at[suffix] - 1] == self.numbers[places - 1])
-                yield suffix[~longer], places[~longer], words[~longer]
+        if not len(hit):
+            return
+        # the places of each distinct range, ordered by the word before: a match that goes on to the left is
+        # another suffix's, so of a range only the places before other words than the suffix's own are paired
+        bounds, which_range = np.unique(np.stack([lo[hit], hi[hit]], axis=1), axis=0, return_inverse=True)
+        sizes = bounds[:, 1] - bounds[:, 0]
+        segment, k = _ragged(sizes)
+        ranks = bounds[segment, 0] + k
+        places = self.places[ranks]
+        span = int(max(self.numbers.max(initial=0), items.numbers.max(initial=0))) + 1
+        left = segment * span + np.where(places > 0, self.numbers[places - 1], 0)
+        by = np.argsort(left, kind="stable")
+        left, ranks = left[by], ranks[by]
+        first = np.cumsum(sizes) - sizes
+        own = which_range.ravel() * span + np.where(items.start[hit] > 0, items.numbers[items.at[hit] - 1], 0)
+        cut_lo, cut_hi = np.searchsorted(left, own, side="left"), np.searchsorted(left, own, side="right")
+        cut_hi = np.where(items.start[hit] > 0, cut_hi, cut_lo)
+        begin, end = first[which_range.ravel()], (first + sizes)[which_range.ravel()]
+        counts = end - begin - (cut_hi - cut_lo)
+        cuts = np.flatnonzero(np.diff(np.cumsum(counts) // pairs)) + 1
+        for block in np.split(np.arange(len(hit)), cuts):
+            wide = counts[block] * RANGE_SHARE >= end[block] - begin[block]
+            for part, whole in ((block[wide], True), (block[~wide], False)):
+                segment, k = _ragged(counts[part])
+                at = begin[part][segment] + k
+                at += np.where(at >= cut_lo[part][segment], (cut_hi - cut_lo)[part][segment], 0)
+                suffix, rank = hit[part][segment], ranks[at]
+                if len(suffix):
+                    words = self._with_neighbours(items, hit[part], segment, rank, lo[hit[part]], hi[hit[part]]) if whole else self._with_items(items, suffix, rank)
+                    yield suffix, self.places[rank], words
+
+    def _shared_with_lower(self, ranks: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at some ranks share with those one rank lower.
+
+        In the order of places a suffix shares at most one word less than the suffix
+        before it, as long as what is shared can't end in a suffix without a window, so
+        words are compared about once.
+        """
+        out = np.zeros(len(ranks), dtype=np.int64)
+        if not len(ranks):
+            return out
+        places, lower = self.places[ranks], self.places[ranks - 1]
+        most = np.minimum(self.stop[places] - places, self.stop[lower] - lower)
+        by = np.argsort(places)
+        numbers, last, n = self.numbers.tolist(), 0, 0
+        for k, p, q, limit in zip(by.tolist(), places[by].tolist(), lower[by].tolist(), most[by].tolist(), strict=True):
+            n -= p - last
+            n = n if n >= self.shortest else 0
+            while n < limit and numbers[p + n] == numbers[q + n]:
+                n += 1
+            out[k], last = n, p
+        return out
+
+    def _with_neighbours(self, items: Items, which: np.ndarray, segment: np.ndarray, rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Words shared with places that are much of a suffix's range: from the suffix's own place outward neighbours tell."""
+        at = self._bisect(items, which, lo, hi)
+        inner = np.unique(_inner(lo, hi))
+        shared = self._shared_with_lower(inner)
+        sizes = hi - lo
+        base, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), dtype=np.int64)
+        for up in (True, False):  # from the test suffix's place to both ends of its range
+            far, k = _ragged(hi - at if up else at - lo)
+            near = at[far] + k if up else at[far] - 1 - k
+            words = np.empty(len(near), dtype=np.int64)
+            begins = k == 0
+            words[begins] = self._with_items(items, which[far[begins]], near[begins])
+            words[~begins] = shared[np.searchsorted(inner, near[~begins] + (0 if up else 1))]
+            out[base[far] + near - lo[far]] = _running_least(words, far)
+        return out[base[segment] + rank - lo[segment]]
 
 
 def _inner(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -343,11 +397,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, **nam
         at = kept.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = []
-                for _, _, found in match_slice(iter([(batch.column(at), [None] * batch.num_rows)]), sent.value):
-                    clean += [not f for f in found]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            waiting, clean = deque(), []  # batches whose rows a shard still holds
+
+            def feed():
+                for batch in batches:
+                    waiting.append(batch)
+                    yield batch.column(at), [None] * batch.num_rows
+
+            for _, _, found in match_slice(feed(), sent.value):
+                clean += [not f for f in found]
+                while waiting and waiting[0].num_rows <= len(clean):
+                    batch = waiting.popleft()
+                    yield batch.filter(pa.array(clean[: batch.num_rows], pa.bool_()))
+                    del clean[: batch.num_rows]
 
         kept = kept.transform(in_batches, run, kept.schema)
     return kept

@@ -11,15 +11,16 @@ feed are the line, the line feed is the separator. So they go to any file system
 that Spark writes to, a task's file appears only when the task commits, and each
 file is a valid gzipped WARC file.
 
-A file holds so many pages that their payloads are bounded in bytes: large payloads
-go to files of their own, a few or one in each.
+A task packs pages into files by their running bytes, whatever the sizes of others:
+a file holds up to ``FILE_BYTES`` of records, or one larger page.
 
 Reading parses whole files by content length, those of other writers too: records
 of other kinds than responses, revisits and resources are left out, and pages are
-known by their identifiers only in archives written here. Continuations are grouped by the
-identifier of their origin, ordered by segment number, checked against the total
-length, and only then is the chunked framing decoded. A group is one record, so
-it is as large as one payload. Revisits get their size from the record they name.
+known by their identifiers only in archives written here. Whole records are decoded where
+they are read. Segments are grouped by the identifier of their origin, ordered by
+number, checked against the total length, and only then is the chunked framing
+decoded; nothing else is shuffled. A group is one record, so it is as large as one
+payload. Revisits get their size from the record they name.
 
 The digests that repeat are broadcast only up to ``broadcast_keys``, else joined by
 shuffle (where adaptive execution splits a digest that a third of rows share).
@@ -46,8 +47,8 @@ from clickloom.llm._shared import discard, in_batches, materialize, shared_path,
 
 #: Bytes of a record's block from which it is segmented, and of a chunk of its body.
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 8 << 10
-#: Pages in an archive file at most, the payload up to which so many go into one, and bytes of larger payloads in a file (or one payload).
-PAGES_A_FILE, SMALL_PAYLOAD, FILE_BYTES = 2000, 32 << 10, 64 << 20
+#: Bytes of records in an archive file (or one page), about.
+FILE_BYTES = 16 << 20
 # Names of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -155,74 +156,101 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     equal = materialize(equal.where("_n > 1 and _top is not null").drop("_n"), "equal_payloads")
     tops = keys.join(sized(equal, broadcast_keys), "_sha").where("_id = _top").groupBy("_sha").agg((F.count(F.lit(1)) == 1).alias("_only"))
     equal = materialize(equal.join(tops, "_sha"), "equal_payloads")
-    largest = keys.agg(F.max("_size")).first()[0] or 0
     refers = F.when(F.col("_id").isNull() | (F.col("_id") != F.col("_top")), F.col("_top"))
     named = F.coalesce((F.col("_id") == F.col("_top")) & F.col("_only"), F.lit(False))
-    rows = rows.join(sized(equal, broadcast_keys), "_sha", "left").select("_id", "_url", "_payload", refers.alias("_refers"), named.alias("_named"), "_size")
+    rows = rows.join(sized(equal, broadcast_keys), "_sha", "left").select("_id", "_url", "_payload", refers.alias("_refers"), named.alias("_named"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, serial = TaskContext.get().partitionId(), 0
+        task, serial, pack, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def sent() -> pa.RecordBatch:
+            whole = b"".join(pack)
+            pack.clear()
+            return pa.RecordBatch.from_arrays([pa.array([memoryview(whole)[:-1]], pa.binary())], names=["value"])
+
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                out = []
-                for page_id, url, data, refers_to, named, size in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                for page_id, url, data, refers_to, is_named in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     serial += 1
-                    own = "" if named else f"{'s' if size <= SMALL_PAYLOAD else 'l'}{task}.{serial}"
-                    out.append(page_records(page_id, url, data, refers_to, own, segment_bytes, chunk_bytes)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    def write(part: DataFrame, pages_a_file: int) -> None:
-        lines = part.transform(in_batches, run, "value binary").select(F.col("value").cast("string").alias("value"))
-        lines.write.mode("append").option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", pages_a_file).text(path)
-
-    write(rows.where(F.col("_size") <= SMALL_PAYLOAD), PAGES_A_FILE)
-    if largest > SMALL_PAYLOAD:
-        write(rows.where(F.col("_size") > SMALL_PAYLOAD), max(1, FILE_BYTES // largest))
+                    records = page_records(page_id, url, data, refers_to, "" if is_named else f"{task}.{serial}", segment_bytes, chunk_bytes)
+                    if pack and held + len(records) > FILE_BYTES:
+                        yield sent()
+                        held = 0
+                    pack.append(records)
+                    held += len(records)
+        if pack:
+            yield sent()
+
+    lines = rows.transform(in_batches, run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.mode("append").option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
     discard(keys)
     return path
 
 
 _PAGE = re.compile(r"<urn:page:(-?\d*):")
-_READ = "origin string, segment int, total long, kind string, page_id long, url string, refers_to string, digest string, block binary"
+_READ = "origin string, page_id long, url string, kind string, refers_to string, payload binary, bytes long, digest string, segment int, total long, block binary"
+_ARROW_READ = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in _READ.split(", ")])
+_KINDS = ("response", "revisit", "resource")
+
+
+def decoded(kind: str, digest: str | None, block: bytes) -> tuple[bytes | None, str | None]:
+    """The payload of a whole record (none for revisits) and its digest, which is checked against the record's."""
+    payload = None if kind == "revisit" else block if kind == "resource" else payload_of(block)
+    said = digest.removeprefix("sha1:").upper() if digest and digest.startswith("sha1:") else None
+    if payload is None:
+        return None, said
+    own = base32_sha1(payload)
+    if said and len(said) == 32 and said != own:
+        raise WarcError("a payload doesn't have its digest")
+    return payload, own
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The payloads of all responses, revisits and resources under ``path``, segments reassembled.
 
     Returns record_id, page_id (null in archives of other writers), url, payload
     (null for revisits), payload_digest, record_type, the record that a revisit
     names, and n_segments. What doesn't fit its own lengths or SHA-1 raises an error.
+    Without ``payloads`` they are checked and measured, and not returned.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _READ.split(", ")]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        schema = _ARROW_READ
         for batch in batches:
             for content in batch.column(0):
-                raw, rows = content.as_buffer(), []
+                raw, rows, held = content.as_buffer(), [], 0
                 data = gzip.decompress(raw) if memoryview(raw)[:2].tobytes() == b"\x1f\x8b" else raw.to_pybytes()
                 for f, block in parse_records(data):
-                    number = int(f.get("warc-segment-number", 1))
-                    origin = f["warc-segment-origin-id" if f["warc-type"] == "continuation" else "warc-record-id"]
-                    total = f.get("warc-segment-total-length")
-                    page = _PAGE.match(origin)
-                    whole = f["warc-type"] != "continuation" and "warc-segment-number" not in f
-                    rows.append((origin, number, len(block) if whole else total and int(total), f["warc-type"], int(page[1]) if page and page[1] else None, f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"), block))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                        rows = []
+                    kind, digest = f["warc-type"], f.get("warc-payload-digest")
+                    whole = kind != "continuation" and "warc-segment-number" not in f
+                    if whole and kind not in _KINDS:
+                        continue
+                    origin = f["warc-segment-origin-id" if kind == "continuation" else "warc-record-id"]
+                    page, total = _PAGE.match(origin), f.get("warc-segment-total-length")
+                    known = (origin, int(page[1]) if page and page[1] else None, f.get("warc-target-uri"), kind, f.get("warc-refers-to"))
+                    if whole:
+                        payload, own = decoded(kind, digest, block)
+                        rows.append((*known, payload if payloads else None, None if payload is None else len(payload), own, None, None, None))
+                    else:
+                        rows.append((*known, None, None, digest, int(f.get("warc-segment-number", 1)), total and int(total), block))
+                    held += len(block)
+                    if len(rows) == 256 or held > 4 << 20:
+                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
-    parsed = files.transform(in_batches, parse, _READ)
-    grouped = parsed.groupBy("origin").agg(
+    # written, so that archives are read once for the whole records and for the segments
+    parsed = materialize(files.transform(in_batches, parse, _READ), "records")
+    whole = parsed.where("segment is null").select(F.col("origin").alias("record_id"), "page_id", "url", F.col("kind").alias("record_type"), F.col("refers_to").alias("_refers"), "payload", F.col("bytes").alias("_bytes"), F.col("digest").alias("payload_digest"), F.lit(1).alias("n_segments"))
+    grouped = parsed.where("segment is not null").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("segment", "total", "block"))).alias("segments"),
         *[F.first(F.when(F.col("segment") == 1, F.col(c)), ignorenulls=True).alias(c) for c in ("kind", "page_id", "url", "refers_to", "digest")],
     )
-    grouped = grouped.where(F.col("kind").isNull() | F.col("kind").isin("response", "revisit", "resource"))
+    grouped = grouped.where(F.col("kind").isNull() | F.col("kind").isin(*_KINDS))
     assembled = grouped.select(F.col("origin").alias("record_id"), "page_id", "url", "kind", "refers_to", "digest", F.col("segments.segment").alias("numbers"), F.col("segments.total").alias("totals"), F.col("segments.block").alias("blocks"))
     schema = T.StructType([*[T.StructField(n, t) for n, t in (("record_id", T.StringType()), ("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("_refers", T.StringType()), ("payload", T.BinaryType()), ("_bytes", T.LongType()), ("payload_digest", T.StringType()), ("n_segments", T.IntegerType()))]])
 
@@ -231,25 +259,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 kinds, digests, numbers, totals, blocks = (part.column(j).to_pylist() for j in (3, 5, 6, 7, 8))
-                payloads, found = [], []
+                payloads_here, found = [], []
                 for kind, digest, number, total, pieces in zip(kinds, digests, numbers, totals, blocks, strict=True):
                     if number != list(range(1, len(number) + 1)) or total[-1] is None or sum(map(len, pieces)) != total[-1]:
                         raise WarcError("segments are missing, repeated, or not of their total length")
-                    block = pieces[0] if len(pieces) == 1 else b"".join(pieces)
-                    payload = None if kind == "revisit" else block if kind == "resource" else payload_of(block)
-                    said = digest.removeprefix("sha1:").upper() if digest and digest.startswith("sha1:") else None
-                    own = said if payload is None else base32_sha1(payload)
-                    if payload is not None and said and len(said) == 32 and said != own:
-                        raise WarcError("a payload doesn't have its digest")
-                    payloads.append(payload)
+                    payload, own = decoded(kind, digest, b"".join(pieces))
+                    payloads_here.append(payload)
                     found.append(own)
-                sizes = [None if p is None else len(p) for p in payloads]
-                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(5)), pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.string()), pa.array([len(n) for n in numbers], pa.int32())], names=schema.names)
+                sizes = [None if p is None else len(p) for p in payloads_here]
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(5)), pa.array(payloads_here if payloads else [None] * part.num_rows, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.string()), pa.array([len(n) for n in numbers], pa.int32())], names=schema.names)
 
-    return assembled.transform(in_batches, assemble, schema)
+    return whole.unionByName(assembled.transform(in_batches, assemble, schema))
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
+def resolve_revisits(records: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
     """Give revisits the size of the payload that they refer to; the payloads themselves are left out."""
     rows = records.drop("payload")
     own = r"^<urn:page:(-?\d+):([A-Z2-7]+)"
@@ -261,7 +284,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisits = rows.where("record_type = 'revisit'").withColumn("_key", name("_refers")).drop("_bytes")
     others = rows.where("record_type != 'revisit'")
     sizes = others.groupBy(name("record_id").alias("_key")).agg(F.first("_bytes").alias("payload_bytes"), F.first("page_id").alias("refers_to"))
-    revisits = revisits.join(sizes, "_key", "left")
+    sizes = sizes.join(sized(materialize(revisits.select("_key").distinct(), "named"), broadcast_keys), "_key", "left_semi")
+    # both sides are written, so a record that a third of all pages revisit is a skewed join that can be split
+    revisits = revisits.join(sized(materialize(sizes, "sizes"), broadcast_keys), "_key", "left")
     others = others.withColumn("refers_to", F.lit(None).cast("long")).withColumnRenamed("_bytes", "payload_bytes")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments"]
     return others.select(*columns).unionByName(revisits.select(*columns))
@@ -271,7 +296,7 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write the pages to archives in the shared folder and read them back."""
     spark = pages.sparkSession
     path = write_archives(pages, shared_path(spark, "archives"), **options)
-    return resolve_revisits(materialize(read_archives(spark, path).drop("payload"), "records"))
+    return resolve_revisits(materialize(read_archives(spark, path, payloads=False).drop("payload"), "read_back"))
 
 
 ORACLE_SQL = """

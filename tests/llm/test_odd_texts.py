@@ -104,3 +104,25 @@ def test_documents_go_through_shards_of_several_batches(spark, monkeypatch):
         assert sorted(map(tuple, got), key=repr) == sorted([r for r in rows if not re.search("eleven", r[1] or "")], key=repr)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pages_of_uneven_sizes_share_files(spark, tmp_path):
+    from clickloom.llm import warc
+
+    pages = [(k, f"u{k}", f"{k} " + "x" * 40_000) for k in range(200)] + [(999, "big", "y" * 40_000_000)]
+    path = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2), str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").glob("*.gz"))) <= 5
+    got = {r["page_id"]: r["n"] for r in warc.read_archives(spark, path).selectExpr("page_id", "length(payload) n").collect()}
+    assert got == {k: len(t) for k, _, t in pages}
+    assert warc.read_archives(spark, path, payloads=False).where("payload is not null or _bytes is null").count() == 0
+
+
+def test_a_payload_that_a_third_of_the_pages_share(spark):
+    from clickloom.llm import warc
+
+    rows = [(k, None, "same" if k % 3 == 0 else f"own {k} " * (1 + k % 2 * 9000)) for k in range(150)] + [(None, None, "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, broadcast_keys=0).collect()}
+    assert got == {k: (len(t), "revisit" if t == "same" and k != 147 else "response", 147 if t == "same" and k != 147 else None) for k, _, t in rows}
+    records = warc.read_archives(spark, warc.write_archives(pages, warc.shared_path(spark, "a")))
+    assert warc.resolve_revisits(records, broadcast_keys=0).where("record_type = 'revisit' and payload_bytes = 4").count() == 50

@@ -1,13 +1,14 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
 
 Patterns give candidates; their values are hashed and counted over the corpus by
-distinct repositories and owners. A value that many owners carry is a widely
-copied example; a live-looking value that few owners carry is a credential of
-theirs. The base patterns' spans always stay; the ownership rule adds ``owned``
+distinct repositories and owners. A value that many owners or many repositories
+carry is a widely copied example; a live-looking value that few owners carry in few
+repositories is a credential of theirs. The base patterns' spans always stay; the ownership rule adds ``owned``
 spans: long mixed tokens beside any keyword that only few owners have.
 
 Positions come from splitting: the pieces between matches and the matches
-themselves alternate, so running lengths give every start, in code points.
+themselves alternate, so running lengths give every start, in code points. Running
+values are gathered run by run, so a text with very many hits costs in proportion.
 
 Counting goes through partial aggregation by (value, owner, repository), so a value
 or an owner with a third of all rows is combined before it moves; the counts are
@@ -23,10 +24,11 @@ columns don't matter, as all columns in work start with ``_``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clickloom.functions.text import bound
 from clickloom.llm._shared import materialize, sized
 
 # The base patterns, by kind in the order in which ties are listed.
@@ -42,23 +44,55 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+#: Elements of a run in which running values are gathered by appending; longer arrays go run by run.
+RUN = 128
+
+
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """For each element of an array what ``step`` makes of all before it; ``step`` is associative.
+
+    Arrays grow by copying, so one run over n elements costs n * n. Runs of ``RUN``
+    elements, begun with what the runs before them add up to, cost about n.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(part: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), none.alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def by_runs(array: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / RUN).cast("int")), lambda k: F.slice(array, k * RUN + 1, F.lit(RUN)))
+        return bound(runs, lambda r: F.flatten(F.zip_with(r, one(F.transform(r, lambda part: F.aggregate(part, zero, step)), zero), one)))
+
+    return bound(values, lambda v: F.when(F.size(v) > RUN, by_runs(v)).otherwise(one(v, zero)))
+
+
 def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, least_value: int = 0) -> Column:
     """Spans of one pattern: start, kind, end (code points) and the value that is hashed."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else hits
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), hits.alias("hit"), values.alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    parts = F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value")), lambda p: F.struct(p["gap"].alias("gap"), F.coalesce(F.length(p["hit"]), F.lit(0)).alias("n"), p["value"].alias("value")))
+
+    def placed(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: x["gap"] + x["n"]), F.lit(0), lambda at, n: at + n, "int")
+        spans = F.zip_with(p, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["n"]).alias("end"), x["value"].alias("value")))
+        return F.filter(spans, lambda s: s["value"].isNotNull() & (F.length(s["value"]) >= least_value))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), bound(parts, placed)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+
 
-    def step(acc, p):
-        start = acc["at"] + p["gap"]
-        end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"))
-        keep = p["hit"].isNotNull() & (F.length(p["value"]) >= least_value)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def _outside(tokens: Column, base: Column) -> Column:
+    """Tokens that no base span meets: of all spans in order, those with no base end beyond their start before them, and no base start below their end after them."""
+    far = F.lit(2**31 - 1)
 
-    found = F.aggregate(parts, begin, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    def apart(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b), "int")
+        starts = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(far))), far, lambda a, b: F.least(a, b), "int"))
+        kept = F.filter(F.arrays_zip(spans.alias("s"), ends.alias("e"), starts.alias("b")), lambda x: (x["s"]["kind"] == 3) & (x["e"] <= x["s"]["start"]) & (x["b"] >= x["s"]["end"]))
+        return F.transform(kept, lambda x: x["s"])
+
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), bound(F.array_sort(F.concat(base, tokens)), apart)).otherwise(tokens)
 
 
 def _live_looking(value: Column) -> Column:
@@ -67,12 +101,13 @@ def _live_looking(value: Column) -> Column:
     return F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Za-z]")) & (distinct >= 10) & ~F.regexp_like(F.lower(value), F.lit("example|sample|placeholder|changeme|xxxx|0123456789|123456789"))
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), keep: Sequence[str] = ("doc_id",), max_owners: int = 2, example_owners: int = 3, out_col: str = "findings", broadcast_keys: int = 200_000) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), keep: Sequence[str] = ("doc_id",), max_owners: int = 2, example_owners: int = 3, example_repositories: int = 4, out_col: str = "findings", broadcast_keys: int = 200_000) -> DataFrame:
     """Find secrets and weigh every candidate by who owns it.
 
     Returns ``keep`` and ``out_col``: structs of start, kind (index in KINDS), end,
     value hash, owners, repositories and verdict (``example`` from ``example_owners``
-    owners on, else ``live`` if the value looks so, else ``weak``), by start and kind.
+    owners or ``example_repositories`` repositories on, else ``live`` if the value looks
+    so, else ``weak``), by start and kind.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_spans(text, ASSIGN, 0, 2, 8), _spans(text, ACCESS_LONG, 1), _spans(text, HEX_LONG, 2))
@@ -85,7 +120,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
         base.alias("_base"),
         tokens.alias("_tokens"),
     )
-    outside = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    outside = _outside(F.col("_tokens"), F.col("_base"))
     scanned = scanned.withColumn("_found", F.transform(F.concat("_base", outside), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), _live_looking(s["value"]).alias("live"))))
     scanned = materialize(scanned.drop("_base", "_tokens"), "secret_candidates")
 
@@ -95,7 +130,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     per_owner = seen.groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("_repos"))
     owners = per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repos").alias("repositories"))
     owners = materialize(owners, "secret_owners")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("live"), "live").otherwise("weak")
+    verdict = F.when((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories), "example").when(F.col("live"), "live").otherwise("weak")
     weighed = each.drop("_owner", "_repo").join(sized(owners, broadcast_keys), "hash").withColumn("verdict", verdict)
     weighed = weighed.where((F.col("kind") < 3) | ((F.col("verdict") == "live") & (F.col("owners") <= max_owners)))
     per_row = weighed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repositories", "verdict"))).alias("_findings"))
@@ -135,14 +170,22 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
     All rows and columns stay; texts without findings, null ones included, are unchanged.
     """
     scanned = scan_secrets(docs, text_col=text_col, keep=docs.columns, out_col="_secret_findings", **options)
-    text, start = F.col(text_col), F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(F.concat(acc["out"], gap, F.lit(mask)).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
-
-    clean = F.aggregate("_secret_findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    text = F.col(text_col)
+
+    def cleared(spans: Column) -> Column:
+        """The stretches of text between spans, and what follows the last, joined by masks."""
+        seen = running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b), "int")
+        gaps = F.filter(F.zip_with(spans, seen, lambda s, at: F.struct(at.alias("a"), s["start"].alias("b"))), lambda g: g["a"] <= g["b"])
+        last = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("a"), F.length(text).alias("b"))
+        return bound(F.concat(gaps, F.array(last)), lambda g: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(g) - 1) / RUN).cast("int")), lambda k: bound(F.slice(g, k * RUN + 1, F.lit(RUN)), run)), mask))
+
+    def run(gaps: Column) -> Column:
+        """The stretches of a run, cut from its own part of the text: finding a place takes time in proportion to it."""
+        begin = gaps[0]["a"]
+        part = F.substring(text, begin + 1, F.element_at(gaps, -1)["b"] - begin)
+        return bound(part, lambda p: F.array_join(F.transform(gaps, lambda g: F.substring(p, g["a"] - begin + 1, g["b"] - g["a"])), mask))
+
+    clean = bound(F.col("_secret_findings"), cleared)
     return scanned.select(*[(F.when(F.size("_secret_findings") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
 
 
@@ -169,9 +212,9 @@ found AS (
   UNION ALL SELECT *, true FROM tokens t WHERE {_LIVE}
     AND NOT EXISTS (SELECT 1 FROM base x WHERE x.r = t.r AND t.start < x.stop AND x.start < t.stop)
 ), owners AS (
-  SELECT value, count(DISTINCT owner) AS owners FROM found JOIN docs USING (r) GROUP BY value
+  SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repositories FROM found JOIN docs USING (r) GROUP BY value
 ), weighed AS (
-  SELECT found.*, owners, CASE WHEN owners >= 3 THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS verdict FROM found JOIN owners USING (value)
+  SELECT found.*, owners, CASE WHEN owners >= 3 OR repositories >= 4 THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS verdict FROM found JOIN owners USING (value)
 ), chosen AS (
   SELECT *, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || start || ':' || stop AS s FROM weighed WHERE kind < 3 OR (verdict = 'live' AND owners <= 2)
 )

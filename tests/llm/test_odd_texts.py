@@ -126,3 +126,67 @@ def test_a_payload_that_a_third_of_the_pages_share(spark):
     assert got == {k: (len(t), "revisit" if t == "same" and k != 147 else "response", 147 if t == "same" and k != 147 else None) for k, _, t in rows}
     records = warc.read_archives(spark, warc.write_archives(pages, warc.shared_path(spark, "a")))
     assert warc.resolve_revisits(records, broadcast_keys=0).where("record_type = 'revisit' and payload_bytes = 4").count() == 50
+
+
+def brute_redacted(text, spans, mask="[SECRET]"):
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out.append(text[at:a] + mask)
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def test_very_many_secrets_in_one_text(spark):
+    from clickloom.llm import secrets
+
+    text = " é ".join(f"token=abcdef{k:07d}xyz ghp_A1b2C3d4E5f6G7h8I{k:07d} secret:'{'ab' * 20}'" for k in range(1500))
+    docs = spark.createDataFrame([(1, text, "a", "en"), (2, "token=abcdefgh", "b", "en"), (3, None, None, None)], "doc_id long, text string, source string, lang string")
+    found = {r["doc_id"]: r["findings"] for r in secrets.scan_secrets(docs).collect()}
+    assigned = [(m.start(), m.end()) for m in re.finditer(r"(token|secret)[=:]'?([A-Za-z0-9+/_.=-]+)", text)]
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"ghp_\w+", text)]
+    assert [(f["start"], f["end"]) for f in found[1] if f["kind"] == 0] == assigned
+    assert [(f["start"], f["end"]) for f in found[1] if f["kind"] == 3] == tokens
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert clean == {1: brute_redacted(text, sorted((f["start"], f["end"]) for f in found[1])), 2: "[SECRET]", 3: None}
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
+def test_running_values_by_runs(spark, n):
+    from pyspark.sql import functions as F
+
+    from clickloom.llm.secrets import running
+
+    values = [(7 * k) % 31 for k in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    sums = df.select(running(F.col("v"), F.lit(0), lambda a, b: a + b, "int")).first()[0]
+    most = df.select(running(F.col("v"), F.lit(0), lambda a, b: F.greatest(a, b), "int")).first()[0]
+    assert sums == [sum(values[:k]) for k in range(n)] and most == [max([0, *values[:k]]) for k in range(n)]
+
+
+def test_values_of_many_repositories_are_examples(spark):
+    from clickloom.llm import secrets
+
+    rows = [(k, "see ghp_A1b2C3d4E5f6G7h8I9j0K1l2", f"o{k % 2}", f"l{k // 2}") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    verdicts = [[f["verdict"] for f in r["findings"]] for r in secrets.scan_secrets(docs).collect()]
+    assert verdicts == [[]] * 4  # two owners, four repositories
+    assert [len(r["findings"]) for r in secrets.scan_secrets(docs.where("doc_id < 3")).collect()] == [1] * 3
+
+
+@pytest.mark.parametrize("name", ["op1_sharding", "op7_secrets", "op12_mixing"])
+def test_native_queries_run_no_python(spark, monkeypatch, name):
+    from clickloom.llm import _shared, mixing, queries, secrets
+
+    plans = []
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    written = _shared.materialize
+    for module in (_shared, mixing, secrets):
+        monkeypatch.setattr(module, "materialize", seen)
+    last = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert plans and not any("Python" in p or "Arrow" in p or "ExistingRDD" in p for p in plans)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickloom.models import embed, layers, run
 from clickloom.operators import clean, graph, split
 from clickloom.plans import config, stages
-from clickloom.sources import dictionaries, files
+from clickloom.sources import dictionaries, files, lines
 
 #: Providers by name; another one is named as ``module:maker``.
 PROVIDERS: dict[str, Callable[[], embed.Provider]] = {"hashed": embed.hashed_provider(64)}
@@ -72,9 +72,9 @@ def process(at: Layout, limit: int | None = None, compat: bool = False) -> None:
         for kind, schema in (("reviews", files.REVIEW_SCHEMA), ("meta", files.META_SCHEMA)):
 
             def numbered(d=d, kind=kind, schema=schema) -> DataFrame:
-                return files.read_json_lines(at.spark, at.path("raw", d, kind), schema, limit).withColumn("src_idx", F.monotonically_increasing_id())
+                return lines.numbered_json(at.spark, at.path("raw", d, kind), schema, limit, place="src_idx")
 
-            raw[d, kind] = at.write(numbered, "numbered", d, kind)  # places in the source stay what they were
+            raw[d, kind] = at.write(numbered, "numbered", d, kind)
 
     def together(kind: str, *columns: str) -> DataFrame:
         first, *rest = [raw[d, kind].select(*columns) for d in at.data.domains]

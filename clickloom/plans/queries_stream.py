@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from clickloom.operators import history
 from clickloom.plans.queries_table import HIST
 from clickloom.plans.stand_ins import interactions
+from clickloom.sources.shared import shared_folder
 from clickloom.streaming.history import stream_history
 
-#: Used only where the session names no checkpoint folder.
-LOCAL_FALLBACK = "file:///tmp/checkpoints/clickloom"
-
-
 def stream_hist(spark, d):
-    base = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/") + f"/clickloom-{uuid.uuid4().hex}"
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
+    base = shared_folder(spark)
     rows = interactions(spark, d).where("overall is null or overall != 3").select("user_id", "src_idx", "ts", "item", F.when(F.col("overall") > 3, 1).otherwise(0).alias("label"))
     rows.write.parquet(f"{base}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")

@@ -8,6 +8,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clickloom.sources import lines
+
 # The schemas of raw reviews and raw item metadata.
 REVIEW_SCHEMA = "reviewerID string, asin string, reviewerName string, reviewText string, summary string, overall double, unixReviewTime bigint, reviewTime string, style map<string,string>, verified boolean, vote string, image array<string>"
 META_SCHEMA = "asin string, title string, brand string, price string, rank string, category array<string>, description array<string>, feature array<string>, details map<string,array<string>>, also_buy array<string>, also_view array<string>, similar_item string, date string, main_cat string, fit string, tech1 string, tech2 string"
@@ -16,11 +18,14 @@ ENCODINGS = ("utf-8", "latin-1", "utf-16")
 
 
 def read_json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """JSON lines; lines that don't parse are skipped. ``limit`` keeps the first rows in ``order``, or any."""
+    """JSON lines; lines that don't parse are skipped. ``limit`` keeps the first rows in ``order``, or those of the first lines.
+
+    ``lines.numbered_json`` gives the place of each line as well.
+    """
+    if limit is not None and not order:
+        return lines.numbered_json(spark, path, schema, limit).drop("place")
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path if isinstance(path, str) else list(path))
-    if limit is None:
-        return rows
-    return (rows.orderBy(*order) if order else rows).limit(limit)
+    return rows.orderBy(*order).limit(limit) if limit is not None else rows
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -164,9 +164,9 @@ class TreeCodec:
     def encode_piece(self, data: bytes, twins: dict[int, tuple[bytes, list[int]]] | None = None) -> list[int]:
         """The halves' encodings, joined; a byte is a token by itself.
 
-        The left half is the largest power of two, so halves of a repeating piece are
-        equal; the last part of each length is remembered (twice the piece's size), and
-        its equals aren't encoded again.
+        The left half of a long part is the largest power of two, so halves of a repeating
+        piece are equal; the last part of each length is remembered (twice the piece's
+        size), and its equals aren't encoded again.
         """
         n = len(data)
         if n <= PART_BYTES:
@@ -179,7 +179,7 @@ class TreeCodec:
             twins = {} if twins is None else twins
             if n in twins and twins[n][0] == data:
                 return twins[n][1]
-        half = 1 << (n - 1).bit_length() - 1
+        half = 1 << (n - 1).bit_length() - 1 if n >= TWIN_BYTES else n // 2
         known = self.join(self.encode_piece(data[:half], twins), self.encode_piece(data[half:], twins))
         if n <= PART_BYTES:
             if len(self.parts) >= CACHE_PARTS:

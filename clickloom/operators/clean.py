@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -36,10 +36,8 @@ def _imputed(field: T.StructField, compat: bool) -> Column:
         return text.style_map(c) if isinstance(kind, T.MapType) else text.style_text(c)
     if isinstance(kind, T.BooleanType):
         return F.coalesce(c, F.lit(False))
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        value = text.flatten_list(c, compat)
-    elif isinstance(kind, T.MapType) and isinstance(kind.valueType, T.ArrayType):
-        value = text.flatten_map(c, compat)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        value = text.flatten_nested(c, kind, compat)
     elif isinstance(kind, T.StringType):
         value = text.clean_text(c, compat)
     else:
@@ -48,7 +46,7 @@ def _imputed(field: T.StructField, compat: bool) -> Column:
 
 
 def impute(df: DataFrame, compat: bool = False) -> DataFrame:
-    """One pass over all columns: styles, booleans, nested, text and rank columns as their type asks."""
+    """One pass over all columns: styles, booleans, nested (to any depth), text and rank columns as their type asks."""
     return df.select(*[_imputed(f, compat).alias(f.name) for f in df.schema])
 
 
@@ -72,20 +70,24 @@ def fill_with_mean(df: DataFrame, col: str, by: Sequence[str] = (), out: str | N
     return joined.withColumn(out, F.coalesce(F.col(col), F.col("_mean"))).drop("_mean").select(*df.columns, *([out] if out not in df.columns else []))
 
 
-def clean_table(df: DataFrame, compat: bool = False) -> DataFrame:
+def clean_table(df: DataFrame, compat: bool = False, visible: Callable[[Column], Column] | None = None) -> DataFrame:
     """The second cleaning of a processed table: text, list, attribute, rank and price columns.
 
-    The items of lists keep their case unless ``compat`` asks otherwise.
+    The items of lists keep their case unless ``compat`` asks otherwise. ``visible`` is
+    what ``text.clean_html`` takes.
     """
+    if visible:  # each cell goes to the tokeniser once, before any expression that refers to it twice
+        cells = [c for c in df.columns if c in (*TEXT_FIELDS, *LIST_FIELDS, *ATTRIBUTE_FIELDS)]
+        df = df.withColumns({c: F.when(text.is_blank(F.col(f"`{c}`")), F.col(f"`{c}`")).otherwise(visible(F.trim(F.col(f"`{c}`")))) for c in cells})
 
     def one(name: str) -> Column:
-        c = F.col(f"`{name}`")
+        c, shown = F.col(f"`{name}`"), (lambda x: x) if visible else None
         if name in TEXT_FIELDS:
-            return text.clean_html(c, compat)
+            return text.clean_html(c, compat, visible=shown)
         if name in LIST_FIELDS:
-            return text.bound(text.clean_html(c, compat, capitalised=compat), text.standardise_list)
+            return text.bound(text.clean_html(c, compat, capitalised=compat, visible=shown), text.standardise_list)
         if name in ATTRIBUTE_FIELDS:
-            return text.bound(text.clean_html(c, compat), lambda x: text.extract_attributes(x, compat))
+            return text.bound(text.clean_html(c, compat, visible=shown), lambda x: text.extract_attributes(x, compat))
         if name == "rank":
             return text.rank_digits(c)
         return c

@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clickloom.functions import markup
 from clickloom.models import embed, layers, run
 from clickloom.operators import clean, graph, split
 from clickloom.plans import config, stages
@@ -91,7 +92,7 @@ def process(at: Layout, limit: int | None = None, compat: bool = False) -> None:
 
 def clean_all(at: Layout, compat: bool = False) -> None:
     for d in at.data.domains:
-        at.write(lambda d=d: clean.clean_table(at.read("processed", d), compat), "cleaned", d)
+        at.write(lambda d=d: clean.clean_table(at.read("processed", d), compat, markup.visible_of_escaped), "cleaned", d)
 
 
 def split_all(at: Layout) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickloom.functions import text
+from clickloom.functions import markup, text
 from clickloom.operators import history, prompt
 from clickloom.plans.stand_ins import SAMPLES, samples, table
 
@@ -105,10 +105,44 @@ def _plain_html(x):
     return _collapse(f"regexp_replace({x}, '([.,;!?()])', ' \\1 ', 'g')")
 
 
-HTML_FULL = f"""WITH a AS (SELECT page_id, html, {_full_html("html")} AS t, {_plain_html("html")} AS p FROM pages), b AS (SELECT page_id, html, p, {_cap("t")} AS t FROM a)
+def _cleaned_sql(html):
+    """Both cleanings of an expression of HTML."""
+    return f"""WITH a AS (SELECT page_id, html, {_full_html(html)} AS t, {_plain_html(html)} AS p FROM pages), b AS (SELECT page_id, html, p, {_cap("t")} AS t FROM a)
 SELECT page_id, CASE WHEN html IS NULL OR html = 'unknown' OR trim(html) = '' THEN 'unknown' ELSE {_or_unknown("p")} END AS plain, CASE WHEN html IS NULL OR html = 'unknown' OR trim(html) = '' THEN 'unknown' ELSE {_or_unknown("CASE WHEN contains(t, ' and ') THEN array_to_string([upper(left(trim(x), 1)) || lower(substr(trim(x), 2)) for x in string_split(t, ' and ')], ' and ') ELSE t END")} END AS cleaned FROM b"""
 
 
+HTML_FULL = _cleaned_sql("html")
+
+
+def html_clean_parsed(spark, d):
+    """The same cleaning, with HTML's own states and all character references."""
+    pages = table(spark, d, "pages").withColumn("shown", F.when(text.is_blank(F.col("html")), F.col("html")).otherwise(markup.visible_of_escaped(F.trim("html"))))
+    same = lambda x: x
+    return pages.select("page_id", text.clean_html(F.col("shown"), compat=True, visible=same).alias("cleaned"), text.clean_html(F.col("shown"), capitalised=False, visible=same).alias("plain"))
+
+
+HTML_PARSED = _cleaned_sql("replace(replace(html, '&copy;', '©'), '&middot;', '·')")
+
+#: What every page is put between: quoted signs in attributes, references of several kinds, raw text, markup that is open at the end.
+BEFORE = """<!doctype html><!--> <a title="1 > 0" data-x='<b>' y=z">T&eacute;st</a> &NotEqualTilde;&notit; &#x41;&#66 &#151; &unknown; 5 < 6 """
+AFTER = """<textarea><b>&lt;raw</textarea><style>p > a {}</style ><script>if (a </b> "</scr" + "ipt>") </script><p title="open>hidden</p><!-- "><i>last</i></ ><!-- open > <p>hidden"""
+
+
+def html_visible_text(spark, d):
+    """Visible text of all pages, each between markup that patterns of tags read wrongly."""
+    return table(spark, d, "pages").select("page_id", text.collapse(markup.visible_text(F.concat(F.lit(BEFORE), F.col("html"), F.lit(AFTER)))).alias("shown"))
+
+
+def _visible_sql(x):
+    x = _strip(x)
+    for name, value in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{value}')"
+    return x
+
+
+HTML_VISIBLE = f"""SELECT page_id, {_collapse("'Tést ≂̸¬it; AB — &unknown; 5 < 6 ' || " + _visible_sql("html") + " || ' <b><raw last'")} AS shown FROM pages"""
+
+
 def _list():
     return F.concat_ws(" and ", "p_brand", F.concat_ws("; ", F.lit("x"), "p_brand"), F.concat_ws(" & ", "p_type", F.lit("x"), F.lit(" "), "p_brand"), F.concat_ws(", ", F.lit("z"), "p_type"))
 
@@ -188,6 +222,8 @@ QUERIES = {
     "nested_deep": (nested_deep, "SELECT p_partkey, concat_ws(' and ', 'size: ' || p_size, 'maker: Made by: ' || p_brand || ' and ' || p_type) AS flat FROM part"),
     "html_clean_simple": (html_clean_simple, HTML_SIMPLE),
     "html_clean_full": (html_clean_full, HTML_FULL),
+    "html_clean_parsed": (html_clean_parsed, HTML_PARSED),
+    "html_visible_text": (html_visible_text, HTML_VISIBLE),
     "list_standardise": (list_standardise, LISTS),
     "attr_extract": (attr_extract, ATTR),
     "prompt_lines": (prompt_lines, PROMPT),

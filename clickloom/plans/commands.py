@@ -21,7 +21,7 @@ from clickloom.functions import markup
 from clickloom.models import embed, layers, run
 from clickloom.operators import clean, graph, split
 from clickloom.plans import config, stages
-from clickloom.sources import dictionaries, files, lines
+from clickloom.sources import chat_endpoint, dictionaries, files, lines
 
 #: Providers by name; another one is named as ``module:maker``.
 PROVIDERS: dict[str, Callable[[], embed.Provider]] = {"hashed": embed.hashed_provider(64)}
@@ -117,14 +117,20 @@ def embed_all(at: Layout, models: Sequence[str] = ("hashed",)) -> None:
             at.write(lambda d=d, s=s, m=m, make=make: embed.embed_texts(at.read("prompts", d, s), make, model=m), "vectors", m, d, s)
 
 
-def triples_all(at: Layout, limit: int | None = None) -> DataFrame:
-    """Triples of all samples; returns the counts of chunks and triples by domain and split."""
+def triples_all(at: Layout, limit: int | None = None, make_client: Callable | None = None, rounds: int = 3) -> DataFrame:
+    """Triples of all samples; returns the counts of chunks and triples by domain and split.
+
+    With a client a model states and confirms them, in ``rounds`` at most; without one the rule extractor does.
+    """
     told = None
     for d, s in at.each():
 
         def make(d=d, s=s) -> DataFrame:
             rows = at.read("splits", d, s)
-            return stages.graph_stage(rows.orderBy("sample_id").limit(limit) if limit else rows, at.read("prompts", d, s), s)
+            rows, prompts = rows.orderBy("sample_id").limit(limit) if limit else rows, at.read("prompts", d, s)
+            if make_client is None:
+                return stages.graph_stage(rows, prompts, s)
+            return stages.model_graph_stage(rows, prompts.join(rows.select("sample_id"), "sample_id", "left_semi"), s, make_client, at.path("asked", d, s), rounds)
 
         part = at.write(make, "triples", d, s).withColumns({"domain": F.lit(d), "split": F.lit(s)})
         told = part if told is None else told.unionByName(part)
@@ -207,6 +213,9 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--history", type=int, default=config.DataSettings().history)
     parser.add_argument("--models", nargs="+", default=["hashed"], help="text providers; training takes the first")
     parser.add_argument("--graph_epochs", type=int, default=10)
+    parser.add_argument("--endpoint", help="chat endpoint of the model that states and confirms triples; without it a rule does")
+    parser.add_argument("--endpoint_model", default="default")
+    parser.add_argument("--rounds", type=int, default=3, help="attempts at the triples of a text")
     parser.add_argument("--batch_size", type=int, help="rows of a step; without it an epoch has --steps steps")
     parser.add_argument("--steps", type=int, default=8)
     parser.add_argument("--accumulate", type=int, default=2)
@@ -228,7 +237,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         "split": lambda: split_all(at),
         "prompt": lambda: prompt_all(at),
         "embed": lambda: embed_all(at, asked.models),
-        "triples": lambda: triples_all(at, asked.limit).show(100, False),
+        "triples": lambda: triples_all(at, asked.limit, chat_endpoint.http_client(asked.endpoint, asked.endpoint_model) if asked.endpoint else None, asked.rounds).show(100, False),
         "graph": lambda: graph_all(at, asked.models[0], asked.graph_epochs),
         "train": lambda: train_all(at, model, learn, asked.models[0], asked.batch_size, asked.steps, asked.accumulate).show(100, False),
     }

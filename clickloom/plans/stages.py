@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickloom.functions import numbers, text
 from clickloom.operators import clean, dictionary, graph, history, prompt, split
+from clickloom.sources import ledger
 
 UNKNOWN_USER, UNKNOWN_ITEM = "unknown_user", "unknown_asin"
 
@@ -65,6 +66,14 @@ def prompt_stage(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", prompt.prompt_text(rows.drop("sample_id", "label")).alias("text"))
 
 
+def model_graph_stage(rows: DataFrame, prompts: DataFrame, split_name: str, make_client, path: str, rounds: int = 3) -> DataFrame:
+    """(sample_id, triples): stated and confirmed by a model in rounds, completed."""
+    told = prompts.withColumn("_cut", text.truncate_words(text.collapse(F.col("text"))))
+    found = ledger.extract_with_verdicts(told, "sample_id", "_cut", make_client, path, rounds, graph.TEST_FORBIDDEN if split_name == "test" else ())
+    found = found.join(rows.select("sample_id", F.col("Domain").alias("_domain")), "sample_id").join(prompts, "sample_id")
+    return found.select("sample_id", graph.complete_titles(graph.complete_scenarios(F.col("triples"), F.col("_domain")), F.col("text")).alias("triples"))
+
+
 def graph_stage(rows: DataFrame, prompts: DataFrame, split_name: str) -> DataFrame:
     """(sample_id, triples): extracted by rule, validated against the prompt, completed."""
     ids = F.transform(F.filter(F.split("user_hist_id", " and "), lambda x: F.startswith(x, F.lit("product_"))), lambda x: F.replace(x, F.lit("product_"), F.lit(""))) if "user_hist_id" in rows.columns else None

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clickloom.sources import files
+
 Client = Callable[[str], str]
 
 
@@ -101,11 +103,14 @@ def extract_with_retry(df: DataFrame, key: str, text: str, generate: Callable[[D
     ``generate(rows, attempt)`` adds ``triples``; returns key, triples, attempt. Each
     round is written under ``path``, a folder that all executors share, before the
     next one begins: a model is asked once a row and round, and what it answered stays.
+    Rounds that are there whole are read. ``ledger.extract_with_verdicts`` lets a model
+    judge each triple, too, and keeps every answer.
     """
     left, done = df.select(key, text), None
     for attempt in range(1, rounds + 1):
         tried = generate(left, attempt).withColumn("triples", validate(F.col("triples"), F.col(text))).withColumn("attempt", F.lit(attempt))
-        tried.select(key, text, "triples", "attempt").write.parquet(f"{path}/round={attempt}")
+        if not files.exists(df.sparkSession, f"{path}/round={attempt}/_SUCCESS"):  # a call that was cut off goes on
+            tried.select(key, text, "triples", "attempt").write.mode("overwrite").parquet(f"{path}/round={attempt}")
         tried = df.sparkSession.read.schema(tried.select(key, text, "triples", "attempt").schema).parquet(f"{path}/round={attempt}")
         good = tried.where(F.size("triples") > 0) if attempt < rounds else tried
         done = good.select(key, "triples", "attempt") if done is None else done.unionByName(good.select(key, "triples", "attempt"))

@@ -403,11 +403,15 @@ def verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, te
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("_id"), F.col(text_col).alias("_text"))
+    ids = materialize(roles.select(F.col("_holder").alias("_id")).distinct(), "holders")
+    if ids.count() <= broadcast_keys:  # no other document is cut into shingles again
+        texts = texts.join(F.broadcast(ids), "_id", "left_semi")
     found = texts.transform(in_batches, arrays, "node long, _holder long, set binary")
     rows = found.join(checked(roles), ["node", "_holder"]).select("a", "salt", "node", "set")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"), "node")
     links = materialize(dealt.transform(in_batches, exact, "a long, b long"), "links")
     discard(roles)
+    discard(ids)
     return links
 
 
@@ -595,10 +599,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def count_links(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per document: id, n_shingles and n_links, the other documents whose sets are equal or link; 0 for empty sets."""
     links, members = jaccard_links(docs, id_col, **options)
-    copies = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("_copies"))
+    # written, so that a hub of links, and a set that a third of all rows have, are skewed joins that can be split
+    copies = materialize(members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("_copies")), "copies")
     both = links.select(F.col("a").alias("_to"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("_to"), F.col("a").alias("node")))
     linked = both.join(copies, "node").groupBy(F.col("_to").alias("node")).agg(F.sum("_copies").alias("_linked"))
     counts = copies.join(linked, "node", "left").select("node", (F.col("_copies") - 1 + F.coalesce("_linked", F.lit(0))).alias("_links"))
+    counts = materialize(counts, "counts")
     return members.join(counts, "node", "left").select(id_col, "n_shingles", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -128,3 +128,14 @@ def test_links_equal_brute_force(spark, monkeypatch, tile):
 
 def test_links_of_nothing(spark):
     assert jaccard.count_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("keys", [0, 200_000])
+def test_links_of_one_text_in_a_third_of_the_rows(spark, keys):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, base) for k in range(60)] + [(100 + k, f"{base} x{k}") for k in range(60)] + [(200 + k, f"other {k} " * 9) for k in range(60)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.count_links(docs, broadcast_keys=keys).collect()}
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for i, t in rows}
+    want = {i: sum(1 for j, b in sets.items() if j != i and a and b and 100 * len(a & b) >= 80 * len(a | b)) for i, a in sets.items()}
+    assert got == want and max(want.values()) == 119

@@ -27,11 +27,21 @@ def entity_type(c: Column) -> Column:
 
 def entity_hash(c: Column, dim: int = 32) -> Column:
     """Bytes of the SHA-256 of what follows the last '_', as shares of 255."""
-    digest = F.sha2(F.substring_index(c, "_", -1), 256)
     if dim > 32:  # a digest has 32 bytes
         return F.array_repeat(F.lit(0.0), dim)
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    return bound(digest, lambda x: F.transform(places, lambda i: F.conv(F.substring(x, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255))
+    return bound(F.rpad(F.sha2(F.substring_index(c, "_", -1), 256), 72, "0"), lambda digest: F.slice(_digest_bytes(digest), 1, dim))
+
+
+def _digest_bytes(digest: Column) -> Column:
+    """Bytes of 72 hex digits as shares of 255."""
+    # six numbers of six bytes each; the bytes are shifted out of them
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.conv(F.substring(digest, k * 12 + 1, F.lit(12)), 16, 10).cast("long"))
+    shifts = [8 * (5 - i) for i in range(6)]
+
+    def bytes_of(n: Column) -> Column:
+        return F.array(*[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("double") / 255 for s in shifts])
+
+    return F.flatten(F.transform(numbers, bytes_of))
 
 
 def relation_weight(c: Column) -> Column:

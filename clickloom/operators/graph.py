@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.entities import RELATIONS, entity_hash, entity_type, relation_weight
 from clickloom.functions.text import bound, is_blank
@@ -139,13 +139,17 @@ def degrees(edge_rows: DataFrame, key: str = "sample_id") -> DataFrame:
 def clustering(edge_rows: DataFrame, key: str = "sample_id") -> DataFrame:
     """Local clustering coefficient of each node in the undirected graph without loops.
 
-    Triangles are found from the edge's lesser end upward, so each is joined once.
+    Edges lead from the end of lesser degree (then name) to the other, so each triangle
+    is joined once, from its corner of least degree, and a hub is nobody's start.
     """
     u = edge_rows.where("head != tail").select(key, F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b")).distinct()
-    ab, bc, ac = u.toDF(key, "a", "b"), u.toDF(key, "b", "c"), u.toDF(key, "a", "c")
+    neighbours = u.select(key, F.explode(F.array("a", "b")).alias("entity")).groupBy(key, "entity").agg(F.count(F.lit(1)).alias("_d"))
+    led = u.join(neighbours.toDF(key, "a", "_da"), [key, "a"]).join(neighbours.toDF(key, "b", "_db"), [key, "b"])
+    forward = F.struct(F.col("_da").alias("d"), F.col("a").alias("n")) < F.struct(F.col("_db").alias("d"), F.col("b").alias("n"))
+    up = led.select(key, F.when(forward, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("b"))
+    ab, bc, ac = up.toDF(key, "a", "b"), up.toDF(key, "b", "c"), up.toDF(key, "a", "c")
     triangles = ab.join(bc, [key, "b"]).join(ac, [key, "a", "c"], "left_semi")
     corners = triangles.select(key, F.explode(F.array("a", "b", "c")).alias("entity")).groupBy(key, "entity").agg(F.count(F.lit(1)).alias("_t"))
-    neighbours = u.select(key, F.explode(F.array("a", "b")).alias("entity")).groupBy(key, "entity").agg(F.count(F.lit(1)).alias("_d"))
     joined = nodes(edge_rows, key).join(neighbours, [key, "entity"], "left").join(corners, [key, "entity"], "left")
     d, t = F.coalesce("_d", F.lit(0)), F.coalesce("_t", F.lit(0))
     return joined.select(key, "entity", F.when(d > 1, 2.0 * t / (d * (d - 1))).otherwise(0.0).alias("clustering"))
@@ -227,5 +231,5 @@ def attention(edge_rows: DataFrame, source: Column, target: Column, key: str = "
     """
     raw = source + target
     e = edge_rows.withColumn("_e", F.exp(F.when(raw >= 0, raw).otherwise(raw * slope) * F.col("weight")))
-    total = e.groupBy(key, "tail").agg(F.sum("_e").alias("_total"))
-    return e.join(total, [key, "tail"]).withColumn("alpha", F.col("_e") / (F.col("_total") + F.lit(eps))).drop("_e", "_total")
+    total = F.sum("_e").over(Window.partitionBy(key, "tail"))  # one shuffle, and the edges are built once
+    return e.withColumn("alpha", F.col("_e") / (total + F.lit(eps))).drop("_e")

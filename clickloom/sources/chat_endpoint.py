@@ -94,7 +94,7 @@ def triples_udtf(make_client: Callable[[], Client], attempts: int = 3):
                 return []
             return found if isinstance(found, list) else []
 
-    return F.udtf(Extract, returnType="head string, relation string, tail string")
+    return F.udtf(Extract, returnType="head string, relation string, tail string", useArrow=True)
 
 
 def extract_with_retry(df: DataFrame, key: str, text: str, generate: Callable[[DataFrame, int], DataFrame], validate: Callable[[Column, Column], Column], path: str, rounds: int = 3) -> DataFrame:

@@ -231,10 +231,10 @@ def positional_join(spark, d):
 
 def final_columns(spark, d):
     rows = samples(spark, d).withColumn("Domain", F.lit("All_Beauty")).withColumn("user_hist_id", history.render_ids(F.col("history")))
-    return clean.finalise(rows.drop("sample_id", "ts", "history")).drop("price")
+    return clean.finalise(rows.drop("sample_id", "ts", "history"))
 
 
-FINAL = f"""WITH {SAMPLES} SELECT 'All_Beauty' AS "Domain", -1 AS scenario_id, user_id, 'unknown' AS user_name, asin, brand, title, 'unknown' AS similar_item, 'unknown' AS rank, category, 'unknown' AS "reviewText", label,
+FINAL = f"""WITH {SAMPLES} SELECT 'All_Beauty' AS "Domain", -1 AS scenario_id, user_id, 'unknown' AS user_name, asin, price, brand, title, 'unknown' AS similar_item, 'unknown' AS rank, category, 'unknown' AS "reviewText", label,
 CASE WHEN len(history) = 0 THEN 'unknown' ELSE array_to_string(['product_' || x for x in history], ' and ') END AS user_hist_id, 'unknown' AS user_hist_title, 'unknown' AS "unixReviewTime", 'unknown' AS also_buy, 'unknown' AS also_view, 'unknown' AS description, 'unknown' AS details, 'unknown' AS feature, 'unknown' AS style FROM samples"""
 
 FIRST = f"WITH {ITEMS} SELECT item, title, brand, category, price, src_idx FROM items QUALIFY row_number() OVER (PARTITION BY item ORDER BY src_idx) = 1"

@@ -183,6 +183,37 @@ SELECT sample_id, 'All_Beauty: The user is ' || CASE WHEN user_id % 3 = 0 THEN '
   coalesce(', the price is $' || printf('%.2f', round_even(price, 2)), '') || coalesce(', the category is ''' || category || '''', '') || '. ' AS text FROM samples"""
 
 
+#: The text attributes of a sentence and what stands for them here: blanks and quotes come up in each.
+STANDS_FOR = {
+    "title": "title", "brand": "CASE WHEN asin % 5 = 0 THEN ' NaN ' ELSE brand END", "similar_item": "'product_' || (asin + 1)", "rank": "CASE WHEN asin % 3 = 0 THEN NULL ELSE CAST(asin AS STRING) END", "category": "category",
+    "reviewText": "brand || chr(39) || 's'", "unixReviewTime": "CAST(sample_id AS STRING)", "also_buy": "CASE WHEN asin % 4 = 0 THEN 'unknown' ELSE 'product_' || (asin + 2) END", "also_view": "'product_' || (asin + 3)", "description": "title || ' of ' || category",
+    "details": "CASE WHEN asin % 7 = 0 THEN '' ELSE 'Weight: ' || asin END", "feature": "brand || ' feature'", "style": "'Size: ' || asin",
+}
+
+
+def prompt_attributes(spark, d):
+    """Sentences with every attribute, names of domains and scenarios in turn, and histories of titles."""
+    rows = samples(spark, d).withColumn("price", F.bround("price", 2)).withColumn("user_hist_id", history.render_ids(F.col("history")))
+    rows = rows.select("sample_id", "user_id", "asin", "price", "user_hist_id", *[F.expr(e).alias(n) for n, e in STANDS_FOR.items()])
+    rows = rows.withColumn("Domain", F.when(F.col("asin") % 3 == 0, "Digital Music").when(F.col("asin") % 3 == 1, "none")).withColumn("scenario_id", (F.col("asin") % 7).cast("int"))
+    rows = rows.withColumn("user_name", F.lit("Ann")).withColumn("user_hist_title", F.when(F.col("user_hist_id") != "unknown", F.concat(F.lit("product 'T"), F.col("user_id").cast("string"), F.lit("'"))))
+    return rows.select("sample_id", prompt.prompt_text(rows).alias("text"))
+
+
+def _attribute_sql(name, template):
+    head, tail = (x.replace("'", "''") for x in template.split("{}"))
+    if name == "price":
+        return f"coalesce(', {head}' || printf('%.2f', round_even(price, 2)), '')"
+    value = STANDS_FOR[name].replace("STRING", "VARCHAR")
+    return f"coalesce(', {head}' || CASE WHEN lower(trim({value})) IN ('', 'nan', 'none', 'unknown') THEN NULL ELSE replace({value}, chr(39), chr(34)) END || '{tail}', '')"
+
+
+PROMPT_ATTRIBUTES = f"""WITH {SAMPLES}
+SELECT sample_id, CASE asin % 3 WHEN 0 THEN 'Digital Music' WHEN 1 THEN 'Unknown Scenario' ELSE CASE asin % 7 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in prompt.SCENARIOS.items())} ELSE 'Scenario ' || (asin % 7) END END
+  || ': The user is Ann (ID: user_' || user_id || ')' || CASE WHEN len(history) = 0 THEN '. ' ELSE ', who clicked IDs ' || array_to_string(['product_' || x for x in history], ' and ') || ' and titles product ''T' || user_id || ''' recently. ' END
+  || 'The ID of current product is product_' || asin || {" || ".join(_attribute_sql(n, t) for n, t in prompt.ATTRIBUTES)} || '. ' AS text FROM samples"""
+
+
 def prompt_tokens_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_words(text.collapse(F.col("text")), 8000).alias("text"))
 
@@ -227,6 +258,7 @@ QUERIES = {
     "list_standardise": (list_standardise, LISTS),
     "attr_extract": (attr_extract, ATTR),
     "prompt_lines": (prompt_lines, PROMPT),
+    "prompt_attributes": (prompt_attributes, PROMPT_ATTRIBUTES),
     "prompt_tokens_truncate": (prompt_tokens_truncate, TRUNCATE),
     "line_split": (line_split, LINES),
     "llm_json_repair": (llm_json_repair, REPAIR),

@@ -208,3 +208,19 @@ def test_the_deal_does_not_depend_on_partitions(spark, tmp_path):
         seen.append(sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{parts}").select("id", "s", "chunk").collect()), key=repr))
     assert seen[0] == seen[1] and len({c for _, _, c in seen[0]}) == 7
     assert epochs.write_chunks(spark.createDataFrame([], "id long, s string"), ["id"], f"{tmp_path}/none") == 0
+
+
+def test_the_graph_stage_by_a_model(spark, tmp_path):
+    from clickloom.plans import stages
+
+    def model(prompt):
+        if "Triple:" in prompt:
+            return ledger.fenced({"valid": "has_brand" in prompt or "click" in prompt, "reason": "", "confidence": 1})
+        told = [("user_1", "click_history_id", "product_2"), ("product_7", "has_brand", "Acme"), ("product_7", "has_price", "$1")]
+        return ledger.fenced([dict(zip(("head", "relation", "tail"), t, strict=True)) for t in told])
+
+    rows = spark.createDataFrame([(1, "d"), (2, "d")], "sample_id long, Domain string")
+    prompts = spark.createDataFrame([(1, "user_1 saw product_2 title: Two ."), (2, "other")], "sample_id long, text string")
+    for split, want in (("train", {"click_history_id", "has_brand", "belongs_to_scenario"}), ("test", {"has_brand"})):
+        got = {r["sample_id"]: {t["relation"] for t in r["triples"]} for r in stages.model_graph_stage(rows, prompts, split, ledger.scripted(model), f"{tmp_path}/{split}").collect()}
+        assert got[2] == want and got[1] == want | ({"has_title"} if split == "train" else set())

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -108,6 +108,12 @@ def _bytes(size: str) -> int:
     return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
 
 
+def refuse_clashes(kept: Iterable[str], own: Iterable[str]) -> None:
+    """An error if a column that is to be kept has the name of a result."""
+    if clash := sorted({c.lower() for c in kept} & {c.lower() for c in own}):
+        raise ValueError(f"columns of the result can't be kept: {', '.join(clash)}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.llm._shared import in_batches, materialize
+from clickloom.llm._shared import in_batches, materialize, refuse_clashes
 
 #: Bytes of query vectors (as doubles) in a block.
 BLOCK_BYTES = 16 << 20
@@ -135,6 +135,7 @@ def _packed(rows: DataFrame, key: str, tile: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k nearest rows of every query row: query_id, rank, id, score (cosine)."""
+    refuse_clashes([id_col], ["query_id", "rank", "score"])
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), is_query.alias("_asks"))
     # unusable vectors go before the least is taken, as they could be it
     odd = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

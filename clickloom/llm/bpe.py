@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clickloom.llm._shared import in_batches
+from clickloom.llm._shared import in_batches, refuse_clashes
 
 #: Tokens, and matches of the pattern, that a leaf of the upper tree holds.
 LEAF_TOKENS, LEAF_MATCHES = 1 << 12, 1 << 16
@@ -246,14 +246,9 @@ def _vocabulary(docs: DataFrame, ranks_path: str):
 _sound: set[int] = set()
 
 
-def _kept(docs: DataFrame, keep: Sequence[str], own: Sequence[str]) -> None:
-    if clash := sorted({c.lower() for c in keep} & {c.lower() for c in own}):
-        raise ValueError(f"columns of the result can't be kept: {', '.join(clash)}")
-
-
 def _encoding(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, keep: Sequence[str], decode_as: str | None) -> DataFrame:
     own = ["n_tokens", "ids", *([decode_as] if decode_as else [])]
-    _kept(docs, keep, [id_col, *own])
+    refuse_clashes(keep, [id_col, *own])
     raw = _vocabulary(docs, ranks_path)
     kept = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(text_col).alias("_text"))
     schema = T.StructType([*[f for f in kept.schema if f.name != "_text"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("_decoded", T.BinaryType())] if decode_as else [])])
@@ -285,7 +280,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes that ``ids_col`` stands for; all columns stay. Null ids give no bytes."""
-    _kept(encoded, encoded.columns, [out_col])
+    refuse_clashes(encoded.columns, [out_col])
     raw = _vocabulary(encoded, ranks_path)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())])
     at = encoded.columns.index(ids_col)

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clickloom.llm._shared import discard, in_batches, materialize, shared_path
+from clickloom.llm._shared import discard, in_batches, materialize, refuse_clashes, shared_path
 
 #: Components of a vector, lower bounds that each vector keeps, vectors of a block, vectors of a bucket at most (64 MB), about.
 DIMENSIONS, TRACKED, BLOCK, BUCKET = 64, 3, 2048, 1 << 18
@@ -315,6 +315,7 @@ def cluster_vectors(vectors: DataFrame, k: int = 8, rounds: int = 10, scale: int
     and ``centroid_sha256``. ``stats`` gets for each round how many vectors were held
     against their tracked and against all centroids.
     """
+    refuse_clashes([id_col], ["cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"])
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v"))

@@ -37,7 +37,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.llm._shared import materialize, sized
+from clickloom.llm._shared import materialize, refuse_clashes, sized
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -136,6 +136,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: floa
     (words, repeats counted) and ``spans``: structs of shard, first word (from 0) and
     words, in the order in which the shards take them.
     """
+    refuse_clashes([id_col], ["size", "source_size", "target", "taken", "spans"])
     stratum = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
     rows = docs.select(F.col(id_col).alias("_id"), stratum.alias("_stratum"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long").alias("_size"), F.spark_partition_id().alias("_task"))
     # equal rows of one scan task are counted in it and stay one row until the end

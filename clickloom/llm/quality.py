@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from clickloom.llm._shared import id_crc, in_batches
+from clickloom.llm._shared import id_crc, in_batches, refuse_clashes
 from clickloom.llm._text import SPACE_WORDS, buffers, hash_spans, mix, slices, word_table, words_of
 
 FEATURES = (
@@ -241,7 +241,8 @@ def _values(column: pa.Array) -> list[memoryview]:
 
 
 def score_documents(docs: DataFrame, model: PairwiseModel, text_col: str = "text", keep: Sequence[str] = ("doc_id",), score_col: str = "score") -> DataFrame:
-    """``keep`` and the score of every whole text."""
+    """``keep`` and the score of every whole text; a kept column can't be called as the score."""
+    refuse_clashes(keep, [score_col])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_scored_text"))
     schema = T.StructType([*docs.select(*[F.col(c) for c in keep]).schema.fields, T.StructField(score_col, T.DoubleType())])

@@ -29,7 +29,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.text import bound
-from clickloom.llm._shared import materialize, sized
+from clickloom.llm._shared import materialize, refuse_clashes, sized
 
 # The base patterns, by kind in the order in which ties are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -109,6 +109,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     owners or ``example_repositories`` repositories on, else ``live`` if the value looks
     so, else ``weak``), by start and kind.
     """
+    refuse_clashes(keep, [out_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_spans(text, ASSIGN, 0, 2, 8), _spans(text, ACCESS_LONG, 1), _spans(text, HEX_LONG, 2))
     tokens = F.filter(_spans(text, TOKEN, 3), lambda s: _live_looking(s["value"]))

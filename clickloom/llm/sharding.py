@@ -12,7 +12,7 @@ so a source with a third of all rows is dealt over 4096 cells.
 
 Defined results: a null source is a source of its own; a null text has size 1 and
 crc 0; a null id is hashed as such; equal rows are interchangeable; an empty table
-gives no rows; other columns are ignored unless named in ``keep``.
+gives no rows; other columns are ignored unless named in ``keep``, where names of results are refused.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from clickloom.llm._shared import refuse_clashes
+
 #: Hash cells of a source and cells of the global order: hex digits of the key.
 CELL_DIGITS = 3
 CELLS = 16**CELL_DIGITS
@@ -32,6 +34,7 @@ def stratified_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_col
     Returns the id, ``keep``, ``size``, ``text_crc32``, ``shard`` and ``slot`` (the
     place in the shard, gapless from 0).
     """
+    refuse_clashes(keep, [id_col, "size", "text_crc32", "shard", "slot"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("_id"),

@@ -190,3 +190,22 @@ def test_native_queries_run_no_python(spark, monkeypatch, name):
     last = queries.queries()[name](spark, "/root/testdata/sf0.001")
     plans.append(last._jdf.queryExecution().executedPlan().toString())
     assert plans and not any("Python" in p or "Arrow" in p or "ExistingRDD" in p for p in plans)
+
+
+def test_names_of_results_are_refused(spark):
+    from pyspark.sql import functions as F
+
+    from clickloom.llm import ann, kmeans, mixing, quality, secrets, sharding
+
+    docs = spark.createDataFrame([(1, "t", "s", "en", 1, 1.0, 2)], "doc_id long, text string, source string, lang string, size int, score double, findings int")
+    vectors = spark.createDataFrame([(1, [1.0])], "rank long, embedding array<double>")
+    for refused in (
+        lambda: sharding.stratified_shards(docs, keep=("Size",)),
+        lambda: secrets.scan_secrets(docs, keep=("doc_id", "findings")),
+        lambda: quality.score_documents(docs, None, keep=("doc_id", "score")),
+        lambda: ann.nearest(vectors, F.lit(True), id_col="rank"),
+        lambda: kmeans.cluster_vectors(vectors.withColumnRenamed("rank", "cluster"), id_col="cluster"),
+        lambda: mixing.mix_documents(docs, id_col="size"),
+    ):
+        with pytest.raises(ValueError, match="can't be kept"):
+            refused()

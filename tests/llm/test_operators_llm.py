@@ -149,6 +149,47 @@ def test_nearest_equals_brute_force(spark, block):
     assert all(abs(g[3] - w[3]) < 1e-12 and (g[2] == w[2] or abs(g[3] - w[3]) < 1e-15) for g, w in zip(got, want))
 
 
+@pytest.mark.parametrize("block", [1 << 24, 4000, 64 * 7])
+def test_many_copies_and_near_copies_over_several_blocks(spark, block):
+    r = np.random.default_rng(4)
+    hot, rows = r.normal(size=16), []
+    for i in range(1800):
+        kind = i % 3
+        rows.append((i, (hot if kind == 0 else hot + r.normal(size=16) * 1e-5 if kind == 1 else r.normal(size=16)).tolist()))
+    rows += [(50, rows[0][1]), (1, rows[0][1]), (1, rows[0][1])]
+    df = spark.createDataFrame([(v, i) for i, v in rows], "embedding array<double>, vec_id long").repartition(5)
+    got = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 50 == 0, block_bytes=block).collect()))
+    good = [(i, np.array(v)) for i, v in rows]
+    ids, x = np.array([i for i, _ in good]), np.ldexp(np.array([v for _, v in good]), -np.frexp(np.abs(np.array([v for _, v in good])).max(axis=1, keepdims=True))[1])
+    square, want, asking = ann.ordered_dot(x, x), [], {}
+    for i, v in rows:
+        if i % 50 == 0:
+            asking[i] = min(asking.get(i, v), v)
+    for i, v in asking.items():
+        q = np.array(v)
+        q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
+        scores = ann.ordered_dot(np.tile(q, (len(x), 1)), x) / np.sqrt(ann.ordered_dot(q[None], q[None])[0] * square)
+        near = sorted((-s, c) for s, c in zip(scores.tolist(), ids.tolist()) if c != i)[:5]
+        want += [(i, n, c, -s) for n, (s, c) in enumerate(near, 1)]
+    assert got == sorted(want)
+
+
+def test_pairs_left_by_codes_hold_the_nearest(monkeypatch):
+    r = np.random.default_rng(8)
+    q, c = ann.Side(np.arange(40), r.normal(size=(40, 32))), [ann.Side(np.arange(k * 100, k * 100 + 100), r.normal(size=(100, 32))) for k in range(6)]
+    for close in (64, 5):
+        monkeypatch.setattr(ann, "CLOSE_PAIRS", close)
+        rows = ann.CloseRows(q, 3)
+        for tile, side in enumerate(c):
+            rows.meet(tile, side)
+        rows.prune()
+        kept = set(zip(rows.found[0].tolist(), rows.found[1].tolist(), rows.found[2].tolist()))
+        for i in range(40):
+            scores = sorted(((-float(q.x[i] @ side.x[j] / math.sqrt(q.square[i] * side.square[j])), tile, j) for tile, side in enumerate(c) for j in range(100) if side.ids[j] != i))
+            assert all((i, tile, j) in kept or tile in rows.wide for _, tile, j in scores[:3])
+        assert close == 5 or (not rows.wide and len(kept) < 40 * 20)
+
+
 @pytest.mark.parametrize("size", [1e-100, 1e100, 1e-300])
 def test_lengths_of_vectors_dont_matter(spark, size):
     rows = [(50, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.5]), (3, [-1.0, 0.0]), (4, [2.0, 4.0]), (5, [1.0, 2.0])]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickloom.models import tokenise
 from clickloom.operators import clean, epochs
 from clickloom.plans.stand_ins import table
-from clickloom.sources import ledger, lines
+from clickloom.sources import encoded, ledger, lines, matrix_files
 from clickloom.sources.shared import shared_folder
 
 ORDER_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string"
@@ -133,6 +133,32 @@ WITH RECURSIVE n AS (SELECT ((count(*) + {CHUNK_ROWS - 1}) // {CHUNK_ROWS})::BIG
 SELECT o_orderkey, o_custkey, chunk::INTEGER AS chunk, place::INTEGER AS place, (place // {CHUNKS_A_BATCH})::INTEGER AS batch FROM dealt JOIN plan USING (chunk)
 """
 
+
+def text_encodings(spark: SparkSession, d: str) -> DataFrame:
+    """All items as lines of files in three encodings, told apart and read by ranges of bytes."""
+    top = f"{shared_folder(spark)}/texts"
+    named = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.lit("caf\u00e9"), "p_name").alias("name"))
+    for k, charset in enumerate(("UTF-8", "UTF-16LE", "ISO-8859-1")):
+        named.where(F.col("p_partkey") % 3 == k).write.option("encoding", charset).json(f"{top}/{k}")
+    rows = encoded.read_encoded(spark, f"{top}/*/*.json", range_bytes=1 << 16)
+    return rows.select(F.from_json("line", "p_partkey bigint, name string").alias("r"), "encoding").select("r.p_partkey", "r.name", "encoding")
+
+
+def matrix_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All whole vectors of 64 components as a matrix of files, read back by ranges of rows."""
+    path = f"{shared_folder(spark)}/matrix"
+    whole = table(spark, d, "embeddings").where((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull()))
+    matrix_files.write_npy(whole, path, key="vec_id", vector="embedding", part_bytes=1 << 18)
+    rows = matrix_files.read_npy(spark, path, range_bytes=1 << 16)
+    return rows.select("row", F.size("vec").alias("width"), F.col("vec")[0].alias("first"), F.col("vec")[63].alias("last"), F.array_max("vec").alias("largest"))
+
+
+TEXT_ENCODINGS = """SELECT p_partkey, 'caf\u00e9 ' || p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16-le' ELSE 'latin-1' END AS encoding FROM part"""
+MATRIX_ROWS = """
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, 64 AS width, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last, list_max(embedding)::DOUBLE AS largest
+FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+"""
+
 _PLACED = "placed AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, * FROM orders), good AS (SELECT * FROM placed WHERE o_orderkey % 10 <> 3)"
 
 QUERIES = {
@@ -142,4 +168,6 @@ QUERIES = {
     "kg_verdict_rounds": (kg_verdict_rounds, VERDICT_ROUNDS),
     "subword_masks": (subword_masks, SUBWORDS),
     "epoch_order": (epoch_order, EPOCH_ORDER),
+    "text_encodings": (text_encodings, TEXT_ENCODINGS),
+    "matrix_rows": (matrix_rows, MATRIX_ROWS),
 }

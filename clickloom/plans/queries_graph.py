@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from clickloom.functions.entities import RELATION_WEIGHTS, entity_hash, entity_type
-from clickloom.operators import graph
+from clickloom.operators import attention, graph
 from clickloom.plans.stand_ins import SAMPLES, samples, table
 from clickloom.sources import chat_endpoint
 
@@ -184,6 +184,46 @@ a AS (SELECT sample_id, tail, x / (sum(x) OVER (PARTITION BY sample_id, tail) +
 SELECT sample_id, tail, count(*) AS n_edges, round(max(alpha), 9) AS alpha_max FROM a GROUP BY ALL"""
 
 
+#: Weights of the query's layer: two heads of two components over three features, by formula.
+HEADS, WIDTH, INPUTS = 2, 2, 3
+PROJECTION = [[((4 * i + j) * 7 % 11 - 5) / 10 for j in range(HEADS * WIDTH)] for i in range(INPUTS)]
+SCORES = [[((4 * k + j) * 5 % 9 - 4) / 10 for j in range(2 * WIDTH)] for k in range(HEADS)]
+RESIDUAL = [[((4 * i + j) * 3 % 7 - 3) / 10 for j in range(HEADS * WIDTH)] for i in range(INPUTS)]
+BIAS = [0.1, -0.2, 0.3, -0.4]
+
+
+def kg_attention_layer(spark, d):
+    """A layer of two heads over one graph of all purchases, customers and items."""
+    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = bought.select(F.lit(0).alias("graph"), F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("head"), F.concat(F.lit("product_"), F.col("l_partkey").cast("string")).alias("tail"), (F.col("l_quantity").cast("double") / 100.0 + 0.5).alias("weight"))
+
+    def of(name, key, prefix, user):
+        return table(spark, d, name).select(F.lit(0).alias("graph"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("entity"), F.array(F.col(key) % 7 / F.lit(7.0), F.col(key) % 11 / F.lit(11.0), F.lit(user)).alias("features"))
+
+    nodes = of("customer", "c_custkey", "user_", 1.0).unionByName(of("part", "p_partkey", "product_", 0.0))
+    found = attention.attention_layer(nodes, edges, PROJECTION, SCORES, (RESIDUAL, BIAS), key="graph")
+    return found.select("entity", *[F.round(F.col("features")[j], 8).alias(f"x{j}") for j in range(HEADS * WIDTH)])
+
+
+def _layer_sql() -> str:
+    def product(w, j, bias=0.0):
+        return " + ".join([f"f{i} * {w[i][j]}::DOUBLE" for i in range(INPUTS)] + [f"{bias}::DOUBLE"])
+
+    places, comma = range(HEADS * WIDTH), ", "
+    part = lambda k, side: " + ".join(f"{'hg'[side]}.h{k * WIDTH + j} * {SCORES[k][side * WIDTH + j]}::DOUBLE" for j in range(WIDTH))
+    raw = comma.join(f"{part(k, 0)} + {part(k, 1)} AS r{k}" for k in range(HEADS))
+    e = comma.join(f"exp((CASE WHEN r{k} >= 0 THEN r{k} ELSE r{k} * 0.2::DOUBLE END) * w) AS e{k}" for k in range(HEADS))
+    return f"""
+WITH nodes AS (SELECT 'user_' || c_custkey AS entity, c_custkey % 7 / 7.0::DOUBLE AS f0, c_custkey % 11 / 11.0::DOUBLE AS f1, 1.0::DOUBLE AS f2 FROM customer
+  UNION ALL SELECT 'product_' || p_partkey, p_partkey % 7 / 7.0::DOUBLE, p_partkey % 11 / 11.0::DOUBLE, 0.0::DOUBLE FROM part),
+projected AS (SELECT entity, {comma.join(f"{product(PROJECTION, j)} AS h{j}" for j in places)}, {comma.join(f"{product(RESIDUAL, j, BIAS[j])} AS r{j}" for j in places)} FROM nodes),
+raw AS (SELECT g.entity, {comma.join(f"h.h{j}" for j in places)}, l_quantity::DOUBLE / 100.0::DOUBLE + 0.5::DOUBLE AS w, {raw} FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN projected h ON h.entity = 'user_' || o_custkey JOIN projected g ON g.entity = 'product_' || l_partkey),
+e AS (SELECT *, {e} FROM raw),
+added AS (SELECT entity, {comma.join(f"sum(e{j // WIDTH} * h{j}) / (sum(e{j // WIDTH}) + 1e-8::DOUBLE) AS m{j}" for j in places)} FROM e GROUP BY entity)
+SELECT entity, {comma.join(f"round(r{j} + coalesce(m{j}, 0), 8) AS x{j}" for j in places)} FROM projected LEFT JOIN added USING (entity)"""
+
+
 def entity_hash_bytes(spark, d):
     users = samples(spark, d).select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("entity")).distinct()
     return users.select("entity", entity_type(F.col("entity")).alias("kind"), F.posexplode(entity_hash(F.col("entity"))).alias("pos", "share"))
@@ -207,5 +247,6 @@ QUERIES = {
     "kg_clustering": (kg_clustering, CLUSTERING),
     "kg_node_features": (kg_node_features, FEATURES),
     "kg_attention_softmax": (kg_attention_softmax, ATTENTION),
+    "kg_attention_layer": (kg_attention_layer, _layer_sql()),
     "entity_hash_bytes": (entity_hash_bytes, HASHES),
 }

@@ -129,3 +129,10 @@ def test_list_standardising_is_idempotent(spark):
     value = "a; b and c, a & d、e"
     once = one(spark, text.standardise_list, value)
     assert once == "a, b, c, d, e" and one(spark, text.standardise_list, once) == once
+
+
+def test_capitals_are_single_characters(spark):
+    """As in SQL: no character becomes several, none depends on its place in a word."""
+    rows = [("ßie Straße",), ("ﬁne",), ("ᾳ",), ("éa",), ("xΑΣ ΟΣ İ",), ("",), (None,), ("ǆ",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in df.select(text.capitalise(F.col("t"))).collect()] == ["ẞie straße", "ﬁne", "ᾼ", "Éa", "Xας ος i".replace("ς", "σ"), "", None, "Ǆ"]

@@ -50,7 +50,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = interactions(spark, sf_dir).where(~is_neutral(F.col("overall"))).withColumn("label", label_of(F.col("overall")))
     rows = click_history(rows, "user_id", ["ts", "src_idx"], F.col("label") == 1, F.col("item"), segment=F.date_trunc("week", "ts"))
     meta = dedup_first(items(spark, sf_dir), ["item"], [F.col("src_idx")]).drop("src_idx")
-    return rows.join(meta, "item", "left").select(F.col("src_idx").alias("sample_id"), "user_id", F.col("item").alias("asin"), "title", "brand", "category", "price", "label", "ts", "history")
+    # the stand-in has 100 items at any size: a join by item would send all samples to as few tasks
+    return rows.join(F.broadcast(meta), "item", "left").select(F.col("src_idx").alias("sample_id"), "user_id", F.col("item").alias("asin"), "title", "brand", "category", "price", "label", "ts", "history")
 
 
 #: History by row numbers: the k-th last positive before a row.

@@ -122,6 +122,19 @@ def test_graph_golden_rows(spark):
     assert valid == []
 
 
+def test_validation_takes_ids_as_they_are_written(spark):
+    """Ids with signs of patterns are compared, not matched; a missing source or relation confirms nothing."""
+    ids = ["product_2", "product_a.b", "product_(", "product_\\E", "other", None]
+    t = [(x, "has_brand", "X") for x in ids] + [("user_1", "odd", "X"), ("user_1", None, "X")]
+    rows = [(1, t, "user_1 saw product_2, product_axb"), (2, t, "product_a.b; product_( product_\\E!"), (3, t, None)]
+    df = spark.createDataFrame(rows, "k long, t array<struct<head:string,relation:string,tail:string>>, s string")
+    got = {r["k"]: [x["head"] for x in r["v"]] for r in df.select("k", graph.validate(F.col("t"), F.col("s")).alias("v")).collect()}
+    assert got == {1: ["product_2", "other", None], 2: ["product_a.b", "product_(", "product_\\E", "other", None], 3: ["other", None]}
+    told = {r["k"]: [tuple(x)[:2] for x in r["v"]] for r in df.select("k", graph.verdicts(F.col("t"), F.col("s")).alias("v")).collect()}
+    good, bad = (True, "grounded"), (False, "id not in text")
+    assert told[1] == [good, bad, bad, bad, good, good, (False, "unknown relation"), bad]
+
+
 def test_clustering_of_a_triangle(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "c", "d"), (1, "a", "b"), (1, "d", "d")], "sample_id long, head string, tail string")
     got = {r["entity"]: r["clustering"] for r in graph.clustering(e).collect()}

@@ -248,3 +248,29 @@ def attention(edge_rows: DataFrame, source: Column, target: Column, key: str = "
     e = edge_rows.withColumn("_e", F.exp(F.when(raw >= 0, raw).otherwise(raw * slope) * F.col("weight")))
     total = F.sum("_e").over(Window.partitionBy(key, "tail"))  # one shuffle, and the edges are built once
     return e.withColumn("alpha", F.col("_e") / (total + F.lit(eps))).drop("_e")
+
+
+def attention_in_rows(triples: Column, source: Callable[[Column], Column], target: Callable[[Column], Column], slope: float = 0.2, eps: float = 1e-8) -> Column:
+    """What ``attention`` gives for the graph of a row, from its triples where they lie: no row moves.
+
+    An array with a struct for each node that edges lead to: tail, and its edges (head,
+    relation, weight, alpha). ``source`` and ``target`` are scalars of a triple. The work in a row
+    is the product of edges and nodes, which suits graphs of a sample.
+    """
+
+    def weighted(t: Column) -> Column:
+        def edge(given: Column) -> Column:
+            e = F.exp(F.when(given["r"] >= 0, given["r"]).otherwise(given["r"] * slope) * given["w"])
+            return F.struct(t["head"].alias("head"), t["relation"].alias("relation"), t["tail"].alias("tail"), given["w"].alias("weight"), e.alias("e"))
+
+        return bound(F.struct((source(t) + target(t)).alias("r"), relation_weight(t["relation"]).alias("w")), edge)
+
+    def shared(same: Column) -> Column:
+        total = F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x["e"])
+        return bound(total, lambda s: F.transform(same, lambda x: F.struct(x["head"].alias("head"), x["relation"].alias("relation"), x["weight"].alias("weight"), (x["e"] / (s + F.lit(eps))).alias("alpha"))))
+
+    def into(edge: Column) -> Column:
+        tails = F.array_distinct(F.transform(edge, lambda x: x["tail"]))
+        return F.transform(tails, lambda n: F.struct(n.alias("tail"), bound(F.filter(edge, lambda x: x["tail"].eqNullSafe(n)), shared).alias("edges")))
+
+    return bound(F.transform(triples, weighted), into)

@@ -174,9 +174,11 @@ SELECT g.sample_id, entity, entity = 'product_' || asin AS is_core, CASE WHEN st
 
 
 def kg_attention_softmax(spark, d):
-    e = _edges(spark, d)
-    scored = graph.attention(e, F.length("head") / F.lit(10.0) - F.lit(1.2), F.lit(0.1))
-    return scored.groupBy("sample_id", "tail").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.max("alpha"), 9).alias("alpha_max"))
+    """By the rows of samples, each of which is a graph."""
+    found = graph.attention_in_rows(F.col("triples"), lambda t: F.length(t["head"]) / F.lit(10.0) - F.lit(1.2), lambda t: F.lit(0.1))
+    each = _triples(spark, d).select("sample_id", F.explode(found).alias("n"))
+    alphas = F.transform("n.edges", lambda x: x["alpha"])
+    return each.select("sample_id", "n.tail", F.size("n.edges").cast("long").alias("n_edges"), F.round(F.array_max(alphas), 9).alias("alpha_max"))
 
 
 ATTENTION = f"""WITH {EDGES}, e AS (SELECT sample_id, tail, exp((CASE WHEN s >= 0 THEN s ELSE s * 0.2::DOUBLE END) * w) AS x FROM (SELECT sample_id, tail, length(head) / 10.0::DOUBLE - 1.2::DOUBLE + 0.1::DOUBLE AS s, {WEIGHT_SQL} AS w FROM edges)),

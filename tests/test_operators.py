@@ -135,6 +135,15 @@ def test_validation_takes_ids_as_they_are_written(spark):
     assert told[1] == [good, bad, bad, bad, good, good, (False, "unknown relation"), bad]
 
 
+def test_attention_in_rows_equals_that_over_edges(spark):
+    t = [("user_1", "click_history_id", "a"), ("user_1", "click_history_id", "a"), ("b", "has_price", "a"), ("b", "odd", "c"), ("c", None, "c")]
+    df = spark.createDataFrame([(1, t), (2, t[:1]), (3, [])], "sample_id long, triples array<struct<head:string,relation:string,tail:string>>")
+    over = graph.attention(graph.edges(df), F.length("head") - F.lit(3.0), F.lit(0.1)).select("sample_id", "tail", "head", F.round("alpha", 12))
+    each = df.select("sample_id", F.explode(graph.attention_in_rows(F.col("triples"), lambda t: F.length(t["head"]) - F.lit(3.0), lambda t: F.lit(0.1))).alias("n"))
+    rows = each.select("sample_id", "n.tail", F.explode("n.edges").alias("e")).select("sample_id", "tail", "e.head", F.round("e.alpha", 12))
+    assert sorted(rows.collect()) == sorted(over.collect()) and rows.count() == 6
+
+
 def test_clustering_of_a_triangle(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "c", "d"), (1, "a", "b"), (1, "d", "d")], "sample_id long, head string, tail string")
     got = {r["entity"]: r["clustering"] for r in graph.clustering(e).collect()}

@@ -76,6 +76,7 @@ def _answering():
 
 def triples_udtf(spark, d):
     part = table(spark, d, "part").select("p_partkey", F.concat_ws("|", F.col("p_partkey").cast("string"), "p_brand", "p_type").alias("prompt"))
+    part = part.repartition(4 * spark.sparkContext.defaultParallelism)  # the metadata is a file of few row groups, Python's work is by the row
     extract = chat_endpoint.triples_udtf(_answering)
     return part.lateralJoin(extract(F.col("prompt").outer())).drop("prompt")
 

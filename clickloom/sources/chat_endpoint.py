@@ -65,6 +65,7 @@ def triples_udtf(make_client: Callable[[], Client], attempts: int = 3):
     prompts p, LATERAL extract(p.text) t``. Fences round the answer are taken off; a
     null prompt, an answer that isn't a list of triples, and ``attempts`` failures of
     the connection give no row.
+    Rows go pickled, in batches: by Arrow, every row's few triples were a table of their own.
     """
 
     class Extract:
@@ -94,7 +95,7 @@ def triples_udtf(make_client: Callable[[], Client], attempts: int = 3):
                 return []
             return found if isinstance(found, list) else []
 
-    return F.udtf(Extract, returnType="head string, relation string, tail string", useArrow=True)
+    return F.udtf(Extract, returnType="head string, relation string, tail string", useArrow=False)
 
 
 def extract_with_retry(df: DataFrame, key: str, text: str, generate: Callable[[DataFrame, int], DataFrame], validate: Callable[[Column, Column], Column], path: str, rounds: int = 3) -> DataFrame:

@@ -92,3 +92,14 @@ def test_first_lines_are_the_same_rows(spark, split_size, size):
     rows = catalogue.queries()["json_first_lines"](spark, "/root/testdata/sf0.001").collect()
     orders = sorted(r["o_orderkey"] for r in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").collect())[:500]
     assert sorted((r["place"], r["o_orderkey"]) for r in rows) == [(k, o) for k, o in enumerate(orders) if o % 10 != 3]
+
+
+def test_triples_of_a_table_function_are_spread_and_pickled(spark, tmp_path):
+    """Metadata in one file of one row group is many tasks, and no row's triples are an Arrow table of their own."""
+    from clickloom.plans import queries_graph
+
+    spark.range(40).selectExpr("id as p_partkey", "'b' as p_brand", "'t' as p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = queries_graph.triples_udtf(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 2 * 26
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from clickloom.functions.text import bound
-
 # The relations that extraction may give.
 RELATIONS = (
     "has_username", "belongs_to_scenario", "has_price", "has_brand", "has_title", "belongs_to_category", "has_style", "has_rank", "click_history_id", "expresses_sentiment",
@@ -26,22 +24,17 @@ def entity_type(c: Column) -> Column:
 
 
 def entity_hash(c: Column, dim: int = 32) -> Column:
-    """Bytes of the SHA-256 of what follows the last '_', as shares of 255."""
+    """Bytes of the SHA-256 of what follows the last '_', as shares of 255.
+
+    For a select of its own, where Spark computes what all bytes share once a row and compiles the
+    rest; in a lambda nothing is shared.
+    """
     if dim > 32:  # a digest has 32 bytes
         return F.array_repeat(F.lit(0.0), dim)
-    return bound(F.rpad(F.sha2(F.substring_index(c, "_", -1), 256), 72, "0"), lambda digest: F.slice(_digest_bytes(digest), 1, dim))
-
-
-def _digest_bytes(digest: Column) -> Column:
-    """Bytes of 72 hex digits as shares of 255."""
+    digest = F.rpad(F.sha2(F.substring_index(c, "_", -1), 256), 72, "0")
     # six numbers of six bytes each; the bytes are shifted out of them
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.conv(F.substring(digest, k * 12 + 1, F.lit(12)), 16, 10).cast("long"))
-    shifts = [8 * (5 - i) for i in range(6)]
-
-    def bytes_of(n: Column) -> Column:
-        return F.array(*[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("double") / 255 for s in shifts])
-
-    return F.flatten(F.transform(numbers, bytes_of))
+    numbers = [F.conv(F.substring(digest, k * 12 + 1, 12), 16, 10).cast("long") for k in range(6)]
+    return F.array(*[F.shiftright(numbers[i // 6], 8 * (5 - i % 6)).bitwiseAND(F.lit(255)).cast("double") / 255 for i in range(dim)])
 
 
 def relation_weight(c: Column) -> Column:

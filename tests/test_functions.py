@@ -1,5 +1,7 @@
 """Golden rows of the scalar expressions."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -136,3 +138,11 @@ def test_capitals_are_single_characters(spark):
     rows = [("ßie Straße",), ("ﬁne",), ("ᾳ",), ("éa",), ("xΑΣ ΟΣ İ",), ("",), (None,), ("ǆ",)]
     df = spark.createDataFrame(rows, "t string")
     assert [r[0] for r in df.select(text.capitalise(F.col("t"))).collect()] == ["ẞie straße", "ﬁne", "ᾼ", "Éa", "Xας ος i".replace("ς", "σ"), "", None, "Ǆ"]
+
+
+def test_bytes_of_a_hash_are_compiled(spark):
+    """The digest is computed once a row, and its bytes in generated code: no lambda, no array that is cut."""
+    df = spark.createDataFrame([("user_83",), (None,)], "e string").select(entities.entity_hash(F.col("e"), 4).alias("h"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "slice" not in plan
+    assert [round(x * 255) for x in df.first()["h"]] == list(hashlib.sha256(b"83").digest()[:4])

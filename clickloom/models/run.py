@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickloom.models.autodiff import Var, var
-from clickloom.models.layers import Model, dropping, gat_core, gat_core_var, gat_head_shapes, gat_logit, gat_shapes
+from clickloom.models.layers import Model, dropping, gat_core, gat_cores, gat_core_var, gat_head_shapes, gat_logit, gat_shapes
 from clickloom.sources.files import exists
 
 
@@ -357,3 +357,51 @@ def graph_vectors(node_rows: DataFrame, edge_rows: DataFrame, params: dict[str,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(kind[1]))], names=schema.names)
 
     return both.mapInArrow(run, schema)
+
+
+def _side_by_side(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, edge ends, weights and core places of whole graphs that lie one after another."""
+    first = rows["edges"].is_valid().to_numpy()
+    of_node, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+    lists = rows["edges"].drop_null().combine_chunks()
+    edges, of_edge = lists.flatten(), np.repeat(np.arange(len(starts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    names = pa.chunked_array([*rows["entity"].chunks, edges.field("head"), edges.field("tail")]).combine_chunks().dictionary_encode()
+    codes, n, m = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows.num_rows, len(edges)
+    known = of_node * len(names.dictionary) + codes[:n]
+    order = np.argsort(known)
+    src, dst = (order[np.searchsorted(known, of_edge * len(names.dictionary) + c, sorter=order)] for c in (codes[n : n + m], codes[n + m :]))
+    is_core = rows["is_core"].fill_null(False).to_numpy()
+    cores = starts.copy()
+    marked = np.flatnonzero(is_core)[::-1]
+    cores[of_node[marked]] = marked
+    x = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, width)
+    return x, src, dst, edges.field("weight").to_numpy(zero_copy_only=False).astype(float), cores
+
+
+def graph_vectors_in_rows(node_rows: DataFrame, params: dict[str, np.ndarray] | None = None, key: str = "sample_id", double: bool = False) -> DataFrame:
+    """What ``graph_vectors`` gives, from ``graph.features_in_rows(..., with_edges=True)``: no row moves, and all graphs of a batch go through the layers at once."""
+    params = params or gat_shapes().draw(42)
+    sent, width = node_rows.sparkSession.sparkContext.broadcast(params), len(params["bn1.mean"])
+    schema = T.StructType([node_rows.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType() if double else T.FloatType()))])
+    kind = pa.float64() if double else pa.float32()
+
+    def vectors(rows: pa.Table) -> pa.RecordBatch:
+        got = gat_cores(sent.value, *_side_by_side(rows, width))
+        keys = rows[key].filter(rows["edges"].is_valid()).combine_chunks()
+        values = pa.array(got.ravel().astype(kind.to_pandas_dtype()), kind)
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(np.arange(0, got.size + 1, got.shape[1], dtype=np.int32), values)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # a graph may go on in the next batch
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            begun = np.flatnonzero(rows["edges"].is_valid().to_numpy())
+            if len(begun) and begun[-1]:
+                yield vectors(rows.slice(0, begun[-1]))
+                rows = rows.slice(begun[-1])
+            rest = rows
+        if rest is not None and rest.num_rows:
+            yield vectors(rest)
+
+    return node_rows.select(key, "entity", "is_core", "features", "edges").mapInArrow(run, schema)

@@ -192,10 +192,11 @@ def node_features(edge_rows: DataFrame, cores: DataFrame, key: str = "sample_id"
     return _with_features(joined.select(*empty.columns).unionByName(empty), key, text_dim)
 
 
-def features_in_rows(df: DataFrame, product: Column, text_vector: Column, key: str = "sample_id", triples: str = "triples", text_dim: int = 32) -> DataFrame:
+def features_in_rows(df: DataFrame, product: Column, text_vector: Column, key: str = "sample_id", triples: str = "triples", text_dim: int = 32, with_edges: bool = False) -> DataFrame:
     """What ``node_features`` gives with the core of ``core_entity``, from a sample's triples where they lie: no row moves.
 
-    Its work in a row is the product of nodes and triples, which suits graphs of a
+    A sample's nodes come one after another. ``with_edges`` adds ``edges`` (head, tail, weight of
+    all triples) to the first of them; the others have NULL. Its work in a row is the product of nodes and triples, which suits graphs of a
     sample; for graphs of many thousand triples take ``node_features``.
     """
     link = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
@@ -224,19 +225,22 @@ def features_in_rows(df: DataFrame, product: Column, text_vector: Column, key: s
 
     # each step is bound: nothing that a step refers to again is computed again
     every = bound(bound(bound(bound(F.col(triples), ends), sides), lambda g: F.transform(g["n"], lambda x: counted(g, x))), shared)
-    rows = df.select(key, text_vector.alias("text_vector"), F.explode(every).alias("_n")).select(key, "text_vector", "_n.*")
+    told = F.transform(triples, lambda t: F.struct(t["head"].alias("head"), t["tail"].alias("tail"), relation_weight(t["relation"]).alias("weight")))
+    whole = df.select(key, text_vector.alias("text_vector"), *([F.coalesce(told, F.array()).alias("edges")] if with_edges else []), F.posexplode(every).alias("_p", "_n"))
+    kept = [F.when(F.col("_p") == 0, F.col("edges")).alias("edges")] if with_edges else []
+    rows = whole.select(key, "text_vector", "_n.*", *kept)
     share = lambda c: F.when(F.col("most") > 0, c / F.col("most")).otherwise(0.0)
     centrality = F.when(F.col("most") == 0, 0.0).when(F.col("nodes") > 1, (F.col("n_in") + F.col("n_out")) / (F.col("nodes") - 1)).otherwise(1.0)
     clustered = F.when(F.col("d") > 1, 2.0 * F.col("t") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
-    return _with_features(rows.select(key, "entity", "core", "text_vector", share(F.col("n_in")).alias("in_share"), share(F.col("n_out")).alias("out_share"), clustered.alias("clustering"), centrality.alias("centrality")), key, text_dim)
+    return _with_features(rows.select(key, "entity", "core", "text_vector", share(F.col("n_in")).alias("in_share"), share(F.col("n_out")).alias("out_share"), clustered.alias("clustering"), centrality.alias("centrality"), *(["edges"] if with_edges else [])), key, text_dim, ["edges"] if with_edges else [])
 
 
-def _with_features(joined: DataFrame, key: str, text_dim: int) -> DataFrame:
+def _with_features(joined: DataFrame, key: str, text_dim: int, kept: Sequence[str] = ()) -> DataFrame:
     kind, zero = entity_type(F.col("entity")), F.array_repeat(F.lit(0.0), text_dim)
     flag = lambda k: F.array_repeat(F.when(kind == k, 1.0).otherwise(0.0), 16)
     text = F.when(F.col("entity") == F.col("core"), F.coalesce(F.col("text_vector").cast("array<double>"), zero)).otherwise(zero)
     tail = F.array("in_share", "out_share", "clustering", "centrality")
-    return joined.select(key, "entity", (F.col("entity") == F.col("core")).alias("is_core"), F.concat(flag("user"), flag("product"), entity_hash(F.col("entity"), 32), text, tail).alias("features"))
+    return joined.select(key, "entity", (F.col("entity") == F.col("core")).alias("is_core"), F.concat(flag("user"), flag("product"), entity_hash(F.col("entity"), 32), text, tail).alias("features"), *kept)
 
 
 def attention(edge_rows: DataFrame, source: Column, target: Column, key: str = "sample_id", slope: float = 0.2, eps: float = 1e-8) -> DataFrame:

@@ -166,8 +166,8 @@ def graph_vectors(spark, d):
     from clickloom.plans.queries_graph import _triples
 
     found = _triples(spark, d)
-    nodes = graph.features_in_rows(found, F.concat(F.lit("product_"), F.col("asin").cast("string")), F.array_repeat(F.lit(0.1), 32))
-    vec = run.graph_vectors(nodes, graph.edges(found), sql_network.formula_parameters(_GRAPH), double=True)
+    nodes = graph.features_in_rows(found, F.concat(F.lit("product_"), F.col("asin").cast("string")), F.array_repeat(F.lit(0.1), 32), with_edges=True)
+    vec = run.graph_vectors_in_rows(nodes, sql_network.formula_parameters(_GRAPH), double=True)
     return vec.select("sample_id", F.posexplode("vec").alias("pos", "x")).select("sample_id", "pos", F.round("x", 6).alias("x"))
 
 

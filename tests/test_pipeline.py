@@ -237,6 +237,25 @@ def test_graph_training(spark):
     assert embed.project(vec, 128, 8).first()["vec"] is not None
 
 
+def test_graph_vectors_in_rows_equal_those_of_joined_graphs(spark):
+    """Graphs are cut across batches, one has no triples, one has parallel edges and a loop."""
+    from clickloom.operators import graph
+
+    t = [(i, [("user_1", "click_history_id", f"product_{i + k}") for k in range(i % 5)] + [(f"product_{i}", "has_brand", "x")] * (i % 3)) for i in range(40)]
+    df = spark.createDataFrame([*t, (99, []), (98, [("a", "odd", "a"), ("a", "odd", "b"), ("a", "has_price", "b")])], "sample_id long, triples array<struct<head:string,relation:string,tail:string>>").coalesce(2)
+    args = F.concat(F.lit("product_"), F.col("sample_id").cast("string")), F.array_repeat(F.lit(0.5), 32)
+    want = {r["sample_id"]: r["vec"] for r in run.graph_vectors(graph.features_in_rows(df, *args), graph.edges(df), double=True).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = run.graph_vectors_in_rows(graph.features_in_rows(df, *args, with_edges=True), double=True)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["sample_id"]: r["vec"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+
+
 def test_samples(spark):
     from clickloom.operators import sampling
 

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,75 @@ def test_late_rows_are_marked_and_idle_users_known(spark, tmp_path, store):
     ]
     got = run(spark, tmp_path, files, "1 hour", end=600 * day)
     assert got == {0: ([], False), 1: ([], False), 2: ([10], False), 3: ([], False), 4: ([], False), 8: ([], False), 5: (None, True), 6: ([10, 11], False), 7: ([20], False)}
+
+
+class _State:
+    """A state that counts the rows that are read from it and written to it."""
+
+    def __init__(self):
+        self.rows, self.read, self.written, self.timers = [], 0, 0, []
+
+    def get(self):
+        self.read += len(self.rows)
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.clear()
+        self.appendList(rows)
+
+    def appendList(self, rows):
+        self.written += len(rows)
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+class _Value(_State):
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+    def update(self, row):
+        self.rows = [row]
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, _State())
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Value())
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_rows_that_wait_are_written_and_read_once():
+    handle, user = _Handle(), history._Histories(3)
+    user.init(handle)
+    rows = [(1_000_000 * ((k * 37) % 100 + 1), k, k, 1) for k in range(100)]
+    for k in range(10):
+        pdf = pd.DataFrame(rows[10 * k : 10 * k + 10], columns=["us", "src_idx", "item", "label"])
+        assert list(user.handleInputRows((5,), iter([pdf]), _Now(0))) == []
+    waiting = handle.states["waiting"]
+    assert (waiting.read, waiting.written) == (0, 100) and min(handle.timers) == 1001
+    half = [x for t in sorted(handle.timers) for x in user.handleExpiredTimer((5,), _Now(50_500), None)]
+    whole = [x for t in sorted(handle.timers) for x in user.handleExpiredTimer((5,), _Now(10**9), None)]
+    assert len(half) == len(whole) == 1 and waiting.read == 150 and waiting.rows == []
+    got = pd.concat(half + whole)
+    assert list(got["src_idx"]) == [r[1] for r in sorted(rows)] and not got["late"].any()
+    assert list(got["history"])[-1] == [r[2] for r in sorted(rows)][-4:-1]

@@ -197,7 +197,8 @@ BIAS = [0.1, -0.2, 0.3, -0.4]
 
 def kg_attention_layer(spark, d):
     """A layer of two heads over one graph of all purchases, customers and items."""
-    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = table(spark, d, "orders").hint("shuffle_hash")  # a row an order, two numbers wide
+    bought = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     edges = bought.select(F.lit(0).alias("graph"), F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("head"), F.concat(F.lit("product_"), F.col("l_partkey").cast("string")).alias("tail"), (F.col("l_quantity").cast("double") / 100.0 + 0.5).alias("weight"))
 
     def of(name, key, prefix, user):

@@ -1,6 +1,7 @@
 """Graph attention by joins, against the formulas and the numpy network."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,3 +93,36 @@ def test_a_node_with_a_million_edges_is_many_tasks(spark):
     few = [(1, f"n{k}", [k / 5, 1.0]) for k in range(5)]
     want = brute(few, [(1, f"n{k}", "n0", 1.0) for k in range(5)] * 10, w, a, None)[1, "n0"]
     assert np.allclose(layer, want, rtol=1e-8)
+
+
+def test_edges_move_twice_and_nodes_are_not_broadcast(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    w, a, residual = draw.normal(size=(3, 4)), draw.normal(size=(2, 4)), (draw.normal(size=(3, 4)), draw.normal(size=4))
+    nodes = [(1, f"n{k}", draw.normal(size=3).tolist()) for k in range(40)]
+    edges = [(1, f"n{h}", f"n{t}", 0.5) for h, t in draw.integers(0, 40, (500, 2)).tolist()]
+    want = brute(nodes, edges, w, a, residual)
+    nd, ed = spark.createDataFrame([(0, *n) for n in nodes], NODES), spark.createDataFrame([(*e, "x") for e in edges], EDGES)
+    for room in (1 << 26, 0):
+        monkeypatch.setattr(attention, "HASHED_BYTES", room, raising=False)
+        found = attention.attention_layer(nd, ed, w, a, residual)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 5  # edges twice, nodes at either end and last
+        assert "Broadcast" not in plan and ("Sort [" in plan) == (room == 0)
+        got = {(x["sample_id"], x["entity"]): x["features"] for x in found.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
+
+
+def test_hubs_are_exact_and_equal_edges_are_dealt(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(s, "h", f"n{r.randrange(1 << r.randrange(1, 9))}", 1.0) for s in range(3) for _ in range(2000)]
+    path = str(tmp_path / "edges")
+    spark.createDataFrame(rows, "sample_id long, head string, tail string, weight double").coalesce(2).write.parquet(path)
+    edges = spark.read.parquet(path)
+    for most in (1, 30, 100, 2000, 5000):
+        for end, place in (("head", 1), ("tail", 2)):
+            counts = Counter((x[0], x[place]) for x in rows)
+            found = attention._hubs(edges, end, "sample_id", most, len(rows))
+            assert {tuple(x) for x in found.collect()} == {(*k, -(-n // most)) for k, n in counts.items() if n > most}
+    dealt = attention._deal(edges, attention._hubs(edges, "head", "sample_id", 500, len(rows)), "head", "sample_id")
+    assert {x["_head_salt"] for x in dealt.where("tail = 'n0'").select("_head_salt").distinct().collect()} == {0, 1, 2, 3}
+    assert dealt.count() == len(rows) and max(x["count"] for x in dealt.groupBy("sample_id", "_head_salt").count().collect()) < 650
